@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WILDCARDS = r"[%_]"
-SCAN_MAX_PATTERNS = 10_000  # broadcast bound for the scan strategy (rows)
+SCAN_MAX_PATTERNS = 64  # broadcast bound for the scan strategy (rows)
 DEFAULT_SALT = 16
 
 
@@ -63,7 +63,7 @@ def _required_grams(pattern_lower: Column) -> Column:
 def verify(text: Column, pattern: Column) -> Column:
     """Exact predicate: case-insensitive substring with user wildcards."""
     lt, lp = F.lower(text), F.lower(pattern)
-    like = lt.like(F.concat(F.lit("%"), lp, F.lit("%")))
+    like = F.like(lt, F.concat(F.lit("%"), lp, F.lit("%")))
     return F.when(lp.rlike(WILDCARDS + r"|\\"), like).otherwise(F.instr(lt, lp) > 0)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import market as M
 from ..operators import normalize as N
+from ..operators import quality as Q
 from ..operators import tables as S
 from ..sources.fixtures import AS_OF, Tables
 from . import warehouse as W
@@ -98,6 +99,102 @@ def q_top_tags_all(spark, sf_dir):
     return M.top_tags(_wh(_tables(spark, sf_dir)).fact, None, 10)
 
 
+def _legacy_fact(t: Tables) -> DataFrame:
+    """Postings stored without range validation (the CSV loader path)."""
+    ok = N.accepted(N.normalize_postings(t.postings_stream()))
+    ok = ok.withColumn("experience", F.col("experience_parsed")).withColumn("annual_salary", F.col("salary_parsed"))
+    return S.first_wins_dedup(ok)
+
+
+def q_quality_clean(spark, sf_dir):
+    f = Q.quality_clean(_legacy_fact(_tables(spark, sf_dir)))
+    return f.select("posting_id", "experience", "annual_salary")
+
+
+def q_quality_clean_log(spark, sf_dir):
+    return Q.quality_clean_log(_legacy_fact(_tables(spark, sf_dir))).select(
+        "posting_id", "announcement_name", "field", "rule", "parsed_value")
+
+
+def q_completeness(spark, sf_dir):
+    return Q.completeness(_wh(_tables(spark, sf_dir)).fact).select("field", "total", "filled", "pct")
+
+
+def q_salary_dist(spark, sf_dir):
+    return Q.salary_dist(_wh(_tables(spark, sf_dir)).fact)
+
+
+def q_experience_bands(spark, sf_dir):
+    return Q.experience_bands(_legacy_fact(_tables(spark, sf_dir)))
+
+
+def q_form_dist(spark, sf_dir):
+    return Q.form_dist(_wh(_tables(spark, sf_dir)).fact, S.employment_types(spark))
+
+
+def q_quality_event_summary(spark, sf_dir):
+    return Q.quality_event_summary(_wh(_tables(spark, sf_dir)).quality)
+
+
+def q_quality_recent(spark, sf_dir):
+    return Q.quality_recent(_wh(_tables(spark, sf_dir)).quality)
+
+
+def q_quality_report(spark, sf_dir):
+    w = _wh(_tables(spark, sf_dir))
+    return Q.quality_report(w.fact, w.quality, S.employment_types(spark))
+
+
+def q_salary_by_keyword(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return M.salary_by_keyword(_wh(t).fact, t["keywords"], AS_OF)
+
+
+def q_regional_dist(spark, sf_dir):
+    return M.regional_dist(_wh(_tables(spark, sf_dir)).fact, AS_OF, 8)
+
+
+def q_experience_dist(spark, sf_dir):
+    return M.experience_dist(_wh(_tables(spark, sf_dir)).fact, AS_OF)
+
+
+def q_daily_new(spark, sf_dir):
+    return M.daily_new(_wh(_tables(spark, sf_dir)).fact, AS_OF, 7).select(_d("day"), "count")
+
+
+def _flat(c: str):
+    return F.array_join(F.transform(F.col(c), lambda s: F.concat(s["name"], F.lit(":"), s["count"].cast("string"))),
+                        "|").alias(c)
+
+
+def _snapshot_out(df: DataFrame) -> DataFrame:
+    return df.select(_d("date"), "total_valid_jobs", "new_jobs", "avg_salary",
+                     _flat("top_tags"), _flat("region_dist"), _flat("experience_dist"))
+
+
+def q_market_snapshot(spark, sf_dir):
+    return _snapshot_out(M.market_snapshot(_wh(_tables(spark, sf_dir)).fact, AS_OF))
+
+
+def q_snapshot_upsert(spark, sf_dir):
+    """Snapshots of three days from the first batch, then the last day recomputed on
+    the whole stream and upserted over the stored one."""
+    import datetime as _dt
+    t = _tables(spark, sf_dir)
+    early = W.build(t.postings_stream().where(F.col("batch_date") < F.lit(SPLIT_DATE).cast("date"))).fact
+    day = _dt.date.fromisoformat(AS_OF)
+    stored = None
+    for k in (2, 1, 0):
+        snap = M.market_snapshot(early, (day - _dt.timedelta(days=k)).isoformat())
+        stored = snap if stored is None else stored.unionByName(snap)
+    again = M.market_snapshot(_wh(t).fact, AS_OF)
+    return _snapshot_out(M.snapshot_upsert(stored, again))
+
+
+def q_insight_report(spark, sf_dir):
+    return M.insight_report(_wh(_tables(spark, sf_dir)).fact, AS_OF)
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -108,4 +205,20 @@ QUERIES = {
     "quality_events": q_quality_events,
     "top_tags": q_top_tags,
     "top_tags_all": q_top_tags_all,
+    "quality_clean": q_quality_clean,
+    "quality_clean_log": q_quality_clean_log,
+    "completeness": q_completeness,
+    "salary_dist": q_salary_dist,
+    "experience_bands": q_experience_bands,
+    "form_dist": q_form_dist,
+    "quality_event_summary": q_quality_event_summary,
+    "quality_recent": q_quality_recent,
+    "quality_report": q_quality_report,
+    "salary_by_keyword": q_salary_by_keyword,
+    "regional_dist": q_regional_dist,
+    "experience_dist": q_experience_dist,
+    "daily_new": q_daily_new,
+    "market_snapshot": q_market_snapshot,
+    "snapshot_upsert": q_snapshot_upsert,
+    "insight_report": q_insight_report,
 }

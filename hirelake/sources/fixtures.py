@@ -96,7 +96,16 @@ FROM (SELECT l.l_orderkey, p.p_brand AS t FROM {lineitem} l JOIN {part} p ON p.p
       SELECT l.l_orderkey, p.p_type AS t FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey) x
 """
 
+# keywords for per-keyword aggregates: part types and the words of part names
+KEYWORDS = """
+SELECT DISTINCT keyword FROM (
+ SELECT p_type AS keyword FROM {part}
+ UNION ALL SELECT split_part(p_name, ' ', 1) FROM {part}
+ UNION ALL SELECT split_part(p_name, ' ', 2) FROM {part}) k
+"""
+
 VIEWS = {
+    "keywords": KEYWORDS,
     "postings_raw": POSTINGS_RAW,
     "postings_recrawl": POSTINGS_RECRAWL,
     "query_log": QUERY_LOG,

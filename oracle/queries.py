@@ -52,3 +52,168 @@ SELECT name, count(*) AS count FROM t GROUP BY name ORDER BY count DESC, name LI
 SQL["top_tags_all"] = stream_with() + """,
 t AS (SELECT posting_id, unnest(tags) AS name FROM fact)
 SELECT name, count(*) AS count FROM t GROUP BY name ORDER BY count DESC, name LIMIT 10"""
+
+LEGACY = """,
+lranked AS (
+ SELECT *, row_number() OVER (PARTITION BY company_name, announcement_name, deadline,
+   CASE WHEN announcement_name IS NULL THEN posting_id END ORDER BY batch_date, posting_id) AS rn
+ FROM normr WHERE NOT rejected),
+legacy AS (SELECT posting_id, announcement_name, experience_parsed AS experience, salary_parsed AS annual_salary
+ FROM lranked WHERE rn = 1)
+"""
+
+SQL["quality_clean"] = stream_with() + LEGACY + """
+SELECT posting_id,
+ CASE WHEN experience < 0 OR experience > 30 THEN NULL ELSE experience END AS experience,
+ CASE WHEN annual_salary < 600 OR annual_salary > 50000 THEN NULL ELSE annual_salary END AS annual_salary
+FROM legacy"""
+
+SQL["quality_clean_log"] = stream_with() + LEGACY + """
+SELECT posting_id, announcement_name, 'annual_salary' AS field,
+ CASE WHEN annual_salary < 600 THEN 'below_minimum(600)' ELSE 'above_maximum(50000)' END AS rule,
+ CAST(annual_salary AS VARCHAR) AS parsed_value
+FROM legacy WHERE annual_salary < 600 OR annual_salary > 50000
+UNION ALL
+SELECT posting_id, announcement_name, 'experience',
+ CASE WHEN experience < 0 THEN 'negative_value' ELSE 'above_maximum(30)' END, CAST(experience AS VARCHAR)
+FROM legacy WHERE experience < 0 OR experience > 30"""
+
+SQL["completeness"] = stream_with() + """,
+a AS (SELECT count(*) AS total, count(annual_salary) AS s, count(experience) AS e, count(region_name) AS r,
+  count(form) AS f, count(education) AS ed FROM fact)
+SELECT 'annual_salary' AS field, total, s AS filled, round(s * 100.0 / total, 1) AS pct FROM a
+UNION ALL SELECT 'experience', total, e, round(e * 100.0 / total, 1) FROM a
+UNION ALL SELECT 'region_name', total, r, round(r * 100.0 / total, 1) FROM a
+UNION ALL SELECT 'form', total, f, round(f * 100.0 / total, 1) FROM a
+UNION ALL SELECT 'education', total, ed, round(ed * 100.0 / total, 1) FROM a"""
+
+SQL["salary_dist"] = stream_with() + """
+SELECT count(*) AS cnt, min(annual_salary) AS min, max(annual_salary) AS max,
+ CAST(round(avg(annual_salary)) AS BIGINT) AS avg,
+ quantile_cont(annual_salary, 0.25) AS p25, quantile_cont(annual_salary, 0.5) AS p50,
+ quantile_cont(annual_salary, 0.75) AS p75, quantile_cont(annual_salary, 0.95) AS p95
+FROM fact WHERE annual_salary IS NOT NULL"""
+
+SQL["experience_bands"] = stream_with() + LEGACY + """
+SELECT CASE WHEN experience = 0 THEN '신입' WHEN experience BETWEEN 1 AND 3 THEN '1~3년'
+  WHEN experience BETWEEN 4 AND 7 THEN '4~7년' WHEN experience >= 8 THEN '8년 이상' END AS band,
+ count(*) AS cnt, min(experience) AS ord
+FROM legacy WHERE experience IS NOT NULL GROUP BY band"""
+
+ET = ("(VALUES (1,'정규직'),(2,'계약직'),(3,'인턴'),(4,'파견직'),(5,'프리랜서'),(6,'위촉직'),"
+      "(7,'도급'),(8,'연수생'),(9,'병역특례'),(10,'아르바이트')) et(id, name)")
+
+SQL["form_dist"] = stream_with() + f"""
+SELECT CAST(et.id AS BIGINT) AS form, et.name, count(*) AS cnt FROM fact JOIN {ET} ON fact.form = et.id
+GROUP BY et.id, et.name"""
+
+QEV = """,
+qev AS (
+ SELECT posting_id, created_at, company_name, announcement_name, 'annual_salary' AS field, salary_rule AS rule,
+  salary_raw AS original_value, CAST(salary_parsed AS VARCHAR) AS parsed_value FROM normr WHERE salary_rule IS NOT NULL
+ UNION ALL
+ SELECT posting_id, created_at, company_name, announcement_name, 'experience', experience_rule, career_raw,
+  CAST(experience_parsed AS VARCHAR) FROM normr WHERE experience_rule IS NOT NULL)
+"""
+
+SQL["quality_event_summary"] = stream_with() + QEV + """
+SELECT field, rule, count(*) AS cnt FROM qev GROUP BY field, rule
+UNION ALL SELECT NULL, NULL, count(*) FROM qev"""
+
+SQL["quality_recent"] = stream_with() + QEV + """
+SELECT company_name, announcement_name, field, rule, original_value, parsed_value FROM qev
+ORDER BY created_at DESC, posting_id DESC, field LIMIT 5"""
+
+SQL["quality_report"] = stream_with() + QEV + f""",
+a AS (SELECT count(*) AS total, count(annual_salary) AS s, count(experience) AS e, count(region_name) AS r,
+  count(form) AS f, count(education) AS ed FROM fact),
+sd AS (SELECT count(*) AS cnt, min(annual_salary) AS mn, max(annual_salary) AS mx, round(avg(annual_salary)) AS av,
+  quantile_cont(annual_salary, 0.25) AS p25, quantile_cont(annual_salary, 0.5) AS p50,
+  quantile_cont(annual_salary, 0.75) AS p75, quantile_cont(annual_salary, 0.95) AS p95
+  FROM fact WHERE annual_salary IS NOT NULL)
+SELECT 1 AS section, -1 AS ord, 'total' AS label, CAST(total AS DOUBLE) AS value FROM a
+UNION ALL SELECT 1, 0, '연봉', round(s * 100.0 / total, 1) FROM a
+UNION ALL SELECT 1, 1, '경력', round(e * 100.0 / total, 1) FROM a
+UNION ALL SELECT 1, 2, '지역', round(r * 100.0 / total, 1) FROM a
+UNION ALL SELECT 1, 3, '고용형태', round(f * 100.0 / total, 1) FROM a
+UNION ALL SELECT 1, 4, '학력', round(ed * 100.0 / total, 1) FROM a
+UNION ALL SELECT 2, 0, 'cnt', floor(cnt) FROM sd
+UNION ALL SELECT 2, 1, 'min', floor(mn) FROM sd
+UNION ALL SELECT 2, 2, 'p25', floor(p25) FROM sd
+UNION ALL SELECT 2, 3, 'p50', floor(p50) FROM sd
+UNION ALL SELECT 2, 4, 'p75', floor(p75) FROM sd
+UNION ALL SELECT 2, 5, 'p95', floor(p95) FROM sd
+UNION ALL SELECT 2, 6, 'max', floor(mx) FROM sd
+UNION ALL SELECT 2, 7, 'avg', floor(av) FROM sd
+UNION ALL SELECT 3, min(experience), coalesce(CASE WHEN experience = 0 THEN '신입' WHEN experience BETWEEN 1 AND 3 THEN '1~3년'
+  WHEN experience BETWEEN 4 AND 7 THEN '4~7년' WHEN experience >= 8 THEN '8년 이상' END, 'NULL'), count(*)
+  FROM fact WHERE experience IS NOT NULL GROUP BY 3
+UNION ALL SELECT 4, et.id, et.name, count(*) FROM fact JOIN {ET} ON fact.form = et.id GROUP BY et.id, et.name
+UNION ALL SELECT 5, 0, field || ' / ' || rule, count(*) FROM qev GROUP BY field, rule
+UNION ALL SELECT 5, 0, 'total', count(*) FROM qev"""
+
+KW_HITS = f""",
+kw AS (SELECT * FROM keywords),
+vf AS (SELECT * FROM fact WHERE deadline >= {ASOF} AND annual_salary IS NOT NULL),
+hits AS (
+ SELECT DISTINCT kw.keyword, vf.posting_id, vf.annual_salary FROM kw JOIN vf
+ ON vf.announcement_name ILIKE '%' || kw.keyword || '%'
+    OR len(list_filter(vf.tags, lambda t: t ILIKE '%' || kw.keyword || '%')) > 0)
+"""
+
+SQL["salary_by_keyword"] = stream_with("keywords") + KW_HITS + """
+SELECT keyword, CAST(trunc(avg(annual_salary)) AS BIGINT) AS avg_salary, count(*) AS count
+FROM hits GROUP BY keyword"""
+
+SQL["regional_dist"] = stream_with() + f"""
+SELECT region_name AS region, count(*) AS count FROM fact WHERE deadline >= {ASOF} AND region_name IS NOT NULL
+GROUP BY region_name ORDER BY count DESC, region LIMIT 8"""
+
+EXP_LABEL = ("CASE WHEN experience IS NULL THEN '경력무관' WHEN experience = 0 THEN '신입' "
+             "WHEN experience <= 3 THEN '1~3년' WHEN experience <= 7 THEN '4~7년' ELSE '8년 이상' END")
+
+SQL["experience_dist"] = stream_with() + f"""
+SELECT {EXP_LABEL} AS label, count(*) AS count FROM fact WHERE deadline >= {ASOF} GROUP BY label"""
+
+SQL["daily_new"] = stream_with() + f"""
+SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, count(*) AS count FROM fact
+WHERE CAST(created_at AS DATE) >= {ASOF} - 6 GROUP BY CAST(created_at AS DATE)"""
+
+
+def snapshot_sql(src: str, day: str) -> str:
+    return f"""
+ SELECT CAST({day} AS VARCHAR) AS date,
+  (SELECT count(*) FROM {src} WHERE deadline >= {day}) AS total_valid_jobs,
+  (SELECT count(*) FROM {src} WHERE CAST(created_at AS DATE) = {day}) AS new_jobs,
+  (SELECT CAST(trunc(avg(annual_salary)) AS BIGINT) FROM {src} WHERE deadline >= {day}) AS avg_salary,
+  (SELECT string_agg(name || ':' || c, '|' ORDER BY c DESC, name) FROM (
+     SELECT name, count(*) AS c FROM (SELECT unnest(tags) AS name FROM {src} WHERE deadline >= {day}) u
+     GROUP BY name ORDER BY c DESC, name LIMIT 10) x) AS top_tags,
+  (SELECT string_agg(name || ':' || c, '|' ORDER BY c DESC, name) FROM (
+     SELECT region_name AS name, count(*) AS c FROM {src} WHERE deadline >= {day} AND region_name IS NOT NULL
+     GROUP BY region_name ORDER BY c DESC, name LIMIT 6) x) AS region_dist,
+  (SELECT string_agg(name || ':' || c, '|' ORDER BY c DESC, name) FROM (
+     SELECT {EXP_LABEL} AS name, count(*) AS c FROM {src} WHERE deadline >= {day} GROUP BY 1) x) AS experience_dist"""
+
+
+SQL["market_snapshot"] = stream_with() + snapshot_sql("fact", ASOF)
+
+SQL["snapshot_upsert"] = stream_with() + f""",
+early AS (SELECT * FROM fact WHERE batch_date < {SPLIT}),
+stored AS ({snapshot_sql("early", ASOF + " - 2")} UNION ALL {snapshot_sql("early", ASOF + " - 1")}
+  UNION ALL {snapshot_sql("early", ASOF)})
+SELECT * FROM stored WHERE date <> CAST({ASOF} AS VARCHAR)
+UNION ALL {snapshot_sql("fact", ASOF)}"""
+
+SQL["insight_report"] = stream_with() + f""",
+tt AS (SELECT name, count(*) AS count FROM (SELECT unnest(tags) AS name FROM fact WHERE deadline >= {ASOF}) u
+  GROUP BY name ORDER BY count DESC, name LIMIT 10),
+rk AS (SELECT row_number() OVER (ORDER BY count DESC, name) AS rank, name, count FROM tt),
+kw AS (SELECT name AS keyword FROM rk WHERE rank <= 5),
+vf AS (SELECT * FROM fact WHERE deadline >= {ASOF} AND annual_salary IS NOT NULL),
+hits AS (
+ SELECT DISTINCT kw.keyword, vf.posting_id, vf.annual_salary FROM kw JOIN vf
+ ON vf.announcement_name ILIKE '%' || kw.keyword || '%'
+    OR len(list_filter(vf.tags, lambda t: t ILIKE '%' || kw.keyword || '%')) > 0),
+sal AS (SELECT keyword, CAST(trunc(avg(annual_salary)) AS BIGINT) AS avg_salary FROM hits GROUP BY keyword)
+SELECT rank, name, count, avg_salary FROM rk LEFT JOIN sal ON sal.keyword = rk.name"""
