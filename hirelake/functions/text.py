@@ -153,12 +153,19 @@ def _trimmed_items(arr: Column) -> Column:
     return F.filter(F.transform(arr, lambda t: strip(t)), lambda t: t != "")
 
 
-def parse_description_tags(raw) -> Column:
-    """Comma list, stripped, blanks dropped, exact synonym map; empty -> empty array."""
+def parse_description_tags(raw, synonyms=None) -> Column:
+    """Comma list, stripped, blanks dropped, exact synonym map; empty -> empty array.
+
+    ``synonyms`` overrides the fixed map (an empty list keeps the tags as written).
+    """
     raw = col_(raw)
-    syn = _literal_map(V.TAG_SYNONYMS)
+    pairs = V.TAG_SYNONYMS if synonyms is None else synonyms
     items = _trimmed_items(F.split(raw, ","))
-    mapped = F.transform(items, lambda t: F.coalesce(F.try_element_at(syn, t), t))
+    if pairs:
+        syn = _literal_map(pairs)
+        mapped = F.transform(items, lambda t: F.coalesce(F.try_element_at(syn, t), t))
+    else:
+        mapped = items
     return F.when(raw.isNull(), F.array().cast("array<string>")).otherwise(mapped)
 
 

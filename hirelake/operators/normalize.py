@@ -17,7 +17,7 @@ RAW_COLUMNS = [
 ]
 
 
-def normalize_postings(raw: DataFrame, today: str | None = None) -> DataFrame:
+def normalize_postings(raw: DataFrame, today: str | None = None, synonyms=None) -> DataFrame:
     """Parse every raw posting row.
 
     ``raw`` needs the eleven text columns plus ``posting_id`` (the arrival ordinal),
@@ -32,7 +32,7 @@ def normalize_postings(raw: DataFrame, today: str | None = None) -> DataFrame:
     exp = T.validate_experience(T.parse_experience("career_raw"))
     dl = T.parse_deadline("deadline_raw", ref)
     region = T.parse_region("location_raw")
-    desc = T.parse_description_tags("description_raw")
+    desc = T.parse_description_tags("description_raw", synonyms)
     pos = T.parse_position_tags("position_raw")
     parsed = raw.select(
         "posting_id", "batch_date", "created_at",

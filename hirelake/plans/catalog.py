@@ -17,6 +17,7 @@ from ..operators import market as M
 from ..operators import normalize as N
 from ..operators import quality as Q
 from ..operators import tables as S
+from ..operators import users as U
 from ..sources.fixtures import AS_OF, Tables
 from . import warehouse as W
 
@@ -195,6 +196,87 @@ def q_insight_report(spark, sf_dir):
     return M.insight_report(_wh(_tables(spark, sf_dir)).fact, AS_OF)
 
 
+def q_expire_postings(spark, sf_dir):
+    """Expiry cascades to the bridge: the tag rows of kept postings."""
+    w = _wh(_tables(spark, sf_dir))
+    _, (bridge,) = S.expire_postings(w.fact, AS_OF, [w.bridge])
+    return bridge.select("posting_id", "tag")
+
+
+def _before_split():
+    return F.col("batch_date") < F.lit(SPLIT_DATE).cast("date")
+
+
+def _legacy_location_wh(t: Tables) -> W.Warehouse:
+    """Postings of the first batch were loaded before the location column existed."""
+    raw = t.postings_stream()
+    raw = raw.withColumn("location_raw", F.when(_before_split(), F.lit(None).cast("string"))
+                         .otherwise(F.col("location_raw")))
+    return W.build(raw)
+
+
+def q_region_backfill(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    w = _legacy_location_wh(t)
+    out = S.region_backfill(w.fact, t.postings_stream(), w.regions)
+    return out.select("posting_id", "region_name", "subregion_name", "updated")
+
+
+def q_fill_rate(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    w = _legacy_location_wh(t)
+    after = S.region_backfill(w.fact, t.postings_stream(), w.regions)
+    return (S.fill_rate(w.fact, "region_name").withColumn("stage", F.lit("before"))
+            .unionByName(S.fill_rate(after, "region_name").withColumn("stage", F.lit("after"))))
+
+
+def _unmapped_wh(t: Tables) -> W.Warehouse:
+    """Tags stored as written, before the synonym map existed."""
+    return W.build(t.postings_stream(), synonyms=[])
+
+
+def q_tag_merge(spark, sf_dir):
+    w = _unmapped_wh(_tables(spark, sf_dir))
+    return S.tag_merge(w.bridge, S.synonym_table(spark)).select("posting_id", "tag")
+
+
+def q_tag_merge_report(spark, sf_dir):
+    w = _unmapped_wh(_tables(spark, sf_dir))
+    return S.tag_merge_report(w.tags, S.synonym_table(spark))
+
+
+def _profile_changes(t: Tables) -> DataFrame:
+    """Version 1 of every profile; users without a form later clear their region and
+    raise their salary floor."""
+    p = t["profiles"]
+    v1 = p.withColumn("seq", F.lit(1))
+    v2 = p.where(F.col("form").isNull()).select(
+        "user_id", F.lit(None).cast("string").alias("region"), "form", "max_experience",
+        F.lit(3000).alias("min_salary"), F.lit(2).alias("seq"))
+    return v1.unionByName(v2)
+
+
+def q_profile_upsert(spark, sf_dir):
+    return U.profile_upsert(_profile_changes(_tables(spark, sf_dir)))
+
+
+def q_subscription_cap(spark, sf_dir):
+    return U.subscription_cap(_tables(spark, sf_dir)["subscriptions"]).select(
+        "user_id", "seq", "keyword", "position", "accepted")
+
+
+def _stored_subscriptions(t: Tables) -> DataFrame:
+    return U.subscription_cap(t["subscriptions"]).where("accepted").select("user_id", "seq", "keyword")
+
+
+def q_subscription_delete(spark, sf_dir):
+    """Every user deletes position 2, and asks for position 9 (out of range)."""
+    subs = _stored_subscriptions(_tables(spark, sf_dir))
+    users = subs.select("user_id").distinct()
+    deletes = users.withColumn("position", F.lit(2)).unionByName(users.withColumn("position", F.lit(9)))
+    return U.subscription_delete(subs, deletes).select("user_id", "seq", "keyword")
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -221,4 +303,12 @@ QUERIES = {
     "market_snapshot": q_market_snapshot,
     "snapshot_upsert": q_snapshot_upsert,
     "insight_report": q_insight_report,
+    "expire_postings": q_expire_postings,
+    "region_backfill": q_region_backfill,
+    "fill_rate": q_fill_rate,
+    "tag_merge": q_tag_merge,
+    "tag_merge_report": q_tag_merge_report,
+    "profile_upsert": q_profile_upsert,
+    "subscription_cap": q_subscription_cap,
+    "subscription_delete": q_subscription_delete,
 }

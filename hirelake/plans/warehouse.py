@@ -29,13 +29,13 @@ class Warehouse:
 
 
 def build(raw: DataFrame, today: str | None = None, existing: Warehouse | None = None,
-          batch_id=None) -> Warehouse:
+          batch_id=None, synonyms=None) -> Warehouse:
     """Ingest one batch of raw rows, optionally on top of an existing warehouse.
 
     Dimensions are filled from every stored-or-duplicate row (not from rejects); tags
     only from newly inserted postings.
     """
-    norm = N.normalize_postings(raw, today)
+    norm = N.normalize_postings(raw, today, synonyms)
     ok = N.accepted(norm)
     new_fact = S.first_wins_dedup(ok, existing.fact if existing else None)
     new_fact = new_fact.select(*[c for c in S.FACT_COLUMNS if c in new_fact.columns])

@@ -39,24 +39,26 @@ def case_map(x: str, pairs, cast: str = "BIGINT") -> str:
     return f"CAST(CASE {x} {whens} END AS {cast})"
 
 
-def tag_list(desc: str, pos: str) -> str:
-    syn = " ".join(f"WHEN {q(o)} THEN {q(n)}" for o, n in V.TAG_SYNONYMS)
+def tag_list(desc: str, pos: str, synonyms=None) -> str:
+    pairs = V.TAG_SYNONYMS if synonyms is None else synonyms
+    syn = " ".join(f"WHEN {q(o)} THEN {q(n)}" for o, n in pairs)
+    mapped = f"lambda t: CASE t {syn} ELSE t END" if pairs else "lambda t: t"
     d = (f"coalesce(list_transform(list_filter(list_transform(string_split({desc}, ','), lambda t: {strip('t')}), "
-         f"lambda t: t <> ''), lambda t: CASE t {syn} ELSE t END), [])")
+         f"lambda t: t <> ''), {mapped}), [])")
     p = (f"coalesce(list_filter(list_transform(string_split_regex({pos}, '[,·]'), lambda t: {strip('t')}), "
          f"lambda t: t <> ''), [])")
     return f"list_distinct(list_concat({d}, {p}))"
 
 
-def norm_cte(src: str = "stream") -> str:
-    """CTEs ``n1``/``norm``: every raw row of ``src`` parsed (mirror of P1-P12)."""
+def norm_cte(src: str = "stream", px: str = "", synonyms=None) -> str:
+    """CTEs ``{px}n0``..``{px}normr``: every raw row of ``src`` parsed (mirror of P1-P12)."""
     form_whens = " ".join(f"WHEN contains(fv, {q(w)}) THEN {c}" for w, c in V.FORM_PATTERNS)
     return f"""
-n0 AS (
+{px}n0 AS (
  SELECT *, {sanitize('career_raw')} AS cs, {sanitize('salary_raw')} AS ss, {strip('form_raw')} AS fv,
   {strip("replace(location_raw, '외', '')")} AS lv, {strip('deadline_raw')} AS dv, batch_date AS today
  FROM {src}),
-n1 AS (
+{px}n1 AS (
  SELECT *,
   CASE WHEN cs IS NULL THEN NULL WHEN {any_contains('cs', V.EXPERIENCE_ZERO_MARKERS)} THEN 0
        ELSE {first_number('cs')} END AS experience_parsed,
@@ -74,9 +76,9 @@ n1 AS (
        WHEN regexp_matches(lv, '{WS}') THEN regexp_extract(lv, '^{NWS}+{WS}+((?s).*)$', 1) ELSE NULL END AS subregion_name,
   TRY_CAST(printf('%04d-%s-%s', year(today), regexp_extract(dv, '^~(\\d{{2}})/(\\d{{2}})', 1), regexp_extract(dv, '^~(\\d{{2}})/(\\d{{2}})', 2)) AS DATE) AS d1,
   TRY_CAST(printf('%04d-%s-%s', year(today) + 1, regexp_extract(dv, '^~(\\d{{2}})/(\\d{{2}})', 1), regexp_extract(dv, '^~(\\d{{2}})/(\\d{{2}})', 2)) AS DATE) AS d2,
-  {tag_list('description_raw', 'position_raw')} AS tag_list
- FROM n0),
-norm AS (
+  {tag_list('description_raw', 'position_raw', synonyms)} AS tag_list
+ FROM {px}n0),
+{px}norm AS (
  SELECT posting_id, batch_date, created_at, company AS company_name, title AS announcement_name,
   experience_parsed,
   CASE WHEN experience_parsed < 0 OR experience_parsed > {V.EXPERIENCE_MAX} THEN NULL ELSE experience_parsed END AS experience,
@@ -89,29 +91,32 @@ norm AS (
        WHEN contains(dv, '상시') THEN DATE '{V.OPEN_DEADLINE}'
        WHEN regexp_matches(dv, '^~\\d{{2}}/\\d{{2}}') THEN CASE WHEN d1 IS NULL THEN NULL WHEN d1 < today THEN d2 ELSE d1 END
        ELSE DATE '{V.OPEN_DEADLINE}' END AS deadline,
-  tag_list AS tags, link, career_raw, salary_raw
- FROM n1),
-normr AS (SELECT *, (deadline IS NULL OR company_name IS NULL) AS rejected FROM norm)
+  tag_list AS tags, link, career_raw, salary_raw, company, title, location_raw, deadline_raw
+ FROM {px}n1),
+{px}normr AS (SELECT *, (deadline IS NULL OR company_name IS NULL) AS rejected FROM {px}norm)
 """
 
 
-def stream_with(*extra: str) -> str:
-    """WITH prefix: fixture views + ``stream`` (base crawl + re-crawl) + norm CTEs."""
+RAW_STREAM = "SELECT * FROM postings_raw UNION ALL SELECT * FROM postings_recrawl"
+
+
+def stream_with(*extra: str, stream: str = RAW_STREAM, synonyms=None) -> str:
+    """WITH prefix: fixture views + ``stream`` (base crawl + re-crawl) + norm + fact."""
     return (duck_with("postings_raw", "postings_recrawl", *extra).rstrip()
-            + ",\nstream AS (SELECT * FROM postings_raw UNION ALL SELECT * FROM postings_recrawl),"
-            + norm_cte("stream") + ",\n"
+            + f",\nstream AS ({stream}),"
+            + norm_cte("stream", "", synonyms) + ",\n"
             + fact_cte())
 
 
-def fact_cte() -> str:
-    """``fact``: first arrival per (company, title, deadline); NULL titles never collide."""
-    return """
-ranked AS (
+def fact_cte(px: str = "") -> str:
+    """``{px}fact``: first arrival per (company, title, deadline); NULL titles never collide."""
+    return f"""
+{px}ranked AS (
  SELECT *, row_number() OVER (PARTITION BY company_name, announcement_name, deadline,
    CASE WHEN announcement_name IS NULL THEN posting_id END ORDER BY batch_date, posting_id) AS rn
- FROM normr WHERE NOT rejected),
-fact AS (SELECT posting_id, company_name, announcement_name, experience, education, form, region_name,
-  subregion_name, annual_salary, deadline, link, created_at, batch_date, tags FROM ranked WHERE rn = 1)
+ FROM {px}normr WHERE NOT rejected),
+{px}fact AS (SELECT posting_id, company_name, announcement_name, experience, education, form, region_name,
+  subregion_name, annual_salary, deadline, link, created_at, batch_date, tags FROM {px}ranked WHERE rn = 1)
 """
 
 

@@ -217,3 +217,68 @@ hits AS (
     OR len(list_filter(vf.tags, lambda t: t ILIKE '%' || kw.keyword || '%')) > 0),
 sal AS (SELECT keyword, CAST(trunc(avg(annual_salary)) AS BIGINT) AS avg_salary FROM hits GROUP BY keyword)
 SELECT rank, name, count, avg_salary FROM rk LEFT JOIN sal ON sal.keyword = rk.name"""
+
+SQL["expire_postings"] = stream_with() + f"""
+SELECT DISTINCT posting_id, unnest(tags) AS tag FROM fact WHERE deadline >= {ASOF}"""
+
+from .base import RAW_STREAM, norm_cte, sanitize  # noqa: E402
+
+LEGACY_LOC = ("SELECT * REPLACE (CASE WHEN batch_date < DATE '1997-01-01' THEN NULL ELSE location_raw END "
+              "AS location_raw) FROM (" + RAW_STREAM + ")")
+
+BACKFILL = f""",
+rstream AS ({RAW_STREAM}),{norm_cte("rstream", "r_")},
+regions AS (SELECT DISTINCT region_name AS name FROM normr WHERE NOT rejected AND region_name IS NOT NULL),
+rr AS (SELECT {sanitize('company')} AS company_name, {sanitize('title')} AS announcement_name, deadline,
+  region_name AS new_region, subregion_name AS new_subregion, batch_date, posting_id
+  FROM r_normr WHERE deadline IS NOT NULL AND region_name IS NOT NULL AND region_name IN (SELECT name FROM regions)),
+lastr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_name, announcement_name, deadline
+  ORDER BY batch_date DESC, posting_id DESC) AS k FROM rr) WHERE k = 1),
+bf AS (SELECT f.posting_id, f.region_name AS old_region, f.subregion_name AS old_sub, l.new_region, l.new_subregion,
+  (l.new_region IS NOT NULL AND (f.region_name IS NULL OR f.subregion_name IS DISTINCT FROM l.new_subregion)) AS updated
+  FROM fact f LEFT JOIN lastr l ON f.company_name = l.company_name AND f.announcement_name = l.announcement_name
+  AND f.deadline = l.deadline),
+after AS (SELECT posting_id, CASE WHEN updated THEN new_region ELSE old_region END AS region_name,
+  CASE WHEN updated THEN new_subregion ELSE old_sub END AS subregion_name, updated FROM bf)
+"""
+
+SQL["region_backfill"] = stream_with(stream=LEGACY_LOC) + BACKFILL + """
+SELECT posting_id, region_name, subregion_name, updated FROM after"""
+
+SQL["fill_rate"] = stream_with(stream=LEGACY_LOC) + BACKFILL + """
+SELECT count(*) AS total, count(region_name) AS filled, round(count(region_name) * 100.0 / count(*), 1) AS fill_pct,
+ 'before' AS stage FROM fact
+UNION ALL
+SELECT count(*), count(region_name), round(count(region_name) * 100.0 / count(*), 1), 'after' FROM after"""
+
+SYN_VALUES = ("(VALUES (1,'JAVA','Java'),(2,'SPRING','Spring'),(3,'vue.js','Vue.js'),(4,'vuejs','Vue.js'),"
+              "(5,'Vue','Vue.js'),(6,'springboot','Spring Boot'),(7,'spring Framework개발','Spring'),"
+              "(8,'React 기반','React'),(9,'Backend','백엔드'),(10,'Front-end 개발','프론트엔드')) syn(ord, old, new)")
+
+SQL["tag_merge"] = stream_with(synonyms=[]) + f""",
+br AS (SELECT DISTINCT posting_id, unnest(tags) AS tag FROM fact)
+SELECT DISTINCT posting_id, coalesce(syn.new, br.tag) AS tag FROM br LEFT JOIN {SYN_VALUES} ON syn.old = br.tag"""
+
+SQL["tag_merge_report"] = stream_with(synonyms=[]) + f""",
+names AS (SELECT DISTINCT unnest(tags) AS name FROM fact),
+s AS (SELECT ord, old, new, old IN (SELECT name FROM names) AS op, new IN (SELECT name FROM names) AS np
+      FROM {SYN_VALUES}),
+x AS (SELECT s.*, coalesce((SELECT bool_or(e.op) FROM s e WHERE e.new = s.new AND e.ord < s.ord), false) AS ep FROM s)
+SELECT ord, old, new, CASE WHEN NOT op THEN 'skipped' WHEN np OR ep THEN 'merged' ELSE 'renamed' END AS action FROM x"""
+
+from hirelake.sources.fixtures import duck_with as _dw  # noqa: E402
+
+SQL["profile_upsert"] = _dw("profiles") + """,
+ch AS (SELECT user_id, region, form, max_experience, min_salary, 1 AS seq FROM profiles
+  UNION ALL SELECT user_id, NULL, form, max_experience, 3000, 2 FROM profiles WHERE form IS NULL)
+SELECT user_id, region, form, max_experience, min_salary FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS k FROM ch) WHERE k = 1"""
+
+SQL["subscription_cap"] = _dw("subscriptions") + """
+SELECT user_id, seq, keyword, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS position,
+ row_number() OVER (PARTITION BY user_id ORDER BY seq) <= 5 AS accepted FROM subscriptions"""
+
+SQL["subscription_delete"] = _dw("subscriptions") + """,
+st AS (SELECT user_id, seq, keyword, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS position
+  FROM subscriptions QUALIFY position <= 5)
+SELECT user_id, seq, keyword FROM st WHERE position NOT IN (2, 9)"""
