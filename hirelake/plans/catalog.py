@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import market as M
 from ..operators import normalize as N
+from ..operators import queryparse as QP
 from ..operators import quality as Q
 from ..operators import tables as S
 from ..operators import users as U
@@ -277,6 +278,32 @@ def q_subscription_delete(spark, sf_dir):
     return U.subscription_delete(subs, deletes).select("user_id", "seq", "keyword")
 
 
+def _vocab(df: DataFrame, col: str) -> list[str]:
+    """A vocabulary parameter read from a (small, dimension-sized) table, name order."""
+    return sorted(r[0] for r in df.select(col).distinct().collect() if r[0] is not None)
+
+
+def _parsed(t: Tables, job_words: bool = False) -> DataFrame:
+    regions = _vocab(t["region_vocab"], "name")
+    jobs = None
+    if job_words:
+        from ..functions import vocab as V
+        jobs = V.JOB_KEYWORDS + _vocab(t["keywords"], "keyword")
+    return QP.parse_queries(t["query_log"], AS_OF, regions=regions, job_keywords=jobs)
+
+
+PARSE_OUT = ["query_id", "keyword", "region", "form", "form_code", "max_experience", "min_annual_salary",
+             "company_name", "error"]
+
+
+def q_parse_queries(spark, sf_dir):
+    return _parsed(_tables(spark, sf_dir)).select(*PARSE_OUT, _d("min_deadline"))
+
+
+def q_parse_queries_jobwords(spark, sf_dir):
+    return _parsed(_tables(spark, sf_dir), job_words=True).select(*PARSE_OUT, _d("min_deadline"))
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -311,4 +338,6 @@ QUERIES = {
     "profile_upsert": q_profile_upsert,
     "subscription_cap": q_subscription_cap,
     "subscription_delete": q_subscription_delete,
+    "parse_queries": q_parse_queries,
+    "parse_queries_jobwords": q_parse_queries_jobwords,
 }

@@ -282,3 +282,19 @@ SQL["subscription_delete"] = _dw("subscriptions") + """,
 st AS (SELECT user_id, seq, keyword, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS position
   FROM subscriptions QUALIFY position <= 5)
 SELECT user_id, seq, keyword FROM st WHERE position NOT IN (2, 9)"""
+
+from hirelake.functions import vocab as _V  # noqa: E402
+
+from .parse import parse_ctes  # noqa: E402
+
+PARSE_OUT = ("query_id, keyword, region, form, form_code, max_experience, min_annual_salary, company_name, error, "
+             "CAST(min_deadline AS VARCHAR) AS min_deadline")
+
+SQL["parse_queries"] = _dw("query_log", "region_vocab") + "," + parse_ctes(
+    "query_log", "1998-06-15", "region_vocab") + f"SELECT {PARSE_OUT} FROM pq"
+
+SQL["parse_queries_jobwords"] = _dw("query_log", "region_vocab", "keywords") + "," + parse_ctes(
+    "query_log", "1998-06-15", "region_vocab") .replace(
+    "AND cand NOT IN (SELECT name FROM region_vocab)",
+    "AND cand NOT IN (SELECT name FROM region_vocab) AND cand NOT IN (SELECT keyword FROM keywords)") \
+    + f"SELECT {PARSE_OUT} FROM pq"
