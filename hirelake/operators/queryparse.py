@@ -59,10 +59,17 @@ def normalize_query(text) -> Column:
 
 
 def parse_queries(queries: DataFrame, as_of: str, regions=None, form_keywords=None,
-                  stopwords=None, job_keywords=None, text_col: str = "text") -> DataFrame:
+                  stopwords=None, job_keywords=None, text_col: str = "text",
+                  materialize: bool = True) -> DataFrame:
     """F2 on a table of queries; adds keyword, region, form, form_code, max_experience,
     min_annual_salary, min_deadline, company_name and ``error`` (a month that does
-    not exist; such a query cannot run)."""
+    not exist; such a query cannot run).
+
+    The stages nest ``rem`` expressions; a later filter on an output column would be
+    pushed through every stage and inline them all.  With ``materialize`` (default)
+    the parsed batch is checkpointed to the session's checkpoint folder, which cuts
+    the lineage (a query batch is small next to the postings it searches).
+    """
     regions = V.REGIONS if regions is None else regions
     form_keywords = V.FORM_KEYWORDS if form_keywords is None else form_keywords
     stopwords = V.STOPWORDS if stopwords is None else stopwords
@@ -129,5 +136,10 @@ def parse_queries(queries: DataFrame, as_of: str, regions=None, form_keywords=No
     toks = F.filter(F.split(T.strip(rem), T.WS_RUN), lambda t: (t != "") & ~F.array_contains(stop, t))
     df = df.withColumn("keyword", T.blank_to_null(F.array_join(toks, " ")))
     df = df.withColumn("form_code", T.parse_form(F.coalesce(F.col("form"), F.lit(""))))
-    return df.select(*cols, "keyword", "region", "form", "form_code", "max_experience",
-                     "min_annual_salary", "min_deadline", "company_name", "error")
+    out = df.select(*cols, "keyword", "region", "form", "form_code", "max_experience",
+                    "min_annual_salary", "min_deadline", "company_name", "error")
+    if materialize:
+        from ..session import checkpoint_dir
+        checkpoint_dir(out.sparkSession)
+        out = out.checkpoint(eager=True)
+    return out

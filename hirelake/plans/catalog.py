@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..operators import market as M
 from ..operators import normalize as N
+from ..operators import assist as A
 from ..operators import queryparse as QP
+from ..operators import search as SR
 from ..operators import quality as Q
 from ..operators import tables as S
 from ..operators import users as U
@@ -304,6 +306,100 @@ def q_parse_queries_jobwords(spark, sf_dir):
     return _parsed(_tables(spark, sf_dir), job_words=True).select(*PARSE_OUT, _d("min_deadline"))
 
 
+def _search_queries(t: Tables) -> DataFrame:
+    """Parsed fixture queries that can run (a month that does not exist cannot)."""
+    return _parsed(t).where(~F.col("error"))
+
+
+def _thesaurus(t: Tables) -> DataFrame:
+    return A.cooccurrence_thesaurus(t["part"].select(F.col("p_name").alias("text")))
+
+
+def _expansions(t: Tables, queries: DataFrame) -> DataFrame:
+    exp = A.thesaurus_expansions(queries.select("keyword"), _thesaurus(t))
+    return queries.select("query_id", "keyword").join(exp, "keyword").select("query_id", "expanded")
+
+
+def q_search_and(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return SR.search(_search_queries(t), _wh(t).fact, AS_OF, 5, use_tags=True, fallback=False)
+
+
+def q_search_fallback(spark, sf_dir):
+    """limit 2 < 3: every multi-token query below the threshold falls back to OR."""
+    t = _tables(spark, sf_dir)
+    return SR.search(_search_queries(t), _wh(t).fact, AS_OF, 2, use_tags=True, fallback=True)
+
+
+def q_search_name_only(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return SR.search(_search_queries(t), _wh(t).fact, AS_OF, 10, use_tags=False, fallback=True)
+
+
+def q_search_expanded(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    q = _search_queries(t)
+    eq = q.join(_expansions(t, q), "query_id")
+    return SR.search_expanded(eq, _wh(t).fact, AS_OF, 10)
+
+
+def q_search_baseline(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return SR.search(_search_queries(t), _wh(t).fact, AS_OF, 5).select("query_id", "rank", "posting_id")
+
+
+def q_search_adaptive(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    q = _search_queries(t)
+    return SR.search_adaptive(q, _wh(t).fact, AS_OF, 5, expansions=_expansions(t, q)).select(
+        "query_id", "rank", "posting_id")
+
+
+def q_ab_compare(spark, sf_dir):
+    a = q_search_baseline(spark, sf_dir).withColumnRenamed("rank", "rank_a")
+    b = q_search_adaptive(spark, sf_dir).withColumnRenamed("rank", "rank_b")
+    return a.join(b, ["query_id", "posting_id"], "full_outer").select("query_id", "posting_id", "rank_a", "rank_b")
+
+
+def q_expand_keywords(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    exp = A.thesaurus_expansions(_search_queries(t).select("keyword"), _thesaurus(t))
+    return exp.select("keyword", F.array_join(F.sort_array("expanded"), "|").alias("expanded"))
+
+
+def q_list_valid(spark, sf_dir):
+    return SR.list_valid(_wh(_tables(spark, sf_dir)).fact, AS_OF, 100, order_desc=True).select(
+        "posting_id", "company_name", "announcement_name")
+
+
+def q_lookup_ids(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    ids = t["orders"].where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").alias("posting_id"))
+    return SR.lookup_ids(_wh(t).fact, ids).select("posting_id", "announcement_name", _d("deadline"))
+
+
+def q_text_match(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return M.keyword_hits(_wh(t).fact, t["keywords"].withColumn("kid", F.col("keyword")), method="scan") \
+        .select(F.col("kid").alias("keyword"), "posting_id")
+
+
+def q_ngram_search(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return M.keyword_hits(_wh(t).fact, t["keywords"].withColumn("kid", F.col("keyword")), method="ngram") \
+        .select(F.col("kid").alias("keyword"), "posting_id")
+
+
+def q_postings_denorm(spark, sf_dir):
+    w = _wh(_tables(spark, sf_dir))
+    d = SR.postings_denorm(w.fact, w.bridge)
+    return d.select("posting_id", "company_name", "region_name", _tags_text())
+
+
+def q_region_names(spark, sf_dir):
+    return SR.region_names(_wh(_tables(spark, sf_dir)).fact)
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -340,4 +436,18 @@ QUERIES = {
     "subscription_delete": q_subscription_delete,
     "parse_queries": q_parse_queries,
     "parse_queries_jobwords": q_parse_queries_jobwords,
+    "search_and": q_search_and,
+    "search_fallback": q_search_fallback,
+    "search_name_only": q_search_name_only,
+    "search_expanded": q_search_expanded,
+    "search_baseline": q_search_baseline,
+    "search_adaptive": q_search_adaptive,
+    "ab_compare": q_ab_compare,
+    "expand_keywords": q_expand_keywords,
+    "list_valid": q_list_valid,
+    "lookup_ids": q_lookup_ids,
+    "text_match": q_text_match,
+    "ngram_search": q_ngram_search,
+    "postings_denorm": q_postings_denorm,
+    "region_names": q_region_names,
 }

@@ -298,3 +298,72 @@ SQL["parse_queries_jobwords"] = _dw("query_log", "region_vocab", "keywords") + "
     "AND cand NOT IN (SELECT name FROM region_vocab)",
     "AND cand NOT IN (SELECT name FROM region_vocab) AND cand NOT IN (SELECT keyword FROM keywords)") \
     + f"SELECT {PARSE_OUT} FROM pq"
+
+from .search import expanded_ctes, search_ctes, text_hit, thesaurus_ctes  # noqa: E402
+
+PQ = ("," + parse_ctes("query_log", "1998-06-15", "region_vocab")
+      + ",\nsq AS (SELECT * FROM pq WHERE NOT error)")
+SEARCH_PREFIX = stream_with("query_log", "region_vocab") + PQ
+THES = thesaurus_ctes("SELECT p_name AS text FROM part", "sq")
+EXPQ = ",\neq AS (SELECT sq.*, exp.expanded FROM sq JOIN exp USING (keyword))"
+
+SQL["search_and"] = SEARCH_PREFIX + search_ctes("a_", "sq", 5, True, False) + "SELECT * FROM a_res"
+SQL["search_fallback"] = SEARCH_PREFIX + search_ctes("a_", "sq", 2, True, True) + "SELECT * FROM a_res"
+SQL["search_name_only"] = SEARCH_PREFIX + search_ctes("a_", "sq", 10, False, True) + "SELECT * FROM a_res"
+SQL["search_expanded"] = SEARCH_PREFIX + THES + EXPQ + expanded_ctes("e_", "eq", 10) + "SELECT * FROM e_res"
+SQL["search_baseline"] = (SEARCH_PREFIX + search_ctes("a_", "sq", 5, True, True)
+                          + "SELECT query_id, rank, posting_id FROM a_res")
+
+from .base import WS as WS_  # noqa: E402
+from .base import strip as _strip  # noqa: E402
+
+strip_kw = _strip("sq.keyword")
+
+ADAPTIVE = (SEARCH_PREFIX + THES + search_ctes("f_", "sq", 50, True, True) + """,
+need AS (SELECT query_id FROM sq WHERE keyword IS NOT NULL
+  AND query_id NOT IN (SELECT query_id FROM f_res GROUP BY query_id HAVING count(*) >= 3)),
+eq AS (SELECT sq.*, coalesce(exp.expanded, [sq.keyword]) AS expanded FROM sq LEFT JOIN exp USING (keyword)
+  WHERE query_id IN (SELECT query_id FROM need))""" + expanded_ctes("x_", "eq", 50) + """,
+pool AS (SELECT query_id, rank, posting_id FROM f_res WHERE query_id NOT IN (SELECT query_id FROM need)
+  UNION ALL SELECT query_id, rank, posting_id FROM x_res),
+rrq AS (SELECT query_id FROM pool WHERE query_id IN (SELECT query_id FROM sq WHERE keyword IS NOT NULL)
+  GROUP BY query_id HAVING count(*) > 1),
+sc AS (SELECT p.query_id, p.rank, p.posting_id, list_filter(string_split_regex(lower(""" + strip_kw + """), '""" + WS_ + """+'),
+  lambda t: t <> '') AS toks, lower(concat_ws(' ', f.announcement_name, array_to_string(f.tags, ' '))) AS txt
+  FROM pool p JOIN sq USING (query_id) JOIN fact f USING (posting_id) WHERE p.query_id IN (SELECT query_id FROM rrq)),
+sc2 AS (SELECT query_id, rank, posting_id, CASE WHEN len(toks) > 0 THEN
+  len(list_filter(toks, lambda t: strpos(txt, t) > 0)) * 10.0 / len(toks) ELSE 5.0 END AS score FROM sc),
+rr AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank, posting_id FROM sc2),
+fin AS (SELECT query_id, rank, posting_id FROM pool WHERE query_id NOT IN (SELECT query_id FROM rrq)
+  UNION ALL SELECT query_id, rank, posting_id FROM rr)
+""")
+
+SQL["search_adaptive"] = ADAPTIVE + "SELECT query_id, rank, posting_id FROM fin WHERE rank <= 5"
+
+SQL["ab_compare"] = ADAPTIVE + """,
+ab AS (SELECT query_id, rank, posting_id FROM fin WHERE rank <= 5)""" + search_ctes("a_", "sq", 5, True, True) + """
+SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.posting_id, b.posting_id) AS posting_id,
+ a.rank AS rank_a, b.rank AS rank_b
+FROM (SELECT query_id, rank, posting_id FROM a_res) a FULL OUTER JOIN ab b ON a.query_id = b.query_id AND a.posting_id = b.posting_id"""
+
+SQL["expand_keywords"] = SEARCH_PREFIX + THES + """
+SELECT keyword, array_to_string(list_sort(expanded), '|') AS expanded FROM exp"""
+
+SQL["list_valid"] = stream_with() + f"""
+SELECT posting_id, company_name, announcement_name FROM fact WHERE deadline >= {ASOF} ORDER BY posting_id DESC LIMIT 100"""
+
+SQL["lookup_ids"] = stream_with() + """
+SELECT posting_id, announcement_name, CAST(deadline AS VARCHAR) AS deadline FROM fact
+WHERE posting_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
+
+SQL["text_match"] = stream_with("keywords") + f"""
+SELECT DISTINCT k.keyword, f.posting_id FROM keywords k JOIN fact f ON {text_hit('k.keyword', 'f', True)}"""
+
+SQL["ngram_search"] = SQL["text_match"]
+
+SQL["postings_denorm"] = stream_with() + """
+SELECT posting_id, company_name, region_name, array_to_string(list_sort(list_distinct(tags)), '|') AS tags FROM fact"""
+
+SQL["region_names"] = stream_with() + """
+SELECT DISTINCT region_name AS region, subregion_name AS subregion, region_name || ' ' || subregion_name AS full_region_name
+FROM fact WHERE subregion_name IS NOT NULL AND region_name IS NOT NULL"""
