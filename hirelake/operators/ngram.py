@@ -48,9 +48,10 @@ def gram_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _required_grams(pattern_lower: Column) -> Column:
+def _required_grams(pattern_lower: Column, literal: bool = False) -> Column:
     """Grams every match must contain: unigram of 1-char pieces, bigrams of longer ones."""
-    pieces = F.filter(F.split(pattern_lower, WILDCARDS), lambda p: F.length(p) > 0)
+    pieces = F.array(pattern_lower) if literal else F.split(pattern_lower, WILDCARDS)
+    pieces = F.filter(pieces, lambda p: F.length(p) > 0)
 
     def piece_grams(p):
         n = F.length(p)
@@ -60,32 +61,35 @@ def _required_grams(pattern_lower: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(pieces, piece_grams)))
 
 
-def verify(text: Column, pattern: Column) -> Column:
-    """Exact predicate: case-insensitive substring with user wildcards."""
+def verify(text: Column, pattern: Column, literal: bool = False) -> Column:
+    """Exact predicate: case-insensitive substring, with user wildcards unless literal."""
     lt, lp = F.lower(text), F.lower(pattern)
+    if literal:
+        return F.instr(lt, lp) > 0
     like = F.like(lt, F.concat(F.lit("%"), lp, F.lit("%")))
     return F.when(lp.rlike(WILDCARDS + r"|\\"), like).otherwise(F.instr(lt, lp) > 0)
 
 
 def scan_pairs(patterns: DataFrame, texts: DataFrame, pid: str = "pid", pattern: str = "pattern",
-               tid: str = "tid", text: str = "text") -> DataFrame:
+               tid: str = "tid", text: str = "text", literal: bool = False) -> DataFrame:
     """Broadcast nested-loop strategy; the caller guarantees the pattern table is small."""
     p = F.broadcast(patterns.select(F.col(pid).alias("_pid"), F.col(pattern).alias("_pat")))
     t = texts.select(F.col(tid).alias("_tid"), F.col(text).alias("_txt"))
-    return (t.join(p, verify(F.col("_txt"), F.col("_pat")), "inner")
+    return (t.join(p, verify(F.col("_txt"), F.col("_pat"), literal), "inner")
             .select(F.col("_pid").alias(pid), F.col("_tid").alias(tid)))
 
 
 def ngram_pairs(patterns: DataFrame, texts: DataFrame, index: DataFrame | None = None,
                 stats: DataFrame | None = None, pid: str = "pid", pattern: str = "pattern",
-                tid: str = "tid", text: str = "text", salt: int = DEFAULT_SALT) -> DataFrame:
+                tid: str = "tid", text: str = "text", salt: int = DEFAULT_SALT,
+                literal: bool = False) -> DataFrame:
     """Index strategy (exact).  ``index``/``stats`` may be prebuilt and stored."""
     if index is None:
         index = gram_index(texts, tid, text)
     if stats is None:
         stats = gram_stats(index)
     p = patterns.select(F.col(pid).alias("_pid"), F.col(pattern).alias("_pat"))
-    req = p.select("_pid", "_pat", F.explode(_required_grams(F.lower(F.col("_pat")))).alias("gram"))
+    req = p.select("_pid", "_pat", F.explode(_required_grams(F.lower(F.col("_pat")), literal)).alias("gram"))
     # rarest required gram per pattern; a gram absent from the index means no match
     best = (req.join(stats, "gram", "left")
             .groupBy("_pid", "_pat")
@@ -99,14 +103,14 @@ def ngram_pairs(patterns: DataFrame, texts: DataFrame, index: DataFrame | None =
     best_s = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     cand = best_s.join(idx, ["gram", "_salt"]).select("_pid", "_pat", F.col("tid").alias("_tid"))
     t = texts.select(F.col(tid).alias("_tid"), F.col(text).alias("_txt"))
-    pairs = (cand.join(t, "_tid").where(verify(F.col("_txt"), F.col("_pat")))
+    pairs = (cand.join(t, "_tid").where(verify(F.col("_txt"), F.col("_pat"), literal))
              .select(F.col("_pid").alias(pid), F.col("_tid").alias(tid)))
     # patterns with no literal character (only wildcards) match by length alone
-    wild = p.where(F.size(_required_grams(F.lower(F.col("_pat")))) == 0)
+    wild = p.where(F.size(_required_grams(F.lower(F.col("_pat")), literal)) == 0)
     if wild.limit(1).count() == 0:
         return pairs
     return pairs.unionByName(scan_pairs(wild.withColumnRenamed("_pid", pid).withColumnRenamed("_pat", pattern),
-                                        texts, pid, pattern, tid, text))
+                                        texts, pid, pattern, tid, text, literal))
 
 
 def substring_pairs(patterns: DataFrame, texts: DataFrame, method: str = "auto", **kw) -> DataFrame:
@@ -115,6 +119,6 @@ def substring_pairs(patterns: DataFrame, texts: DataFrame, method: str = "auto",
         n = patterns.limit(SCAN_MAX_PATTERNS + 1).count()
         method = "scan" if n <= SCAN_MAX_PATTERNS else "ngram"
     if method == "scan":
-        keep = {k: v for k, v in kw.items() if k in ("pid", "pattern", "tid", "text")}
+        keep = {k: v for k, v in kw.items() if k in ("pid", "pattern", "tid", "text", "literal")}
         return scan_pairs(patterns, texts, **keep)
     return ngram_pairs(patterns, texts, **kw)

@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from ..operators import market as M
 from ..operators import normalize as N
+from ..operators import alerts as AL
 from ..operators import assist as A
 from ..operators import queryparse as QP
 from ..operators import search as SR
 from ..operators import quality as Q
 from ..operators import tables as S
 from ..operators import users as U
-from ..sources.fixtures import AS_OF, Tables
+from ..sources.fixtures import AS_OF, AS_OF_TS, Tables
 from . import warehouse as W
 
 SPLIT_DATE = "1997-01-01"   # two-batch incremental runs: before / from this date
@@ -400,6 +401,66 @@ def q_region_names(spark, sf_dir):
     return SR.region_names(_wh(_tables(spark, sf_dir)).fact)
 
 
+ALERT_HOURS = 24 * 30          # alert window of the fixture runs
+PREVIOUS_RUN_TS = "1998-06-05 12:00:00"   # an earlier run that already notified users
+
+
+def _alert_inputs(t: Tables):
+    fact = _wh(t).fact
+    subs = _stored_subscriptions(t)
+    exp = A.thesaurus_expansions(subs.select("keyword"), _thesaurus(t))
+    return fact, subs, t["profiles"], exp
+
+
+def _expanded_matches(t: Tables, as_of_ts: str, until: str | None = None):
+    fact, subs, prof, exp = _alert_inputs(t)
+    return AL.match_subscriptions(AL.new_postings(fact, as_of_ts, ALERT_HOURS, until), subs, prof, exp)
+
+
+def _previous_log(t: Tables) -> DataFrame:
+    """The log left by a run at PREVIOUS_RUN_TS (it saw postings created before it)."""
+    return AL.user_matches(_expanded_matches(t, PREVIOUS_RUN_TS, PREVIOUS_RUN_TS)).select("user_id", "posting_id")
+
+
+def _pending(t: Tables) -> DataFrame:
+    return AL.alerts_pending(AL.user_matches(_expanded_matches(t, AS_OF_TS)), _previous_log(t))
+
+
+def q_new_postings(spark, sf_dir):
+    return AL.new_postings(_wh(_tables(spark, sf_dir)).fact, AS_OF_TS, ALERT_HOURS).select(
+        "posting_id", "announcement_name")
+
+
+def q_match_subscriptions(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    fact, subs, prof, _ = _alert_inputs(t)
+    return AL.match_subscriptions(AL.new_postings(fact, AS_OF_TS, ALERT_HOURS), subs, prof).select(
+        "user_id", "seq", "posting_id")
+
+
+def q_match_expanded(spark, sf_dir):
+    return _expanded_matches(_tables(spark, sf_dir), AS_OF_TS).select("user_id", "seq", "posting_id")
+
+
+def q_user_matches(spark, sf_dir):
+    return AL.user_matches(_expanded_matches(_tables(spark, sf_dir), AS_OF_TS))
+
+
+def q_alerts_pending(spark, sf_dir):
+    return _pending(_tables(spark, sf_dir)).select("user_id", "posting_id", "seq")
+
+
+def q_alert_log(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return AL.alert_log(_previous_log(t), _pending(t))
+
+
+def q_alert_digest(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    fact, subs, _, _ = _alert_inputs(t)
+    return AL.alert_digest(_pending(t), subs, fact)
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -450,4 +511,11 @@ QUERIES = {
     "ngram_search": q_ngram_search,
     "postings_denorm": q_postings_denorm,
     "region_names": q_region_names,
+    "new_postings": q_new_postings,
+    "match_subscriptions": q_match_subscriptions,
+    "match_expanded": q_match_expanded,
+    "user_matches": q_user_matches,
+    "alerts_pending": q_alerts_pending,
+    "alert_log": q_alert_log,
+    "alert_digest": q_alert_digest,
 }

@@ -367,3 +367,69 @@ SELECT posting_id, company_name, region_name, array_to_string(list_sort(list_dis
 SQL["region_names"] = stream_with() + """
 SELECT DISTINCT region_name AS region, subregion_name AS subregion, region_name || ' ' || subregion_name AS full_region_name
 FROM fact WHERE subregion_name IS NOT NULL AND region_name IS NOT NULL"""
+
+
+def _alert_ctes(ts: str, px: str, bounded: bool = False) -> str:
+    upper = f" AND CAST(created_at AS TIMESTAMP) < TIMESTAMP '{ts}'" if bounded else ""
+    return f""",
+{px}np AS (SELECT * FROM fact WHERE CAST(created_at AS TIMESTAMP) >= TIMESTAMP '{ts}' - INTERVAL 720 HOUR{upper}),
+{px}npt AS (SELECT posting_id, lower(concat_ws(' ', coalesce(announcement_name, ''), array_to_string(tags, ' '))) AS txt,
+  region_name, form, experience, annual_salary FROM {px}np),
+{px}kx AS (SELECT DISTINCT st.keyword, exp.expanded FROM st JOIN exp USING (keyword)),
+{px}km AS (SELECT kx.keyword, n.posting_id FROM {px}kx kx JOIN {px}npt n
+  ON len(list_filter(kx.expanded, lambda t: strpos(n.txt, lower(t)) > 0)) > 0),
+{px}mm AS (SELECT st.user_id, st.seq, km.posting_id FROM st JOIN {px}km km USING (keyword)
+  UNION ALL SELECT st.user_id, st.seq, n.posting_id FROM st, {px}npt n WHERE st.keyword IS NULL OR {strip_kw2} = ''),
+{px}ok AS (SELECT m.user_id, m.seq, m.posting_id FROM {px}mm m JOIN {px}npt n USING (posting_id)
+  LEFT JOIN profiles p USING (user_id) WHERE {PROFILE_OK}),
+{px}um AS (SELECT user_id, posting_id, min(seq) AS seq FROM {px}ok GROUP BY ALL)
+"""
+
+
+from .base import strip as _strip2  # noqa: E402
+
+strip_kw2 = _strip2("st.keyword")
+PROFILE_OK = """(p.region IS NULL OR p.region = '' OR n.region_name IS NULL OR n.region_name = ''
+   OR strpos(n.region_name, p.region) > 0)
+  AND (p.form IS NULL OR coalesce(n.form = p.form, false))
+  AND (p.max_experience IS NULL OR n.experience IS NULL OR n.experience <= p.max_experience)
+  AND (p.min_salary IS NULL OR n.annual_salary IS NULL OR n.annual_salary >= p.min_salary)"""
+
+ALERT_PREFIX = (stream_with("subscriptions", "profiles") + """,
+st AS (SELECT user_id, seq, keyword FROM subscriptions
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) <= 5)"""
+                + thesaurus_ctes("SELECT p_name AS text FROM part", "st"))
+ALERTS = ALERT_PREFIX + _alert_ctes("1998-06-15 12:00:00", "c_") + _alert_ctes("1998-06-05 12:00:00", "o_", True) + """,
+pend AS (SELECT * FROM c_um WHERE (user_id, posting_id) NOT IN (SELECT (user_id, posting_id) FROM o_um))
+"""
+
+SQL["new_postings"] = stream_with() + """
+SELECT posting_id, announcement_name FROM fact
+WHERE CAST(created_at AS TIMESTAMP) >= TIMESTAMP '1998-06-15 12:00:00' - INTERVAL 720 HOUR"""
+
+SQL["match_subscriptions"] = ALERT_PREFIX + _alert_ctes("1998-06-15 12:00:00", "c_") + f""",
+kt AS (SELECT keyword, list_filter(string_split_regex({_strip2('keyword')}, '{WS_}+'), lambda t: t <> '') AS toks
+  FROM (SELECT DISTINCT keyword FROM st WHERE keyword IS NOT NULL AND {_strip2('keyword')} <> '')),
+akm AS (SELECT kt.keyword, n.posting_id FROM kt JOIN c_npt n
+  ON len(list_filter(kt.toks, lambda t: strpos(n.txt, lower(t)) > 0)) = len(kt.toks)),
+amm AS (SELECT st.user_id, st.seq, akm.posting_id FROM st JOIN akm USING (keyword)
+  UNION ALL SELECT st.user_id, st.seq, n.posting_id FROM st, c_npt n WHERE st.keyword IS NULL OR {strip_kw2} = '')
+SELECT m.user_id, m.seq, m.posting_id FROM amm m JOIN c_npt n USING (posting_id) LEFT JOIN profiles p USING (user_id)
+WHERE {PROFILE_OK}"""
+
+SQL["match_expanded"] = ALERTS + "SELECT user_id, seq, posting_id FROM c_ok"
+SQL["user_matches"] = ALERTS + "SELECT user_id, posting_id, seq FROM c_um"
+SQL["alerts_pending"] = ALERTS + "SELECT user_id, posting_id, seq FROM pend"
+SQL["alert_log"] = ALERTS + """
+SELECT DISTINCT user_id, posting_id FROM (SELECT user_id, posting_id FROM o_um UNION ALL SELECT user_id, posting_id FROM pend)"""
+SQL["alert_digest"] = ALERTS + f""",
+fk AS (SELECT user_id, arg_min(keyword, seq) AS keyword FROM st GROUP BY user_id),
+r0 AS (SELECT user_id, posting_id, row_number() OVER (PARTITION BY user_id ORDER BY seq, posting_id) AS rank FROM pend),
+ft AS (SELECT posting_id, lower(concat_ws(' ', coalesce(announcement_name, ''), array_to_string(tags, ' '))) AS txt FROM fact),
+sc AS (SELECT r0.*, list_filter(string_split_regex(lower({_strip2('fk.keyword')}), '{WS_}+'), lambda t: t <> '') AS toks, ft.txt
+  FROM r0 LEFT JOIN fk USING (user_id) JOIN ft USING (posting_id)),
+sc2 AS (SELECT user_id, posting_id, rank, CASE WHEN len(coalesce(toks, [])) > 0
+  THEN len(list_filter(toks, lambda t: strpos(txt, t) > 0)) * 10.0 / len(toks) ELSE 5.0 END AS score FROM sc)
+SELECT user_id, rank, posting_id FROM (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, rank) AS rnk, posting_id FROM sc2)
+  x(user_id, rank, posting_id) WHERE rank <= 10"""
