@@ -219,8 +219,12 @@ def search_adaptive(queries: DataFrame, fact: DataFrame, as_of: str, limit: int
     ``expansions`` is (query_id, expanded array); ``scorer(results, fact, queries)``
     returns (query_id, posting_id, score), the lexical scorer by default.
     """
+    from ..session import checkpoint_dir
+    checkpoint_dir(queries.sparkSession)
     pool = max(limit * V.ADAPTIVE_POOL_FACTOR, V.ADAPTIVE_POOL_MIN)
-    first = search(queries, fact, as_of, pool, True, True, method)
+    # per-query pools are bounded (pool x queries rows); each is referenced by several
+    # branches below, so it is checkpointed once instead of being recomputed per branch
+    first = search(queries, fact, as_of, pool, True, True, method).checkpoint(eager=True)
     n1 = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     need = (queries.where(F.col("keyword").isNotNull()).select("query_id")
             .join(n1, "query_id", "left").where(F.coalesce(F.col("_n"), F.lit(0)) < V.ADAPTIVE_THRESHOLD)
@@ -233,7 +237,7 @@ def search_adaptive(queries: DataFrame, fact: DataFrame, as_of: str, limit: int
     else:
         eq = eq.withColumn("expanded", F.lit(None).cast("array<string>"))
     eq = eq.withColumn("expanded", F.coalesce("expanded", F.array("keyword")))
-    out = out.unionByName(search_expanded(eq, fact, as_of, pool, method))
+    out = out.unionByName(search_expanded(eq, fact, as_of, pool, method)).checkpoint(eager=True)
     scorer = scorer or lexical_scores
     with_kw = queries.where(F.col("keyword").isNotNull()).select("query_id")
     cnt = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("_c"))

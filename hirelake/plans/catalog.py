@@ -32,8 +32,22 @@ def _tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
 
 
+_STORED: dict = {}
+
+
 def _wh(t: Tables) -> W.Warehouse:
-    return W.build(t.postings_stream())
+    """The fixture warehouse: ingested once per session and scale factor, written as
+    parquet below the session's checkpoint folder, then read by every query."""
+    import hashlib
+    import uuid
+
+    from ..session import checkpoint_dir
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _STORED:
+        tag = hashlib.sha1(t.sf_dir.encode()).hexdigest()[:10]
+        path = f"{checkpoint_dir(t.spark).rstrip('/')}/warehouse-{tag}-{uuid.uuid4().hex[:8]}"
+        _STORED[key] = W.build_stored(t.postings_stream(), path)
+    return _STORED[key]
 
 
 def _d(c: str):

@@ -52,3 +52,43 @@ def build(raw: DataFrame, today: str | None = None, existing: Warehouse | None =
     if existing:
         quality = existing.quality.unionByName(quality)
     return Warehouse(norm, fact, N.rejected(norm), quality, companies, regions, tags, bridge)
+
+
+STORED = ["fact", "bridge", "quality", "companies", "regions", "tags"]
+
+
+def build_stored(raw: DataFrame, path: str, today: str | None = None, batch_id=None,
+                 synonyms=None) -> Warehouse:
+    """``build`` + ``store``, with the parsed rows written first so that every output
+    table reads them instead of re-parsing the raw text."""
+    spark = raw.sparkSession
+    N.normalize_postings(raw, today, synonyms).write.mode("overwrite").parquet(f"{path}/norm")
+    norm = spark.read.parquet(f"{path}/norm")
+    ok = N.accepted(norm)
+    fact = S.first_wins_dedup(ok)
+    fact = fact.select(*[c for c in S.FACT_COLUMNS if c in fact.columns])
+    fact.write.mode("overwrite").parquet(f"{path}/fact")
+    fact = spark.read.parquet(f"{path}/fact")
+    bridge = S.posting_tags(fact)
+    w = Warehouse(norm, fact, N.rejected(norm), N.quality_events(norm, batch_id),
+                  S.dim_upsert(ok.select(F.col("company_name").alias("name"))),
+                  S.dim_upsert(ok.select(F.col("region_name").alias("name"))),
+                  S.dim_upsert(bridge.select(F.col("tag").alias("name"))), bridge)
+    return store(w, path, skip=("fact",))
+
+
+def store(w: Warehouse, path: str, skip=()) -> Warehouse:
+    """Write the warehouse tables as parquet under ``path`` and read them back.
+
+    ``path`` must be shared storage (e.g. below ``spark.checkpoint.dir``): the
+    written tables cut the lineage, so later jobs neither recompute the ingest nor
+    depend on executors that may be gone.
+    """
+    spark = w.fact.sparkSession
+    out = {}
+    for name in STORED:
+        if name not in skip:
+            getattr(w, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        out[name] = spark.read.parquet(f"{path}/{name}")
+    return Warehouse(w.norm, out["fact"], w.rejects, out["quality"], out["companies"], out["regions"],
+                     out["tags"], out["bridge"])
