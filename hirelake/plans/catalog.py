@@ -17,6 +17,7 @@ from ..operators import market as M
 from ..operators import normalize as N
 from ..operators import alerts as AL
 from ..operators import assist as A
+from ..operators import evaluate as E
 from ..operators import queryparse as QP
 from ..operators import search as SR
 from ..operators import quality as Q
@@ -475,6 +476,89 @@ def q_alert_digest(spark, sf_dir):
     return AL.alert_digest(_pending(t), subs, fact)
 
 
+EVAL_MODES = ["A", "N", "R"]
+
+
+def _r9(c: str):
+    return F.round(F.col(c), 9).alias(c)
+
+
+def q_ndcg(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return E.per_query(t["runs"], t["judgments"], 10).select("query_id", "mode", _r9("ndcg"))
+
+
+def q_precision_at_k(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return E.per_query(t["runs"], t["judgments"], 10).select("query_id", "mode", _r9("precision"))
+
+
+def q_hit_at_k(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return E.per_query(t["runs"], t["judgments"], 5).select("query_id", "mode", _r9("hit"))
+
+
+def q_eval_summary(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    s = E.summary(t["runs"], t["judgments"])
+    return s.select("mode", *[_r9(c) for c in s.columns if c != "mode"])
+
+
+def _types(t: Tables) -> DataFrame:
+    return t["orders"].select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("qtype"))
+
+
+def q_eval_by_type(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    r = E.by_type(t["runs"], t["judgments"], _types(t), 10, baseline_mode="N")
+    return r.select("qtype", "mode", _r9("ndcg"), _r9("delta"))
+
+
+def q_eval_detail(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return E.detail(t["runs"], t["judgments"], EVAL_MODES).select("query_id", *[_r9(m) for m in EVAL_MODES])
+
+
+def q_pool_candidates(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return E.pool_candidates(t["runs"], EVAL_MODES, 10)
+
+
+def q_judgment_dist(spark, sf_dir):
+    return E.judgment_dist(_tables(spark, sf_dir)["judgments"])
+
+
+def q_judgment_checks(spark, sf_dir):
+    return E.judgment_checks(_tables(spark, sf_dir)["judgments"])
+
+
+def q_quality_gate(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return E.quality_gate(t["runs"], t["judgments"], 5).select("query_id", "mode", _r9("mean_rel"), "hits", "passed")
+
+
+def _targets(t: Tables) -> DataFrame:
+    """The known item of each query: the part on the order's first line."""
+    return t["lineitem"].where(F.col("l_linenumber") == 1).select(
+        F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"))
+
+
+def q_known_item_eval(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return E.known_item(t["runs"], _targets(t))
+
+
+def q_stratified_sample(spark, sf_dir):
+    fact = _wh(_tables(spark, sf_dir)).fact.withColumn("_s", F.col("annual_salary").isNotNull())
+    return E.stratified_sample(fact, "posting_id", "_s", 100).select("posting_id", F.col("_s").alias("with_salary"))
+
+
+def q_filter_regression(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    cols = ["query_id", "keyword", "region", "form", "max_experience", "min_annual_salary", "company_name"]
+    return E.filter_regression(_parsed(t).select(*cols), _parsed(t, job_words=True).select(*cols))
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -532,4 +616,17 @@ QUERIES = {
     "alerts_pending": q_alerts_pending,
     "alert_log": q_alert_log,
     "alert_digest": q_alert_digest,
+    "ndcg": q_ndcg,
+    "precision_at_k": q_precision_at_k,
+    "hit_at_k": q_hit_at_k,
+    "eval_summary": q_eval_summary,
+    "eval_by_type": q_eval_by_type,
+    "eval_detail": q_eval_detail,
+    "pool_candidates": q_pool_candidates,
+    "judgment_dist": q_judgment_dist,
+    "judgment_checks": q_judgment_checks,
+    "quality_gate": q_quality_gate,
+    "known_item_eval": q_known_item_eval,
+    "stratified_sample": q_stratified_sample,
+    "filter_regression": q_filter_regression,
 }

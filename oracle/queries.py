@@ -433,3 +433,80 @@ sc2 AS (SELECT user_id, posting_id, rank, CASE WHEN len(coalesce(toks, [])) > 0
 SELECT user_id, rank, posting_id FROM (
   SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, rank) AS rnk, posting_id FROM sc2)
   x(user_id, rank, posting_id) WHERE rank <= 10"""
+
+
+def _per_query(k: int) -> str:
+    return f""",
+tp AS (SELECT r.query_id, r.mode, r.rank, coalesce(j.rel, 0) AS rel FROM runs r LEFT JOIN judgments j
+  ON r.query_id = j.query_id AND r.doc_id = j.doc_id WHERE r.rank <= {k}),
+ag AS (SELECT query_id, mode, sum(rel / log2(rank + 1)) AS dcg, sum(CASE WHEN rel >= 1 THEN 1 ELSE 0 END) AS p,
+  max(CASE WHEN rel >= 2 THEN 1 ELSE 0 END) AS hit FROM tp GROUP BY ALL),
+idl AS (SELECT query_id, sum(rel / log2(r + 1)) AS idcg FROM (SELECT query_id, rel,
+  row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS r FROM judgments) WHERE r <= {k} GROUP BY ALL),
+pq AS (SELECT ag.query_id, ag.mode, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END AS ndcg, p / {float(k)} AS precision,
+  CAST(hit AS DOUBLE) AS hit FROM ag JOIN idl USING (query_id))
+"""
+
+
+EV = _dw("runs", "judgments")
+SQL["ndcg"] = EV + _per_query(10) + "SELECT query_id, mode, round(ndcg, 9) AS ndcg FROM pq"
+SQL["precision_at_k"] = EV + _per_query(10) + "SELECT query_id, mode, round(precision, 9) AS precision FROM pq"
+SQL["hit_at_k"] = EV + _per_query(5) + "SELECT query_id, mode, round(hit, 9) AS hit FROM pq"
+SQL["eval_summary"] = EV + _per_query(5).replace("tp AS", "tp5 AS").replace("FROM tp ", "FROM tp5 ").replace(
+    "ag AS", "ag5 AS").replace("FROM ag ", "FROM ag5 ").replace("ag.", "ag5.").replace("idl AS", "idl5 AS").replace(
+    "JOIN idl ", "JOIN idl5 ").replace("pq AS", "pq5 AS") + _per_query(10) + """
+SELECT a.mode, round(a.n5, 9) AS ndcg_5, round(a.p5, 9) AS p_5, round(a.h5, 9) AS hit_5,
+ round(b.n10, 9) AS ndcg_10, round(b.p10, 9) AS p_10, round(b.h10, 9) AS hit_10
+FROM (SELECT mode, avg(ndcg) AS n5, avg(precision) AS p5, avg(hit) AS h5 FROM pq5 GROUP BY mode) a
+JOIN (SELECT mode, avg(ndcg) AS n10, avg(precision) AS p10, avg(hit) AS h10 FROM pq GROUP BY mode) b USING (mode)"""
+SQL["eval_by_type"] = _dw("runs", "judgments") + _per_query(10) + """,
+m AS (SELECT o.o_orderpriority AS qtype, pq.mode, avg(pq.ndcg) AS ndcg FROM pq JOIN orders o ON o.o_orderkey = pq.query_id
+  GROUP BY ALL)
+SELECT m.qtype, m.mode, round(m.ndcg, 9) AS ndcg, round(m.ndcg - b.ndcg, 9) AS delta FROM m
+LEFT JOIN (SELECT qtype, ndcg FROM m WHERE mode = 'N') b USING (qtype)"""
+SQL["eval_detail"] = EV + _per_query(10) + """
+SELECT query_id, round(max(CASE WHEN mode = 'A' THEN ndcg END), 9) AS A, round(max(CASE WHEN mode = 'N' THEN ndcg END), 9) AS N,
+ round(max(CASE WHEN mode = 'R' THEN ndcg END), 9) AS R FROM pq GROUP BY query_id"""
+SQL["pool_candidates"] = EV + """
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY mo, rk) AS pool_pos, mo AS first_mode FROM (
+ SELECT query_id, doc_id, arg_min(mo, mo * 1000000 + rank) AS mo, arg_min(rank, mo * 1000000 + rank) AS rk FROM (
+  SELECT query_id, doc_id, rank, CASE mode WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS mo FROM runs WHERE rank <= 10)
+ GROUP BY ALL)"""
+SQL["judgment_dist"] = EV + "SELECT query_id, rel, count(*) AS n FROM judgments GROUP BY ALL"
+SQL["judgment_checks"] = EV + """,
+per AS (SELECT query_id, sum(CASE WHEN rel < 0 OR rel > 3 THEN 1 ELSE 0 END) AS bad, count(*) - count(DISTINCT doc_id) AS dups,
+  max(rel) AS top, avg(CASE WHEN rel >= 2 THEN 1.0 ELSE 0.0 END) AS share FROM judgments GROUP BY query_id)
+SELECT query_id, 'score_range' AS "check" FROM per WHERE bad > 0
+UNION ALL SELECT query_id, 'duplicate' FROM per WHERE dups > 0
+UNION ALL SELECT query_id, 'no_top_score' FROM per WHERE top < 3
+UNION ALL SELECT query_id, 'relevant_share' FROM per WHERE share < 0.1"""
+SQL["quality_gate"] = EV + """
+SELECT r.query_id, r.mode, round(avg(j.rel), 9) AS mean_rel, sum(CASE WHEN j.rel >= 2 THEN 1 ELSE 0 END) AS hits,
+ avg(j.rel) >= 1.0 AND sum(CASE WHEN j.rel >= 2 THEN 1 ELSE 0 END) >= 1 AS passed
+FROM runs r JOIN judgments j ON r.query_id = j.query_id AND r.doc_id = j.doc_id WHERE r.rank <= 5 GROUP BY ALL"""
+SQL["known_item_eval"] = EV + """,
+tg AS (SELECT l_orderkey AS query_id, l_partkey AS doc_id FROM lineitem WHERE l_linenumber = 1),
+md AS (SELECT DISTINCT mode FROM runs),
+fd AS (SELECT r.query_id, r.mode, min(r.rank) AS rk FROM runs r JOIN tg ON r.query_id = tg.query_id AND r.doc_id = tg.doc_id GROUP BY ALL),
+nr AS (SELECT query_id, mode, count(*) AS n FROM runs GROUP BY ALL),
+j AS (SELECT tg.query_id, md.mode, fd.rk, nr.n FROM tg CROSS JOIN md LEFT JOIN fd ON fd.query_id = tg.query_id AND fd.mode = md.mode
+  LEFT JOIN nr ON nr.query_id = tg.query_id AND nr.mode = md.mode)
+SELECT mode, round(avg(CASE WHEN rk <= 5 THEN 1.0 ELSE 0.0 END), 4) AS hit_5, round(avg(CASE WHEN rk <= 10 THEN 1.0 ELSE 0.0 END), 4) AS hit_10,
+ round(avg(coalesce(1.0 / rk, 0.0)), 4) AS mrr, round(avg(CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE 0.0 END), 4) AS zero_rate
+FROM j GROUP BY mode"""
+SQL["stratified_sample"] = None  # hash order is engine-specific: rows-only check
+SQL["filter_regression"] = (_dw("query_log", "region_vocab", "keywords") + "," + parse_ctes(
+    "query_log", "1998-06-15", "region_vocab") + ",\nd1 AS (SELECT * FROM pq)," + parse_ctes(
+    "query_log", "1998-06-15", "region_vocab").replace("pq", "zq").replace(
+    "AND cand NOT IN (SELECT name FROM region_vocab)",
+    "AND cand NOT IN (SELECT name FROM region_vocab) AND cand NOT IN (SELECT keyword FROM keywords)") + """,
+l1 AS (SELECT query_id, f AS field, v AS expected FROM d1, LATERAL (VALUES ('keyword', keyword), ('region', region),
+  ('form', form), ('max_experience', CAST(max_experience AS VARCHAR)), ('min_annual_salary', CAST(min_annual_salary AS VARCHAR)),
+  ('company_name', company_name)) t(f, v) WHERE v IS NOT NULL),
+l2 AS (SELECT query_id, f AS field, v AS actual FROM zq, LATERAL (VALUES ('keyword', keyword), ('region', region),
+  ('form', form), ('max_experience', CAST(max_experience AS VARCHAR)), ('min_annual_salary', CAST(min_annual_salary AS VARCHAR)),
+  ('company_name', company_name)) t(f, v) WHERE v IS NOT NULL)
+SELECT coalesce(l1.query_id, l2.query_id) AS query_id, coalesce(l1.field, l2.field) AS field, expected, actual
+FROM l1 FULL OUTER JOIN l2 ON l1.query_id = l2.query_id AND l1.field = l2.field
+WHERE expected IS DISTINCT FROM actual""")
+SQL = {k: v for k, v in SQL.items() if v is not None}
