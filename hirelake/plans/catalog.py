@@ -559,6 +559,39 @@ def q_filter_regression(spark, sf_dir):
     return E.filter_regression(_parsed(t).select(*cols), _parsed(t, job_words=True).select(*cols))
 
 
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from ..session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def q_stream_ingest(spark, sf_dir):
+    """The raw stream replayed as yearly files through a streaming ingest."""
+    from ..streaming import jobs as ST
+    t = _tables(spark, sf_dir)
+    base = _scratch(spark, "stream-ingest")
+    raw = t.postings_stream()
+    ST.write_in_order(raw, "batch_date", F.year("batch_date"), f"{base}/raw")
+    schema = spark.read.parquet(f"{base}/raw").schema
+    ST.stream_ingest(spark, f"{base}/raw", schema, f"{base}/fact", f"{base}/ckpt")
+    return _fact_out(spark.read.parquet(f"{base}/fact"))
+
+
+def q_events_daily_new(spark, sf_dir):
+    """Event counts per day and type from a watermarked stream of weekly files."""
+    from ..streaming import jobs as ST
+    t = _tables(spark, sf_dir)
+    base = _scratch(spark, "stream-events")
+    ev = t["events"]
+    week = F.floor((F.dayofyear("ts") - 1) / 7)
+    ST.write_in_order(ev, "ts", F.year("ts") * 100 + week, f"{base}/events")
+    schema = spark.read.parquet(f"{base}/events").schema
+    ST.stream_daily_counts(spark, f"{base}/events", schema, f"{base}/counts", f"{base}/ckpt")
+    return ST.current_daily_counts(spark, f"{base}/counts").select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "count")
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -629,4 +662,6 @@ QUERIES = {
     "known_item_eval": q_known_item_eval,
     "stratified_sample": q_stratified_sample,
     "filter_regression": q_filter_regression,
+    "stream_ingest": q_stream_ingest,
+    "events_daily_new": q_events_daily_new,
 }

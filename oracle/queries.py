@@ -510,3 +510,7 @@ SELECT coalesce(l1.query_id, l2.query_id) AS query_id, coalesce(l1.field, l2.fie
 FROM l1 FULL OUTER JOIN l2 ON l1.query_id = l2.query_id AND l1.field = l2.field
 WHERE expected IS DISTINCT FROM actual""")
 SQL = {k: v for k, v in SQL.items() if v is not None}
+
+SQL["stream_ingest"] = SQL["first_wins_dedup"]
+SQL["events_daily_new"] = """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS count FROM events GROUP BY ALL"""
