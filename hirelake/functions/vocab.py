@@ -122,6 +122,19 @@ DISPLAY_EDUCATION_OTHER = "기타"
 DISPLAY_FORM_MISSING = "정보 없음"
 DISPLAY_PROFILE_ANY = "상관없음"
 
+# posting card lines (label prefixes)
+CARD_HEAD = "📌"
+CARD_LINK = "🔗"
+CARD_EXPERIENCE = "- 경력: "
+CARD_EDUCATION = "- 학력: "
+CARD_FORM = "- 형태: "
+CARD_SALARY = "- 연봉: "
+CARD_DEADLINE = "- 마감일: "
+
+# crawl recency texts
+RECENT_MINUTES = "분 전 등록"
+RECENT_HOURS = "시간 전 등록"
+
 # market analytics experience labels (null, 0, <=3, <=7, else)
 MARKET_EXPERIENCE_LABELS = ["경력무관", "신입", "1~3년", "4~7년", "8년 이상"]
 # quality report experience bands (0, 1..3, 4..7, >=8)

@@ -17,6 +17,7 @@ from ..operators import market as M
 from ..operators import normalize as N
 from ..operators import alerts as AL
 from ..operators import assist as A
+from ..operators import display as D
 from ..operators import evaluate as E
 from ..operators import queryparse as QP
 from ..operators import search as SR
@@ -592,6 +593,42 @@ def q_events_daily_new(spark, sf_dir):
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "count")
 
 
+def q_posting_cards(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    w = _wh(t)
+    top = SR.list_valid(w.fact, AS_OF, 100, order_desc=True).select("posting_id")
+    from pyspark.sql import Window
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("posting_id").desc())))
+    return D.posting_cards(ranked, w.fact, AS_OF).select("posting_id", "card")
+
+
+def _crawl_rows(t: Tables) -> DataFrame:
+    """Listing rows with a 'posted' text derived from the order date relative to as_of."""
+    d = F.datediff(F.lit(AS_OF).cast("date"), F.col("batch_date"))
+    text = (F.when(d == 0, F.lit("3시간 전 등록"))
+            .when((d > 0) & (d < 30), F.concat(d.cast("string"), F.lit("일 전 등록")))
+            .otherwise(F.date_format("batch_date", "MM/dd")))
+    return t["postings_raw"].select("posting_id", F.col("company_key").alias("run_id"), "batch_date",
+                                    text.alias("time_text"))
+
+
+def q_recent_postings(spark, sf_dir):
+    r = _crawl_rows(_tables(spark, sf_dir))
+    return r.where(D.posted_within("time_text", F.lit(AS_OF).cast("date"), 7)).select("posting_id", "time_text")
+
+
+def q_crawl_prefix(spark, sf_dir):
+    """Each company's listing, newest first, read until the first row older than 30 days."""
+    r = _crawl_rows(_tables(spark, sf_dir)).withColumn(
+        "fresh", D.posted_within("time_text", F.lit(AS_OF).cast("date"), 30))
+    r = r.withColumn("pos", -F.col("posting_id"))
+    return D.crawl_prefix(r, "run_id", "pos", "fresh").select("run_id", "posting_id")
+
+
+def q_page_fields(spark, sf_dir):
+    return D.page_fields(_tables(spark, sf_dir)["pages"])
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -664,4 +701,8 @@ QUERIES = {
     "filter_regression": q_filter_regression,
     "stream_ingest": q_stream_ingest,
     "events_daily_new": q_events_daily_new,
+    "posting_cards": q_posting_cards,
+    "recent_postings": q_recent_postings,
+    "crawl_prefix": q_crawl_prefix,
+    "page_fields": q_page_fields,
 }

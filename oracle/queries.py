@@ -514,3 +514,56 @@ SQL = {k: v for k, v in SQL.items() if v is not None}
 SQL["stream_ingest"] = SQL["first_wins_dedup"]
 SQL["events_daily_new"] = """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS count FROM events GROUP BY ALL"""
+
+SQL["posting_cards"] = stream_with() + f""",
+top AS (SELECT posting_id, row_number() OVER (ORDER BY posting_id DESC) AS rank FROM fact WHERE deadline >= {ASOF}
+  ORDER BY posting_id DESC LIMIT 100)
+SELECT f.posting_id, concat_ws(chr(10),
+ '📌 [' || CAST(top.rank AS VARCHAR) || '] ' || coalesce(announcement_name, '') || ' @ ' || coalesce(company_name, ''),
+ '- 경력: ' || CASE WHEN experience IS NULL THEN '경력무관' WHEN experience = 0 THEN '신입' ELSE CAST(experience AS VARCHAR) || '년 이상' END,
+ '- 학력: ' || coalesce(CASE education WHEN 0 THEN '학력무관' WHEN 1 THEN '고졸↑' WHEN 2 THEN '초대졸↑' WHEN 3 THEN '대졸↑'
+   WHEN 4 THEN '석사↑' WHEN 5 THEN '박사↑' END, '기타'),
+ '- 형태: ' || coalesce(CASE form WHEN 1 THEN '정규직' WHEN 2 THEN '계약직' WHEN 3 THEN '인턴' WHEN 4 THEN '파견직'
+   WHEN 5 THEN '프리랜서' WHEN 6 THEN '위촉직' WHEN 7 THEN '도급' WHEN 8 THEN '연수생' WHEN 9 THEN '병역특례'
+   WHEN 10 THEN '아르바이트' END, '정보 없음'),
+ '- 연봉: ' || CASE WHEN annual_salary IS NULL THEN '협의' ELSE CAST(annual_salary AS VARCHAR) || '만원/년' END,
+ '- 마감일: ' || CASE WHEN deadline >= DATE '9999-01-01' THEN '상시채용' WHEN deadline - {ASOF} = 0 THEN '오늘마감'
+   WHEN deadline - {ASOF} = 1 THEN '내일마감' WHEN deadline - {ASOF} = 2 THEN '모레마감' ELSE '~' || strftime(deadline, '%m/%d') END,
+ '🔗 ' || coalesce(link, '')) AS card
+FROM fact f JOIN top USING (posting_id)"""
+
+CRAWL = _dw("postings_raw") + f""",
+cr AS (SELECT posting_id, company_key AS run_id, batch_date,
+  CASE WHEN {ASOF} - batch_date = 0 THEN '3시간 전 등록'
+       WHEN {ASOF} - batch_date > 0 AND {ASOF} - batch_date < 30 THEN CAST({ASOF} - batch_date AS VARCHAR) || '일 전 등록'
+       ELSE strftime(batch_date, '%m/%d') END AS time_text FROM postings_raw),
+cr2 AS (SELECT *, TRY_CAST(nullif(regexp_extract(time_text, '(\\d+)\\s*일\\s*전\\s*등록', 1), '') AS BIGINT) AS n,
+  TRY_CAST(printf('%04d-%s-%s', year({ASOF}), regexp_extract(time_text, '(\\d{{2}})/(\\d{{2}})', 1),
+    regexp_extract(time_text, '(\\d{{2}})/(\\d{{2}})', 2)) AS DATE) AS ty,
+  TRY_CAST(printf('%04d-%s-%s', year({ASOF}) - 1, regexp_extract(time_text, '(\\d{{2}})/(\\d{{2}})', 1),
+    regexp_extract(time_text, '(\\d{{2}})/(\\d{{2}})', 2)) AS DATE) AS ly FROM cr),
+cr3 AS (SELECT *, CASE WHEN ty > {ASOF} THEN ly ELSE ty END AS posted FROM cr2)
+"""
+
+
+def _within(days: int) -> str:
+    return f"""CASE WHEN contains(time_text, '분 전 등록') OR contains(time_text, '시간 전 등록') THEN true
+  WHEN n IS NOT NULL THEN n <= {days}
+  WHEN regexp_matches(time_text, '\\d{{2}}/\\d{{2}}') THEN coalesce({ASOF} - posted <= {days}, false) ELSE false END"""
+
+
+SQL["recent_postings"] = CRAWL + f"SELECT posting_id, time_text FROM cr3 WHERE {_within(7)}"
+SQL["crawl_prefix"] = CRAWL + f""",
+fr AS (SELECT run_id, posting_id, -posting_id AS pos, {_within(30)} AS fresh FROM cr3),
+st AS (SELECT run_id, min(pos) AS stop FROM fr WHERE NOT fresh GROUP BY run_id)
+SELECT fr.run_id, fr.posting_id FROM fr LEFT JOIN st USING (run_id) WHERE st.stop IS NULL OR fr.pos < st.stop"""
+
+_ST = lambda x: f"regexp_replace({x}, '^{WS_}+|{WS_}+$', '', 'g')"
+_ART = ("regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g'), "
+        f"'{WS_}+', ' ', 'g')")
+SQL["page_fields"] = f"""
+SELECT page_id, {_ST("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
+ {_ST("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS heading,
+ coalesce(nullif(regexp_extract(html, '(?s)<link rel="canonical" href="([^"]*)"', 1), ''), url) AS link,
+ {_ST(_ART)} AS article_text, len(string_split({_ST(_ART)}, ' ')) AS n_words
+FROM pages"""
