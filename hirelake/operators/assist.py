@@ -61,3 +61,72 @@ def cooccurrence_thesaurus(texts: DataFrame, text_col: str = "text") -> DataFram
     a = words.select(F.explode("_w").alias("term"), "_w")
     pairs = a.select("term", F.explode("_w").alias("related")).where(F.col("term") != F.col("related"))
     return pairs.groupBy("term", "related").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def parse_scores(response: Column, n) -> Column:
+    """L2 response contract: first line, full-width commas as commas, numeric tokens
+    only, padded with the default score and cut to ``n`` (a Column or int)."""
+    n = F.lit(n) if isinstance(n, int) else n
+    line = F.regexp_replace(F.coalesce(_first_line(response), F.lit("")), "，", ",")
+    vals = F.filter(F.transform(F.split(line, ","), lambda t: T.strip(t).try_cast("double")),
+                    lambda x: x.isNotNull())
+    pad = F.array_repeat(F.lit(V.RERANK_DEFAULT_SCORE), n)
+    return F.slice(F.concat(vals, pad), 1, n)
+
+
+def rerank_batches(results: DataFrame, batch: int = V.RERANK_BATCH, key: str = "query_id") -> DataFrame:
+    """L2 batching: consecutive groups of ``batch`` results per key, in rank order, as
+    (key, batch_no, items) — the unit a model call scores."""
+    b = results.withColumn("batch_no", F.floor((F.col("rank") - 1) / batch))
+    return b.groupBy(key, "batch_no").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "posting_id"))).alias("items"))
+
+
+def parse_tags(response: Column) -> Column:
+    """L3 response contract: first line, comma split, strip, 1..20 characters and at
+    most one space; nothing usable -> NULL (the call failed)."""
+    items = F.filter(F.transform(F.split(_first_line(response), ","), lambda t: T.strip(t)),
+                     lambda t: (F.length(t) >= 1) & (F.length(t) <= V.MODEL_TOKEN_MAX_LEN)
+                     & (F.length(t) - F.length(F.regexp_replace(t, " ", "")) <= 1))
+    return F.when(F.size(items) > 0, items)
+
+
+def tag_enrich(fact: DataFrame, responses: DataFrame) -> DataFrame:
+    """L3: per posting with a response: the tags to add (not already present,
+    deduplicated) and the outcome tagged / skipped / failed."""
+    r = responses.select("posting_id", parse_tags(F.col("response")).alias("_t"))
+    j = fact.select("posting_id", "tags").join(r, "posting_id")
+    new = F.array_except(F.array_distinct("_t"), F.coalesce("tags", F.array().cast("array<string>")))
+    return j.select("posting_id", F.when(F.col("_t").isNull(), F.array().cast("array<string>")).otherwise(new)
+                    .alias("added"),
+                    F.when(F.col("_t").isNull(), F.lit("failed"))
+                    .when(F.size(new) > 0, F.lit("tagged")).otherwise(F.lit("skipped")).alias("outcome"))
+
+
+def tag_backlog(fact: DataFrame, as_of: str, created_on: str | None = None, limit: int = 1000,
+                batch: int = V.TAG_BATCH) -> DataFrame:
+    """L4: postings to tag — created on a day, else valid ones — by id, first ``limit``,
+    in batches of ``batch`` (``limit`` bounds the ordered set)."""
+    if created_on:
+        f = fact.where(F.to_date("created_at") == F.lit(created_on).cast("date"))
+    else:
+        f = fact.where(F.col("deadline") >= F.lit(as_of).cast("date"))
+    top = f.select("posting_id").orderBy("posting_id").limit(limit)
+    return top.withColumn("batch_no", F.floor((F.row_number().over(Window.orderBy("posting_id")) - 1) / batch))
+
+
+def judge_score(response: Column) -> Column:
+    """The first character in 0..3 anywhere in the stripped response, else 0."""
+    d = F.regexp_extract(F.coalesce(T.strip(response), F.lit("")), "[0-3]", 0)
+    return F.when(d == "", F.lit(0)).otherwise(d.cast("int"))
+
+
+def judge_incremental(pairs: DataFrame, cache: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+    """Only (query, doc) pairs missing from the cache are judged; returns the
+    unseen pairs, scored when ``responses(query_id, doc_id, response)`` is given."""
+    unseen = pairs.select("query_id", "doc_id").distinct().join(cache.select("query_id", "doc_id"),
+                                                               ["query_id", "doc_id"], "left_anti")
+    if responses is None:
+        return unseen
+    return unseen.join(responses, ["query_id", "doc_id"], "left").select(
+        "query_id", "doc_id", judge_score(F.col("response")).alias("rel"))

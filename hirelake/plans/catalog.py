@@ -629,6 +629,51 @@ def q_page_fields(spark, sf_dir):
     return D.page_fields(_tables(spark, sf_dir)["pages"])
 
 
+def _responses(t: Tables) -> DataFrame:
+    """Stand-in model responses: the assistant turns of the conversations table."""
+    return t["conversations"].where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("response"))
+
+
+def q_parse_scores(spark, sf_dir):
+    r = _responses(_tables(spark, sf_dir))
+    return r.select("conv_id", "turn", F.posexplode(A.parse_scores(F.col("response"), 10)).alias("pos", "score"))
+
+
+def q_parse_tags(spark, sf_dir):
+    r = _responses(_tables(spark, sf_dir))
+    return r.select("conv_id", "turn", F.posexplode(A.parse_tags(F.col("response"))).alias("pos", "tag"))
+
+
+def _tag_responses(t: Tables) -> DataFrame:
+    """One response per posting: the first assistant turn of the conversation with that id."""
+    r = _responses(t)
+    return r.groupBy(F.col("conv_id").alias("posting_id")).agg(F.min_by("response", "turn").alias("response"))
+
+
+def q_tag_enrich(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    e = A.tag_enrich(_wh(t).fact, _tag_responses(t))
+    return e.select("posting_id", F.explode("added").alias("tag"))
+
+
+def q_tag_outcomes(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return A.tag_enrich(_wh(t).fact, _tag_responses(t)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_tag_backlog(spark, sf_dir):
+    return A.tag_backlog(_wh(_tables(spark, sf_dir)).fact, AS_OF, None, 1000)
+
+
+def q_judge_incremental(spark, sf_dir):
+    """Pairs of the pooled candidates not yet in the judgment cache, judged from the
+    stand-in responses (conversation turn text keyed by (conv_id, turn))."""
+    t = _tables(spark, sf_dir)
+    pool = E.pool_candidates(t["runs"], EVAL_MODES, 10).select("query_id", "doc_id")
+    resp = _responses(t).select(F.col("conv_id").alias("query_id"), F.col("turn").alias("doc_id"), "response")
+    return A.judge_incremental(pool, t["judgments"], resp)
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -705,4 +750,10 @@ QUERIES = {
     "recent_postings": q_recent_postings,
     "crawl_prefix": q_crawl_prefix,
     "page_fields": q_page_fields,
+    "parse_scores": q_parse_scores,
+    "parse_tags": q_parse_tags,
+    "tag_enrich": q_tag_enrich,
+    "tag_outcomes": q_tag_outcomes,
+    "tag_backlog": q_tag_backlog,
+    "judge_incremental": q_judge_incremental,
 }

@@ -141,8 +141,10 @@ def duck_with(*names: str) -> str:
             order.append(n)
 
     for n in names:
-        visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({duck_view(n)})" for n in order) + "\n"
+        if n in VIEWS:      # driver tables are already registered
+            visit(n)
+    parts = [f"{n} AS ({duck_view(n)})" for n in order] or ["_none AS (SELECT 1)"]
+    return "WITH " + ",\n".join(parts) + "\n"
 
 
 class Tables:

@@ -567,3 +567,40 @@ SELECT page_id, {_ST("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS
  coalesce(nullif(regexp_extract(html, '(?s)<link rel="canonical" href="([^"]*)"', 1), ''), url) AS link,
  {_ST(_ART)} AS article_text, len(string_split({_ST(_ART)}, ' ')) AS n_words
 FROM pages"""
+
+RESP = _dw("conversations") + """,
+resp AS (SELECT conv_id, turn, text AS response FROM conversations WHERE role = 'assistant')"""
+_FL = lambda x: f"nullif(string_split_regex({_ST(x)}, '\\r?\\n|\\r')[1], '')"
+
+SQL["parse_scores"] = RESP + f""",
+ps AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace(coalesce({_FL('response')}, ''), '，', ','), ','),
+   lambda t: TRY_CAST({_ST('t')} AS DOUBLE)), lambda x: x IS NOT NULL) AS v FROM resp),
+ps2 AS (SELECT conv_id, turn, list_slice(list_concat(v, [5.0,5.0,5.0,5.0,5.0,5.0,5.0,5.0,5.0,5.0]), 1, 10) AS s FROM ps)
+SELECT conv_id, turn, unnest(range(len(s))) AS pos, unnest(s) AS score FROM ps2"""
+
+PTAGS = f"""list_filter(list_transform(string_split({_FL('response')}, ','), lambda t: {_ST('t')}),
+   lambda t: length(t) BETWEEN 1 AND 20 AND length(t) - length(replace(t, ' ', '')) <= 1)"""
+SQL["parse_tags"] = RESP + f""",
+pt AS (SELECT conv_id, turn, CASE WHEN len({PTAGS}) > 0 THEN {PTAGS} END AS tg FROM resp)
+SELECT conv_id, turn, unnest(range(len(tg))) AS pos, unnest(tg) AS tag FROM pt WHERE tg IS NOT NULL"""
+
+TAGX = (stream_with("conversations") + f""",
+resp AS (SELECT conv_id, turn, text AS response FROM conversations WHERE role = 'assistant'),
+r1 AS (SELECT conv_id AS posting_id, arg_min(response, turn) AS response FROM resp GROUP BY conv_id),
+pt AS (SELECT posting_id, CASE WHEN len({PTAGS}) > 0 THEN {PTAGS} END AS tg FROM r1),
+te AS (SELECT f.posting_id, pt.tg, CASE WHEN pt.tg IS NULL THEN [] ELSE
+  list_filter(list_distinct(pt.tg), lambda x: NOT list_contains(f.tags, x)) END AS added FROM fact f JOIN pt USING (posting_id))
+""")
+SQL["tag_enrich"] = TAGX + "SELECT posting_id, unnest(added) AS tag FROM te"
+SQL["tag_outcomes"] = TAGX + """
+SELECT CASE WHEN tg IS NULL THEN 'failed' WHEN len(added) > 0 THEN 'tagged' ELSE 'skipped' END AS outcome, count(*) AS n
+FROM te GROUP BY 1"""
+SQL["tag_backlog"] = stream_with() + f"""
+SELECT posting_id, CAST(floor((row_number() OVER (ORDER BY posting_id) - 1) / 100) AS BIGINT) AS batch_no
+FROM (SELECT posting_id FROM fact WHERE deadline >= {ASOF} ORDER BY posting_id LIMIT 1000)"""
+SQL["judge_incremental"] = _dw("runs", "judgments", "conversations") + f""",
+pool AS (SELECT DISTINCT query_id, doc_id FROM runs WHERE rank <= 10),
+un AS (SELECT * FROM pool WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM judgments)),
+resp AS (SELECT conv_id AS query_id, turn AS doc_id, text AS response FROM conversations WHERE role = 'assistant')
+SELECT un.query_id, un.doc_id, CAST(coalesce(nullif(regexp_extract(coalesce({_ST('resp.response')}, ''), '[0-3]', 0), ''), '0') AS INT) AS rel
+FROM un LEFT JOIN resp USING (query_id, doc_id)"""
