@@ -158,3 +158,17 @@ def filter_regression(expected: DataFrame, actual: DataFrame, key: str = "query_
             .select(key, "kv.field", F.col("kv.value").alias(side))
     j = long(expected, "expected").join(long(actual, "actual"), [key, "field"], "full_outer")
     return j.where(~F.col("expected").eqNullSafe(F.col("actual")))
+
+
+def expansion_impact(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per keyword, postings matched before (AND of tokens) and after (OR over
+    the expansion), the new ones (after minus before) and the ratio (NULL when
+    nothing matched before).  Inputs are (keyword, posting_id) match tables."""
+    b = before.select("keyword", "posting_id").distinct().withColumn("_b", F.lit(1))
+    a = after.select("keyword", "posting_id").distinct().withColumn("_a", F.lit(1))
+    j = b.join(a, ["keyword", "posting_id"], "full_outer")
+    return (j.groupBy("keyword").agg(F.count("_b").alias("matched_before"), F.count("_a").alias("matched_after"),
+                                     F.sum(F.when(F.col("_a").isNotNull() & F.col("_b").isNull(), 1).otherwise(0))
+                                     .alias("new_matches"))
+            .withColumn("expansion_ratio", F.when(F.col("matched_before") > 0,
+                                                  F.round(F.col("matched_after") / F.col("matched_before"), 2))))

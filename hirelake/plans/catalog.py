@@ -674,6 +674,39 @@ def q_judge_incremental(spark, sf_dir):
     return A.judge_incremental(pool, t["judgments"], resp)
 
 
+def q_ingest_csv(spark, sf_dir):
+    """The raw rows exported as one CSV per year (named with the year's first day),
+    loaded back through the CSV path (no range validation, no position tags, deadline
+    reference date from the file name), first writer wins in (file, row) order."""
+    from ..sources import csv as CSV
+    t = _tables(spark, sf_dir)
+    base = _scratch(spark, "csv")
+    raw = t["postings_raw"]
+    years = sorted(r[0] for r in raw.select(F.year("batch_date")).distinct().collect())
+    for y in years:
+        (raw.where(F.year("batch_date") == y).orderBy("posting_id")
+         .select(*[F.col(n).alias(h) for h, n in zip(CSV.CSV_HEADER, CSV.RAW_NAMES)])
+         .coalesce(1).write.option("header", True).csv(f"{base}/postings_{y}-01-01"))
+    rows, _bad = CSV.read_csv_postings(spark, f"{base}/*")
+    ok = N.accepted(N.normalize_postings(rows))
+    ok = ok.withColumn("experience", F.col("experience_parsed")).withColumn("annual_salary", F.col("salary_parsed"))
+    fact = S.first_wins_dedup(ok)
+    return fact.select("company_name", "announcement_name", _d("deadline"), "experience", "annual_salary", "link",
+                       _tags_text())
+
+
+def q_expansion_impact(spark, sf_dir):
+    """Part-name keywords matched over the alert window before / after expansion."""
+    t = _tables(spark, sf_dir)
+    fact = _wh(t).fact
+    posts = AL.new_postings(fact, AS_OF_TS, ALERT_HOURS)
+    kws = t["keywords"].select(F.col("keyword").alias("user_id"), F.lit(1).alias("seq"), "keyword")
+    exp = A.thesaurus_expansions(kws.select("keyword"), _thesaurus(t))
+    before = AL.match_subscriptions(posts, kws)
+    after = AL.match_subscriptions(posts, kws, expansions=exp)
+    return E.expansion_impact(before, after)
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -756,4 +789,6 @@ QUERIES = {
     "tag_outcomes": q_tag_outcomes,
     "tag_backlog": q_tag_backlog,
     "judge_incremental": q_judge_incremental,
+    "ingest_csv": q_ingest_csv,
+    "expansion_impact": q_expansion_impact,
 }

@@ -604,3 +604,24 @@ un AS (SELECT * FROM pool WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc
 resp AS (SELECT conv_id AS query_id, turn AS doc_id, text AS response FROM conversations WHERE role = 'assistant')
 SELECT un.query_id, un.doc_id, CAST(coalesce(nullif(regexp_extract(coalesce({_ST('resp.response')}, ''), '[0-3]', 0), ''), '0') AS INT) AS rel
 FROM un LEFT JOIN resp USING (query_id, doc_id)"""
+
+SQL["ingest_csv"] = stream_with(stream="""SELECT posting_id, make_date(year(batch_date), 1, 1) AS batch_date,
+  CAST(make_date(year(batch_date), 1, 1) AS TIMESTAMP) AS created_at, company_key, company, title, career_raw,
+  education_raw, form_raw, location_raw, salary_raw, deadline_raw, description_raw, NULL AS position_raw, link
+  FROM postings_raw""") + """,
+cr AS (SELECT *, row_number() OVER (PARTITION BY company_name, announcement_name, deadline,
+   CASE WHEN announcement_name IS NULL THEN posting_id END ORDER BY batch_date, posting_id) AS k FROM normr WHERE NOT rejected)
+SELECT company_name, announcement_name, CAST(deadline AS VARCHAR) AS deadline, experience_parsed AS experience,
+ salary_parsed AS annual_salary, link, array_to_string(list_sort(tags), '|') AS tags FROM cr WHERE k = 1"""
+
+SQL["expansion_impact"] = stream_with("keywords") + thesaurus_ctes("SELECT p_name AS text FROM part", "keywords") + f""",
+np AS (SELECT posting_id, lower(concat_ws(' ', coalesce(announcement_name, ''), array_to_string(tags, ' '))) AS txt FROM fact
+  WHERE CAST(created_at AS TIMESTAMP) >= TIMESTAMP '1998-06-15 12:00:00' - INTERVAL 720 HOUR),
+kt AS (SELECT keyword, list_filter(string_split_regex({_strip2('keyword')}, '{WS_}+'), lambda t: t <> '') AS toks FROM keywords),
+bf AS (SELECT kt.keyword, np.posting_id FROM kt JOIN np ON len(list_filter(kt.toks, lambda t: strpos(np.txt, lower(t)) > 0)) = len(kt.toks)),
+af AS (SELECT exp.keyword, np.posting_id FROM exp JOIN np ON len(list_filter(exp.expanded, lambda t: strpos(np.txt, lower(t)) > 0)) > 0),
+j AS (SELECT coalesce(bf.keyword, af.keyword) AS keyword, bf.posting_id AS b, af.posting_id AS a FROM bf FULL OUTER JOIN af
+  ON bf.keyword = af.keyword AND bf.posting_id = af.posting_id)
+SELECT keyword, count(b) AS matched_before, count(a) AS matched_after,
+ sum(CASE WHEN a IS NOT NULL AND b IS NULL THEN 1 ELSE 0 END) AS new_matches,
+ CASE WHEN count(b) > 0 THEN round(count(a) / count(b), 2) END AS expansion_ratio FROM j GROUP BY keyword"""
