@@ -707,6 +707,28 @@ def q_expansion_impact(spark, sf_dir):
     return E.expansion_impact(before, after)
 
 
+def q_judgments_explode(spark, sf_dir):
+    """Judgments written as JSON Lines and read back as long rows."""
+    from ..sources import jsonio as J
+    t = _tables(spark, sf_dir)
+    path = _scratch(spark, "judgments-json")
+    J.write_judgments(t["judgments"], path)
+    return J.read_judgments(spark, path)
+
+
+def q_parse_expansion(spark, sf_dir):
+    """L1: assistant turns parsed as expansion responses for the first word of the
+    user turn just before them."""
+    t = _tables(spark, sf_dir)
+    c = t["conversations"]
+    user = c.where(F.col("role") == "user").select(
+        "conv_id", (F.col("turn") + 1).alias("turn"),
+        F.regexp_extract("text", r"(?U)^\s*(\S+)", 1).alias("keyword"))
+    r = _responses(t).join(user, ["conv_id", "turn"]).where(F.col("keyword") != "")
+    return r.select("conv_id", "turn", F.posexplode(A.parse_expansion(F.col("keyword"), F.col("response")))
+                    .alias("pos", "term"))
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -791,4 +813,6 @@ QUERIES = {
     "judge_incremental": q_judge_incremental,
     "ingest_csv": q_ingest_csv,
     "expansion_impact": q_expansion_impact,
+    "judgments_explode": q_judgments_explode,
+    "parse_expansion": q_parse_expansion,
 }

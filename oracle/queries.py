@@ -625,3 +625,16 @@ j AS (SELECT coalesce(bf.keyword, af.keyword) AS keyword, bf.posting_id AS b, af
 SELECT keyword, count(b) AS matched_before, count(a) AS matched_after,
  sum(CASE WHEN a IS NOT NULL AND b IS NULL THEN 1 ELSE 0 END) AS new_matches,
  CASE WHEN count(b) > 0 THEN round(count(a) / count(b), 2) END AS expansion_ratio FROM j GROUP BY keyword"""
+
+SQL["judgments_explode"] = _dw("judgments") + "SELECT query_id, doc_id, rel FROM judgments"
+
+SQL["parse_expansion"] = RESP + f""",
+us AS (SELECT conv_id, turn + 1 AS turn, regexp_extract(text, '^{WS_}*([^{WS_[1:-1]}]+)', 1) AS keyword
+  FROM conversations WHERE role = 'user'),
+pe AS (SELECT resp.conv_id, resp.turn, us.keyword, list_filter(list_transform(string_split({_FL('resp.response')}, ','),
+  lambda t: {_ST('t')}), lambda t: length(t) BETWEEN 1 AND 20) AS items, resp.response
+  FROM resp JOIN us USING (conv_id, turn) WHERE us.keyword <> ''),
+pe2 AS (SELECT conv_id, turn, CASE WHEN response IS NULL THEN [keyword]
+  WHEN list_contains(coalesce(items, []), keyword) THEN coalesce(items, [])
+  ELSE list_concat([keyword], coalesce(items, [])) END AS terms FROM pe)
+SELECT conv_id, turn, unnest(range(len(terms))) AS pos, unnest(terms) AS term FROM pe2"""
