@@ -172,3 +172,27 @@ def expansion_impact(before: DataFrame, after: DataFrame) -> DataFrame:
                                      .alias("new_matches"))
             .withColumn("expansion_ratio", F.when(F.col("matched_before") > 0,
                                                   F.round(F.col("matched_after") / F.col("matched_before"), 2))))
+
+
+def rerank_impact(candidates: DataFrame, relevant: DataFrame, scores: DataFrame, k: int = 10,
+                  pool: int = 50) -> DataFrame:
+    """Per keyword, precision@k of the candidates by id descending (before) and of
+    the first ``pool`` candidates in input (id ascending) order reranked stably by
+    score (after); a hit is a candidate in ``relevant``.  Inputs are (keyword,
+    posting_id) tables plus scores (keyword, posting_id, score)."""
+    rel = relevant.select("keyword", "posting_id").distinct().withColumn("_hit", F.lit(1))
+    c = candidates.select("keyword", "posting_id").distinct().join(rel, ["keyword", "posting_id"], "left")
+    wb = Window.partitionBy("keyword").orderBy(F.col("posting_id").desc())
+    before = (c.withColumn("_r", F.row_number().over(wb)).where(F.col("_r") <= k)
+              .groupBy("keyword").agg((F.count("_hit") / F.lit(float(k))).alias("p_before")))
+    wp = Window.partitionBy("keyword").orderBy(F.col("posting_id").asc())
+    first = c.withColumn("_r", F.row_number().over(wp)).where(F.col("_r") <= pool) \
+        .join(scores.select("keyword", "posting_id", "score"), ["keyword", "posting_id"])
+    wa = Window.partitionBy("keyword").orderBy(F.col("score").desc(), F.col("_r").asc())
+    after = (first.withColumn("_a", F.row_number().over(wa)).where(F.col("_a") <= k)
+             .groupBy("keyword").agg((F.count("_hit") / F.lit(float(k))).alias("p_after")))
+    n = c.groupBy("keyword").agg(F.count(F.lit(1)).alias("candidates"))
+    return (n.join(before, "keyword").join(after, "keyword")
+            .select("keyword", "candidates", F.round("p_before", 3).alias("p_before"),
+                    F.round("p_after", 3).alias("p_after"),
+                    F.round(F.col("p_after") - F.col("p_before"), 3).alias("delta")))

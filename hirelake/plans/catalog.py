@@ -729,6 +729,24 @@ def q_parse_expansion(spark, sf_dir):
                     .alias("pos", "term"))
 
 
+def q_rerank_impact(spark, sf_dir):
+    """E12 with the lexical scorer: keyword-token share of title + tags."""
+    from ..functions import text as TT
+    t = _tables(spark, sf_dir)
+    posts = AL.new_postings(_wh(t).fact, AS_OF_TS, ALERT_HOURS)
+    kws = t["keywords"].select(F.col("keyword").alias("user_id"), F.lit(1).alias("seq"), "keyword")
+    exp = A.thesaurus_expansions(kws.select("keyword"), _thesaurus(t))
+    cand = AL.match_subscriptions(posts, kws, expansions=exp)
+    rel = AL.match_subscriptions(posts, kws)
+    toks = F.filter(F.split(F.lower(TT.strip("keyword")), TT.WS_RUN), lambda x: x != "")
+    txt = AL.match_text(posts).withColumnRenamed("tid", "posting_id")
+    sc = (cand.select("keyword", "posting_id").distinct().join(txt, "posting_id")
+          .withColumn("_t", toks)
+          .withColumn("score", F.aggregate("_t", F.lit(0), lambda a, x: a + F.when(F.instr("text", x) > 0, 1)
+                                           .otherwise(0)) * 10.0 / F.size("_t")))
+    return E.rerank_impact(cand, rel, sc)
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -815,4 +833,5 @@ QUERIES = {
     "expansion_impact": q_expansion_impact,
     "judgments_explode": q_judgments_explode,
     "parse_expansion": q_parse_expansion,
+    "rerank_impact": q_rerank_impact,
 }

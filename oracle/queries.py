@@ -638,3 +638,18 @@ pe2 AS (SELECT conv_id, turn, CASE WHEN response IS NULL THEN [keyword]
   WHEN list_contains(coalesce(items, []), keyword) THEN coalesce(items, [])
   ELSE list_concat([keyword], coalesce(items, [])) END AS terms FROM pe)
 SELECT conv_id, turn, unnest(range(len(terms))) AS pos, unnest(terms) AS term FROM pe2"""
+
+SQL["rerank_impact"] = SQL["expansion_impact"].split("\nSELECT keyword, count(b)")[0].replace(
+    "j AS (SELECT coalesce", "jx AS (SELECT coalesce") + f""",
+c AS (SELECT DISTINCT af.keyword, af.posting_id, (bf.posting_id IS NOT NULL) AS hit FROM af
+  LEFT JOIN bf ON bf.keyword = af.keyword AND bf.posting_id = af.posting_id),
+bef AS (SELECT keyword, sum(CASE WHEN hit THEN 1 ELSE 0 END) / 10.0 AS p_before FROM (
+  SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY posting_id DESC) AS r FROM c) WHERE r <= 10 GROUP BY keyword),
+fp AS (SELECT c.*, row_number() OVER (PARTITION BY keyword ORDER BY posting_id) AS r FROM c),
+sc AS (SELECT fp.*, len(list_filter(kt.toks, lambda t: strpos(np.txt, lower(t)) > 0)) * 10.0 / len(kt.toks) AS score
+  FROM fp JOIN np USING (posting_id) JOIN kt USING (keyword) WHERE fp.r <= 50),
+aft AS (SELECT keyword, sum(CASE WHEN hit THEN 1 ELSE 0 END) / 10.0 AS p_after FROM (
+  SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY score DESC, r) AS a FROM sc) WHERE a <= 10 GROUP BY keyword),
+n AS (SELECT keyword, count(*) AS candidates FROM c GROUP BY keyword)
+SELECT keyword, candidates, round(p_before, 3) AS p_before, round(p_after, 3) AS p_after,
+ round(p_after - p_before, 3) AS delta FROM n JOIN bef USING (keyword) JOIN aft USING (keyword)"""
