@@ -196,3 +196,22 @@ def rerank_impact(candidates: DataFrame, relevant: DataFrame, scores: DataFrame,
             .select("keyword", "candidates", F.round("p_before", 3).alias("p_before"),
                     F.round("p_after", 3).alias("p_after"),
                     F.round(F.col("p_after") - F.col("p_before"), 3).alias("delta")))
+
+
+def match_source_share(results: DataFrame, fact: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Per query, among its top-k results: how many hold the query text in the
+    title, how many only in a tag, and both as shares of min(k, results)."""
+    q = queries.select("query_id", F.lower("keyword").alias("_kw"))
+    f = fact.select("posting_id", F.lower(F.coalesce("announcement_name", F.lit(""))).alias("_title"),
+                    F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(t)).alias("_tags"))
+    j = results.where(F.col("rank") <= k).join(q, "query_id").join(f, "posting_id")
+    in_title = F.instr("_title", F.col("_kw")) > 0
+    in_tag = F.exists("_tags", lambda t: F.instr(t, F.col("_kw")) > 0)
+    a = j.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("results"),
+        F.sum(F.when(in_title, 1).otherwise(0)).alias("hits_name"),
+        F.sum(F.when(~in_title & in_tag, 1).otherwise(0)).alias("hits_tag_only"))
+    d = F.least(F.lit(k), F.col("results"))
+    return a.select("query_id", "results", "hits_name", "hits_tag_only",
+                    F.round(F.col("hits_name") / d, 4).alias("share_name"),
+                    F.round((F.col("hits_name") + F.col("hits_tag_only")) / d, 4).alias("share_any"))

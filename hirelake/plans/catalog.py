@@ -747,6 +747,21 @@ def q_rerank_impact(spark, sf_dir):
     return E.rerank_impact(cand, rel, sc)
 
 
+def q_match_source_share(spark, sf_dir):
+    """Part-name keywords searched (title or tag, top 10); where did they hit."""
+    t = _tables(spark, sf_dir)
+    fact = _wh(t).fact
+    q = t["keywords"].select(F.col("keyword").alias("query_id"), "keyword",
+                             F.lit(None).cast("date").alias("min_deadline"),
+                             F.lit(None).cast("bigint").alias("min_annual_salary"),
+                             F.lit(None).cast("string").alias("company_name"),
+                             F.lit(None).cast("bigint").alias("max_experience"),
+                             F.lit(None).cast("bigint").alias("form_code"),
+                             F.lit(None).cast("string").alias("region"))
+    res = SR.search(q, fact, AS_OF, 10, use_tags=True, fallback=True)
+    return E.match_source_share(res, fact, q).withColumnRenamed("query_id", "keyword")
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -834,4 +849,5 @@ QUERIES = {
     "judgments_explode": q_judgments_explode,
     "parse_expansion": q_parse_expansion,
     "rerank_impact": q_rerank_impact,
+    "match_source_share": q_match_source_share,
 }

@@ -653,3 +653,15 @@ aft AS (SELECT keyword, sum(CASE WHEN hit THEN 1 ELSE 0 END) / 10.0 AS p_after F
 n AS (SELECT keyword, count(*) AS candidates FROM c GROUP BY keyword)
 SELECT keyword, candidates, round(p_before, 3) AS p_before, round(p_after, 3) AS p_after,
  round(p_after - p_before, 3) AS delta FROM n JOIN bef USING (keyword) JOIN aft USING (keyword)"""
+
+SQL["match_source_share"] = stream_with("keywords") + f""",
+sq AS (SELECT keyword AS query_id, keyword, CAST(NULL AS DATE) AS min_deadline, CAST(NULL AS BIGINT) AS min_annual_salary,
+  CAST(NULL AS VARCHAR) AS company_name, CAST(NULL AS BIGINT) AS max_experience, CAST(NULL AS BIGINT) AS form_code,
+  CAST(NULL AS VARCHAR) AS region FROM keywords)""" + search_ctes("a_", "sq", 10, True, True) + """,
+j AS (SELECT r.query_id, lower(coalesce(f.announcement_name, '')) AS title, list_transform(f.tags, lambda x: lower(x)) AS tg,
+  lower(r.query_id) AS kw FROM a_res r JOIN fact f USING (posting_id) WHERE r.rank <= 10),
+j2 AS (SELECT query_id, strpos(title, kw) > 0 AS it, len(list_filter(tg, lambda x: strpos(x, kw) > 0)) > 0 AS itg FROM j),
+a AS (SELECT query_id, count(*) AS results, sum(CASE WHEN it THEN 1 ELSE 0 END) AS hits_name,
+  sum(CASE WHEN NOT it AND itg THEN 1 ELSE 0 END) AS hits_tag_only FROM j2 GROUP BY query_id)
+SELECT query_id AS keyword, results, hits_name, hits_tag_only, round(hits_name / least(10, results), 4) AS share_name,
+ round((hits_name + hits_tag_only) / least(10, results), 4) AS share_any FROM a"""
