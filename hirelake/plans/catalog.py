@@ -762,6 +762,21 @@ def q_match_source_share(spark, sf_dir):
     return E.match_source_share(res, fact, q).withColumnRenamed("query_id", "keyword")
 
 
+def q_alert_stream(spark, sf_dir):
+    """The alert window's postings replayed as weekly files through the streaming
+    matcher, starting from the previous run's log; the final log equals the batch one."""
+    from ..streaming import jobs as ST
+    t = _tables(spark, sf_dir)
+    fact, subs, prof, exp = _alert_inputs(t)
+    base = _scratch(spark, "stream-alerts")
+    posts = AL.new_postings(fact, AS_OF_TS, ALERT_HOURS)
+    ST.write_in_order(posts, "created_at", F.year("created_at"), f"{base}/posts")
+    _previous_log(t).write.parquet(f"{base}/log")
+    schema = spark.read.parquet(f"{base}/posts").schema
+    ST.stream_alerts(spark, f"{base}/posts", schema, subs, prof, exp, f"{base}/log", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/log").select("user_id", "posting_id")
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -850,4 +865,5 @@ QUERIES = {
     "parse_expansion": q_parse_expansion,
     "rerank_impact": q_rerank_impact,
     "match_source_share": q_match_source_share,
+    "alert_stream": q_alert_stream,
 }

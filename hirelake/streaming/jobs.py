@@ -90,3 +90,23 @@ def write_in_order(df: DataFrame, order_col: str, chunk_expr, path: str) -> None
     chunks = sorted(r[0] for r in df.select(chunk_expr.alias("_c")).distinct().collect())
     for c in chunks:
         df.where(chunk_expr == F.lit(c)).coalesce(1).write.mode("append").parquet(path)
+
+
+def stream_alerts(spark: SparkSession, postings_dir: str, schema, subs: DataFrame, profiles: DataFrame | None,
+                  expansions: DataFrame | None, log_path: str, checkpoint: str, max_files_per_trigger: int = 1):
+    """New postings arrive as files; each micro-batch is matched against the static
+    subscriptions (stream-static join through the batch matcher), deduplicated per
+    user, anti-joined with the notification log, and appended to it."""
+    from ..operators import alerts as AL
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(postings_dir)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        log = s.read.parquet(log_path)
+        pending = AL.alerts_pending(AL.user_matches(AL.match_subscriptions(batch, subs, profiles, expansions)), log)
+        pending.select("user_id", "posting_id").write.mode("append").parquet(log_path)
+
+    q = (src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q

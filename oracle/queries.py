@@ -665,3 +665,4 @@ a AS (SELECT query_id, count(*) AS results, sum(CASE WHEN it THEN 1 ELSE 0 END)
   sum(CASE WHEN NOT it AND itg THEN 1 ELSE 0 END) AS hits_tag_only FROM j2 GROUP BY query_id)
 SELECT query_id AS keyword, results, hits_name, hits_tag_only, round(hits_name / least(10, results), 4) AS share_name,
  round((hits_name + hits_tag_only) / least(10, results), 4) AS share_any FROM a"""
+SQL["alert_stream"] = SQL["alert_log"]
