@@ -215,3 +215,54 @@ def match_source_share(results: DataFrame, fact: DataFrame, queries: DataFrame,
     return a.select("query_id", "results", "hits_name", "hits_tag_only",
                     F.round(F.col("hits_name") / d, 4).alias("share_name"),
                     F.round((F.col("hits_name") + F.col("hits_tag_only")) / d, 4).alias("share_any"))
+
+
+def parse_salary_display(c) -> F.Column:
+    """E3: '3000만원/년' -> 3000; '협의' or anything without 'N만원' -> NULL."""
+    v = F.regexp_extract(c, r"(\d+)만원", 1)
+    return F.when(c.isNull() | (c == "협의") | (v == ""), F.lit(None).cast("bigint")).otherwise(v.try_cast("bigint"))
+
+
+def parse_experience_display(c) -> F.Column:
+    """E3: '신입' -> 0; '무관' -> NULL; 'N년 ...' -> N."""
+    v = F.regexp_extract(c, r"(\d+)년", 1)
+    return (F.when(c.isNull() | (c == ""), F.lit(None).cast("bigint"))
+            .when(c.contains("신입"), F.lit(0).cast("bigint"))
+            .when(c.contains("무관"), F.lit(None).cast("bigint"))
+            .when(v != "", v.try_cast("bigint")))
+
+
+def rule_judgments(candidates: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rule-based relevance 0..3 of (query, posting) candidates.
+
+    ``candidates``: query_id, posting_id, title, region, form, experience, salary
+    (display texts); ``rules``: query_id, keywords array, regions array, form,
+    exp_kind ('신입' | '경력' | 'years' | NULL), exp_years, min_salary.
+    Job keywords must hit the title (else 0; no keywords -> base 2); -1 for a region
+    or form mismatch; experience: 신입 -> -1 if > 1 year, +1 if 0 or unknown; 경력 -> -1
+    if 0; N years -> +1 if >= N, -1 if < N-1; -1 if the salary is below the minimum;
+    clamped to 0..3.
+    """
+    j = candidates.join(rules, "query_id")
+    title = F.lower(F.coalesce("title", F.lit("")))
+    kws = F.coalesce("keywords", F.array().cast("array<string>"))
+    regs = F.coalesce("regions", F.array().cast("array<string>"))
+    job = F.exists(kws, lambda k: F.instr(title, F.lower(k)) > 0)
+    yrs = parse_experience_display(F.col("experience"))
+    sal = parse_salary_display(F.col("salary"))
+    s = F.lit(2)
+    s = s - F.when((F.size(regs) > 0) & ~F.exists(regs, lambda r: F.instr(F.coalesce("region", F.lit("")), r) > 0), 1) \
+        .otherwise(0)
+    s = s - F.when(F.col("req_form").isNotNull() & ~F.col("req_form").eqNullSafe(F.col("form")), 1).otherwise(0)
+    exp_adj = (F.when(F.col("exp_kind") == "신입",
+                      F.when(yrs.isNotNull() & (yrs > 1), -1).otherwise(1))
+               .when(F.col("exp_kind") == "경력", F.when(yrs == 0, -1).otherwise(0))
+               .when(F.col("exp_kind") == "years",
+                     F.when(yrs.isNull(), 0).when(yrs >= F.col("exp_years"), 1)
+                     .when(yrs < F.col("exp_years") - 1, -1).otherwise(0))
+               .otherwise(0))
+    s = s + exp_adj
+    s = s - F.when(F.col("min_salary").isNotNull() & (F.col("min_salary") != 0) & sal.isNotNull()
+                   & (sal < F.col("min_salary")), 1).otherwise(0)
+    score = F.when((F.size(kws) > 0) & ~job, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(3), s)))
+    return j.select("query_id", "posting_id", score.cast("int").alias("rel"))

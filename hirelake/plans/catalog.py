@@ -777,6 +777,28 @@ def q_alert_stream(spark, sf_dir):
     return spark.read.parquet(f"{base}/log").select("user_id", "posting_id")
 
 
+def q_rule_judgments(spark, sf_dir):
+    """The baseline search results judged by rules derived from each parsed query."""
+    from ..functions import text as TT
+    t = _tables(spark, sf_dir)
+    fact = _wh(t).fact
+    q = _search_queries(t)
+    res = SR.search(q, fact, AS_OF, 5).select("query_id", "posting_id").distinct()
+    cand = res.join(fact, "posting_id").select(
+        "query_id", "posting_id", F.col("announcement_name").alias("title"), F.col("region_name").alias("region"),
+        TT.form_name("form").alias("form"), TT.display_experience("experience").alias("experience"),
+        TT.display_salary("annual_salary").alias("salary"))
+    toks = F.filter(F.split(TT.strip("keyword"), TT.WS_RUN), lambda x: x != "")
+    rules = q.select(
+        "query_id", F.when(F.col("keyword").isNull(), F.array().cast("array<string>")).otherwise(toks).alias("keywords"),
+        F.when(F.col("region").isNull(), F.array().cast("array<string>")).otherwise(F.array("region")).alias("regions"),
+        F.col("form").alias("req_form"),
+        F.when(F.col("max_experience") == 0, F.lit("신입"))
+         .when(F.col("max_experience").isNotNull(), F.lit("years")).alias("exp_kind"),
+        F.col("max_experience").alias("exp_years"), F.col("min_annual_salary").alias("min_salary"))
+    return E.rule_judgments(cand, rules)
+
+
 QUERIES = {
     "normalize_postings": q_normalize_postings,
     "rejects": q_rejects,
@@ -866,4 +888,5 @@ QUERIES = {
     "rerank_impact": q_rerank_impact,
     "match_source_share": q_match_source_share,
     "alert_stream": q_alert_stream,
+    "rule_judgments": q_rule_judgments,
 }

@@ -666,3 +666,23 @@ a AS (SELECT query_id, count(*) AS results, sum(CASE WHEN it THEN 1 ELSE 0 END)
 SELECT query_id AS keyword, results, hits_name, hits_tag_only, round(hits_name / least(10, results), 4) AS share_name,
  round((hits_name + hits_tag_only) / least(10, results), 4) AS share_any FROM a"""
 SQL["alert_stream"] = SQL["alert_log"]
+
+SQL["rule_judgments"] = SEARCH_PREFIX + search_ctes("a_", "sq", 5, True, True) + f""",
+cand AS (SELECT DISTINCT r.query_id, r.posting_id, f.announcement_name AS title, f.region_name AS region,
+  CASE f.form WHEN 1 THEN '정규직' WHEN 2 THEN '계약직' WHEN 3 THEN '인턴' WHEN 4 THEN '파견직' WHEN 5 THEN '프리랜서'
+   WHEN 6 THEN '위촉직' WHEN 7 THEN '도급' WHEN 8 THEN '연수생' WHEN 9 THEN '병역특례' WHEN 10 THEN '아르바이트' END AS form,
+  f.experience AS yrs, f.annual_salary AS sal FROM a_res r JOIN fact f USING (posting_id)),
+ru AS (SELECT query_id, CASE WHEN keyword IS NULL THEN [] ELSE
+   list_filter(string_split_regex({_strip2('keyword')}, '{WS_}+'), lambda t: t <> '') END AS kws,
+  region, form AS req_form, max_experience, min_annual_salary FROM sq),
+sc AS (SELECT c.query_id, c.posting_id,
+  len(list_filter(ru.kws, lambda k: strpos(lower(coalesce(c.title, '')), lower(k)) > 0)) > 0 AS job, len(ru.kws) AS nk,
+  2 - CASE WHEN ru.region IS NOT NULL AND strpos(coalesce(c.region, ''), ru.region) = 0 THEN 1 ELSE 0 END
+    - CASE WHEN ru.req_form IS NOT NULL AND c.form IS DISTINCT FROM ru.req_form THEN 1 ELSE 0 END
+    + CASE WHEN ru.max_experience = 0 THEN CASE WHEN c.yrs IS NOT NULL AND c.yrs > 1 THEN -1 ELSE 1 END
+           WHEN ru.max_experience IS NOT NULL THEN CASE WHEN c.yrs IS NULL THEN 0 WHEN c.yrs >= ru.max_experience THEN 1
+             WHEN c.yrs < ru.max_experience - 1 THEN -1 ELSE 0 END ELSE 0 END
+    - CASE WHEN ru.min_annual_salary IS NOT NULL AND ru.min_annual_salary <> 0 AND c.sal IS NOT NULL
+           AND c.sal < ru.min_annual_salary THEN 1 ELSE 0 END AS s
+  FROM cand c JOIN ru USING (query_id))
+SELECT query_id, posting_id, CAST(CASE WHEN nk > 0 AND NOT job THEN 0 ELSE greatest(0, least(3, s)) END AS INT) AS rel FROM sc"""
