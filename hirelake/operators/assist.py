@@ -53,14 +53,26 @@ def thesaurus_expansions(keywords: DataFrame, thesaurus: DataFrame, k: int = 3)
                                                            F.array_remove("_e", F.col("keyword")))).alias("expanded"))
 
 
-def cooccurrence_thesaurus(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, related, weight): how many texts hold both words (words of each text are
-    few, so the per-row pair list is small)."""
-    words = texts.select(
-        F.array_distinct(F.filter(F.split(T.strip(text_col), T.WS_RUN), lambda t: t != "")).alias("_w"))
-    a = words.select(F.explode("_w").alias("term"), "_w")
-    pairs = a.select("term", F.explode("_w").alias("related")).where(F.col("term") != F.col("related"))
-    return pairs.groupBy("term", "related").agg(F.count(F.lit(1)).alias("weight"))
+def cooccurrence_thesaurus(texts: DataFrame, text_col: str = "text", window: int = 5) -> DataFrame:
+    """(term, related, weight): number of texts in which the two words occur within
+    ``window`` words of each other.  Pairs per text grow with words x window, not with
+    words squared, so long documents stay cheap."""
+    words = texts.select(F.filter(F.split(T.strip(text_col), T.WS_RUN), lambda t: t != "").alias("_w"))
+    n = F.size("_w")
+
+    def at(i, d):
+        return F.when(i + d < n, F.array(F.struct(F.element_at("_w", i + 1).alias("term"),
+                                                  F.element_at("_w", i + d + 1).alias("related")),
+                                         F.struct(F.element_at("_w", i + d + 1).alias("term"),
+                                                  F.element_at("_w", i + 1).alias("related"))))
+
+    near = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
+                                 lambda i: F.flatten(F.filter(F.transform(F.sequence(F.lit(1), F.lit(window)),
+                                                                          lambda d: at(i, d)),
+                                                              lambda x: x.isNotNull()))))
+    pairs = words.where(n > 1).select(F.explode(F.array_distinct(near)).alias("p")).select("p.term", "p.related")
+    return (pairs.where(F.col("term") != F.col("related"))
+            .groupBy("term", "related").agg(F.count(F.lit(1)).alias("weight")))
 
 
 def parse_scores(response: Column, n) -> Column:
