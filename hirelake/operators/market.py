@@ -36,11 +36,15 @@ def posting_texts(fact: DataFrame) -> DataFrame:
 
 
 def keyword_hits(fact: DataFrame, keywords: DataFrame, method: str = "auto",
-                 kid: str = "kid", keyword: str = "keyword") -> DataFrame:
-    """(kid, posting_id): title ILIKE %kw% OR some tag ILIKE %kw%."""
+                 kid: str = "kid", keyword: str = "keyword", index: DataFrame | None = None,
+                 stats: DataFrame | None = None) -> DataFrame:
+    """(kid, posting_id): title ILIKE %kw% OR some tag ILIKE %kw%.
+
+    ``index``/``stats`` are a stored gram index over ``posting_texts`` (n-gram method)."""
     texts = posting_texts(fact)
+    extra = {"index": index, "stats": stats} if method == "ngram" and index is not None else {}
     pairs = ngram.substring_pairs(keywords.select(F.col(kid).alias("pid"), F.col(keyword).alias("pattern")),
-                                  texts, method=method)
+                                  texts, method=method, **extra)
     return pairs.select(F.col("pid").alias(kid), F.col("tid").alias("posting_id")).distinct()
 
 

@@ -402,8 +402,11 @@ def q_text_match(spark, sf_dir):
 
 
 def q_ngram_search(spark, sf_dir):
+    """Same answer as text_match, through the gram index stored with the warehouse."""
     t = _tables(spark, sf_dir)
-    return M.keyword_hits(_wh(t).fact, t["keywords"].withColumn("kid", F.col("keyword")), method="ngram") \
+    w = _wh(t)
+    return M.keyword_hits(w.fact, t["keywords"].withColumn("kid", F.col("keyword")), method="ngram",
+                          index=w.gram_index, stats=w.gram_stats) \
         .select(F.col("kid").alias("keyword"), "posting_id")
 
 

@@ -26,6 +26,8 @@ class Warehouse:
     regions: DataFrame
     tags: DataFrame
     bridge: DataFrame      # (posting_id, tag)
+    gram_index: DataFrame | None = None   # (tid = posting_id, gram) over titles and tags
+    gram_stats: DataFrame | None = None   # (gram, df)
 
 
 def build(raw: DataFrame, today: str | None = None, existing: Warehouse | None = None,
@@ -74,7 +76,16 @@ def build_stored(raw: DataFrame, path: str, today: str | None = None, batch_id=N
                   S.dim_upsert(ok.select(F.col("company_name").alias("name"))),
                   S.dim_upsert(ok.select(F.col("region_name").alias("name"))),
                   S.dim_upsert(bridge.select(F.col("tag").alias("name"))), bridge)
-    return store(w, path, skip=("fact",))
+    stored = store(w, path, skip=("fact",))
+    from ..operators import market as M
+    from ..operators import ngram
+    idx = ngram.gram_index(M.posting_texts(stored.fact), "tid", "text").distinct()
+    idx.write.mode("overwrite").parquet(f"{path}/gram_index")
+    idx = spark.read.parquet(f"{path}/gram_index")
+    ngram.gram_stats(idx).write.mode("overwrite").parquet(f"{path}/gram_stats")
+    stored.gram_index = idx
+    stored.gram_stats = spark.read.parquet(f"{path}/gram_stats")
+    return stored
 
 
 def store(w: Warehouse, path: str, skip=()) -> Warehouse:
