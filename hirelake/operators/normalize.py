@@ -28,40 +28,38 @@ def normalize_postings(raw: DataFrame, today: str | None = None, synonyms=None)
     refuse to store (impossible deadline, missing company name).
     """
     ref = F.lit(today).cast("date") if today else F.col("batch_date")
-    sal = T.validate_salary(T.parse_salary("salary_raw"))
-    exp = T.validate_experience(T.parse_experience("career_raw"))
-    dl = T.parse_deadline("deadline_raw", ref)
-    region = T.parse_region("location_raw")
     desc = T.parse_description_tags("description_raw", synonyms)
     pos = T.parse_position_tags("position_raw")
+    # stage 1: every parse runs once per row; validation reads the parsed columns in
+    # stage 2 (each validator references its value several times inside CASE branches)
     parsed = raw.select(
         "posting_id", "batch_date", "created_at",
         F.col("company").alias("company_name"),
         F.col("title").alias("announcement_name"),
         T.parse_experience("career_raw").alias("experience_parsed"),
-        exp.alias("_exp"),
         T.parse_education("education_raw").alias("education"),
         T.parse_form("form_raw").alias("form"),
-        region.alias("_region"),
+        T.parse_region("location_raw").alias("_region"),
         T.parse_salary("salary_raw").alias("salary_parsed"),
-        sal.alias("_sal"),
-        dl.alias("_dl"),
+        T.parse_deadline("deadline_raw", ref)["deadline"].alias("deadline"),
         T.merge_tags(desc, pos).alias("tags"),
         "link", "career_raw", "salary_raw",
     )
+    sal = T.validate_salary("salary_parsed")
+    exp = T.validate_experience("experience_parsed")
     return parsed.select(
         "posting_id", "batch_date", "created_at", "company_name", "announcement_name",
         "experience_parsed",
-        F.col("_exp.value").alias("experience"),
-        F.col("_exp.rule").alias("experience_rule"),
+        exp["value"].alias("experience"),
+        exp["rule"].alias("experience_rule"),
         "education", "form",
         F.col("_region.region").alias("region_name"),
         F.col("_region.subregion").alias("subregion_name"),
         "salary_parsed",
-        F.col("_sal.value").alias("annual_salary"),
-        F.col("_sal.rule").alias("salary_rule"),
-        F.col("_dl.deadline").alias("deadline"),
-        (F.col("_dl.error") | F.col("company_name").isNull()).alias("rejected"),
+        sal["value"].alias("annual_salary"),
+        sal["rule"].alias("salary_rule"),
+        "deadline",
+        (F.col("deadline").isNull() | F.col("company_name").isNull()).alias("rejected"),
         "tags", "link", "career_raw", "salary_raw",
     )
 
