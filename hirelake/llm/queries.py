@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from hirelake.llm import simhash
+from hirelake.llm import decontam, lines, mixing, quality, simhash, suffix, urlfilter
 
 QUERIES = {
+    "op1_decontaminate": decontam.query,
+    "op2_mix_sources": mixing.query,
     "op5_simhash_dedup": simhash.query,
+    "op7_line_dedup": lines.query,
+    "op8_suffix_dedup": suffix.query,
+    "op9_url_filter": urlfilter.query,
+    "op10_quality_rules": quality.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_url_filter": urlfilter.SQL,
+    "op10_quality_rules": quality.SQL,
+}

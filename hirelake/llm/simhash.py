@@ -183,14 +183,10 @@ def links(fps: DataFrame, max_distance: int = 4, max_shard: int = MAX_SHARD) ->
     pairs at ``max_distance`` or fewer differing bits."""
     spark = fps.sparkSession
     out = None
-    masks = [(0, c) for c in child_masks(0, max_distance)]
-    level = fps.select("fp", F.lit(0).cast("bigint").alias("mask"))
+    masks = {(0, c) for c in child_masks(0, max_distance)}
+    level = fps.select("fp", F.explode(F.array(*(F.lit(_signed(c)) for _, c in sorted(masks)))).alias("mask"))
     while True:
-        steps = F.broadcast(spark.createDataFrame([(_signed(p), _signed(c)) for p, c in masks], "mask bigint, child bigint"))
-        dealt = level.join(steps, "mask").select("fp", F.col("child").alias("mask"),
-                                                 F.col("fp").bitwiseAND(F.col("child")).alias("val"))
-        if out is not None:
-            dealt = dealt.distinct()  # two parents can share a child
+        dealt = level.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("val"))
         sizes = dealt.groupBy("mask", "val").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = stored(dealt.join(sizes, ["mask", "val"]), "shards")
         # A shard with so few free bits that each has a block of its own is small anyway.
@@ -201,7 +197,9 @@ def links(fps: DataFrame, max_distance: int = 4, max_shard: int = MAX_SHARD) ->
         level = shared.where(large).select("fp", "mask")
         if fits(level, 0):
             return out.distinct()
-        masks = [(c, g) for c in {c for _, c in masks} for g in child_masks(c, max_distance)]
+        masks = {(c, g) for c in {c for _, c in masks} for g in child_masks(c, max_distance)}
+        steps = spark.createDataFrame([(_signed(p), _signed(c)) for p, c in masks], "mask bigint, child bigint")
+        level = level.join(F.broadcast(steps), "mask").select("fp", F.col("child").alias("mask")).distinct()  # parents can share a child
 
 
 def classes(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id_col: str = "doc_id",
