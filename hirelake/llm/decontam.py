@@ -30,11 +30,18 @@ from hirelake.llm.common import ROW_KEY, small, stored, with_row_key
 
 SHINGLE, THRESHOLD, BLOCKS, NEAR = 5, 0.8, 8, 2
 RADIUS = BLOCKS * (NEAR + 1) - 1
+#: The index has 296 narrow rows for each item; up to so many it is broadcast (about 10 MB).
+INDEX_ROWS = 200_000
+
+
+#: What stands between words: ASCII and Latin-1 characters other than letters and digits,
+#: general punctuation and CJK punctuation.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF\xD7\xF7\u2000-\u206F\u3000-\u303F]+"
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+"), "")
+    """Lower-cased runs of letters and digits (of all but ``GAP``)."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
 def _shingles(w: Column, size: Column | int) -> Column:
@@ -72,14 +79,15 @@ def item_table(items: DataFrame, item_col: str, text_col: str, threshold: float)
     it = items.select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0).distinct()
     it = it.select("item", F.size("w").alias("len"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), "w")
     it = it.withColumn("sh", _shingles(F.col("w"), F.col("k"))).withColumn("m", F.size("sh")).drop("w")
+    it = it.withColumn("once", F.size(F.array_distinct("sh")) == F.col("m"))
     each = it.select("*", F.explode("sh").alias("s"))
     often = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
     # A window of the item's length misses at most m - 2tm/(1+t) of its shingles; a text
     # shorter than the item is one window and misses at most m - tm.
     at_most = lambda share: F.col("m") - F.ceil(F.col("m") * F.lit(share) - 1e-9)
-    return (each.join(often, "s").groupBy("item", "len", "k", "sh", "m")
+    return (each.join(often, "s").groupBy("item", "len", "k", "sh", "m", "once")
             .agg(F.sort_array(F.collect_list(F.struct("c", F.xxhash64("s").alias("h"), "s"))).alias("rare"))
-            .select("item", "len", "k", "sh", "m",
+            .select("item", "len", "k", "sh", "m", "once",
                     F.slice("rare", F.lit(1), (at_most(2 * threshold / (1 + threshold)) + 1).cast("int")).alias("full"),
                     F.slice("rare", F.lit(1), (at_most(threshold) + 1).cast("int")).alias("short")))
 
@@ -99,11 +107,12 @@ def matches(docs: DataFrame, items: DataFrame, keys: list[str] | None = None, te
     table = stored(item_table(items, item_col, item_text_col, threshold), "items")
     shape = table.agg(F.collect_set("k").alias("k"), F.max("m").alias("m")).first()
     read = docs.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), words(F.col(text_col)).alias("w"))
-    read = read.where(F.size("w") > 0)
     lane = next(x for x in (8, 16, 32) if (shape.m or 1) < 1 << x - 1)
     hits = None
     for k in sorted(shape.k):  # at most five shingle lengths, all but one from items of under five words
-        at = read.where(F.size("w") >= k).select(*own, "w", F.explode(F.sequence(F.lit(1), F.size("w") - (k - 1))).alias("i"))
+        # The outer form keeps Spark from inferring a filter that would split every text twice.
+        every = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1))))
+        at = read.select(*own, "w", F.explode_outer(every).alias("i")).where("i is not null")
         at = at.withColumn("s", F.xxhash64(*(F.element_at("w", F.col("i") + j) for j in range(k))))
         anchors = (table.where(F.col("k") == k).select("len", "k", "m", F.explode(F.array_union("full", "short")).alias("a"),
                                                         F.array_contains(F.transform("full", lambda x: x["s"]), F.col("a.s")).alias("full"))
@@ -127,23 +136,24 @@ def matches(docs: DataFrame, items: DataFrame, keys: list[str] | None = None, te
                    F.slice("h", F.col("start") - F.col("from") + 1, many).alias("wh"))
     at = simhash(at, "wh", "fp", lane).drop("wh")
     marked = simhash(table.withColumn("h", F.transform("sh", lambda x: F.xxhash64(x))), "h", "ifp", lane).drop("h")
-    near = marked.select("item", "len", "m", "sh", "ifp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    near = marked.select("item", "len", "ifp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
     near = (near.select("*", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("value"))
             .where(F.bit_count(F.col("value").cast("bigint").bitwiseXOR(_shift(F.col("ifp"), F.col("block")))) <= NEAR))
     blocks = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).cast("int").alias("value")) for i in range(BLOCKS))))
     pairs = (at.select("*", blocks.alias("b")).select(*own, "len", "start", "size", "ws", "fp", "b.block", "b.value")
-             .join(small(near), ["len", "block", "value"])
+             .join(small(near, INDEX_ROWS), ["len", "block", "value"])
              .withColumn("diff", F.col("fp").bitwiseXOR(F.col("ifp"))))
     first = reduce(lambda a, b: a & b, ((F.col("block") <= i) | (F.bit_count(_block(F.col("diff"), i)) > NEAR) for i in range(BLOCKS)))
-    pairs = pairs.where(first & (F.bit_count("diff") <= RADIUS))
+    pairs = pairs.where(first & (F.bit_count("diff") <= RADIUS)).join(small(marked.select("item", "ifp", "sh", "once").distinct()), ["item", "ifp"])
     both = F.array_intersect("ws", "sh")
     count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
     shared = F.aggregate(both, F.lit(0), lambda a, x: a + F.least(count(F.col("ws"), x), count(F.col("sh"), x)))
-    pairs = pairs.withColumn("shared", shared)
+    # An item without repeated shingles shares each one once.
+    pairs = pairs.withColumn("shared", F.when(F.col("once"), F.size(both)).otherwise(shared))
     like = F.col("shared") / (F.size("ws") + F.size("sh") - F.col("shared"))
     best = F.struct(like.alias("similarity"), (-F.col("start")).alias("start"), F.bit_count("diff").alias("distance"), F.col("size").alias("n"))
-    return (pairs.select(*own, "item", best.alias("best")).where(F.col("best.similarity") >= threshold)
-            .groupBy(*own, "item").agg(F.max("best").alias("best"))
+    return (pairs.select(*own, "item", best.alias("best")).groupBy(*own, "item").agg(F.max("best").alias("best"))
+            .where(F.col("best.similarity") >= threshold)
             .select(*(F.col(o).alias(k) for k, o in zip(keys, own, strict=True)), F.col("item").alias("item_id"), "best.similarity",
                     "best.distance", (-F.col("best.start")).alias("start_word"), F.col("best.n").alias("n_words")))
 

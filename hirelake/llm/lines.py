@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hirelake.llm.common import ROW_KEY, arrow_rows, encoded, partitions, with_row_key
 from hirelake.llm.quality import replaced
@@ -106,7 +107,7 @@ def remove_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     differ = (rows.join(marked(met), ROW_KEY).mapInArrow(_bytes(text_col), "c1 bigint, c2 bigint, content binary")
               .groupBy("c1", "c2").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("c1", "c2"))
     marks = marked(met.join(differ, ["c1", "c2"], "left_anti"))
-    out = docs.schema
+    out = T.StructType(list(docs.schema.fields))
     for c in COUNTS:
         out = out.add(c, "long")
 

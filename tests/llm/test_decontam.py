@@ -10,7 +10,7 @@ from hirelake.llm import decontam as D
 
 
 def split(text):
-    return [w for w in regex.split(r"[^\p{L}\p{N}\p{M}]+", (text or "").lower()) if w]
+    return [w for w in regex.split(D.GAP, (text or "").lower()) if w]
 
 
 def grams(ws, k):
