@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from hirelake.llm.common import ROW_KEY, arrow_rows, encoded, partitions, with_row_key
 
 LENGTH, TRIGGER, MAX_GROUP = 200, 48, 2000
-_PIECE = 1 << 20  # window starts in one numpy pass
+_PIECE = 1 << 18  # bytes in one numpy pass: its arrays of longs stay within a core's cache
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _CACHE: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -115,8 +115,8 @@ def phrases(texts: list[bytes], length: int = LENGTH, trigger: int = TRIGGER):
         place = np.uint64((1 << 24) - 1)
         keyed = (h & ~place) | np.arange(len(h), dtype=np.uint64)
         at = (_sliding_min(keyed, length - trigger + 1) & place).astype(np.int64)
-        part = np.searchsorted(starts, np.arange(len(at)), "right") - 1
-        good = np.arange(len(at)) + length <= starts[part + 1]
+        part = np.repeat(np.arange(len(number)), np.diff(starts))[:len(at)]
+        good = np.arange(length, len(at) + length) <= starts[1:][part]
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1]) | (part[1:] != part[:-1])
         lo = np.flatnonzero(new & good)
@@ -153,25 +153,31 @@ _WINDOWS = f"{_KEY}, lo int, h1 bigint, h2 bigint"
 ALIKE, MEET, COUNT = 0, 1, 2  # what becomes of a phrase whose trigger repeats
 
 
+def marked(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The row of each element of a column of lists of structs, and its fields; a null list
+    has none."""
+    values = column.flatten()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    return np.repeat(np.arange(len(column)), sizes), {f.name: values.field(f.name).to_numpy() for f in values.type}
+
+
 def _contents(length: int, kinds: tuple[int, ...]):
     """Texts with their phrases -> the phrases of ``kinds``, with their bytes unless ALIKE
     (those get a place of their own instead of the trigger, which spreads them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_rows(batches, 4 << 20):
-            rows, lo, size, th, content = [], [], [], [], []
-            for i, (t, key, marks) in enumerate(zip(encoded(b["text"]), b[ROW_KEY[1]].to_pylist(), b["marks"].to_pylist(), strict=True)):
-                for m in marks:
-                    if m["kind"] in kinds:
-                        x, n = m["lo"], m["n"] - 1 + length
-                        rows.append(i)
-                        lo.append(x)
-                        size.append(n)
-                        th.append(key ^ x if m["kind"] == ALIKE else m["th"])
-                        content.append(None if m["kind"] == ALIKE else t[x:x + n])
-            at = pa.array(rows, pa.int64())
+            rows, m = marked(b["marks"])
+            chosen = np.isin(m["kind"], kinds)
+            rows, lo, th, alike = rows[chosen], m["lo"][chosen], m["th"][chosen], m["kind"][chosen] == ALIKE
+            size = m["n"][chosen].astype(np.int32) + (length - 1)
+            key = b[ROW_KEY[1]].to_numpy()[rows]
+            texts = encoded(b["text"])
+            content = [None if a else texts[i][x:x + n] for a, i, x, n in
+                       zip(alike.tolist(), rows.tolist(), lo.tolist(), size.tolist(), strict=True)]
+            at = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [*(b[c].take(at) for c in ROW_KEY), pa.array(lo, pa.int32()), pa.array(size, pa.int32()), pa.array(th, pa.int64()),
+                [*(b[c].take(at) for c in ROW_KEY), pa.array(lo, pa.int32()), pa.array(size, pa.int32()), pa.array(np.where(alike, key ^ lo, th), pa.int64()),
                  pa.array(content, pa.binary())], [*ROW_KEY, "lo", "size", "th", "content"])
 
     return run
@@ -183,16 +189,15 @@ def _hashes(contents: list[bytes], length: int):
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(contents), np.uint8)
     h = [rolling(data, length, b) for b in _BASES]
-    at = np.arange(len(h[0]))
-    part = np.searchsorted(ends, at, "right")
-    good = np.flatnonzero(at + length <= ends[part])
+    part = np.repeat(np.arange(len(sizes)), sizes)[:len(h[0])]
+    good = np.flatnonzero(np.arange(length, len(h[0]) + length) <= ends[part])
     part = part[good]
     return part, good - (ends - sizes)[part], h[0][good], h[1][good]
 
 
 def _window_hashes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in arrow_rows(batches, 1 << 20):
+        for b in arrow_rows(batches, 1 << 19):
             part, i, h1, h2 = _hashes(encoded(b["content"]), length)
             at = pa.array(part, pa.int64())
             lo = b["lo"].take(at).to_numpy(zero_copy_only=False) + i
@@ -202,7 +207,7 @@ def _window_hashes(length: int):
     return run
 
 
-def _ordered(length: int, budget: int = 4 << 20):
+def _ordered(length: int, budget: int = 1 << 19):
     """Phrases sorted by trigger -> spans of repeated windows; holds whole triggers of
     about ``budget`` bytes at a time (one trigger's phrases are bounded by max_group)."""
 
@@ -317,8 +322,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_rows(batches):
             n, gone, runs, kept = [], [], [], []
-            for t, marks in zip(encoded(b["text"]), b["marks"].to_pylist(), strict=True):
-                r = merged([(m["lo"], m["size"]) for m in marks or ()])
+            rows, m = marked(b["marks"])
+            ends = np.searchsorted(rows, np.arange(b.num_rows), "right").tolist()
+            spans = list(zip(m["lo"].tolist(), m["size"].tolist(), strict=True))
+            for t, start, end in zip(encoded(b["text"]), [0, *ends], ends):
+                r = merged(spans[start:end])
                 n.append(len(t))
                 gone.append(sum(y - x for x, y in r))
                 runs.append([{"start": x, "stop": y} for x, y in r])
