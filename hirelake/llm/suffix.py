@@ -10,13 +10,15 @@ its sequence of phrases (trigger, content hash, place).
 
 *Dictionary.*  Spark counts triggers with map-side combining.  A trigger seen once has no
 repeated window, so its phrases leave here.  If all phrases of a trigger are equal, all
-their windows are repeated.  Only phrases that share a trigger but differ go on.
+their windows are repeated.  Where phrases of a trigger differ, equal ones are counted and
+collapsed: all their windows are repeated, and one of them stands for them in the
+dictionary.
 
-*Order.*  Those phrases meet by trigger and their suffixes are put in order, to the depth
+*Order.*  The dictionary's phrases meet by trigger and their suffixes are put in order, to the depth
 that matters: by two independent 64-bit hashes of the first ``length`` bytes instead of
 lexicographically, since only "equal for ``length`` bytes" is asked.  Neighbours that agree
-are repeated windows.  A trigger with more than ``max_group`` differing phrases does not
-meet in one task: its windows are counted one by one with map-side combining, and the
+are repeated windows.  A trigger with more than ``max_group`` dictionary phrases does not
+meet in one task: their windows are counted one by one with map-side combining, and the
 counts joined back.
 
 Texts are shuffled once (one exchange by row key that three stages read); what else moves
@@ -37,7 +39,7 @@ from pyspark.sql import types as T
 
 from hirelake.llm.common import ROW_KEY, arrow_rows, encoded, partitions, with_row_key
 
-LENGTH, TRIGGER, MAX_GROUP = 200, 48, 2000
+LENGTH, TRIGGER, MAX_GROUP = 200, 48, 8000
 _PIECE = 1 << 18  # bytes in one numpy pass: its arrays of longs stay within a core's cache
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _CACHE: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -150,7 +152,10 @@ _PARSE = f"{_KEY}, lo int, n smallint, off smallint, th bigint, ch bigint"
 _SPAN = f"{_KEY}, lo int, size int"
 _CONTENT = f"{_KEY}, lo int, size int, th bigint, content binary"
 _WINDOWS = f"{_KEY}, lo int, h1 bigint, h2 bigint"
-ALIKE, MEET, COUNT = 0, 1, 2  # what becomes of a phrase whose trigger repeats
+# What becomes of a phrase whose trigger repeats: all of it is repeated; it goes to the
+# dictionary to meet others or to have its windows counted; the latter two for a phrase
+# that is repeated itself (its dictionary entry).
+ALIKE, MEET, COUNT, MEET_ALIKE, COUNT_ALIKE = range(5)
 
 
 def marked(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -161,15 +166,17 @@ def marked(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return np.repeat(np.arange(len(column)), sizes), {f.name: values.field(f.name).to_numpy() for f in values.type}
 
 
-def _contents(length: int, kinds: tuple[int, ...]):
-    """Texts with their phrases -> the phrases of ``kinds``, with their bytes unless ALIKE
-    (those get a place of their own instead of the trigger, which spreads them)."""
+def _contents(length: int, whole: tuple[int, ...], kinds: tuple[int, ...]):
+    """Texts with their phrases -> rows without content for ``whole`` (they get a place of
+    their own instead of the trigger, which spreads them), with content for ``kinds``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_rows(batches, 4 << 20):
             rows, m = marked(b["marks"])
-            chosen = np.isin(m["kind"], kinds)
-            rows, lo, th, alike = rows[chosen], m["lo"][chosen], m["th"][chosen], m["kind"][chosen] == ALIKE
+            parts = [np.flatnonzero(np.isin(m["kind"], k)) for k in (whole, kinds)]
+            chosen = np.concatenate(parts)
+            alike = np.arange(len(chosen)) < len(parts[0])
+            rows, lo, th = rows[chosen], m["lo"][chosen], m["th"][chosen]
             size = m["n"][chosen].astype(np.int32) + (length - 1)
             key = b[ROW_KEY[1]].to_numpy()[rows]
             texts = encoded(b["text"])
@@ -280,17 +287,28 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     so that its one exchange serves all reads."""
     parse = rows.mapInArrow(_parse(length, trigger), _PARSE)
     seen = parse.groupBy("th").agg(F.count(F.lit(1)).alias("seen"), F.min("ch").alias("c1"), F.max("ch").alias("c2")).where("seen > 1")
-    kind = F.when(F.col("c1") == F.col("c2"), ALIKE).when(F.col("seen") <= max_group, MEET).otherwise(COUNT)
-    live = parse.join(seen.select("th", kind.cast("tinyint").alias("kind")), "th")
-    marks = live.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("lo", "n", "th", "kind")).alias("marks"))
-
-    def contents(*kinds: int) -> DataFrame:
-        some = marks.where(F.exists("marks", lambda m: m["kind"].isin(*kinds)))
-        return rows.join(some, ROW_KEY).mapInArrow(_contents(length, kinds), _CONTENT)
-
-    met = (contents(ALIKE, MEET).repartition(partitions(rows.sparkSession), "th").sortWithinPartitions("th")
+    live = parse.join(seen.select("th", (F.col("c1") == F.col("c2")).alias("alike")), "th")
+    # Grouped by one hash of trigger and content, so that a hot trigger's phrases spread.
+    mixed = live.where(~F.col("alike")).withColumn("phrase", F.xxhash64("th", "ch"))
+    place = F.struct(*ROW_KEY, "lo")
+    entries = mixed.groupBy("phrase", "ch").agg(F.first("th").alias("th"), F.count(F.lit(1)).alias("equal"), F.min(place).alias("entry"))
+    many = entries.groupBy("th").agg(F.count(F.lit(1)).alias("phrases")).where(F.col("phrases") > max_group).withColumn("many", F.lit(True))
+    entries = entries.join(many, "th", "left").select("phrase", "ch", "equal", "entry", F.coalesce("many", F.lit(False)).alias("many"))
+    once = F.when(F.col("many"), COUNT).otherwise(MEET)
+    both = F.when(F.col("many"), COUNT_ALIKE).otherwise(MEET_ALIKE)
+    kind = F.when(F.col("equal") == 1, once).when(place == F.col("entry"), both).otherwise(ALIKE)
+    columns = [*ROW_KEY, "lo", "n", "th"]
+    kinds = (live.where("alike").select(*columns, F.lit(ALIKE).alias("kind"))
+             .unionByName(mixed.join(entries, ["phrase", "ch"]).select(*(mixed[c] for c in columns), kind.alias("kind"))))
+    marks = kinds.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("lo", "n", "th", F.col("kind").cast("tinyint").alias("kind"))).alias("marks"))
+
+    def contents(whole: tuple[int, ...], kinds: tuple[int, ...]) -> DataFrame:
+        some = marks.where(F.exists("marks", lambda m: m["kind"].isin(*whole, *kinds)))
+        return rows.join(some, ROW_KEY).mapInArrow(_contents(length, whole, kinds), _CONTENT)
+
+    met = (contents((ALIKE, MEET_ALIKE, COUNT_ALIKE), (MEET, MEET_ALIKE)).repartition(partitions(rows.sparkSession), "th").sortWithinPartitions("th")
            .mapInArrow(_ordered(length), _SPAN))
-    windows = contents(COUNT).mapInArrow(_window_hashes(length), _WINDOWS)
+    windows = contents((), (COUNT, COUNT_ALIKE)).mapInArrow(_window_hashes(length), _WINDOWS)
     often = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     counted = windows.join(often, ["h1", "h2"]).select(*ROW_KEY, "lo", F.lit(length).alias("size"))
     return met.unionByName(counted)
