@@ -21,8 +21,10 @@ are repeated windows.  A trigger with more than ``max_group`` dictionary phrases
 meet in one task: their windows are counted one by one with map-side combining, and the
 counts joined back.
 
-Texts are shuffled once (one exchange by row key that three stages read); what else moves
-is a few longs for each phrase, and the contents of the differing phrases.
+Texts are parsed where they are read (twice: to count triggers, then to keep the phrases of
+repeated ones, which are stored) and shuffled once (one exchange by row key that the stages
+after that share); what else moves is a few longs for each phrase, and the contents of the
+dictionary's phrases.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.llm.common import ROW_KEY, arrow_rows, encoded, partitions, with_row_key
+from hirelake.llm.common import ROW_KEY, arrow_rows, encoded, partitions, stored, with_row_key
 
 LENGTH, TRIGGER, MAX_GROUP = 200, 48, 8000
 _PIECE = 1 << 18  # bytes in one numpy pass: its arrays of longs stay within a core's cache
@@ -281,13 +283,13 @@ def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, max_group: int = MAX_GROUP) -> DataFrame:
-    """``rows(row key, text)``, dealt by row key -> (row key, lo, size) byte spans whose
-    union is what repeats; they may overlap.  All columns of ``rows`` are read everywhere,
-    so that its one exchange serves all reads."""
-    parse = rows.mapInArrow(_parse(length, trigger), _PARSE)
+def repeated_spans(keyed: DataFrame, rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, max_group: int = MAX_GROUP) -> DataFrame:
+    """``keyed(row key, text)``, and the same ``rows`` dealt by row key -> (row key, lo,
+    size) byte spans whose union is what repeats; they may overlap.  All columns of
+    ``rows`` are read everywhere, so that its one exchange serves all reads."""
+    parse = keyed.mapInArrow(_parse(length, trigger), _PARSE)
     seen = parse.groupBy("th").agg(F.count(F.lit(1)).alias("seen"), F.min("ch").alias("c1"), F.max("ch").alias("c2")).where("seen > 1")
-    live = parse.join(seen.select("th", (F.col("c1") == F.col("c2")).alias("alike")), "th")
+    live = stored(parse.join(seen.select("th", (F.col("c1") == F.col("c2")).alias("alike")), "th"), "phrases")
     # Grouped by one hash of trigger and content, so that a hot trigger's phrases spread.
     mixed = live.where(~F.col("alike")).withColumn("phrase", F.xxhash64("th", "ch"))
     place = F.struct(*ROW_KEY, "lo")
@@ -315,10 +317,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
 
 
 def keyed_texts(docs: DataFrame, columns: list[str], id_col: str, text_col: str) -> DataFrame:
-    """``columns``, the row key and ``text``, dealt out by row key for several reads."""
-    rows = with_row_key(docs, id_col, text_col).select(*(F.col(c).alias(f"__hl_c{i}") for i, c in enumerate(columns)), *ROW_KEY,
+    """``columns``, the row key and ``text``."""
+    return with_row_key(docs, id_col, text_col).select(*(F.col(c).alias(f"__hl_c{i}") for i, c in enumerate(columns)), *ROW_KEY,
                                                        F.col(text_col).alias("text"))
-    return rows.repartition(partitions(docs.sparkSession), *ROW_KEY)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -328,8 +329,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null text counts as empty, texts shorter than ``length`` lose nothing, repeated rows
     are texts of their own and so repeat each other.  Empty table: no rows."""
-    rows = keyed_texts(docs, [id_col], id_col, text_col)
-    spans = repeated_spans(rows, length, trigger, max_group)
+    keyed = keyed_texts(docs, [id_col], id_col, text_col)
+    rows = keyed.repartition(partitions(docs.sparkSession), *ROW_KEY)
+    spans = repeated_spans(keyed, rows, length, trigger, max_group)
     per_text = spans.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("lo", "size")).alias("marks"))
     out = docs.select(id_col).schema
     for c in ("n_bytes", "n_removed", "n_spans"):
