@@ -9,6 +9,7 @@ that a caller brings along cannot clash.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -34,6 +35,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Let no more than ``size`` bytes of texts go to a Python worker at once: Spark's own
+    bound (64 MB) is for each task, on both sides.  A lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key, "-1"))
+    if now is None or not 0 < int(now[1]) <= size:
+        spark.conf.set(key, str(size))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

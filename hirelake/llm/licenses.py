@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import arrow_rows
+from hirelake.llm.common import arrow_rows, bounded_batches
 
 #: Notices by which public licenses are commonly stated, and their kind.
 TEMPLATES = [
@@ -137,6 +137,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     Null and empty texts have none; repeated rows are scanned each; equal templates tie in
     the order given.  Empty table: no rows."""
+    bounded_batches(docs.sparkSession)
     read = docs.where(F.col(text_col).rlike(CUE)).select(id_col, text_col)
     out = docs.select(id_col).schema.add("start", "long").add("end", "long").add("license", "string").add("kind", "string")
     out = out.add("reduction", "double").add("n_missing", "long").add("n_added", "long")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.llm.common import ROW_KEY, arrow_rows, encoded, partitions, with_row_key
+from hirelake.llm.common import ROW_KEY, arrow_rows, bounded_batches, encoded, partitions, with_row_key
 from hirelake.llm.quality import replaced
 
 WINDOW, DIVISOR = 2, 3
@@ -93,6 +93,7 @@ def remove_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts stay as they are (no line, one empty line).  A text of one line
     has no multi-line chunk.  Rows equal in id and text share every decision, so repeated
     rows do not remove each other's chunks.  Empty table: no rows."""
+    bounded_batches(docs.sparkSession)
     columns = docs.columns
     rows = with_row_key(docs, id_col, text_col).repartition(partitions(docs.sparkSession), *ROW_KEY)
     key = f"{ROW_KEY[0]} bigint, {ROW_KEY[1]} bigint"

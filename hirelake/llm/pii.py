@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.llm.common import ROW_KEY, arrow_rows, small, stored, with_row_key
+from hirelake.llm.common import ROW_KEY, arrow_rows, bounded_batches, small, stored, with_row_key
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 5, 0.8
@@ -127,6 +127,7 @@ _INSTANCE = T.StructType().add("kind", "integer").add("start", "long").add("end"
 
 def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(``id_col``, row key, ``__hl_base`` spans, ``__hl_found`` instances) of every row."""
+    bounded_batches(docs.sparkSession)
     read = with_row_key(docs.select(id_col, text_col), id_col, text_col)
     out = read.drop(text_col).schema.add("__hl_base", T.ArrayType(_SPAN)).add("__hl_found", T.ArrayType(_INSTANCE))
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))

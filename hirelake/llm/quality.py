@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import arrow_rows, encoded, small, stored
+from hirelake.llm.common import arrow_rows, bounded_batches, encoded, small, stored
 
 MIN_WORDS, MAX_REPEAT, MAX_SHARE, MIN_DOCS, MIN_KEPT = 50, 50, 0.1, 50, 30
 SYMBOLS = b"#*$%&|<>"
@@ -82,6 +82,7 @@ def _host(host_col: str):
 def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_share: float = MAX_SHARE,
                    min_docs: int = MIN_DOCS) -> DataFrame:
     """(``__hl_host``, ``__hl_lines`` array of line hashes) of hosts with lines over the limit."""
+    bounded_batches(docs.sparkSession)
     read = docs.select(_host(host_col).alias("__hl_host"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("__hl_t"),
                        F.col(text_col).alias("__hl_x"))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import ROW_KEY, arrow_rows, encoded, fits, stored, with_row_key
+from hirelake.llm.common import ROW_KEY, arrow_rows, bounded_batches, encoded, fits, stored, with_row_key
 from hirelake.llm.components import components
 
 SEED = 42
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     anything but ASCII white space, ``shingle``-word shingles with repeats, XXH64 seed 42,
     a bit set if over half of the hashes have it.  Fewer words: the whole sequence is the
     one shingle; no words or null: 0."""
+    bounded_batches(docs.sparkSession)
     keyed = with_row_key(docs.select(id_col, text_col), id_col, text_col)
     out = keyed.drop(text_col).withColumn("__hl_fp", F.lit(0).cast("bigint")).schema
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.llm.common import ROW_KEY, arrow_rows, encoded, partitions, stored, with_row_key
+from hirelake.llm.common import ROW_KEY, arrow_rows, bounded_batches, encoded, partitions, stored, with_row_key
 
 LENGTH, TRIGGER, MAX_GROUP = 200, 48, 8000
 _PIECE = 1 << 18  # bytes in one numpy pass: its arrays of longs stay within a core's cache
@@ -329,6 +329,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null text counts as empty, texts shorter than ``length`` lose nothing, repeated rows
     are texts of their own and so repeat each other.  Empty table: no rows."""
+    bounded_batches(docs.sparkSession)
     keyed = keyed_texts(docs, [id_col], id_col, text_col)
     rows = keyed.repartition(partitions(docs.sparkSession), *ROW_KEY)
     spans = repeated_spans(keyed, rows, length, trigger, max_group)

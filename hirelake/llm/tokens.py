@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import ROW_TEXT, arrow_rows, stored, with_row_key
+from hirelake.llm.common import ROW_TEXT, arrow_rows, bounded_batches, stored, with_row_key
 
 TOKENIZERS = "/opt/tokenizers"
 BASE, MULTI = "byte_bpe_50k", "byte_bpe_multi_50k"
@@ -47,6 +47,7 @@ def count_tokens(docs: DataFrame, version: str = BASE, folder: str = TOKENIZERS,
     ``doc`` is the id as a string; rows with a null id are named by their text's hash.
     Special tokens' strings are ordinary text; a null text has no tokens; null sources and
     languages are groups of their own."""
+    bounded_batches(docs.sparkSession)
     path = f"{folder}/{version}.tiktoken"
     read = with_row_key(docs.select(id_col, source_col, lang_col, text_col), id_col, text_col).select(
         F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.col(ROW_TEXT).cast("string"))).alias("doc"),
