@@ -39,7 +39,7 @@ def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     """Let no more than ``size`` bytes of texts go to a Python worker at once: Spark's own
     bound (64 MB) is for each task, on both sides.  A lower setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key, "-1"))
+    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key))
     if now is None or not 0 < int(now[1]) <= size:
         spark.conf.set(key, str(size))
 
