@@ -9,7 +9,7 @@ import test_simhash
 from hirelake.llm import quality as Q
 from hirelake.llm.common import stored
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.001"
 
 
 def brute_quality(rows):
