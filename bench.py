@@ -32,6 +32,11 @@ HEADLINE = [
     "search_adaptive",
     "match_expanded",
     "alert_digest",
+    "alert_log",
+    "rerank",
+    "stream_ingest",
+    "events_daily_new",
+    "ingest_csv",
     "ndcg",
     "eval_summary",
 ]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from .keys import sequential_ids
 
 
 def _first_line(c: Column) -> Column:
@@ -86,6 +87,50 @@ def parse_scores(response: Column, n) -> Column:
     return F.slice(F.concat(vals, pad), 1, n)
 
 
+def lexical_responder(items: list[dict], query: str) -> str | None:
+    """The default model stand-in: for each item, ten times the share of the query's words
+    found in its title and tags, as one line; an empty query gets no answer."""
+    words = query.lower().split()
+    if not words:
+        return None
+    return ", ".join(str(10.0 * sum(w in x["text"] for w in words) / len(words)) for x in items)
+
+
+def rerank(results: DataFrame, fact: DataFrame, queries: DataFrame, responder=lexical_responder,
+           batch: int = V.RERANK_BATCH) -> DataFrame:
+    """L2: (query_id, rank, posting_id, score) with the results of each query sorted stably
+    by score.
+
+    ``responder(items, query)`` answers for one batch of consecutive results, each with
+    its lower-cased title and first five tags; an answer that fails (an exception) or is
+    missing scores the whole batch 5.0, too few scores are padded with it.  A query's
+    batches are scored in parallel, wherever Spark places them."""
+    first = F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, 5)
+    text = F.lower(F.concat_ws(" ", F.coalesce("announcement_name", F.lit("")), F.array_join(first, " ")))
+    items = (results.join(fact.select("posting_id", text.alias("text")), "posting_id")
+             .withColumn("batch_no", F.floor((F.col("rank") - 1) / batch)))
+    batches = (items.groupBy("query_id", "batch_no")
+               .agg(F.sort_array(F.collect_list(F.struct("rank", "posting_id", "text"))).alias("items"))
+               .join(queries.select("query_id", F.coalesce("keyword", F.lit("")).alias("query")), "query_id"))
+
+    def answer(frames):
+        for df in frames:
+            out = []
+            for items, query in zip(df["items"], df["query"], strict=True):
+                try:
+                    out.append(responder(list(items), query))
+                except Exception:  # noqa: BLE001 - the contract: a failed call scores 5.0
+                    out.append(None)
+            yield df.assign(response=out)
+
+    scored = batches.mapInPandas(answer, "query_id bigint, batch_no bigint, items array<struct<rank:int,posting_id:bigint,text:string>>, "
+                                         "query string, response string")
+    each = (scored.select("query_id", F.posexplode(F.arrays_zip("items", parse_scores(F.col("response"), F.size("items")).alias("s"))).alias("p", "x"))
+            .select("query_id", F.col("x.items.rank").alias("rank"), F.col("x.items.posting_id").alias("posting_id"), F.col("x.s").alias("score")))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("rank").asc())
+    return each.withColumn("rank", F.row_number().over(w)).select("query_id", "rank", "posting_id", "score")
+
+
 def rerank_batches(results: DataFrame, batch: int = V.RERANK_BATCH, key: str = "query_id") -> DataFrame:
     """L2 batching: consecutive groups of ``batch`` results per key, in rank order, as
     (key, batch_no, items) — the unit a model call scores."""
@@ -115,16 +160,18 @@ def tag_enrich(fact: DataFrame, responses: DataFrame) -> DataFrame:
                     .when(F.size(new) > 0, F.lit("tagged")).otherwise(F.lit("skipped")).alias("outcome"))
 
 
-def tag_backlog(fact: DataFrame, as_of: str, created_on: str | None = None, limit: int = 1000,
+def tag_backlog(fact: DataFrame, as_of: str, created_on: str | None = None, limit: int | None = None,
                 batch: int = V.TAG_BATCH) -> DataFrame:
-    """L4: postings to tag — created on a day, else valid ones — by id, first ``limit``,
-    in batches of ``batch`` (``limit`` bounds the ordered set)."""
+    """L4: postings to tag — created on a day, else valid ones — by id (the first
+    ``limit`` if one is given), in batches of ``batch``, numbered by distributed ids."""
     if created_on:
         f = fact.where(F.to_date("created_at") == F.lit(created_on).cast("date"))
     else:
         f = fact.where(F.col("deadline") >= F.lit(as_of).cast("date"))
-    top = f.select("posting_id").orderBy("posting_id").limit(limit)
-    return top.withColumn("batch_no", F.floor((F.row_number().over(Window.orderBy("posting_id")) - 1) / batch))
+    top = f.select("posting_id")
+    if limit is not None:
+        top = top.orderBy("posting_id").limit(limit)
+    return sequential_ids(top, ["posting_id"], id_col="n").select("posting_id", F.floor((F.col("n") - 1) / batch).alias("batch_no"))
 
 
 def judge_score(response: Column) -> Column:

@@ -33,6 +33,28 @@ def posting_cards(results: DataFrame, fact: DataFrame, today: str, rank_col: str
     return j.select(*results.columns, F.concat_ws("\n", *lines).alias("card"))
 
 
+def listing_fields(rows: DataFrame, site: str, html_col: str = "html") -> DataFrame:
+    """A listing row's fields: title, absolute link, company, the six cells by
+    position (career, education, location, form, salary, position; missing ones empty),
+    deadline and description.  Rows without a title link or a company are skipped."""
+    html = F.col(html_col)
+
+    def one(pattern: str, group: int = 1):
+        return F.regexp_extract(html, "(?s)" + pattern, group)
+
+    title = r'<td class="tplTit">\s*<strong>\s*<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+    company = r'<td class="tplCo">\s*<a\b[^>]*>(.*?)</a>'
+    cells = F.regexp_extract_all(html, F.lit(r'(?s)<span class="cell">(.*?)</span>'), 1)
+    names = ["career", "education", "location", "form", "salary", "position"]
+    found = rows.where(html.rlike("(?s)" + title) & html.rlike("(?s)" + company))
+    return found.select(
+        *[c for c in rows.columns if c != html_col], T.strip(one(title, 2)).alias("title"),
+        F.concat(F.lit(site), one(title, 1)).alias("link"), T.strip(one(company)).alias("company"),
+        *[T.strip(F.coalesce(F.get(cells, F.lit(i)), F.lit(""))).alias(n) for i, n in enumerate(names)],
+        T.strip(one(r'<td class="odd">.*?<span class="date[^"]*">(.*?)</span>')).alias("deadline"),
+        T.strip(one(r'<p class="dsc">(.*?)</p>')).alias("description"))
+
+
 def posted_within(time_text, today, days: int):
     """P16 predicate: minutes/hours ago -> true; 'N일 전 등록' -> N <= days; 'MM/DD'
     -> age in days <= days (a future date means last year); anything else false."""

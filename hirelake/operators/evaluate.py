@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 MODES_ORDER_COL = "mode_ord"
 
 
@@ -46,19 +48,46 @@ def per_query(runs: DataFrame, judgments: DataFrame, k: int, p_threshold: int =
 
 def summary(runs: DataFrame, judgments: DataFrame, ks=(5, 10), all_queries: DataFrame | None = None) -> DataFrame:
     """Per mode, mean of each metric over (query, mode) pairs that have results and
-    judgments; with ``all_queries`` the sum is divided by the number of all queries."""
-    out = None
+    judgments; with ``all_queries`` the sum is divided by the number of all queries.
+
+    One pass for all ``ks``: results join the judgments once, the ideal ranking is made
+    once up to the largest k, and each k is a conditional sum."""
+    def within(k, rank, x):
+        return F.sum(F.when(F.col(rank) <= k, x))
+
+    top = max(ks)
+    seen = (runs.where(F.col("rank") <= top).join(judgments, ["query_id", "doc_id"], "left")
+            .withColumn("rel", F.coalesce("rel", F.lit(0))))
+    got = seen.groupBy("query_id", "mode").agg(
+        *[within(k, "rank", _gain()).alias(f"dcg_{k}") for k in ks],
+        *[(within(k, "rank", F.when(F.col("rel") >= 1, 1).otherwise(0)) / float(k)).alias(f"p_{k}") for k in ks],
+        *[F.max(F.when((F.col("rank") <= k) & (F.col("rel") >= 2), 1.0).otherwise(0.0)).alias(f"hit_{k}") for k in ks])
+    w = Window.partitionBy("query_id").orderBy(F.col("rel").desc(), F.col("doc_id").asc())
+    ideal = (judgments.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
+             .groupBy("query_id").agg(*[within(k, "_r", _gain("_r")).alias(f"idcg_{k}") for k in ks]))
+    j = got.join(ideal, "query_id")
+    names = []
     for k in ks:
-        pq = per_query(runs, judgments, k)
-        if all_queries is None:
-            a = pq.groupBy("mode").agg(F.avg("ndcg").alias(f"ndcg_{k}"), F.avg("precision").alias(f"p_{k}"),
-                                       F.avg("hit").alias(f"hit_{k}"))
-        else:
-            n = all_queries.select("query_id").distinct().count()
-            a = pq.groupBy("mode").agg((F.sum("ndcg") / n).alias(f"ndcg_{k}"),
-                                       (F.sum("precision") / n).alias(f"p_{k}"), (F.sum("hit") / n).alias(f"hit_{k}"))
-        out = a if out is None else out.join(a, "mode", "full_outer")
-    return out
+        j = j.withColumn(f"ndcg_{k}", F.when(F.col(f"idcg_{k}") > 0, F.col(f"dcg_{k}") / F.col(f"idcg_{k}")).otherwise(0.0))
+        names += [f"ndcg_{k}", f"p_{k}", f"hit_{k}"]
+    if all_queries is None:
+        return j.groupBy("mode").agg(*[F.avg(c).alias(c) for c in names])
+    n = all_queries.select("query_id").distinct().count()
+    return j.groupBy("mode").agg(*[(F.sum(c) / n).alias(c) for c in names])
+
+
+def overlap_at_k(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """per query with results on either side, how many of the first ``k`` results the
+    two share, and that as a share of ``k``.  Inputs are (query_id, rank, posting_id)."""
+    side = lambda df, name: df.where(F.col("rank") <= k).select("query_id", "posting_id", F.lit(1).alias(name))
+    j = side(a, "_a").join(side(b, "_b"), ["query_id", "posting_id"], "full_outer")
+    both = F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1))
+    return j.groupBy("query_id").agg(both.alias("shared"), (both / F.lit(float(k))).alias("overlap"))
+
+
+def unmapped_judgments(judgments: DataFrame, documents: DataFrame) -> DataFrame:
+    """Judged pairs whose document id no longer exists."""
+    return judgments.select("query_id", "doc_id").join(documents.select("doc_id"), "doc_id", "left_anti").select("query_id", "doc_id")
 
 
 def by_type(runs: DataFrame, judgments: DataFrame, types: DataFrame, k: int = 10,
@@ -128,7 +157,8 @@ def known_item(runs: DataFrame, targets: DataFrame, ks=(5, 10)) -> DataFrame:
     """Per mode, Hit@k, MRR (miss = 0) and zero-result rate over all targets,
     rounded to 4 decimals.  ``targets(query_id, doc_id)``: the one correct document."""
     modes = runs.select("mode").distinct()
-    t = targets.join(F.broadcast(modes), F.lit(True))  # targets x modes: bounded by the mode count
+    names = F.array_sort(F.collect_set("mode"))  # of the runs' systems, a handful
+    t = targets.withColumn("mode", F.explode(F.array(*(F.lit(m) for m in modes.agg(names).first()[0]))))
     n_res = runs.groupBy("query_id", "mode").agg(F.count(F.lit(1)).alias("_n"))
     found = runs.join(targets, ["query_id", "doc_id"]).groupBy("query_id", "mode").agg(F.min("rank").alias("_rk"))
     j = t.join(found, ["query_id", "mode"], "left").join(n_res, ["query_id", "mode"], "left")
@@ -138,15 +168,16 @@ def known_item(runs: DataFrame, targets: DataFrame, ks=(5, 10)) -> DataFrame:
                                  .alias("zero_rate"))
 
 
-def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, share: float = 0.7,
-                      seed: int = 42) -> DataFrame:
-    """``round(n * share)`` rows where ``stratum`` is true, the rest where false,
-    each picked in the order of a seeded hash of the id (reproducible)."""
-    n_true = int(round(n * share))
-    w = Window.partitionBy(F.col(stratum)).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col))
-    r = df.withColumn("_r", F.row_number().over(w))
-    return r.where((F.col(stratum) & (F.col("_r") <= n_true)) | (~F.col(stratum) & (F.col("_r") <= n - n_true))) \
-        .drop("_r")
+def stratified_sample(df: DataFrame, id_col: str, stratum, n: int, share: float = 0.7, seed: int = 42) -> DataFrame:
+    """``int(n * share)`` rows where ``stratum`` (a boolean column) holds, or all there
+    are; then rows where it does not (a NULL counts as such) until ``n``, or all there are.
+    Each stratum goes in the order of md5(id || ':' || seed), then the id, through a
+    distributed top-k (every task keeps its first ``n`` only)."""
+    yes = F.coalesce(stratum, F.lit(False))
+    order = [F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")).cast("binary")), F.col(id_col)]
+    first = df.where(yes).orderBy(*order).limit(int(n * share))
+    first = materialize(first, "stratum")
+    return first.unionByName(df.where(~yes).orderBy(*order).limit(n - first.count()))
 
 
 def filter_regression(expected: DataFrame, actual: DataFrame, key: str = "query_id") -> DataFrame:
@@ -174,6 +205,13 @@ def expansion_impact(before: DataFrame, after: DataFrame) -> DataFrame:
                                                   F.round(F.col("matched_after") / F.col("matched_before"), 2))))
 
 
+def expansion_totals(impact: DataFrame) -> DataFrame:
+    """E11 totals row: sums over all keywords and the ratio of the sums."""
+    return (impact.agg(F.count(F.lit(1)).alias("keywords"), F.sum("matched_before").alias("matched_before"),
+                       F.sum("matched_after").alias("matched_after"), F.sum("new_matches").alias("new_matches"))
+            .withColumn("expansion_ratio", F.when(F.col("matched_before") > 0, F.round(F.col("matched_after") / F.col("matched_before"), 2))))
+
+
 def rerank_impact(candidates: DataFrame, relevant: DataFrame, scores: DataFrame, k: int = 10,
                   pool: int = 50) -> DataFrame:
     """Per keyword, precision@k of the candidates by id descending (before) and of
@@ -242,7 +280,15 @@ def rule_judgments(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     or form mismatch; experience: 신입 -> -1 if > 1 year, +1 if 0 or unknown; 경력 -> -1
     if 0; N years -> +1 if >= N, -1 if < N-1; -1 if the salary is below the minimum;
     clamped to 0..3.
+
+    Rules of single queries are optional columns of ``rules``: ``must_have`` (one of these
+    words must stand in the title, as written, else 0), ``floor`` (least score then),
+    ``ceiling`` (most score) and ``bonus`` (one of these words lifts the score by one to 3
+    at most; without one the ceiling holds).
     """
+    for c, kind in (("must_have", "array<string>"), ("floor", "int"), ("ceiling", "int"), ("bonus", "array<string>")):
+        if c not in rules.columns:
+            rules = rules.withColumn(c, F.lit(None).cast(kind))
     j = candidates.join(rules, "query_id")
     title = F.lower(F.coalesce("title", F.lit("")))
     kws = F.coalesce("keywords", F.array().cast("array<string>"))
@@ -255,7 +301,7 @@ def rule_judgments(candidates: DataFrame, rules: DataFrame) -> DataFrame:
         .otherwise(0)
     s = s - F.when(F.col("req_form").isNotNull() & ~F.col("req_form").eqNullSafe(F.col("form")), 1).otherwise(0)
     exp_adj = (F.when(F.col("exp_kind") == "신입",
-                      F.when(yrs.isNotNull() & (yrs > 1), -1).otherwise(1))
+                      F.when(yrs > 1, -1).when(yrs.isNull() | (yrs == 0), 1).otherwise(0))
                .when(F.col("exp_kind") == "경력", F.when(yrs == 0, -1).otherwise(0))
                .when(F.col("exp_kind") == "years",
                      F.when(yrs.isNull(), 0).when(yrs >= F.col("exp_years"), 1)
@@ -264,5 +310,11 @@ def rule_judgments(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     s = s + exp_adj
     s = s - F.when(F.col("min_salary").isNotNull() & (F.col("min_salary") != 0) & sal.isNotNull()
                    & (sal < F.col("min_salary")), 1).otherwise(0)
-    score = F.when((F.size(kws) > 0) & ~job, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(3), s)))
+    def named(words):
+        return F.exists(words, lambda w: F.instr(F.coalesce("title", F.lit("")), w) > 0)
+
+    s = F.greatest(s, F.coalesce("floor", s))
+    s = F.when(F.coalesce(named("bonus"), F.lit(False)), F.least(s + 1, F.lit(3))).otherwise(F.least(s, F.coalesce("ceiling", s)))
+    none = ((F.size(kws) > 0) & ~job) | F.coalesce(~named("must_have"), F.lit(False))
+    score = F.when(none, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(3), s)))
     return j.select("query_id", "posting_id", score.cast("int").alias("rel"))

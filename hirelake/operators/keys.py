@@ -4,8 +4,9 @@ A global ``row_number() OVER (ORDER BY name)`` moves every row into one task.  H
 the rows are range-partitioned by the order column (a distributed sort), each row
 gets its position inside its partition, and a per-partition count table (one row per
 partition, so its size is bounded by the partition count) turns positions into
-global ranks.  Positions depend only on partition index and sorted order, so a
-recomputed partition after an executor loss gets the same keys.
+global ranks.  The sorted rows with their partition and position are written to shared
+storage once, and both the counts and the result read that copy: planned apart, the two
+branches would each sample range bounds of their own and lose or repeat rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _POS_BITS = 33  # monotonically_increasing_id(): partition index << 33 | row position
 
 
@@ -24,11 +27,11 @@ def sequential_ids(df: DataFrame, order_cols: list[str], id_col: str = "id", sta
     """
     ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
     mid = F.monotonically_increasing_id()
-    tagged = ordered.withColumn("_mid", mid).select(
+    tagged = materialize(ordered.withColumn("_row", mid).select(
         "*",
-        F.shiftright(F.col("_mid"), _POS_BITS).alias("_pid"),
-        F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)).alias("_pos"),
-    ).drop("_mid")
+        F.shiftright(F.col("_row"), _POS_BITS).alias("_pid"),
+        F.col("_row").bitwiseAND(F.lit((1 << _POS_BITS) - 1)).alias("_pos"),
+    ).drop("_row"), "sorted")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

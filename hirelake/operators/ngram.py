@@ -2,20 +2,21 @@
 
 Semantics of one pair: ``lower(text) LIKE '%' || lower(pattern) || '%'`` — a
 case-insensitive substring test in which ``%`` and ``_`` typed by the user act as
-wildcards (they are never escaped).
-
-Two physical strategies, same answer:
-
+wildcards and a backslash takes the next character literally (a last one takes the
+closing ``%``).
+
+Two physical strategies, same answer for every pattern:
+
+* ``ngram`` (default): a gram index (gram, text id) over lower-cased texts, holding every
+  distinct unigram and bigram.  Each pattern's literal pieces, with escapes resolved,
+  yield the grams any match must contain; the pattern is joined to the index on its
+  *rarest* such gram (document frequencies come from the index), and the candidates are
+  verified exactly.  Candidates are a superset of the matches, so the result is exact.
+  A stored index is partitioned by gram bucket, so that a lookup reads only the buckets
+  of its grams; a gram of very many texts is split by Spark's skew join.  Patterns
+  without a literal character match by length alone and join on that.
 * ``scan``: the pattern table is broadcast and every text is tested against every
-  pattern (a broadcast nested-loop join).  No shuffle of the texts, O(texts x
-  patterns) comparisons.  Used only when the pattern table is below a checked row
-  count.
-* ``ngram``: a gram index (gram, text id) over lower-cased texts, holding every
-  distinct unigram and bigram.  Each pattern's literal pieces yield the grams any
-  match must contain; the pattern is joined to the index on its *rarest* such gram
-  (document frequencies come from the index), and the candidates are verified
-  exactly.  Candidates are a superset of the matches, so the result is exact.
-  The index side is salted so that one very common gram cannot land in one task.
+  pattern.  O(texts x patterns) comparisons, for a pattern table known to be small.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WILDCARDS = r"[%_]"
-SCAN_MAX_PATTERNS = 64  # broadcast bound for the scan strategy (rows)
-DEFAULT_SALT = 16
+# a wildcard after an even number of backslashes
+_OPEN_WILDCARD = r"(?<=(?<!\\)(?:\\\\){0,200})[%_]"
+_ODD_END = r"(?<!\\)(?:\\\\)*\\$"
+BUCKETS = 64  # partitions of a stored index
 
 
 def _grams_of(lowered: Column) -> Column:
@@ -38,9 +41,25 @@ def _grams_of(lowered: Column) -> Column:
 
 
 def gram_index(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(gram, tid): one row per distinct gram of each text."""
-    return texts.select(F.col(id_col).alias("tid"),
-                        F.explode(_grams_of(F.lower(F.col(text_col)))).alias("gram"))
+    """(tid, gram): one row per distinct gram of each text; ``text_col`` may be an array
+    of texts of one id, whose grams count once."""
+    if texts.schema[text_col].dataType.typeName() == "array":
+        grams = F.array_distinct(F.flatten(F.transform(F.col(text_col), lambda t: _grams_of(F.lower(t)))))
+    else:
+        grams = _grams_of(F.lower(F.col(text_col)))
+    return texts.select(F.col(id_col).alias("tid"), F.explode(grams).alias("gram"))
+
+
+def _bucket(gram) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+
+def store_index(index: DataFrame, path: str) -> DataFrame:
+    """The index as files of one bucket each, in gram order; range partitions include the
+    text id, so a gram of very many texts is written by many tasks."""
+    (index.withColumn("bucket", _bucket("gram")).repartitionByRange("bucket", "gram", "tid")
+     .sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(path))
+    return index.sparkSession.read.parquet(path)
 
 
 def gram_stats(index: DataFrame) -> DataFrame:
@@ -48,9 +67,18 @@ def gram_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _closed(pattern: Column) -> Column:
+    """A backslash at the very end takes the ``%`` that closes the LIKE pattern."""
+    return F.when(pattern.rlike(_ODD_END), F.concat(pattern, F.lit("%"))).otherwise(pattern)
+
+
 def _required_grams(pattern_lower: Column, literal: bool = False) -> Column:
     """Grams every match must contain: unigram of 1-char pieces, bigrams of longer ones."""
-    pieces = F.array(pattern_lower) if literal else F.split(pattern_lower, WILDCARDS)
+    if literal:
+        pieces = F.array(pattern_lower)
+    else:
+        pieces = F.transform(F.split(_closed(pattern_lower), _OPEN_WILDCARD),
+                             lambda p: F.regexp_replace(p, r"(?s)\\(.)", "$1"))
     pieces = F.filter(pieces, lambda p: F.length(p) > 0)
 
     def piece_grams(p):
@@ -66,7 +94,9 @@ def verify(text: Column, pattern: Column, literal: bool = False) -> Column:
     lt, lp = F.lower(text), F.lower(pattern)
     if literal:
         return F.instr(lt, lp) > 0
-    like = F.like(lt, F.concat(F.lit("%"), lp, F.lit("%")))
+    # Spark's LIKE allows an escape before wildcards and itself only; elsewhere it is redundant
+    plain = F.regexp_replace(lp, r"(?<!\\)((?:\\\\)*)\\([^%_\\])", "$1$2")
+    like = F.like(lt, F.concat(F.lit("%"), plain, F.lit("%")))
     return F.when(lp.rlike(WILDCARDS + r"|\\"), like).otherwise(F.instr(lt, lp) > 0)
 
 
@@ -81,43 +111,38 @@ def scan_pairs(patterns: DataFrame, texts: DataFrame, pid: str = "pid", pattern:
 
 def ngram_pairs(patterns: DataFrame, texts: DataFrame, index: DataFrame | None = None,
                 stats: DataFrame | None = None, pid: str = "pid", pattern: str = "pattern",
-                tid: str = "tid", text: str = "text", salt: int = DEFAULT_SALT,
-                literal: bool = False) -> DataFrame:
-    """Index strategy (exact).  ``index``/``stats`` may be prebuilt and stored."""
+                tid: str = "tid", text: str = "text", literal: bool = False) -> DataFrame:
+    """Index strategy (exact).  ``index``/``stats`` may be prebuilt and stored; they may
+    cover more texts than ``texts``."""
     if index is None:
-        index = gram_index(texts, tid, text)
+        index = gram_index(texts, tid, text).distinct()
     if stats is None:
         stats = gram_stats(index)
     p = patterns.select(F.col(pid).alias("_pid"), F.col(pattern).alias("_pat"))
-    req = p.select("_pid", "_pat", F.explode(_required_grams(F.lower(F.col("_pat")), literal)).alias("gram"))
+    grams = _required_grams(F.lower(F.col("_pat")), literal)
     # rarest required gram per pattern; a gram absent from the index means no match
-    best = (req.join(stats, "gram", "left")
+    best = (p.select("_pid", "_pat", F.explode(grams).alias("gram")).join(stats, "gram", "left")
             .groupBy("_pid", "_pat")
             .agg(F.min_by("gram", F.coalesce(F.col("df"), F.lit(0))).alias("gram"),
                  F.min(F.coalesce(F.col("df"), F.lit(0))).alias("_df"))
             .where(F.col("_df") > 0)
             .drop("_df"))
-    # salt: the index side is split over `salt` buckets by text id, the pattern side
-    # is replicated to every bucket, so a hot gram spreads over `salt` tasks
-    idx = index.select("gram", "tid", F.pmod(F.xxhash64("tid"), F.lit(salt)).alias("_salt"))
-    best_s = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    cand = best_s.join(idx, ["gram", "_salt"]).select("_pid", "_pat", F.col("tid").alias("_tid"))
+    on = ["gram"]
+    if "bucket" in index.columns:  # a stored index: the join prunes its partitions
+        best, on = best.withColumn("bucket", _bucket("gram")), ["bucket", "gram"]
+    cand = best.join(index, on).select("_pid", "_pat", F.col("tid").alias("_tid"))
     t = texts.select(F.col(tid).alias("_tid"), F.col(text).alias("_txt"))
-    pairs = (cand.join(t, "_tid").where(verify(F.col("_txt"), F.col("_pat"), literal))
-             .select(F.col("_pid").alias(pid), F.col("_tid").alias(tid)))
+    pairs = cand.join(t, "_tid").where(verify(F.col("_txt"), F.col("_pat"), literal)).select("_pid", "_tid")
     # patterns with no literal character (only wildcards) match by length alone
-    wild = p.where(F.size(_required_grams(F.lower(F.col("_pat")), literal)) == 0)
-    if wild.limit(1).count() == 0:
-        return pairs
-    return pairs.unionByName(scan_pairs(wild.withColumnRenamed("_pid", pid).withColumnRenamed("_pat", pattern),
-                                        texts, pid, pattern, tid, text, literal))
+    least = F.length(F.regexp_replace("_pat", "[^_]", ""))
+    wild = p.where(F.size(grams) == 0).select("_pid", least.alias("_n"))
+    reach = F.sequence(F.lit(0), F.length("_txt")) if not literal else F.array(F.lit(0))
+    by_length = t.select("_tid", F.explode(reach).alias("_n")).join(wild, "_n").select("_pid", "_tid")
+    return pairs.unionByName(by_length).select(F.col("_pid").alias(pid), F.col("_tid").alias(tid))
 
 
-def substring_pairs(patterns: DataFrame, texts: DataFrame, method: str = "auto", **kw) -> DataFrame:
+def substring_pairs(patterns: DataFrame, texts: DataFrame, method: str = "ngram", **kw) -> DataFrame:
     """(pid, tid) for every pattern contained in a text (see module doc)."""
-    if method == "auto":
-        n = patterns.limit(SCAN_MAX_PATTERNS + 1).count()
-        method = "scan" if n <= SCAN_MAX_PATTERNS else "ngram"
     if method == "scan":
         keep = {k: v for k, v in kw.items() if k in ("pid", "pattern", "tid", "text", "literal")}
         return scan_pairs(patterns, texts, **keep)

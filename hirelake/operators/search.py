@@ -29,11 +29,22 @@ FILTER_COLS = ["min_deadline", "min_annual_salary", "company_name", "max_experie
 BROADCAST_MAX_ROWS = 100_000
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], buckets: int = 16,
+def blocks(side: DataFrame, rows: int = BROADCAST_MAX_ROWS) -> list[DataFrame]:
+    """``side`` in blocks of about ``rows`` rows by hash, each marked for broadcast: a
+    stated table too large for one broadcast meets the other side block by block."""
+    n = -(-side.count() // rows)
+    h = F.pmod(F.xxhash64(*side.columns), F.lit(max(n, 1)))
+    return [F.broadcast(side if n == 1 else side.where(h == i)) for i in range(n)]
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], buckets: int | None = None,
                 salt_from: str | None = None) -> DataFrame:
-    """Inner equi-join whose big side may hold a hot key: the big side is spread over
-    ``buckets`` salts (a hash of ``salt_from``, so recomputation is deterministic),
-    the small side is replicated to every salt."""
+    """Inner equi-join whose big side may hold a hot key.  Spark's skew join splits the
+    hot key by its measured size; with ``buckets`` the big side is spread over so many
+    salts (a hash of ``salt_from``, so recomputation is deterministic) and the small side
+    replicated to every salt."""
+    if buckets is None:
+        return big.join(small, on)
     sf = salt_from or big.columns[0]
     b = big.withColumn("_salt", F.pmod(F.xxhash64(F.col(sf)), F.lit(buckets)))
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
@@ -59,10 +70,13 @@ def keyword_tokens(queries: DataFrame) -> DataFrame:
     return q.select("query_id", F.size("_t").alias("n_tokens"), F.posexplode("_t").alias("tok_idx", "token"))
 
 
-def term_hits(terms: DataFrame, postings: DataFrame, use_tags: bool, method: str = "auto") -> DataFrame:
-    """(token, posting_id) for every distinct term contained in a title (or tag)."""
+def term_hits(terms: DataFrame, postings: DataFrame, use_tags: bool, method: str = "ngram",
+              index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """(token, posting_id) for every distinct term contained in a title (or tag).
+
+    ``index``/``stats``: a stored gram index over titles and tags of at least these postings."""
     pats = terms.select(F.col("token").alias("pid"), F.col("token").alias("pattern")).distinct()
-    pairs = ngram.substring_pairs(pats, posting_texts(postings, use_tags), method=method)
+    pairs = ngram.substring_pairs(pats, posting_texts(postings, use_tags), method=method, index=index, stats=stats)
     return pairs.select(F.col("pid").alias("token"), F.col("tid").alias("posting_id")).distinct()
 
 
@@ -105,15 +119,16 @@ def _no_keyword(queries: DataFrame, postings: DataFrame, limit: int) -> DataFram
     """Queries without keyword: broadcast distinct filter tuples against postings."""
     nk = queries.where(F.col("keyword").isNull())
     fid = F.to_json(F.struct(*FILTER_COLS))
-    tuples = nk.select(*FILTER_COLS).distinct().withColumn("_fid", fid)
-    n = tuples.limit(BROADCAST_MAX_ROWS + 1).count()
-    if n == 0:
+    sides = blocks(nk.select(*FILTER_COLS).distinct().withColumn("_fid", fid))
+    if not sides:
         return None
-    side = F.broadcast(tuples) if n <= BROADCAST_MAX_ROWS else tuples
-    hits = _postings_side(postings).join(side, _predicates())
     # top-k per filter tuple first (partial top-k before the shuffle), then fan out
     w = Window.partitionBy("_fid").orderBy(F.col("posting_id").desc())
-    best = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).select("_fid", "posting_id")
+    best = None
+    for side in sides:
+        hits = _postings_side(postings).join(side, _predicates())
+        top = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).select("_fid", "posting_id")
+        best = top if best is None else best.unionByName(top)
     ids = nk.select("query_id", fid.alias("_fid"))
     return ids.join(best, "_fid").select("query_id", "posting_id")
 
@@ -121,20 +136,43 @@ def _no_keyword(queries: DataFrame, postings: DataFrame, limit: int) -> DataFram
 def match_counts(tokens: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, posting_id, matched, n_tokens) - distinct tokens of the query hit."""
     j = salted_join(hits, tokens, ["token"], salt_from="posting_id")
-    return j.groupBy("query_id", "posting_id").agg(F.count_distinct("tok_idx").alias("matched"),
+    return j.groupBy("query_id", "posting_id").agg(F.count(F.lit(1)).alias("matched"),
                                                    F.max("n_tokens").alias("n_tokens"))
 
 
+def _asked(queries: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(distinct requests under their smallest query id, all ids with that one): a query
+    log repeats itself, and equal requests have equal answers."""
+    key = F.to_json(F.struct(F.col("keyword"), *FILTER_COLS, *more), {"ignoreNullFields": "false"})
+    ids = queries.select("query_id", key.alias("_k"))
+    first = ids.groupBy("_k").agg(F.min("query_id").alias("_first"))
+    same = ids.join(first, "_k").select("query_id", "_first")
+    return queries.join(first.select(F.col("_first").alias("query_id")), "query_id", "left_semi"), same
+
+
+def _answered(results: DataFrame, same: DataFrame) -> DataFrame:
+    return results.withColumnRenamed("query_id", "_first").join(same, "_first").drop("_first")
+
+
 def search(queries: DataFrame, fact: DataFrame, as_of: str, limit: int = 5, use_tags: bool = True,
-           fallback: bool = True, method: str = "auto", hits: DataFrame | None = None) -> DataFrame:
+           fallback: bool = True, method: str = "ngram", hits: DataFrame | None = None,
+           index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """F4 without expansion: AND of tokens, OR fallback (per query), top ``limit``.
 
-    Returns (query_id, rank, posting_id, mode) with mode 'and' | 'or' | 'filter'.
+    Returns (query_id, rank, posting_id, mode) with mode 'and' | 'or' | 'filter'.  Equal
+    requests are searched once.
     """
+    queries, same = _asked(queries)
+    out = _search(queries, fact, as_of, limit, use_tags, fallback, method, hits, index, stats)
+    return _answered(out, same).select("query_id", "rank", "posting_id", "mode")
+
+
+def _search(queries: DataFrame, fact: DataFrame, as_of: str, limit: int, use_tags: bool, fallback: bool, method: str,
+            hits: DataFrame | None, index: DataFrame | None, stats: DataFrame | None) -> DataFrame:
     postings = valid_postings(fact, as_of)
     tokens = keyword_tokens(queries)
     if hits is None:
-        hits = term_hits(tokens, postings, use_tags, method)
+        hits = term_hits(tokens, postings, use_tags, method, index, stats)
     counts = match_counts(tokens, hits)
     and_top = top_k(_filtered(counts.where(F.col("matched") == F.col("n_tokens")), queries, postings), limit)
     out = and_top.withColumn("mode", F.lit("and"))
@@ -153,16 +191,17 @@ def search(queries: DataFrame, fact: DataFrame, as_of: str, limit: int = 5, use_
     return out.select("query_id", "rank", "posting_id", "mode")
 
 
-def search_expanded(queries: DataFrame, fact: DataFrame, as_of: str, limit: int,
-                    method: str = "auto") -> DataFrame:
+def search_expanded(queries: DataFrame, fact: DataFrame, as_of: str, limit: int, method: str = "ngram",
+                    index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """F4 with expansion: OR over the ``expanded`` terms, always title + tags."""
     postings = valid_postings(fact, as_of)
+    queries, same = _asked(queries, "expanded")
     terms = (queries.where(F.size("expanded") > 0)
              .select("query_id", F.explode(F.array_distinct("expanded")).alias("token")))
-    hits = term_hits(terms, postings, True, method)
+    hits = term_hits(terms, postings, True, method, index, stats)
     matched = salted_join(hits, terms, ["token"], salt_from="posting_id").select("query_id", "posting_id").distinct()
     out = top_k(_filtered(matched, queries, postings), limit).withColumn("mode", F.lit("expanded"))
-    return out.select("query_id", "rank", "posting_id", "mode")
+    return _answered(out, same).select("query_id", "rank", "posting_id", "mode")
 
 
 def list_valid(fact: DataFrame, as_of: str, limit: int = 10000, order_desc: bool = False) -> DataFrame:
@@ -211,7 +250,8 @@ def rerank_results(results: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def search_adaptive(queries: DataFrame, fact: DataFrame, as_of: str, limit: int = 5,
-                    expansions: DataFrame | None = None, scorer=None, method: str = "auto") -> DataFrame:
+                    expansions: DataFrame | None = None, scorer=None, method: str = "ngram",
+                    index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """pool = max(5 x limit, 50) by F4 (with fallback); fewer than 3 rows and a
     keyword -> the expanded OR search replaces the pool; rerank when a keyword and
     more than one row; keep ``limit``.
@@ -224,7 +264,7 @@ def search_adaptive(queries: DataFrame, fact: DataFrame, as_of: str, limit: int
     pool = max(limit * V.ADAPTIVE_POOL_FACTOR, V.ADAPTIVE_POOL_MIN)
     # per-query pools are bounded (pool x queries rows); each is referenced by several
     # branches below, so it is checkpointed once instead of being recomputed per branch
-    first = search(queries, fact, as_of, pool, True, True, method).checkpoint(eager=True)
+    first = search(queries, fact, as_of, pool, True, True, method, None, index, stats).checkpoint(eager=True)
     n1 = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     need = (queries.where(F.col("keyword").isNotNull()).select("query_id")
             .join(n1, "query_id", "left").where(F.coalesce(F.col("_n"), F.lit(0)) < V.ADAPTIVE_THRESHOLD)
@@ -237,7 +277,7 @@ def search_adaptive(queries: DataFrame, fact: DataFrame, as_of: str, limit: int
     else:
         eq = eq.withColumn("expanded", F.lit(None).cast("array<string>"))
     eq = eq.withColumn("expanded", F.coalesce("expanded", F.array("keyword")))
-    out = out.unionByName(search_expanded(eq, fact, as_of, pool, method)).checkpoint(eager=True)
+    out = out.unionByName(search_expanded(eq, fact, as_of, pool, method, index, stats)).checkpoint(eager=True)
     scorer = scorer or lexical_scores
     with_kw = queries.where(F.col("keyword").isNotNull()).select("query_id")
     cnt = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("_c"))

@@ -40,15 +40,10 @@ _STORED: dict = {}
 def _wh(t: Tables) -> W.Warehouse:
     """The fixture warehouse: ingested once per session and scale factor, written as
     parquet below the session's checkpoint folder, then read by every query."""
-    import hashlib
-    import uuid
-
-    from ..session import checkpoint_dir
+    from ..session import scratch
     key = (t.spark.sparkContext.applicationId, t.sf_dir)
     if key not in _STORED:
-        tag = hashlib.sha1(t.sf_dir.encode()).hexdigest()[:10]
-        path = f"{checkpoint_dir(t.spark).rstrip('/')}/warehouse-{tag}-{uuid.uuid4().hex[:8]}"
-        _STORED[key] = W.build_stored(t.postings_stream(), path)
+        _STORED[key] = W.build_stored(t.postings_stream(), scratch(t.spark, "warehouse"))
     return _STORED[key]
 
 
@@ -168,7 +163,8 @@ def q_quality_report(spark, sf_dir):
 
 def q_salary_by_keyword(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return M.salary_by_keyword(_wh(t).fact, t["keywords"], AS_OF)
+    w = _wh(t)
+    return M.salary_by_keyword(w.fact, t["keywords"], AS_OF, index=w.gram_index, stats=w.gram_stats)
 
 
 def q_regional_dist(spark, sf_dir):
@@ -223,6 +219,17 @@ def q_expire_postings(spark, sf_dir):
     return bridge.select("posting_id", "tag")
 
 
+def q_expire_fact(spark, sf_dir):
+    return S.expire_postings(_wh(_tables(spark, sf_dir)).fact, AS_OF).select("posting_id", _d("deadline"))
+
+
+def q_expire_notifications(spark, sf_dir):
+    """Expiry cascades to the notification log: the rows of kept postings."""
+    t = _tables(spark, sf_dir)
+    _, (log,) = S.expire_postings(_wh(t).fact, AS_OF, [_previous_log(t)])
+    return log.select("user_id", "posting_id")
+
+
 def _before_split():
     return F.col("batch_date") < F.lit(SPLIT_DATE).cast("date")
 
@@ -280,6 +287,17 @@ def q_profile_upsert(spark, sf_dir):
     return U.profile_upsert(_profile_changes(_tables(spark, sf_dir)))
 
 
+def q_profile_display(spark, sf_dir):
+    return U.profile_display(_tables(spark, sf_dir)["profiles"])
+
+
+def q_subscription_delete_all(spark, sf_dir):
+    """Users without a preferred region drop all their subscriptions."""
+    t = _tables(spark, sf_dir)
+    return U.subscription_delete_all(_stored_subscriptions(t), t["profiles"].where(F.col("region").isNull())).select(
+        "user_id", "seq", "keyword")
+
+
 def q_subscription_cap(spark, sf_dir):
     return U.subscription_cap(_tables(spark, sf_dir)["subscriptions"]).select(
         "user_id", "seq", "keyword", "position", "accepted")
@@ -323,9 +341,23 @@ def q_parse_queries_jobwords(spark, sf_dir):
     return _parsed(_tables(spark, sf_dir), job_words=True).select(*PARSE_OUT, _d("min_deadline"))
 
 
+_PARSED: dict = {}
+
+
 def _search_queries(t: Tables) -> DataFrame:
-    """Parsed fixture queries that can run (a month that does not exist cannot)."""
-    return _parsed(t).where(~F.col("error"))
+    """Parsed fixture queries that can run (a month that does not exist cannot), parsed
+    once per session and scale factor and stored, as a search service would."""
+    from ..session import materialize
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _PARSED:
+        _PARSED[key] = materialize(_parsed(t), "parsed")
+    return _PARSED[key].where(~F.col("error"))
+
+
+def _index(t: Tables) -> dict:
+    """The stored gram index, as arguments of the searches."""
+    w = _wh(t)
+    return {"index": w.gram_index, "stats": w.gram_stats}
 
 
 def _thesaurus(t: Tables) -> DataFrame:
@@ -339,36 +371,36 @@ def _expansions(t: Tables, queries: DataFrame) -> DataFrame:
 
 def q_search_and(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return SR.search(_search_queries(t), _wh(t).fact, AS_OF, 5, use_tags=True, fallback=False)
+    return SR.search(_search_queries(t), _wh(t).fact, AS_OF, 5, use_tags=True, fallback=False, **_index(t))
 
 
 def q_search_fallback(spark, sf_dir):
     """limit 2 < 3: every multi-token query below the threshold falls back to OR."""
     t = _tables(spark, sf_dir)
-    return SR.search(_search_queries(t), _wh(t).fact, AS_OF, 2, use_tags=True, fallback=True)
+    return SR.search(_search_queries(t), _wh(t).fact, AS_OF, 2, use_tags=True, fallback=True, **_index(t))
 
 
 def q_search_name_only(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return SR.search(_search_queries(t), _wh(t).fact, AS_OF, 10, use_tags=False, fallback=True)
+    return SR.search(_search_queries(t), _wh(t).fact, AS_OF, 10, use_tags=False, fallback=True, **_index(t))
 
 
 def q_search_expanded(spark, sf_dir):
     t = _tables(spark, sf_dir)
     q = _search_queries(t)
     eq = q.join(_expansions(t, q), "query_id")
-    return SR.search_expanded(eq, _wh(t).fact, AS_OF, 10)
+    return SR.search_expanded(eq, _wh(t).fact, AS_OF, 10, **_index(t))
 
 
 def q_search_baseline(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return SR.search(_search_queries(t), _wh(t).fact, AS_OF, 5).select("query_id", "rank", "posting_id")
+    return SR.search(_search_queries(t), _wh(t).fact, AS_OF, 5, **_index(t)).select("query_id", "rank", "posting_id")
 
 
 def q_search_adaptive(spark, sf_dir):
     t = _tables(spark, sf_dir)
     q = _search_queries(t)
-    return SR.search_adaptive(q, _wh(t).fact, AS_OF, 5, expansions=_expansions(t, q)).select(
+    return SR.search_adaptive(q, _wh(t).fact, AS_OF, 5, expansions=_expansions(t, q), **_index(t)).select(
         "query_id", "rank", "posting_id")
 
 
@@ -378,6 +410,31 @@ def q_ab_compare(spark, sf_dir):
     return a.join(b, ["query_id", "posting_id"], "full_outer").select("query_id", "posting_id", "rank_a", "rank_b")
 
 
+def q_ab_overlap(spark, sf_dir):
+    return E.overlap_at_k(q_search_baseline(spark, sf_dir), q_search_adaptive(spark, sf_dir), 5)
+
+
+def q_pool_modes(spark, sf_dir):
+    """The search modes run and pooled, in this order: title only, with tags, expanded,
+    adaptive (the expanded results where title only found fewer than three)."""
+    t = _tables(spark, sf_dir)
+    q, w = _search_queries(t), _wh(t)
+    base = SR.search(q, w.fact, AS_OF, 10, use_tags=False, fallback=True, **_index(t))
+    tags = SR.search(q, w.fact, AS_OF, 10, use_tags=True, fallback=True, **_index(t))
+    wide = SR.search_expanded(q.join(_expansions(t, q), "query_id"), w.fact, AS_OF, 10, **_index(t))
+    from ..session import materialize
+    runs = None
+    for mode, r in (("base", base), ("tags", tags), ("wide", wide)):
+        r = r.select("query_id", F.lit(mode).alias("mode"), F.col("posting_id").alias("doc_id"), "rank")
+        runs = r if runs is None else runs.unionByName(r)
+    runs = materialize(runs, "runs")
+    enough = runs.where("mode = 'base'").groupBy("query_id").count().where("count >= 3").select("query_id")
+    some = runs.where("mode = 'base'").join(enough, "query_id", "left_semi")
+    few = runs.where("mode = 'wide'").join(enough, "query_id", "left_anti")
+    runs = runs.unionByName(some.unionByName(few).withColumn("mode", F.lit("adaptive")))
+    return E.pool_candidates(runs, ["base", "tags", "wide", "adaptive"], 10)
+
+
 def q_expand_keywords(spark, sf_dir):
     t = _tables(spark, sf_dir)
     exp = A.thesaurus_expansions(_search_queries(t).select("keyword"), _thesaurus(t))
@@ -420,8 +477,8 @@ def q_region_names(spark, sf_dir):
     return SR.region_names(_wh(_tables(spark, sf_dir)).fact)
 
 
-ALERT_HOURS = 24 * 30          # alert window of the fixture runs
-PREVIOUS_RUN_TS = "1998-06-05 12:00:00"   # an earlier run that already notified users
+ALERT_HOURS = 24 * 7           # alert window of the fixture runs, closed at their "now"
+PREVIOUS_RUN_TS = "1998-06-12 12:00:00"   # an earlier run that already notified users
 
 
 def _alert_inputs(t: Tables):
@@ -431,14 +488,18 @@ def _alert_inputs(t: Tables):
     return fact, subs, t["profiles"], exp
 
 
-def _expanded_matches(t: Tables, as_of_ts: str, until: str | None = None):
+def _new(fact: DataFrame, as_of_ts: str = AS_OF_TS) -> DataFrame:
+    return AL.new_postings(fact, as_of_ts, ALERT_HOURS, as_of_ts)
+
+
+def _expanded_matches(t: Tables, as_of_ts: str):
     fact, subs, prof, exp = _alert_inputs(t)
-    return AL.match_subscriptions(AL.new_postings(fact, as_of_ts, ALERT_HOURS, until), subs, prof, exp)
+    return AL.match_subscriptions(_new(fact, as_of_ts), subs, prof, exp)
 
 
 def _previous_log(t: Tables) -> DataFrame:
     """The log left by a run at PREVIOUS_RUN_TS (it saw postings created before it)."""
-    return AL.user_matches(_expanded_matches(t, PREVIOUS_RUN_TS, PREVIOUS_RUN_TS)).select("user_id", "posting_id")
+    return AL.user_matches(_expanded_matches(t, PREVIOUS_RUN_TS)).select("user_id", "posting_id")
 
 
 def _pending(t: Tables) -> DataFrame:
@@ -446,14 +507,14 @@ def _pending(t: Tables) -> DataFrame:
 
 
 def q_new_postings(spark, sf_dir):
-    return AL.new_postings(_wh(_tables(spark, sf_dir)).fact, AS_OF_TS, ALERT_HOURS).select(
+    return _new(_wh(_tables(spark, sf_dir)).fact).select(
         "posting_id", "announcement_name")
 
 
 def q_match_subscriptions(spark, sf_dir):
     t = _tables(spark, sf_dir)
     fact, subs, prof, _ = _alert_inputs(t)
-    return AL.match_subscriptions(AL.new_postings(fact, AS_OF_TS, ALERT_HOURS), subs, prof).select(
+    return AL.match_subscriptions(_new(fact), subs, prof).select(
         "user_id", "seq", "posting_id")
 
 
@@ -470,8 +531,11 @@ def q_alerts_pending(spark, sf_dir):
 
 
 def q_alert_log(spark, sf_dir):
+    from ..session import materialize
     t = _tables(spark, sf_dir)
-    return AL.alert_log(_previous_log(t), _pending(t))
+    log = materialize(_previous_log(t), "alert-log")   # what the earlier run stored
+    now = AL.user_matches(_expanded_matches(t, AS_OF_TS))
+    return AL.alert_log(log, AL.alerts_pending(now, log))
 
 
 def q_alert_digest(spark, sf_dir):
@@ -508,6 +572,13 @@ def q_eval_summary(spark, sf_dir):
     return s.select("mode", *[_r9(c) for c in s.columns if c != "mode"])
 
 
+def q_eval_summary_all(spark, sf_dir):
+    """E7 with the sums divided by the number of all queries, judged or not."""
+    t = _tables(spark, sf_dir)
+    s = E.summary(t["runs"], t["judgments"], all_queries=t["orders"].select(F.col("o_orderkey").alias("query_id")))
+    return s.select("mode", *[_r9(c) for c in s.columns if c != "mode"])
+
+
 def _types(t: Tables) -> DataFrame:
     return t["orders"].select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("qtype"))
 
@@ -536,6 +607,13 @@ def q_judgment_checks(spark, sf_dir):
     return E.judgment_checks(_tables(spark, sf_dir)["judgments"])
 
 
+def q_unmapped_judgments(spark, sf_dir):
+    """Judgments of documents that the supplier side does not know (any more)."""
+    t = _tables(spark, sf_dir)
+    known = t["part"].where(F.col("p_partkey") % 3 > 0).select(F.col("p_partkey").alias("doc_id"))
+    return E.unmapped_judgments(t["judgments"], known)
+
+
 def q_quality_gate(spark, sf_dir):
     t = _tables(spark, sf_dir)
     return E.quality_gate(t["runs"], t["judgments"], 5).select("query_id", "mode", _r9("mean_rel"), "hits", "passed")
@@ -553,8 +631,9 @@ def q_known_item_eval(spark, sf_dir):
 
 
 def q_stratified_sample(spark, sf_dir):
-    fact = _wh(_tables(spark, sf_dir)).fact.withColumn("_s", F.col("annual_salary").isNotNull())
-    return E.stratified_sample(fact, "posting_id", "_s", 100).select("posting_id", F.col("_s").alias("with_salary"))
+    fact = _wh(_tables(spark, sf_dir)).fact
+    tagged = F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 3
+    return E.stratified_sample(fact, "posting_id", tagged, 100).select("posting_id", tagged.alias("tagged"))
 
 
 def q_filter_regression(spark, sf_dir):
@@ -564,10 +643,8 @@ def q_filter_regression(spark, sf_dir):
 
 
 def _scratch(spark, name: str) -> str:
-    import uuid
-
-    from ..session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
+    from ..session import scratch
+    return scratch(spark, name)
 
 
 def q_stream_ingest(spark, sf_dir):
@@ -576,32 +653,31 @@ def q_stream_ingest(spark, sf_dir):
     t = _tables(spark, sf_dir)
     base = _scratch(spark, "stream-ingest")
     raw = t.postings_stream()
-    ST.write_in_order(raw, "batch_date", F.year("batch_date"), f"{base}/raw")
-    schema = spark.read.parquet(f"{base}/raw").schema
-    ST.stream_ingest(spark, f"{base}/raw", schema, f"{base}/fact", f"{base}/ckpt")
+    ST.write_in_order(raw, "batch_date", F.year("batch_date"), f"{base}/staged")
+    for _ in ST.arrivals(spark, f"{base}/staged", f"{base}/raw"):
+        ST.stream_ingest(spark, f"{base}/raw", raw.schema, f"{base}/fact", f"{base}/ckpt")
     return _fact_out(spark.read.parquet(f"{base}/fact"))
 
 
 def q_events_daily_new(spark, sf_dir):
-    """Event counts per day and type from a watermarked stream of weekly files."""
+    """Event counts per day and type from a watermarked stream of monthly arrivals."""
     from ..streaming import jobs as ST
     t = _tables(spark, sf_dir)
     base = _scratch(spark, "stream-events")
     ev = t["events"]
-    week = F.floor((F.dayofyear("ts") - 1) / 7)
-    ST.write_in_order(ev, "ts", F.year("ts") * 100 + week, f"{base}/events")
-    schema = spark.read.parquet(f"{base}/events").schema
-    ST.stream_daily_counts(spark, f"{base}/events", schema, f"{base}/counts", f"{base}/ckpt")
+    ST.write_in_order(ev, "ts", F.year("ts") * 100 + F.month("ts"), f"{base}/staged")
+    for _ in ST.arrivals(spark, f"{base}/staged", f"{base}/events"):
+        ST.stream_daily_counts(spark, f"{base}/events", ev.schema, f"{base}/counts", f"{base}/ckpt")
     return ST.current_daily_counts(spark, f"{base}/counts").select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "count")
 
 
 def q_posting_cards(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    w = _wh(t)
-    top = SR.list_valid(w.fact, AS_OF, 100, order_desc=True).select("posting_id")
+    """All valid postings as cards, ranked within their company, newest first."""
     from pyspark.sql import Window
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("posting_id").desc())))
+    w = _wh(_tables(spark, sf_dir))
+    newest = Window.partitionBy("company_name").orderBy(F.col("posting_id").desc())
+    ranked = SR.valid_postings(w.fact, AS_OF).select("posting_id", F.row_number().over(newest).alias("rank"))
     return D.posting_cards(ranked, w.fact, AS_OF).select("posting_id", "card")
 
 
@@ -628,6 +704,10 @@ def q_crawl_prefix(spark, sf_dir):
     return D.crawl_prefix(r, "run_id", "pos", "fresh").select("run_id", "posting_id")
 
 
+def q_listing_fields(spark, sf_dir):
+    return D.listing_fields(_tables(spark, sf_dir)["listing_rows"], "https://example.com")
+
+
 def q_page_fields(spark, sf_dir):
     return D.page_fields(_tables(spark, sf_dir)["pages"])
 
@@ -638,7 +718,7 @@ def _responses(t: Tables) -> DataFrame:
 
 
 def q_parse_scores(spark, sf_dir):
-    r = _responses(_tables(spark, sf_dir))
+    r = _tables(spark, sf_dir)["score_responses"]
     return r.select("conv_id", "turn", F.posexplode(A.parse_scores(F.col("response"), 10)).alias("pos", "score"))
 
 
@@ -648,9 +728,8 @@ def q_parse_tags(spark, sf_dir):
 
 
 def _tag_responses(t: Tables) -> DataFrame:
-    """One response per posting: the first assistant turn of the conversation with that id."""
-    r = _responses(t)
-    return r.groupBy(F.col("conv_id").alias("posting_id")).agg(F.min_by("response", "turn").alias("response"))
+    """One response per posting: every assistant turn answers for one posting id."""
+    return _responses(t).select((F.col("conv_id") * 32 + F.col("turn")).alias("posting_id"), "response")
 
 
 def q_tag_enrich(spark, sf_dir):
@@ -665,16 +744,23 @@ def q_tag_outcomes(spark, sf_dir):
 
 
 def q_tag_backlog(spark, sf_dir):
-    return A.tag_backlog(_wh(_tables(spark, sf_dir)).fact, AS_OF, None, 1000)
+    return A.tag_backlog(_wh(_tables(spark, sf_dir)).fact, AS_OF)
 
 
 def q_judge_incremental(spark, sf_dir):
-    """Pairs of the pooled candidates not yet in the judgment cache, judged from the
-    stand-in responses (conversation turn text keyed by (conv_id, turn))."""
+    """Pairs of the pooled candidates not yet in the judgment cache, judged from stand-in responses."""
     t = _tables(spark, sf_dir)
     pool = E.pool_candidates(t["runs"], EVAL_MODES, 10).select("query_id", "doc_id")
-    resp = _responses(t).select(F.col("conv_id").alias("query_id"), F.col("turn").alias("doc_id"), "response")
-    return A.judge_incremental(pool, t["judgments"], resp)
+    return A.judge_incremental(pool, t["judgments"], t["judge_responses"])
+
+
+def q_rerank(spark, sf_dir):
+    """L2: title-only search results (up to 25 a query, so up to three batches) reranked."""
+    t = _tables(spark, sf_dir)
+    q = _search_queries(t)
+    w = _wh(t)
+    found = SR.search(q, w.fact, AS_OF, 25, use_tags=False, fallback=True, **_index(t))
+    return A.rerank(found, w.fact, q).select("query_id", "rank", "posting_id", _r9("score"))
 
 
 def q_ingest_csv(spark, sf_dir):
@@ -684,12 +770,10 @@ def q_ingest_csv(spark, sf_dir):
     from ..sources import csv as CSV
     t = _tables(spark, sf_dir)
     base = _scratch(spark, "csv")
-    raw = t["postings_raw"]
-    years = sorted(r[0] for r in raw.select(F.year("batch_date")).distinct().collect())
-    for y in years:
-        (raw.where(F.year("batch_date") == y).orderBy("posting_id")
-         .select(*[F.col(n).alias(h) for h, n in zip(CSV.CSV_HEADER, CSV.RAW_NAMES)])
-         .coalesce(1).write.option("header", True).csv(f"{base}/postings_{y}-01-01"))
+    crawl = F.concat(F.year("batch_date").cast("string"), F.lit("-01-01"))
+    (t["postings_raw"].withColumn("crawl", crawl).repartitionByRange("crawl", "posting_id").sortWithinPartitions("crawl", "posting_id")
+     .select("crawl", *[F.col(n).alias(h) for h, n in zip(CSV.CSV_HEADER, CSV.RAW_NAMES)])
+     .write.option("header", True).partitionBy("crawl").csv(base))
     rows, _bad = CSV.read_csv_postings(spark, f"{base}/*")
     ok = N.accepted(N.normalize_postings(rows))
     ok = ok.withColumn("experience", F.col("experience_parsed")).withColumn("annual_salary", F.col("salary_parsed"))
@@ -702,7 +786,7 @@ def q_expansion_impact(spark, sf_dir):
     """Part-name keywords matched over the alert window before / after expansion."""
     t = _tables(spark, sf_dir)
     fact = _wh(t).fact
-    posts = AL.new_postings(fact, AS_OF_TS, ALERT_HOURS)
+    posts = _new(fact)
     kws = t["keywords"].select(F.col("keyword").alias("user_id"), F.lit(1).alias("seq"), "keyword")
     exp = A.thesaurus_expansions(kws.select("keyword"), _thesaurus(t))
     before = AL.match_subscriptions(posts, kws)
@@ -710,6 +794,10 @@ def q_expansion_impact(spark, sf_dir):
     return E.expansion_impact(before, after)
 
 
+def q_expansion_totals(spark, sf_dir):
+    return E.expansion_totals(q_expansion_impact(spark, sf_dir))
+
+
 def q_judgments_explode(spark, sf_dir):
     """Judgments written as JSON Lines and read back as long rows."""
     from ..sources import jsonio as J
@@ -736,7 +824,7 @@ def q_rerank_impact(spark, sf_dir):
     """E12 with the lexical scorer: keyword-token share of title + tags."""
     from ..functions import text as TT
     t = _tables(spark, sf_dir)
-    posts = AL.new_postings(_wh(t).fact, AS_OF_TS, ALERT_HOURS)
+    posts = _new(_wh(t).fact)
     kws = t["keywords"].select(F.col("keyword").alias("user_id"), F.lit(1).alias("seq"), "keyword")
     exp = A.thesaurus_expansions(kws.select("keyword"), _thesaurus(t))
     cand = AL.match_subscriptions(posts, kws, expansions=exp)
@@ -761,22 +849,22 @@ def q_match_source_share(spark, sf_dir):
                              F.lit(None).cast("bigint").alias("max_experience"),
                              F.lit(None).cast("bigint").alias("form_code"),
                              F.lit(None).cast("string").alias("region"))
-    res = SR.search(q, fact, AS_OF, 10, use_tags=True, fallback=True)
+    res = SR.search(q, fact, AS_OF, 10, use_tags=True, fallback=True, **_index(t))
     return E.match_source_share(res, fact, q).withColumnRenamed("query_id", "keyword")
 
 
 def q_alert_stream(spark, sf_dir):
-    """The alert window's postings replayed as weekly files through the streaming
+    """The alert window's postings replayed as daily arrivals through the streaming
     matcher, starting from the previous run's log; the final log equals the batch one."""
     from ..streaming import jobs as ST
     t = _tables(spark, sf_dir)
     fact, subs, prof, exp = _alert_inputs(t)
     base = _scratch(spark, "stream-alerts")
-    posts = AL.new_postings(fact, AS_OF_TS, ALERT_HOURS)
-    ST.write_in_order(posts, "created_at", F.year("created_at"), f"{base}/posts")
-    _previous_log(t).write.parquet(f"{base}/log")
-    schema = spark.read.parquet(f"{base}/posts").schema
-    ST.stream_alerts(spark, f"{base}/posts", schema, subs, prof, exp, f"{base}/log", f"{base}/ckpt")
+    posts = _new(fact)
+    ST.write_in_order(posts, "created_at", F.to_date("created_at").cast("timestamp").cast("bigint"), f"{base}/staged")
+    _previous_log(t).write.parquet(f"{base}/log/batch_id=-1")
+    for _ in ST.arrivals(spark, f"{base}/staged", f"{base}/posts"):
+        ST.stream_alerts(spark, f"{base}/posts", posts.schema, subs, prof, exp, f"{base}/log", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/log").select("user_id", "posting_id")
 
 
@@ -786,7 +874,7 @@ def q_rule_judgments(spark, sf_dir):
     t = _tables(spark, sf_dir)
     fact = _wh(t).fact
     q = _search_queries(t)
-    res = SR.search(q, fact, AS_OF, 5).select("query_id", "posting_id").distinct()
+    res = SR.search(q, fact, AS_OF, 5, **_index(t)).select("query_id", "posting_id").distinct()
     cand = res.join(fact, "posting_id").select(
         "query_id", "posting_id", F.col("announcement_name").alias("title"), F.col("region_name").alias("region"),
         TT.form_name("form").alias("form"), TT.display_experience("experience").alias("experience"),
@@ -829,6 +917,16 @@ QUERIES = {
     "snapshot_upsert": q_snapshot_upsert,
     "insight_report": q_insight_report,
     "expire_postings": q_expire_postings,
+    "expire_fact": q_expire_fact,
+    "expire_notifications": q_expire_notifications,
+    "profile_display": q_profile_display,
+    "subscription_delete_all": q_subscription_delete_all,
+    "ab_overlap": q_ab_overlap,
+    "pool_modes": q_pool_modes,
+    "eval_summary_all": q_eval_summary_all,
+    "unmapped_judgments": q_unmapped_judgments,
+    "expansion_totals": q_expansion_totals,
+    "listing_fields": q_listing_fields,
     "region_backfill": q_region_backfill,
     "fill_rate": q_fill_rate,
     "tag_merge": q_tag_merge,
@@ -884,6 +982,7 @@ QUERIES = {
     "tag_outcomes": q_tag_outcomes,
     "tag_backlog": q_tag_backlog,
     "judge_incremental": q_judge_incremental,
+    "rerank": q_rerank,
     "ingest_csv": q_ingest_csv,
     "expansion_impact": q_expansion_impact,
     "judgments_explode": q_judgments_explode,

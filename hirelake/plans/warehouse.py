@@ -77,11 +77,11 @@ def build_stored(raw: DataFrame, path: str, today: str | None = None, batch_id=N
                   S.dim_upsert(ok.select(F.col("region_name").alias("name"))),
                   S.dim_upsert(bridge.select(F.col("tag").alias("name"))), bridge)
     stored = store(w, path, skip=("fact",))
-    from ..operators import market as M
     from ..operators import ngram
-    idx = ngram.gram_index(M.posting_texts(stored.fact), "tid", "text").distinct()
-    idx.write.mode("overwrite").parquet(f"{path}/gram_index")
-    idx = spark.read.parquet(f"{path}/gram_index")
+    # title and tags of a posting as one array: their grams are distinct without a shuffle
+    texts = stored.fact.select("posting_id", F.concat(F.array("announcement_name"), F.coalesce("tags", F.array().cast("array<string>"))).alias("texts"))
+    texts = texts.withColumn("texts", F.filter("texts", lambda t: t.isNotNull()))
+    idx = ngram.store_index(ngram.gram_index(texts, "posting_id", "texts"), f"{path}/gram_index")
     ngram.gram_stats(idx).write.mode("overwrite").parquet(f"{path}/gram_stats")
     stored.gram_index = idx
     stored.gram_stats = spark.read.parquet(f"{path}/gram_stats")

@@ -54,7 +54,6 @@ SELECT c_custkey AS query_id,
  || CASE c_custkey % 7 WHEN 0 THEN ' 연봉 4천만원 이상' WHEN 1 THEN ' 연봉 1억 5천만원' WHEN 2 THEN ' 연봉 3000' ELSE '' END
  || ' 공고 보여줘' AS text
 FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey JOIN {region} ON r_regionkey = n_regionkey
-WHERE c_custkey < 200
 """
 
 # the region vocabulary of the fixture queries (parameter of query parsing)
@@ -67,14 +66,13 @@ SELECT CAST(c_custkey AS VARCHAR(20)) AS user_id,
  CASE WHEN c_custkey % 40 <> 0 THEN c_custkey % 12 END AS max_experience,
  CASE WHEN c_custkey % 50 <> 0 THEN 2000 + c_custkey % 3000 END AS min_salary
 FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey JOIN {region} ON r_regionkey = n_regionkey
-WHERE c_custkey % 10 = 0
 """
 
 SUBSCRIPTIONS = """
 SELECT CAST(c_custkey AS VARCHAR(20)) AS user_id, k AS seq,
  CASE (c_custkey + k) % 5 WHEN 0 THEN 'red' WHEN 1 THEN 'ring' WHEN 2 THEN 'hot plate' WHEN 3 THEN 'ECONOMY' END AS keyword
 FROM {customer} CROSS JOIN (VALUES (1),(2),(3),(4),(5),(6),(7)) v(k)
-WHERE c_custkey % 10 = 0 AND k <= 1 + c_custkey % 7
+WHERE k <= 1 + c_custkey % 7
 """
 
 RUNS = """
@@ -104,7 +102,38 @@ SELECT DISTINCT keyword FROM (
  UNION ALL SELECT split_part(p_name, ' ', 2) FROM {part}) k
 """
 
+# stand-in model responses: score lists with full-width commas, words, too few and too
+# many values and a second line; judgments as a digit in some text, blank or missing
+SCORE_RESPONSES = """
+SELECT conv_id, turn, CAST(length(text) % 11 AS VARCHAR(20)) || ', ' || CAST(conv_id % 7 AS VARCHAR(20)) || '.5，' || split_part(text, ' ', 1)
+ || ', ' || CAST(turn AS VARCHAR(20)) || CASE WHEN conv_id % 3 = 0 THEN ', 1, 2, 3, 4, 5, 6, 7, 8, 9, 10' ELSE '' END || chr(10) || '9, 9' AS response
+FROM {conversations} WHERE role = 'assistant'
+"""
+
+JUDGE_RESPONSES = """
+SELECT l_orderkey AS query_id, l_partkey AS doc_id,
+ min(CASE (l_orderkey * 7 + l_partkey) % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'none' WHEN 3 THEN ' none, so 2'
+  ELSE ' ' || CAST((l_orderkey + l_partkey) % 6 AS VARCHAR(20)) || ' of 3' END) AS response
+FROM {lineitem} GROUP BY 1, 2
+"""
+
+# listing rows as a crawl would keep them: cells may be missing at the end, and some rows
+# lack the elements a posting needs
+LISTING_ROWS = """
+SELECT posting_id, '<tr class="row"><td class="tplCo"><a href="/co/' || CAST(company_key AS VARCHAR(20)) || '"> ' || company || ' </a></td>'
+ || CASE WHEN posting_id % 17 = 0 THEN '<td class="tplTit">' ELSE '<td class="tplTit"><strong><a class="link" href="/p/' || CAST(posting_id AS VARCHAR(20)) || '">' || title || ' </a></strong>' END
+ || '<p class="etc"><span class="cell">' || career_raw || '</span><span class="cell">' || education_raw || '</span>'
+ || CASE WHEN posting_id % 5 = 0 THEN '' ELSE '<span class="cell">' || location_raw || '</span><span class="cell">' || form_raw || '</span><span class="cell">' || salary_raw || '</span>' END
+ || CASE WHEN posting_id % 3 = 0 THEN '' ELSE '<span class="cell">' || position_raw || '</span>' END
+ || '</p>' || CASE WHEN posting_id % 4 = 0 THEN '' ELSE '<p class="dsc">' || description_raw || '</p>' END || '</td>'
+ || CASE WHEN posting_id % 7 = 0 THEN '' ELSE '<td class="odd"><span class="date dotum">' || deadline_raw || '</span></td>' END || '</tr>' AS html
+FROM {postings_raw}
+"""
+
 VIEWS = {
+    "listing_rows": LISTING_ROWS,
+    "score_responses": SCORE_RESPONSES,
+    "judge_responses": JUDGE_RESPONSES,
     "keywords": KEYWORDS,
     "postings_raw": POSTINGS_RAW,
     "postings_recrawl": POSTINGS_RECRAWL,

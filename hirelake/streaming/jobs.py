@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import path_exists
 from ..operators import normalize as N
 from ..operators import tables as S
 
@@ -28,20 +29,17 @@ def _fact_cols(df: DataFrame) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, raw_dir: str, schema, sink: str, checkpoint: str,
-                  max_files_per_trigger: int = 1, today: str | None = None):
-    """Run until the available files are consumed; returns the finished query."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(raw_dir))
+                  today: str | None = None):
+    """Run until the available files are consumed, as one batch; returns the finished query."""
+    src = spark.readStream.schema(schema).parquet(raw_dir)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         ok = N.accepted(N.normalize_postings(batch, today))
-        try:
-            existing = s.read.parquet(sink)
-        except Exception:  # noqa: BLE001 - first batch: the sink does not exist yet
-            existing = None
+        # a replayed batch reads what earlier batches stored and overwrites its own folder
+        existing = s.read.parquet(sink).where(F.col("batch_id") < batch_id).drop("batch_id") if path_exists(s, sink) else None
         new = _fact_cols(S.first_wins_dedup(ok, existing))
-        new.write.mode("append").parquet(sink)
+        new.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     q = (src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -50,19 +48,17 @@ def stream_ingest(spark: SparkSession, raw_dir: str, schema, sink: str, checkpoi
 
 
 def stream_daily_counts(spark: SparkSession, events_dir: str, schema, sink: str, checkpoint: str,
-                        late_tolerance: str = "2 days", max_files_per_trigger: int = 1):
+                        late_tolerance: str = "2 days"):
     """Per (day window, event type) counts with a watermark; update mode."""
-    ev = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-          .parquet(events_dir)
+    ev = (spark.readStream.schema(schema).parquet(events_dir)
           .withColumn("ts", F.col("ts").cast("timestamp")))
     counts = (ev.withWatermark("ts", late_tolerance)
               .groupBy(F.window("ts", "1 day").alias("w"), "event_type")
               .agg(F.count(F.lit(1)).alias("count")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.start").alias("window_start"), "event_type", "count",
-                      F.lit(batch_id).alias("batch_id"))
-         .write.mode("append").parquet(sink))
+        (batch.select(F.col("w.start").alias("window_start"), "event_type", "count")
+         .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}"))
 
     q = (counts.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -84,27 +80,42 @@ def batch_daily_counts(events: DataFrame) -> DataFrame:
 
 
 def write_in_order(df: DataFrame, order_col: str, chunk_expr, path: str) -> None:
-    """Replay helper: write ``df`` as one folder of files per chunk, chunks in order,
-    so a file stream sees them in event order (file sources order by modification
-    time).  The chunk list is small (one entry per chunk)."""
-    chunks = sorted(r[0] for r in df.select(chunk_expr.alias("_c")).distinct().collect())
-    for c in chunks:
-        df.where(chunk_expr == F.lit(c)).coalesce(1).write.mode("append").parquet(path)
+    """Replay helper: write ``df`` as one folder per chunk (``chunk=<c>``) in one distributed
+    pass; each chunk is range-split over the tasks by ``order_col``."""
+    (df.withColumn("chunk", chunk_expr).repartitionByRange("chunk", order_col)
+     .write.mode("overwrite").partitionBy("chunk").parquet(path))
+
+
+def arrivals(spark: SparkSession, staged: str, path: str):
+    """Replay: the chunks staged by ``write_in_order`` arrive below ``path`` one after the
+    other, each as distributed files; yields after each one."""
+    for c in chunks(spark, staged):
+        spark.read.parquet(f"{staged}/chunk={c}").write.mode("append").parquet(path)
+        yield c
+
+
+def chunks(spark: SparkSession, path: str) -> list[int]:
+    """The chunks below ``path``, in order, from its folder names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    names = [f.getPath().getName() for f in found]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("chunk="))
 
 
 def stream_alerts(spark: SparkSession, postings_dir: str, schema, subs: DataFrame, profiles: DataFrame | None,
-                  expansions: DataFrame | None, log_path: str, checkpoint: str, max_files_per_trigger: int = 1):
+                  expansions: DataFrame | None, log_path: str, checkpoint: str):
     """New postings arrive as files; each micro-batch is matched against the static
     subscriptions (stream-static join through the batch matcher), deduplicated per
-    user, anti-joined with the notification log, and appended to it."""
+    user, anti-joined with what earlier batches logged, and written to the log as the
+    batch's own folder (``batch_id=<n>``, below 0 for what was there before)."""
     from ..operators import alerts as AL
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(postings_dir)
+    src = spark.readStream.schema(schema).parquet(postings_dir)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        log = s.read.parquet(log_path)
+        log = s.read.parquet(log_path).where(F.col("batch_id") < batch_id).drop("batch_id")
         pending = AL.alerts_pending(AL.user_matches(AL.match_subscriptions(batch, subs, profiles, expansions)), log)
-        pending.select("user_id", "posting_id").write.mode("append").parquet(log_path)
+        pending.select("user_id", "posting_id").write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
 
     q = (src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -369,10 +369,10 @@ SELECT DISTINCT region_name AS region, subregion_name AS subregion, region_name
 FROM fact WHERE subregion_name IS NOT NULL AND region_name IS NOT NULL"""
 
 
-def _alert_ctes(ts: str, px: str, bounded: bool = False) -> str:
-    upper = f" AND CAST(created_at AS TIMESTAMP) < TIMESTAMP '{ts}'" if bounded else ""
+def _alert_ctes(ts: str, px: str) -> str:
+    upper = f" AND CAST(created_at AS TIMESTAMP) < TIMESTAMP '{ts}'"
     return f""",
-{px}np AS (SELECT * FROM fact WHERE CAST(created_at AS TIMESTAMP) >= TIMESTAMP '{ts}' - INTERVAL 720 HOUR{upper}),
+{px}np AS (SELECT * FROM fact WHERE CAST(created_at AS TIMESTAMP) >= TIMESTAMP '{ts}' - INTERVAL 168 HOUR{upper}),
 {px}npt AS (SELECT posting_id, lower(concat_ws(' ', coalesce(announcement_name, ''), array_to_string(tags, ' '))) AS txt,
   region_name, form, experience, annual_salary FROM {px}np),
 {px}kx AS (SELECT DISTINCT st.keyword, exp.expanded FROM st JOIN exp USING (keyword)),
@@ -399,13 +399,14 @@ ALERT_PREFIX = (stream_with("subscriptions", "profiles") + """,
 st AS (SELECT user_id, seq, keyword FROM subscriptions
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) <= 5)"""
                 + thesaurus_ctes("SELECT p_name AS text FROM part", "st"))
-ALERTS = ALERT_PREFIX + _alert_ctes("1998-06-15 12:00:00", "c_") + _alert_ctes("1998-06-05 12:00:00", "o_", True) + """,
+ALERTS = ALERT_PREFIX + _alert_ctes("1998-06-15 12:00:00", "c_") + _alert_ctes("1998-06-12 12:00:00", "o_") + """,
 pend AS (SELECT * FROM c_um WHERE (user_id, posting_id) NOT IN (SELECT (user_id, posting_id) FROM o_um))
 """
 
 SQL["new_postings"] = stream_with() + """
 SELECT posting_id, announcement_name FROM fact
-WHERE CAST(created_at AS TIMESTAMP) >= TIMESTAMP '1998-06-15 12:00:00' - INTERVAL 720 HOUR"""
+WHERE CAST(created_at AS TIMESTAMP) >= TIMESTAMP '1998-06-15 12:00:00' - INTERVAL 168 HOUR
+ AND CAST(created_at AS TIMESTAMP) < TIMESTAMP '1998-06-15 12:00:00'"""
 
 SQL["match_subscriptions"] = ALERT_PREFIX + _alert_ctes("1998-06-15 12:00:00", "c_") + f""",
 kt AS (SELECT keyword, list_filter(string_split_regex({_strip2('keyword')}, '{WS_}+'), lambda t: t <> '') AS toks
@@ -494,7 +495,11 @@ j AS (SELECT tg.query_id, md.mode, fd.rk, nr.n FROM tg CROSS JOIN md LEFT JOIN f
 SELECT mode, round(avg(CASE WHEN rk <= 5 THEN 1.0 ELSE 0.0 END), 4) AS hit_5, round(avg(CASE WHEN rk <= 10 THEN 1.0 ELSE 0.0 END), 4) AS hit_10,
  round(avg(coalesce(1.0 / rk, 0.0)), 4) AS mrr, round(avg(CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE 0.0 END), 4) AS zero_rate
 FROM j GROUP BY mode"""
-SQL["stratified_sample"] = None  # hash order is engine-specific: rows-only check
+SQL["stratified_sample"] = stream_with() + """,
+s AS (SELECT posting_id, len(coalesce(tags, [])) > 3 AS tagged, md5(CAST(posting_id AS VARCHAR) || ':42') AS h FROM fact),
+a AS (SELECT posting_id, tagged FROM s WHERE tagged ORDER BY h, posting_id LIMIT 70),
+b AS (SELECT posting_id, tagged FROM s WHERE NOT tagged ORDER BY h, posting_id LIMIT (SELECT 100 - count(*) FROM a))
+SELECT * FROM a UNION ALL SELECT * FROM b"""
 SQL["filter_regression"] = (_dw("query_log", "region_vocab", "keywords") + "," + parse_ctes(
     "query_log", "1998-06-15", "region_vocab") + ",\nd1 AS (SELECT * FROM pq)," + parse_ctes(
     "query_log", "1998-06-15", "region_vocab").replace("pq", "zq").replace(
@@ -516,8 +521,7 @@ SQL["events_daily_new"] = """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS count FROM events GROUP BY ALL"""
 
 SQL["posting_cards"] = stream_with() + f""",
-top AS (SELECT posting_id, row_number() OVER (ORDER BY posting_id DESC) AS rank FROM fact WHERE deadline >= {ASOF}
-  ORDER BY posting_id DESC LIMIT 100)
+top AS (SELECT posting_id, row_number() OVER (PARTITION BY company_name ORDER BY posting_id DESC) AS rank FROM fact WHERE deadline >= {ASOF})
 SELECT f.posting_id, concat_ws(chr(10),
  '📌 [' || CAST(top.rank AS VARCHAR) || '] ' || coalesce(announcement_name, '') || ' @ ' || coalesce(company_name, ''),
  '- 경력: ' || CASE WHEN experience IS NULL THEN '경력무관' WHEN experience = 0 THEN '신입' ELSE CAST(experience AS VARCHAR) || '년 이상' END,
@@ -572,7 +576,8 @@ RESP = _dw("conversations") + """,
 resp AS (SELECT conv_id, turn, text AS response FROM conversations WHERE role = 'assistant')"""
 _FL = lambda x: f"nullif(string_split_regex({_ST(x)}, '\\r?\\n|\\r')[1], '')"
 
-SQL["parse_scores"] = RESP + f""",
+SQL["parse_scores"] = _dw("score_responses") + f""",
+resp AS (SELECT * FROM score_responses),
 ps AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace(coalesce({_FL('response')}, ''), '，', ','), ','),
    lambda t: TRY_CAST({_ST('t')} AS DOUBLE)), lambda x: x IS NOT NULL) AS v FROM resp),
 ps2 AS (SELECT conv_id, turn, list_slice(list_concat(v, [5.0,5.0,5.0,5.0,5.0,5.0,5.0,5.0,5.0,5.0]), 1, 10) AS s FROM ps)
@@ -586,7 +591,7 @@ SELECT conv_id, turn, unnest(range(len(tg))) AS pos, unnest(tg) AS tag FROM pt W
 
 TAGX = (stream_with("conversations") + f""",
 resp AS (SELECT conv_id, turn, text AS response FROM conversations WHERE role = 'assistant'),
-r1 AS (SELECT conv_id AS posting_id, arg_min(response, turn) AS response FROM resp GROUP BY conv_id),
+r1 AS (SELECT conv_id * 32 + turn AS posting_id, response FROM resp),
 pt AS (SELECT posting_id, CASE WHEN len({PTAGS}) > 0 THEN {PTAGS} END AS tg FROM r1),
 te AS (SELECT f.posting_id, pt.tg, CASE WHEN pt.tg IS NULL THEN [] ELSE
   list_filter(list_distinct(pt.tg), lambda x: NOT list_contains(f.tags, x)) END AS added FROM fact f JOIN pt USING (posting_id))
@@ -597,11 +602,11 @@ SELECT CASE WHEN tg IS NULL THEN 'failed' WHEN len(added) > 0 THEN 'tagged' ELSE
 FROM te GROUP BY 1"""
 SQL["tag_backlog"] = stream_with() + f"""
 SELECT posting_id, CAST(floor((row_number() OVER (ORDER BY posting_id) - 1) / 100) AS BIGINT) AS batch_no
-FROM (SELECT posting_id FROM fact WHERE deadline >= {ASOF} ORDER BY posting_id LIMIT 1000)"""
-SQL["judge_incremental"] = _dw("runs", "judgments", "conversations") + f""",
+FROM (SELECT posting_id FROM fact WHERE deadline >= {ASOF})"""
+SQL["judge_incremental"] = _dw("runs", "judgments", "judge_responses") + f""",
 pool AS (SELECT DISTINCT query_id, doc_id FROM runs WHERE rank <= 10),
 un AS (SELECT * FROM pool WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM judgments)),
-resp AS (SELECT conv_id AS query_id, turn AS doc_id, text AS response FROM conversations WHERE role = 'assistant')
+resp AS (SELECT * FROM judge_responses)
 SELECT un.query_id, un.doc_id, CAST(coalesce(nullif(regexp_extract(coalesce({_ST('resp.response')}, ''), '[0-3]', 0), ''), '0') AS INT) AS rel
 FROM un LEFT JOIN resp USING (query_id, doc_id)"""
 
@@ -616,7 +621,8 @@ SELECT company_name, announcement_name, CAST(deadline AS VARCHAR) AS deadline, e
 
 SQL["expansion_impact"] = stream_with("keywords") + thesaurus_ctes("SELECT p_name AS text FROM part", "keywords") + f""",
 np AS (SELECT posting_id, lower(concat_ws(' ', coalesce(announcement_name, ''), array_to_string(tags, ' '))) AS txt FROM fact
-  WHERE CAST(created_at AS TIMESTAMP) >= TIMESTAMP '1998-06-15 12:00:00' - INTERVAL 720 HOUR),
+  WHERE CAST(created_at AS TIMESTAMP) >= TIMESTAMP '1998-06-15 12:00:00' - INTERVAL 168 HOUR
+  AND CAST(created_at AS TIMESTAMP) < TIMESTAMP '1998-06-15 12:00:00'),
 kt AS (SELECT keyword, list_filter(string_split_regex({_strip2('keyword')}, '{WS_}+'), lambda t: t <> '') AS toks FROM keywords),
 bf AS (SELECT kt.keyword, np.posting_id FROM kt JOIN np ON len(list_filter(kt.toks, lambda t: strpos(np.txt, lower(t)) > 0)) = len(kt.toks)),
 af AS (SELECT exp.keyword, np.posting_id FROM exp JOIN np ON len(list_filter(exp.expanded, lambda t: strpos(np.txt, lower(t)) > 0)) > 0),
@@ -679,10 +685,62 @@ sc AS (SELECT c.query_id, c.posting_id,
   len(list_filter(ru.kws, lambda k: strpos(lower(coalesce(c.title, '')), lower(k)) > 0)) > 0 AS job, len(ru.kws) AS nk,
   2 - CASE WHEN ru.region IS NOT NULL AND strpos(coalesce(c.region, ''), ru.region) = 0 THEN 1 ELSE 0 END
     - CASE WHEN ru.req_form IS NOT NULL AND c.form IS DISTINCT FROM ru.req_form THEN 1 ELSE 0 END
-    + CASE WHEN ru.max_experience = 0 THEN CASE WHEN c.yrs IS NOT NULL AND c.yrs > 1 THEN -1 ELSE 1 END
+    + CASE WHEN ru.max_experience = 0 THEN CASE WHEN c.yrs > 1 THEN -1 WHEN c.yrs IS NULL OR c.yrs = 0 THEN 1 ELSE 0 END
            WHEN ru.max_experience IS NOT NULL THEN CASE WHEN c.yrs IS NULL THEN 0 WHEN c.yrs >= ru.max_experience THEN 1
              WHEN c.yrs < ru.max_experience - 1 THEN -1 ELSE 0 END ELSE 0 END
     - CASE WHEN ru.min_annual_salary IS NOT NULL AND ru.min_annual_salary <> 0 AND c.sal IS NOT NULL
            AND c.sal < ru.min_annual_salary THEN 1 ELSE 0 END AS s
   FROM cand c JOIN ru USING (query_id))
 SELECT query_id, posting_id, CAST(CASE WHEN nk > 0 AND NOT job THEN 0 ELSE greatest(0, least(3, s)) END AS INT) AS rel FROM sc"""
+
+SQL["rerank"] = SEARCH_PREFIX + search_ctes("a_", "sq", 25, False, True) + f""",
+rt AS (SELECT r.query_id, r.rank, r.posting_id, floor((r.rank - 1) / 10) AS b,
+  list_filter(string_split_regex(lower(coalesce({_strip2('sq.keyword')}, '')), '{WS_}+'), lambda t: t <> '') AS toks,
+  lower(concat_ws(' ', coalesce(f.announcement_name, ''), array_to_string(list_slice(coalesce(f.tags, []), 1, 5), ' '))) AS txt
+  FROM a_res r JOIN fact f USING (posting_id) JOIN sq USING (query_id)),
+rs AS (SELECT query_id, rank, posting_id, CASE WHEN len(toks) = 0 THEN 5.0
+  ELSE 10.0 * len(list_filter(toks, lambda t: strpos(txt, t) > 0)) / len(toks) END AS score FROM rt)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank, posting_id, round(score, 9) AS score FROM rs"""
+
+SQL["expire_fact"] = stream_with() + f"SELECT posting_id, CAST(deadline AS VARCHAR) AS deadline FROM fact WHERE deadline >= {ASOF}"
+SQL["expire_notifications"] = ALERTS + f"""
+SELECT user_id, posting_id FROM o_um WHERE posting_id IN (SELECT posting_id FROM fact WHERE deadline >= {ASOF})"""
+SQL["profile_display"] = _dw("profiles") + """
+SELECT user_id, coalesce(region, '상관없음') AS region_text, coalesce(CASE form WHEN 1 THEN '정규직' WHEN 2 THEN '계약직' WHEN 3 THEN '인턴'
+  WHEN 4 THEN '파견직' WHEN 5 THEN '프리랜서' WHEN 6 THEN '위촉직' WHEN 7 THEN '도급' WHEN 8 THEN '연수생' WHEN 9 THEN '병역특례'
+  WHEN 10 THEN '아르바이트' END, '상관없음') AS form_text,
+ CASE WHEN max_experience IS NULL THEN '상관없음' WHEN max_experience = 0 THEN '신입' ELSE CAST(max_experience AS VARCHAR) || '년 이상' END AS experience_text,
+ CASE WHEN min_salary IS NULL THEN '상관없음' ELSE CAST(min_salary AS VARCHAR) || '만원/년' END AS salary_text
+FROM profiles"""
+SQL["subscription_delete_all"] = _dw("subscriptions", "profiles") + """,
+st AS (SELECT user_id, seq, keyword FROM subscriptions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) <= 5)
+SELECT user_id, seq, keyword FROM st WHERE user_id NOT IN (SELECT user_id FROM profiles WHERE region IS NULL)"""
+SQL["ab_overlap"] = ("SELECT query_id, count(CASE WHEN rank_a IS NOT NULL AND rank_b IS NOT NULL THEN 1 END) AS shared, "
+                     "count(CASE WHEN rank_a IS NOT NULL AND rank_b IS NOT NULL THEN 1 END) / 5.0 AS overlap FROM ("
+                     + SQL["ab_compare"] + ") GROUP BY query_id")
+SQL["pool_modes"] = (SEARCH_PREFIX + THES + EXPQ + search_ctes("b_", "sq", 10, False, True) + search_ctes("t_", "sq", 10, True, True)
+                     + expanded_ctes("e_", "eq", 10) + """,
+ok3 AS (SELECT query_id FROM b_res GROUP BY query_id HAVING count(*) >= 3),
+rr AS (SELECT query_id, posting_id, rank, 0 AS mo FROM b_res UNION ALL SELECT query_id, posting_id, rank, 1 FROM t_res
+  UNION ALL SELECT query_id, posting_id, rank, 2 FROM e_res
+  UNION ALL SELECT query_id, posting_id, rank, 3 FROM b_res WHERE query_id IN (SELECT query_id FROM ok3)
+  UNION ALL SELECT query_id, posting_id, rank, 3 FROM e_res WHERE query_id NOT IN (SELECT query_id FROM ok3)),
+pl AS (SELECT query_id, posting_id AS doc_id, min(mo * 1000 + rank) AS p FROM rr GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY p) AS pool_pos, CAST(floor(p / 1000) AS INT) AS first_mode FROM pl""")
+SQL["eval_summary_all"] = SQL["eval_summary"].replace("avg(", "1.0 / (SELECT count(*) FROM orders) * sum(")
+SQL["unmapped_judgments"] = EV + """
+SELECT query_id, doc_id FROM judgments WHERE doc_id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 > 0)"""
+SQL["expansion_totals"] = ("SELECT count(*) AS keywords, sum(matched_before) AS matched_before, sum(matched_after) AS matched_after, "
+                           "sum(new_matches) AS new_matches, CASE WHEN sum(matched_before) > 0 THEN round(sum(matched_after) / sum(matched_before), 2) "
+                           "END AS expansion_ratio FROM (" + SQL["expansion_impact"] + ")")
+_X = lambda pat, g=1: f"regexp_extract(html, '(?s){pat}', {g})"
+_TIT = r'<td class="tplTit">\s*<strong>\s*<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+_CELL = lambda i: _ST(f"coalesce(cells[{i}], '')")
+SQL["listing_fields"] = _dw("listing_rows") + f""",
+lr AS (SELECT posting_id, html, regexp_extract_all(html, '(?s)<span class="cell">(.*?)</span>', 1) AS cells FROM listing_rows
+  WHERE regexp_matches(html, '(?s){_TIT}'))
+SELECT posting_id, {_ST(_X(_TIT, 2))} AS title, 'https://example.com' || {_X(_TIT, 1)} AS link,
+ {_ST(_X('<td class="tplCo">[^<]*<a[^>]*>(.*?)</a>'))} AS company, {_CELL(1)} AS career, {_CELL(2)} AS education, {_CELL(3)} AS location,
+ {_CELL(4)} AS form, {_CELL(5)} AS salary, {_CELL(6)} AS position,
+ {_ST(_X('<td class="odd">.*?<span class="date[^"]*">(.*?)</span>'))} AS deadline, {_ST(_X('<p class="dsc">(.*?)</p>'))} AS description
+FROM lr"""

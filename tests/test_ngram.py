@@ -3,17 +3,28 @@
 from pyspark.sql import functions as F
 
 from hirelake.operators import ngram
+from hirelake.session import scratch
 
-PATTERNS = ["ring", "r", "ec%my", "b_ss", "%", "zz", "RED", "e", "_", "anvil medium", "가나"]
+PATTERNS = ["ring", "r", "ec%my", "b_ss", "%", "zz", "RED", "e", "_", "anvil medium", "가나", "", "__", "%_%",
+            r"100\%", r"a\%b", r"a\b", r"a\\b", "b\\", r"\_x", r"\\", "\\", "É"]
+TEXTS = ["100% pay", "a%b", "axb", r"a\b", "ab", "b%", "_x", "", "\\", "école", "100x pay", None]
 
 
 def test_ngram_equals_scan(spark):
     texts = (spark.read.parquet("/root/testdata/sf0.001/part.parquet")
              .select(F.col("p_partkey").alias("tid"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text")))
+    texts = texts.unionByName(spark.createDataFrame([(1_000_000 + i, t) for i, t in enumerate(TEXTS)], "tid bigint, text string"))
     pats = spark.createDataFrame(list(enumerate(PATTERNS)), "pid int, pattern string")
     a = {tuple(r) for r in ngram.scan_pairs(pats, texts).collect()}
     b = {tuple(r) for r in ngram.ngram_pairs(pats, texts).collect()}
     assert a == b and len(a) > 0
+    stored = ngram.store_index(ngram.gram_index(texts, "tid", "text"), scratch(spark, "test-index"))
+    c = {tuple(r) for r in ngram.ngram_pairs(pats, texts, stored).collect()}
+    assert a == c
+    found = {p: {TEXTS[t - 1_000_000] for q, t in a if PATTERNS[q] == p and t >= 1_000_000} for p in PATTERNS}
+    assert found[r"100\%"] == {"100% pay"} and found[r"a\%b"] == {"a%b"} and found[r"a\b"] == {"ab"}
+    assert found[r"a\\b"] == {r"a\b"} and found["b\\"] == {"b%"} and found[""] == set(TEXTS) - {None}
+    assert found["__"] == {t for t in TEXTS if t and len(t) > 1} and found["É"] == {"école"}
 
 
 def test_literal_mode(spark):

@@ -1,6 +1,7 @@
 """Plan properties: no Python in the parse jobs, pushdown reaches the scan."""
 
 from hirelake.operators.normalize import normalize_postings
+from hirelake.plans.catalog import QUERIES
 from hirelake.sources.fixtures import Tables
 
 
@@ -14,11 +15,17 @@ def test_normalize_has_no_python(spark):
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
 
-def test_pushdown_and_pruning(spark, tmp_path):
-    from pyspark.sql import functions as F
-    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
-    df.write.parquet(str(tmp_path / "o"))
-    q = spark.read.parquet(str(tmp_path / "o")).where(F.col("o_custkey") > 10).select("o_orderkey")
-    p = plan(q)
-    assert "PushedFilters: [IsNotNull(o_custkey), GreaterThan(o_custkey,10)]" in p
-    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in p
+def test_searches_never_pair_patterns_with_texts(spark):
+    for name in ("ngram_search", "search_name_only", "salary_by_keyword"):
+        p = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "CartesianProduct" not in p
+
+
+def test_index_lookup_prunes_buckets(spark):
+    p = plan(QUERIES["ngram_search"](spark, "/root/testdata/sf0.001"))
+    assert "bucket" in p and "dynamicpruning" in p
+
+
+def test_list_valid_pushes_the_deadline_down(spark):
+    p = plan(QUERIES["list_valid"](spark, "/root/testdata/sf0.001"))
+    assert "GreaterThanOrEqual(deadline" in p and "TakeOrderedAndProject" in p

@@ -14,6 +14,14 @@ def test_sequential_ids_dense_and_ordered(spark):
     assert [r.name for r in rows] == sorted(r.name for r in rows)
 
 
+def test_sequential_ids_of_many_wide_rows(spark):
+    n = 3_000_000
+    df = spark.range(n).select((F.col("id") * 7919 % 1000).alias("g"), F.xxhash64("id").alias("h"), F.col("id").alias("v"),
+                               F.concat(F.lit("row "), F.col("id")).alias("w"))
+    r = sequential_ids(df, ["g", "h"]).agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id"), F.count_distinct("v")).first()
+    assert tuple(r) == (n, n, 1, n, n)
+
+
 def test_dedup_hot_key_first_wins(spark):
     # one natural key holds most rows; the earliest arrival must win
     hot = spark.range(0, 20000).select(
@@ -33,7 +41,7 @@ def test_dedup_hot_key_first_wins(spark):
 def test_salted_join_equals_plain_join(spark):
     big = spark.range(0, 10000).select(F.col("id").alias("pid"), (F.col("id") % 3 == 0).cast("int").alias("k"))
     small = spark.createDataFrame([(0, "a"), (1, "b")], "k int, v string")
-    a = {tuple(r) for r in salted_join(big, small, ["k"], salt_from="pid").select("pid", "v").collect()}
+    a = {tuple(r) for r in salted_join(big, small, ["k"], buckets=16, salt_from="pid").select("pid", "v").collect()}
     b = {tuple(r) for r in big.join(small, "k").select("pid", "v").collect()}
     assert a == b
 
