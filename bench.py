@@ -46,9 +46,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from hirelake.plans import catalog as C
-    from hirelake.session import local_session
+    from hirelake.session import local_session, ship_package
 
     spark = local_session(cores=cpus, shuffle_partitions=cpus * 2, app="hirelake-bench")
+    ship_package(spark)
     times: dict[str, float] = {}
     t0 = time.time()
     C._wh(C._tables(spark, sf_dir))

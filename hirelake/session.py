@@ -9,6 +9,7 @@ bench rely on.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -55,6 +56,20 @@ def ensure_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever they run: as a zip file, once for each
+    application.  A worker that has it on its own path is not hindered."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="hirelake-zip-"), "hirelake")
+        sc.addPyFile(shutil.make_archive(base, "zip", root_dir=root, base_dir="hirelake"))
+        _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
