@@ -3,9 +3,10 @@
 Spark keeps the texts that hold a word of license language; in them, candidate blocks are
 the stretches of up to ``REACH`` words around such words (overlapping ones merge).  Each
 block is compressed by zstandard with every template as a raw dictionary; templates are
-ranked by how much the block shrinks against its size without a dictionary.  The best
-``TRIED`` are confirmed by exact wording: words of the template that the block lacks, and
-words in between that it adds; the one with the fewest differences wins.  A block may hold several notices; what a winner explains is
+ranked by how much the block shrinks against its size without a dictionary.  Down this
+ranking they are confirmed by exact wording: words of the template that the block lacks,
+and words in between that it adds.  From the first one confirmed on, ``TRIED`` more are
+compared, and the one with the fewest differences wins; without one, all are tried.  A block may hold several notices; what a winner explains is
 taken out and the rest is ranked again.
 """
 
@@ -69,7 +70,7 @@ def _ranker(templates):
         raw = block.lower().encode()
         alone = len(plain.compress(raw))
         shrunk = sorted((len(c.compress(raw)) / alone, k) for k, _, _, _, c in kit)
-        return [(1 - r, *kit[k][1:4]) for r, k in shrunk[:TRIED]]
+        return [(1 - r, *kit[k][1:4]) for r, k in shrunk]
 
     return rank
 
@@ -118,10 +119,18 @@ def scan_text(text: str, rank) -> list[tuple[int, int, str, str, float, int, int
             if not ws or not _CUE.search(text, ws[0].start(), ws[-1].end()):
                 continue
             norm = [normal(w.group()) for w in ws]
-            ranked = [(wording(t, norm), t, name, kind, reduction) for reduction, name, kind, t in rank(text[ws[0].start():ws[-1].end()])]
-            fits = [x for x in ranked if x[0] and x[0][2] <= MISSING * len(x[1]) and x[0][3] <= ADDED * len(x[1])]
+            fits, left = [], None
+            for reduction, name, kind, template in rank(text[ws[0].start():ws[-1].end()]):
+                w = wording(template, norm)
+                if w and w[2] <= MISSING * len(template) and w[3] <= ADDED * len(template):
+                    fits.append((w, name, kind, reduction))
+                    left = TRIED if left is None else left
+                if left is not None:
+                    left -= 1
+                    if left < 0:
+                        break
             if fits:  # the fewest differences, then the larger reduction
-                (a, b, missing, added), _, name, kind, reduction = min(fits, key=lambda x: x[0][2] + x[0][3])
+                (a, b, missing, added), name, kind, reduction = min(fits, key=lambda x: x[0][2] + x[0][3])
                 found.append((ws[a].start(), ws[b - 1].end(), name, kind, reduction, missing, added))
                 stretches += [ws[:a], ws[b:]]
     out = []
