@@ -289,7 +289,9 @@ def repeated_spans(keyed: DataFrame, rows: DataFrame, length: int = LENGTH, trig
     ``rows`` are read everywhere, so that its one exchange serves all reads."""
     parse = keyed.mapInArrow(_parse(length, trigger), _PARSE)
     seen = parse.groupBy("th").agg(F.count(F.lit(1)).alias("seen"), F.min("ch").alias("c1"), F.max("ch").alias("c2")).where("seen > 1")
-    live = stored(parse.join(seen.select("th", (F.col("c1") == F.col("c2")).alias("alike")), "th"), "phrases")
+    # Stored first: only a join of two plain exchanges has its hot keys split.
+    seen = stored(seen.select("th", (F.col("c1") == F.col("c2")).alias("alike")), "triggers")
+    live = stored(parse.join(seen, "th"), "phrases")
     # Grouped by one hash of trigger and content, so that a hot trigger's phrases spread.
     mixed = live.where(~F.col("alike")).withColumn("phrase", F.xxhash64("th", "ch"))
     place = F.struct(*ROW_KEY, "lo")
