@@ -331,7 +331,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null text counts as empty, texts shorter than ``length`` lose nothing, repeated rows
     are texts of their own and so repeat each other.  Empty table: no rows."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4 << 20)
     keyed = keyed_texts(docs, [id_col], id_col, text_col)
     rows = keyed.repartition(partitions(docs.sparkSession), *ROW_KEY)
     spans = repeated_spans(keyed, rows, length, trigger, max_group)
