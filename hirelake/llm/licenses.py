@@ -6,8 +6,10 @@ block is compressed by zstandard with every template as a raw dictionary; templa
 ranked by how much the block shrinks against its size without a dictionary.  Down this
 ranking they are confirmed by exact wording: words of the template that the block lacks,
 and words in between that it adds.  From the first one confirmed on, ``TRIED`` more are
-compared, and the one with the fewest differences wins; without one, all are tried.  A block may hold several notices; what a winner explains is
-taken out and the rest is ranked again.
+compared, and the one with the most words explained less differences wins (so a short
+notice does not win over a longer one that begins with it); without one, all are tried.  A
+block may hold several notices; what a winner explains is taken out and the rest is ranked
+again.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "copyleft", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "noncommercial", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "permissive", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    ("proprietary", "restricted", "All rights reserved."),
     ("proprietary", "restricted", "All rights reserved. No part of this work may be reproduced without permission."),
 ]
 CUE = r"(?i)licen[sc]e|sublicens|copyright|spdx|creative commons|\bcc[ -](by|0)|public domain|rights reserved|permission|redistribut|free software"
@@ -123,14 +126,14 @@ def scan_text(text: str, rank) -> list[tuple[int, int, str, str, float, int, int
             for reduction, name, kind, template in rank(text[ws[0].start():ws[-1].end()]):
                 w = wording(template, norm)
                 if w and w[2] <= MISSING * len(template) and w[3] <= ADDED * len(template):
-                    fits.append((w, name, kind, reduction))
+                    fits.append((w, name, kind, reduction, len(template)))
                     left = TRIED if left is None else left
                 if left is not None:
                     left -= 1
                     if left < 0:
                         break
-            if fits:  # the fewest differences, then the larger reduction
-                (a, b, missing, added), name, kind, reduction = min(fits, key=lambda x: x[0][2] + x[0][3])
+            if fits:  # the most words explained less differences, then the larger reduction
+                (a, b, missing, added), name, kind, reduction, _ = max(fits, key=lambda x: x[4] - 2 * x[0][2] - x[0][3])
                 found.append((ws[a].start(), ws[b - 1].end(), name, kind, reduction, missing, added))
                 stretches += [ws[:a], ws[b:]]
     out = []

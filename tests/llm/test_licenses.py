@@ -59,3 +59,18 @@ def test_all_documents(spark):
     want = sorted((i, names[x]) for i, t in docs.items() for x in t.split("\n") if x in names)
     got = sorted((r.doc_id, r.license) for r in L.query(spark, sf).collect())
     assert want and got == want
+
+
+def test_bare_rights_reserved_line_and_the_longer_notice():
+    assert found(f"{filler(90)}\nAll rights reserved.\n{filler(90)}") == [("proprietary", 0, 0, "All rights reserved.")]
+    whole = L.TEMPLATES[-1][2].replace("work", "book")
+    assert found(f"{filler(30)} {whole} {filler(30)}") == [("proprietary", 1, 1, whole)]
+
+
+def test_every_line_with_a_cue_is_found(spark):
+    """No notice line of the documents is left out, whether or not it equals a template."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = sorted((i, x) for i, t in docs.items() for x in t.split("\n") if L._CUE.search(x))
+    got = sorted((r.doc_id, docs[r.doc_id][r.start:r.end] + ".") for r in L.query(spark, sf).collect())
+    assert len(want) > 40 and [(i, x.rstrip(".")) for i, x in want] == [(i, x.rstrip(".")) for i, x in got]
