@@ -2,7 +2,8 @@
 
 Lines are hashed, a rolling hash over ``window`` line hashes chooses the boundaries (about
 one in ``divisor`` lines, never less than two lines in a chunk), so an insertion shifts no
-boundary beyond its own chunk.  Chunks of two or more lines found again anywhere are
+boundary beyond its own chunk.  Of a shared passage the chunks that lie whole in it are
+found; the lines at its ends that share a chunk with other lines stay.  Chunks of two or more lines found again anywhere are
 removed, all but the first (smallest id, then text hash, then place).  Chunks meet by a
 128-bit hash, counted with map-side combining; the bytes of all that meet are compared, and
 chunks of one hash whose bytes differ stay.
@@ -23,7 +24,8 @@ from pyspark.sql import types as T
 from hirelake.llm.common import ROW_KEY, arrow_rows, bounded_batches, encoded, partitions, with_row_key
 from hirelake.llm.quality import replaced
 
-WINDOW, DIVISOR = 2, 3
+#: A chunk counts only if both its boundaries fall alike, so they are as dense as two lines a chunk allow.
+WINDOW, DIVISOR = 1, 2
 _BASE, _MIX, _ALL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 COUNTS = ["__hl_lines", "__hl_removed_lines", "__hl_removed_chunks"]
 

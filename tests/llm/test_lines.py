@@ -76,3 +76,21 @@ def test_chunks_cover_and_survive_a_shift():
     shifted = {(s - 1, e - 1) for s, e in b}
     assert len(set(a) - shifted) <= 3
     assert L.chunks([]) == [] and L.chunks([b"x"]) == [(0, 1)]
+
+
+def test_short_passages_of_unrelated_texts_share_chunks():
+    rnd = random.Random(3)
+
+    def fresh(n):
+        return [str(rnd.random()).encode() for _ in range(n)]
+
+    def untouched(k, times=400):
+        n = 0
+        for _ in range(times):
+            p = fresh(k)
+            a, b = ([*fresh(rnd.randint(3, 30)), *p, *fresh(rnd.randint(3, 30))] for _ in range(2))
+            own = [{tuple(x[s:e]) for s, e in L.chunks(x) if e - s > 1} for x in (a, b)]
+            n += not own[0] & own[1]
+        return n / times
+
+    assert untouched(5) < 0.55 and untouched(6) < 0.4 and untouched(8) < 0.2 and untouched(12) < 0.06
