@@ -5,9 +5,9 @@ the stretches of up to ``REACH`` words around such words (overlapping ones merge
 block is compressed by zstandard with every template as a raw dictionary; templates are
 ranked by how much the block shrinks against its size without a dictionary.  Down this
 ranking they are confirmed by exact wording: words of the template that the block lacks,
-and words in between that it adds.  From the first one confirmed on, ``TRIED`` more are
-compared, and the one with the most words explained less differences wins (so a short
-notice does not win over a longer one that begins with it); without one, all are tried.  A
+and words in between that it adds.  Every template whose words
+the block can hold (a lower bound on missing words) is compared, and the one with the most words explained less differences wins (so a short
+notice does not win over a longer one that begins with it).  A
 block may hold several notices; what a winner explains is taken out and the rest is ranked
 again.
 """
@@ -15,6 +15,7 @@ again.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -54,7 +55,7 @@ TEMPLATES = [
     ("proprietary", "restricted", "All rights reserved. No part of this work may be reproduced without permission."),
 ]
 CUE = r"(?i)licen[sc]e|sublicens|copyright|spdx|creative commons|\bcc[ -](by|0)|public domain|rights reserved|permission|redistribut|free software"
-REACH, TRIED, MISSING, ADDED, LEVEL = 60, 4, 0.1, 0.2, 3
+REACH, MISSING, ADDED, LEVEL = 60, 0.1, 0.2, 3
 _CUE, _WORD = re.compile(CUE), re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -122,16 +123,13 @@ def scan_text(text: str, rank) -> list[tuple[int, int, str, str, float, int, int
             if not ws or not _CUE.search(text, ws[0].start(), ws[-1].end()):
                 continue
             norm = [normal(w.group()) for w in ws]
-            fits, left = [], None
+            fits, held = [], Counter(norm)
             for reduction, name, kind, template in rank(text[ws[0].start():ws[-1].end()]):
+                if (Counter(template) - held).total() > MISSING * len(template):
+                    continue
                 w = wording(template, norm)
                 if w and w[2] <= MISSING * len(template) and w[3] <= ADDED * len(template):
                     fits.append((w, name, kind, reduction, len(template)))
-                    left = TRIED if left is None else left
-                if left is not None:
-                    left -= 1
-                    if left < 0:
-                        break
             if fits:  # the most words explained less differences, then the larger reduction
                 (a, b, missing, added), name, kind, reduction, _ = max(fits, key=lambda x: x[4] - 2 * x[0][2] - x[0][3])
                 found.append((ws[a].start(), ws[b - 1].end(), name, kind, reduction, missing, added))

@@ -74,3 +74,17 @@ def test_every_line_with_a_cue_is_found(spark):
     want = sorted((i, x) for i, t in docs.items() for x in t.split("\n") if L._CUE.search(x))
     got = sorted((r.doc_id, docs[r.doc_id][r.start:r.end] + ".") for r in L.query(spark, sf).collect())
     assert len(want) > 40 and [(i, x.rstrip(".")) for i, x in want] == [(i, x.rstrip(".")) for i, x in got]
+
+
+def test_every_template_that_can_fit_is_compared():
+    """The right one of many that differ in one word wins, wherever it ranks."""
+    text = "This work is licensed under the GNU General Public License, version {}"
+    many = [(f"v{k}", "copyleft", text.format(k) + ".") for k in range(100, 160)]
+    many.append(("none", "copyleft", "nothing of this is in the text"))
+
+    class Ranked:
+        def __call__(self, block):
+            return [(0.5, n, kind, [L.normal(w) for w in t.split()]) for n, kind, t in many]
+
+    got = L.scan_text(f"{filler(20)} {text.format(159)}. {filler(20)}", Ranked())
+    assert [(g[2], g[5], g[6]) for g in got] == [("v159", 0, 0)]
