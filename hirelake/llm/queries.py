@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from hirelake.llm import decontam, licenses, lines, mixing, pii, quality, simhash, suffix, tokens, urlfilter
+from hirelake.llm import (alignment, decontam, licenses, lines, mixing, pii, quality, ranked, secretscan, simhash, suffix,
+                          tokens, urlfilter)
 
 QUERIES = {
     "op1_decontaminate": decontam.query,
@@ -16,12 +17,16 @@ QUERIES = {
     "op8_suffix_dedup": suffix.query,
     "op9_url_filter": urlfilter.query,
     "op10_quality_rules": quality.query,
+    "op11_ranked_search": ranked.query,
+    "op12_token_alignment": alignment.query,
+    "op13_secret_scan": secretscan.query,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
     "op9_url_filter": urlfilter.SQL,
     "op10_quality_rules": quality.SQL,
+    "op11_ranked_search": ranked.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
