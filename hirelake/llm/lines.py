@@ -105,7 +105,8 @@ def remove_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = found.join(again, ["c1", "c2"]).withColumn("later", place != F.col("first")).drop("first")
 
     def marked(chosen: DataFrame) -> DataFrame:
-        return chosen.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("at", "size", "c1", "c2", "later")).alias("__hl_marks"))
+        # a set: rows equal in id and text give equal marks, of which each row needs one
+        return chosen.groupBy(*ROW_KEY).agg(F.collect_set(F.struct("at", "size", "c1", "c2", "later")).alias("__hl_marks"))
 
     differ = (rows.join(marked(met), ROW_KEY).mapInArrow(_bytes(text_col), "c1 bigint, c2 bigint, content binary")
               .groupBy("c1", "c2").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("c1", "c2"))

@@ -4,7 +4,8 @@ Pass 1 hashes every line of every text in a normalised form (A-Z lower-cased, wh
 collapsed; lines without a word are skipped), and Spark counts for each host and line the
 distinct texts that hold it, so exact copies of one document count once.  A line is over
 the limit if more than ``max_share`` of its host's distinct texts and more than
-``min_docs`` of them hold it.  Pass 2 removes these lines; a document that keeps less than
+``min_docs`` of them hold it; the share decides at every size of host, the floor only rules
+out chance (two copies of a text with one changed word).  Pass 2 removes these lines; a document that keeps less than
 ``min_kept`` percent of its words is depleted and rejected, as is one that fails the base
 rules (too few words, too many words in repeated three-word windows).
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hirelake.llm.common import arrow_rows, bounded_batches, encoded, small, stored
 
-MIN_WORDS, MAX_REPEAT, MAX_SHARE, MIN_DOCS, MIN_KEPT = 50, 50, 0.1, 50, 30
+MIN_WORDS, MAX_REPEAT, MAX_SHARE, MIN_DOCS, MIN_KEPT = 50, 50, 0.1, 3, 30
 SYMBOLS = b"#*$%&|<>"
 LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent_lines", "n_kept_words"]
 
@@ -197,7 +198,7 @@ dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines G
 hosts AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
 freq AS (
   SELECT f.source, f.norm FROM (SELECT source, norm, count(DISTINCT t) AS n FROM lines GROUP BY ALL) f
-  JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 50 AND f.n > 0.1 * h.texts),
+  JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 3 AND f.n > 0.1 * h.texts),
 gone AS (
   SELECT rid, count(*) AS n_frequent_lines, sum(n) AS gone_words FROM lines l
   JOIN freq f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY rid),

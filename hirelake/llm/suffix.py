@@ -304,7 +304,8 @@ def repeated_spans(keyed: DataFrame, rows: DataFrame, length: int = LENGTH, trig
     columns = [*ROW_KEY, "lo", "n", "th"]
     kinds = (live.where("alike").select(*columns, F.lit(ALIKE).alias("kind"))
              .unionByName(mixed.join(entries, ["phrase", "ch"]).select(*(mixed[c] for c in columns), kind.alias("kind"))))
-    marks = kinds.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("lo", "n", "th", F.col("kind").cast("tinyint").alias("kind"))).alias("marks"))
+    # a set: rows equal in id and text give equal marks, of which each row needs one
+    marks = kinds.groupBy(*ROW_KEY).agg(F.collect_set(F.struct("lo", "n", "th", F.col("kind").cast("tinyint").alias("kind"))).alias("marks"))
 
     def contents(whole: tuple[int, ...], kinds: tuple[int, ...]) -> DataFrame:
         some = marks.where(F.exists("marks", lambda m: m["kind"].isin(*whole, *kinds)))
@@ -335,7 +336,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = keyed_texts(docs, [id_col], id_col, text_col)
     rows = keyed.repartition(partitions(docs.sparkSession), *ROW_KEY)
     spans = repeated_spans(keyed, rows, length, trigger, max_group)
-    per_text = spans.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("lo", "size")).alias("marks"))
+    per_text = spans.groupBy(*ROW_KEY).agg(F.collect_set(F.struct("lo", "size")).alias("marks"))
     out = docs.select(id_col).schema
     for c in ("n_bytes", "n_removed", "n_spans"):
         out = out.add(c, "long")

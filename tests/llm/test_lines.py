@@ -1,6 +1,7 @@
 """Line dedup against brute force, and the boundaries' resistance to shifts."""
 
 import random
+import time
 from collections import defaultdict
 
 from hirelake.llm import lines as L
@@ -94,3 +95,16 @@ def test_short_passages_of_unrelated_texts_share_chunks():
         return n / times
 
     assert untouched(5) < 0.55 and untouched(6) < 0.4 and untouched(8) < 0.2 and untouched(12) < 0.06
+
+
+def test_many_null_id_copies_cost_no_square(spark):
+    """Copies of one text without an id are one row key: each gets its marks once."""
+    text = "\n".join(f"line {i} of a text that is copied" for i in range(600))
+    rows = [(None, text)] * 1500 + [(7, text), (8, "own line\nother line")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    start = time.time()
+    got = L.remove_chunks(df).groupBy("doc_id").agg({L.COUNTS[1]: "max", "*": "count"}).collect()
+    assert time.time() - start < 90
+    assert {r.doc_id: r["count(1)"] for r in got} == {None: 1500, 7: 1, 8: 1}
+    # the copies with the smallest key keep the text, the row with an id loses its chunks
+    assert {r.doc_id: r[f"max({L.COUNTS[1]})"] for r in got} == {None: 0, 7: 600, 8: 0}

@@ -47,3 +47,14 @@ def test_exact_copies_count_once(spark):
     text = "same line of a copied text\n" + " ".join(f"u{j}" for j in range(80))
     df = spark.createDataFrame([(i, text, "h") for i in range(300)], "doc_id bigint, text string, source string")
     assert Q.verdicts(df).where("kept").count() == 300
+
+
+def test_the_share_decides_at_every_size_of_host(spark):
+    """A host and one ten times its size lose the same lines."""
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+
+    def gone(n):
+        docs = [(i, ("footer of every fifth page\n" if i % 5 == 0 else "") + ("line of few\n" if i % 20 == 0 else "") + body(i), "h") for i in range(n)]
+        rows = Q.verdicts(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()
+        return sum(r.n_frequent_lines for r in rows), n // 5
+    assert gone(40) == (8, 8) and gone(400) == (80, 80)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -63,3 +64,16 @@ def test_repeated_and_null_rows(spark):
     got = sorted((r.n_bytes, r.n_removed) for r in S.remove_repeats(df).collect())
     assert got == [(0, 0), (150, 0), (300, 300), (300, 300)]
     assert S.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_many_null_id_copies_cost_no_square(spark):
+    """Copies of one text without an id are one row key: each gets its marks once, and all
+    of them repeat each other."""
+    rnd = random.Random(6)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(20_000))
+    df = spark.createDataFrame([(None, text)] * 500 + [(1, "short"), (2, text[:150])], "doc_id bigint, text string").repartition(8)
+    start = time.time()
+    rows = S.remove_repeats(df).collect()
+    assert time.time() - start < 90
+    assert sum(r.doc_id is None and r.n_removed == r.n_bytes and r.n_spans == 1 for r in rows) == 500
+    assert all(r.n_removed == 0 for r in rows if r.doc_id is not None)
