@@ -36,26 +36,25 @@ def posting_texts(fact: DataFrame) -> DataFrame:
 
 
 def keyword_hits(fact: DataFrame, keywords: DataFrame, method: str = "ngram",
-                 kid: str = "kid", keyword: str = "keyword", index: DataFrame | None = None,
-                 stats: DataFrame | None = None) -> DataFrame:
+                 kid: str = "kid", keyword: str = "keyword", index: DataFrame | None = None) -> DataFrame:
     """(kid, posting_id): title ILIKE %kw% OR some tag ILIKE %kw%.
 
-    ``index``/``stats`` are a stored gram index over ``posting_texts`` (n-gram method)."""
+    ``index`` is a stored gram index over ``posting_texts`` (n-gram method)."""
     texts = posting_texts(fact)
     pairs = ngram.substring_pairs(keywords.select(F.col(kid).alias("pid"), F.col(keyword).alias("pattern")),
-                                  texts, method=method, index=index, stats=stats)
+                                  texts, method=method, index=index)
     return pairs.select(F.col("pid").alias(kid), F.col("tid").alias("posting_id")).distinct()
 
 
 def salary_by_keyword(fact: DataFrame, keywords: DataFrame, as_of: str, method: str = "ngram",
-                      index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+                      index: DataFrame | None = None) -> DataFrame:
     """M2: per keyword, int-truncated mean and count of valid postings with a salary.
 
     ``keywords`` is (keyword); keywords with no posting are absent.
     """
     f = _valid(fact, as_of).where(F.col("annual_salary").isNotNull())
     kw = keywords.select("keyword").distinct().withColumn("kid", F.col("keyword"))
-    hits = keyword_hits(f, kw, method, index=index, stats=stats)
+    hits = keyword_hits(f, kw, method, index=index)
     return (hits.join(f.select("posting_id", "annual_salary"), "posting_id")
             .groupBy(F.col("kid").alias("keyword"))
             .agg(F.avg("annual_salary").cast("bigint").alias("avg_salary"),
@@ -140,12 +139,12 @@ def snapshot_upsert(snapshots: DataFrame | None, new: DataFrame) -> DataFrame:
     return snapshots.join(new.select("date"), "date", "left_anti").unionByName(new)
 
 
-def insight_report(fact: DataFrame, as_of: str, method: str = "ngram") -> DataFrame:
+def insight_report(fact: DataFrame, as_of: str, method: str = "ngram", index: DataFrame | None = None) -> DataFrame:
     """M8: top-10 tags with the mean salary of the first five (as keywords)."""
     tt = top_tags(fact, as_of, 10)
     ranked = tt.select("name", "count").withColumn(
         "rank", F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("name").asc())))
     top5 = ranked.where(F.col("rank") <= 5).select(F.col("name").alias("keyword"))
-    sal = salary_by_keyword(fact, top5, as_of, method)
+    sal = salary_by_keyword(fact, top5, as_of, method, index)
     return (ranked.join(sal.select(F.col("keyword").alias("name"), "avg_salary"), "name", "left")
             .select("rank", "name", "count", "avg_salary"))

@@ -7,14 +7,17 @@ closing ``%``).
 
 Two physical strategies, same answer for every pattern:
 
-* ``ngram`` (default): a gram index (gram, text id) over lower-cased texts, holding every
-  distinct unigram and bigram.  Each pattern's literal pieces, with escapes resolved,
-  yield the grams any match must contain; the pattern is joined to the index on its
-  *rarest* such gram (document frequencies come from the index), and the candidates are
-  verified exactly.  Candidates are a superset of the matches, so the result is exact.
-  A stored index is partitioned by gram bucket, so that a lookup reads only the buckets
-  of its grams; a gram of very many texts is split by Spark's skew join.  Patterns
-  without a literal character match by length alone and join on that.
+* ``ngram`` (default): bitmap posting lists.  The index holds, for every distinct unigram
+  and bigram of the lower-cased texts and every block of 32,768 ids, one bitmap of the ids
+  whose text has the gram.  A pattern's literal pieces, with escapes resolved, yield the
+  grams that any match must contain; the bitmaps of *all* of them are intersected block by
+  block, and only the ids that are left are verified on their texts.  Candidates are a
+  superset of the matches, so the result is exact.
+  Texts are dealt out by id block once and their grams never move.  A stored index is
+  partitioned by gram bucket, so that a lookup reads only the buckets of its grams, and it
+  grows by appending: bitmaps that several batches wrote for one gram and block are united
+  when they are read.  A gram of very many texts is many blocks, each of 4 KB at most.
+  Patterns without a literal character match by length alone.
 * ``scan``: the pattern table is broadcast and every text is tested against every
   pattern.  O(texts x patterns) comparisons, for a pattern table known to be small.
 """
@@ -24,11 +27,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 WILDCARDS = r"[%_]"
 # a wildcard after an even number of backslashes
 _OPEN_WILDCARD = r"(?<=(?<!\\)(?:\\\\){0,200})[%_]"
 _ODD_END = r"(?<!\\)(?:\\\\)*\\$"
 BUCKETS = 64  # partitions of a stored index
+BLOCK = 32_768  # ids of a bitmap (Spark's bitmap functions)
+# a pattern table, or the candidates, are broadcast only if a count finds no more rows
+BROADCAST_PATTERNS, BROADCAST_PAIRS = 20_000, 500_000
 
 
 def _grams_of(lowered: Column) -> Column:
@@ -40,31 +48,56 @@ def _grams_of(lowered: Column) -> Column:
     return F.when(n > 0, F.filter(out, lambda g: F.length(g) > 0)).otherwise(F.array().cast("array<string>"))
 
 
-def gram_index(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def gram_rows(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(tid, gram): one row per distinct gram of each text; ``text_col`` may be an array
     of texts of one id, whose grams count once."""
     if texts.schema[text_col].dataType.typeName() == "array":
         grams = F.array_distinct(F.flatten(F.transform(F.col(text_col), lambda t: _grams_of(F.lower(t)))))
     else:
         grams = _grams_of(F.lower(F.col(text_col)))
-    return texts.select(F.col(id_col).alias("tid"), F.explode(grams).alias("gram"))
+    return texts.select(F.col(id_col).cast("bigint").alias("tid"), F.explode(grams).alias("gram"))
+
+
+def gram_index(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(block, gram, bits): the bitmap posting lists.  Ids are integers; an id may have
+    several rows.  The one shuffle deals the texts out by block, which is also what the
+    bitmaps are grouped by."""
+    block = F.bitmap_bucket_number(F.col(id_col).cast("bigint"))
+    dealt = texts.select(id_col, text_col, block.alias("block")).where("block is not null").repartition("block")
+    rows = gram_rows(dealt, id_col, text_col)
+    rows = rows.select(F.bitmap_bucket_number("tid").alias("block"), "gram", F.bitmap_bit_position("tid").alias("at"))
+    return rows.groupBy("block", "gram").agg(F.bitmap_construct_agg("at").alias("bits"))
 
 
 def _bucket(gram) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
-def store_index(index: DataFrame, path: str) -> DataFrame:
-    """The index as files of one bucket each, in gram order; range partitions include the
-    text id, so a gram of very many texts is written by many tasks."""
-    (index.withColumn("bucket", _bucket("gram")).repartitionByRange("bucket", "gram", "tid")
-     .sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(path))
+def append_index(index: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Add bitmaps to a stored index; what was there is not read or rewritten.  Range
+    partitions include the block, so a gram of very many texts is written by many tasks."""
+    (index.withColumn("bucket", _bucket("gram")).repartitionByRange("bucket", "gram", "block")
+     .sortWithinPartitions("bucket", "gram", "block").write.mode(mode).option("compression", "zstd").partitionBy("bucket").parquet(path))
     return index.sparkSession.read.parquet(path)
 
 
-def gram_stats(index: DataFrame) -> DataFrame:
-    """(gram, df): number of texts holding the gram (partial aggregation first)."""
-    return index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+def store_index(index: DataFrame, path: str) -> DataFrame:
+    """The index as a stored table, replacing what was at ``path``."""
+    return append_index(index, path, "overwrite")
+
+
+def _explode_ids(lists: DataFrame, out: str) -> DataFrame:
+    """One row for each id of the bitmaps ``bits`` of ``block``.  Words of 64 bits without
+    a set bit are skipped before bits are looked at; both steps are generated code."""
+    kept = [c for c in lists.columns if c not in ("block", "bits")]
+    word = F.substring("bits", F.col("_w") * 8 + 1, F.lit(8))
+    words = lists.withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(BLOCK // 64 - 1)))).where(word != F.lit(bytes(8)))
+    # bit b of byte k stands for place 8k + b; the word is read with byte 0 highest
+    words = words.select(*kept, "block", "_w", F.conv(F.hex(word), 16, -10).cast("bigint").alias("_bits"))
+    shift = (F.lit(7) - F.shiftright("_i", 3)) * 8 + F.col("_i").bitwiseAND(7)
+    bits = words.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(63)))).where(F.getbit("_bits", shift) == 1)
+    at = F.col("_w") * 64 + F.col("_i")
+    return bits.select(*kept, F.when(F.col("block") > 0, (F.col("block") - 1) * BLOCK + at + 1).otherwise(F.col("block") * BLOCK - at).alias(out))
 
 
 def _closed(pattern: Column) -> Column:
@@ -105,40 +138,58 @@ def scan_pairs(patterns: DataFrame, texts: DataFrame, pid: str = "pid", pattern:
     """Broadcast nested-loop strategy; the caller guarantees the pattern table is small."""
     p = F.broadcast(patterns.select(F.col(pid).alias("_pid"), F.col(pattern).alias("_pat")))
     t = texts.select(F.col(tid).alias("_tid"), F.col(text).alias("_txt"))
-    return (t.join(p, verify(F.col("_txt"), F.col("_pat"), literal), "inner")
+    several = texts.schema[text].dataType.typeName() == "array"
+    test = lambda x: verify(x, F.col("_pat"), literal)
+    return (t.join(p, F.exists("_txt", test) if several else test(F.col("_txt")), "inner")
             .select(F.col("_pid").alias(pid), F.col("_tid").alias(tid)))
 
 
-def ngram_pairs(patterns: DataFrame, texts: DataFrame, index: DataFrame | None = None,
-                stats: DataFrame | None = None, pid: str = "pid", pattern: str = "pattern",
+def candidates(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(``_pid``, ``_pat``, ``_tid``): texts that hold every one of a pattern's ``_grams``.
+    ``asked`` is stored; a table of many patterns is not broadcast but shuffled."""
+    mark = F.broadcast if asked.count() <= BROADCAST_PATTERNS else (lambda df: df)
+    each = asked.select("_pid", "_pat", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram"))
+    needed, on = each.select("gram").distinct(), ["gram"]
+    if "bucket" in index.columns:  # a stored index: the join prunes its partitions
+        needed, on = needed.withColumn("bucket", _bucket("gram")), ["bucket", "gram"]
+    # dealt out by block once: lists of several batches unite, then a pattern's grams intersect
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = (index.join(mark(needed), on).select("block", "gram", "bits").repartition(parts, "block")
+             .groupBy("block", "gram").agg(F.bitmap_or_agg("bits").alias("bits")))
+    both = (lists.join(mark(each), "gram").groupBy("block", "_pid", "_pat", "_n")
+            .agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("_held")))
+    return _explode_ids(both.where("_held = _n").select("_pid", "_pat", "block", "bits"), "_tid")
+
+
+def ngram_pairs(patterns: DataFrame, texts: DataFrame, index: DataFrame | None = None, pid: str = "pid", pattern: str = "pattern",
                 tid: str = "tid", text: str = "text", literal: bool = False) -> DataFrame:
-    """Index strategy (exact).  ``index``/``stats`` may be prebuilt and stored; they may
-    cover more texts than ``texts``."""
+    """Index strategy (exact).  ``index`` may be prebuilt and stored; it may cover more
+    texts than ``texts``, whose text column may be an array of texts of one id.
+
+    The patterns with their grams and the candidates are stored once.  Few candidates (by
+    count) are broadcast to the texts, which then are scanned without a shuffle."""
     if index is None:
-        index = gram_index(texts, tid, text).distinct()
-    if stats is None:
-        stats = gram_stats(index)
-    p = patterns.select(F.col(pid).alias("_pid"), F.col(pattern).alias("_pat"))
-    grams = _required_grams(F.lower(F.col("_pat")), literal)
-    # rarest required gram per pattern; a gram absent from the index means no match
-    best = (p.select("_pid", "_pat", F.explode(grams).alias("gram")).join(stats, "gram", "left")
-            .groupBy("_pid", "_pat")
-            .agg(F.min_by("gram", F.coalesce(F.col("df"), F.lit(0))).alias("gram"),
-                 F.min(F.coalesce(F.col("df"), F.lit(0))).alias("_df"))
-            .where(F.col("_df") > 0)
-            .drop("_df"))
-    on = ["gram"]
-    if "bucket" in index.columns:  # a stored index: the join prunes its partitions
-        best, on = best.withColumn("bucket", _bucket("gram")), ["bucket", "gram"]
-    cand = best.join(index, on).select("_pid", "_pat", F.col("tid").alias("_tid"))
+        index = gram_index(texts, tid, text)
+    p = materialize(patterns.select(F.col(pid).alias("_pid"), F.col(pattern).alias("_pat"))
+                    .withColumn("_grams", _required_grams(F.lower(F.col("_pat")), literal)), "patterns")
     t = texts.select(F.col(tid).alias("_tid"), F.col(text).alias("_txt"))
-    pairs = cand.join(t, "_tid").where(verify(F.col("_txt"), F.col("_pat"), literal)).select("_pid", "_tid")
-    # patterns with no literal character (only wildcards) match by length alone
-    least = F.length(F.regexp_replace("_pat", "[^_]", ""))
-    wild = p.where(F.size(grams) == 0).select("_pid", least.alias("_n"))
-    reach = F.sequence(F.lit(0), F.length("_txt")) if not literal else F.array(F.lit(0))
-    by_length = t.select("_tid", F.explode(reach).alias("_n")).join(wild, "_n").select("_pid", "_tid")
-    return pairs.unionByName(by_length).select(F.col("_pid").alias(pid), F.col("_tid").alias(tid))
+    several = texts.schema[text].dataType.typeName() == "array"
+
+    def held(test):
+        return F.exists("_txt", test) if several else test(F.col("_txt"))
+
+    cand = materialize(candidates(p.where(F.size("_grams") > 0), index), "candidates")
+    if cand.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
+        cand = F.broadcast(cand)
+    pairs = t.join(cand, "_tid").where(held(lambda x: verify(x, F.col("_pat"), literal))).select("_pid", "_tid")
+    wild = p.where(F.size("_grams") == 0)
+    if wild.limit(1).count():
+        # only wildcards: their few distinct lengths meet the texts
+        wild = wild.select("_pid", (F.lit(0) if literal else F.length(F.regexp_replace("_pat", "[^_]", ""))).alias("_n"))
+        lengths = F.broadcast(wild.select("_n").distinct())
+        by_length = t.join(lengths, held(lambda x: F.length(x) >= F.col("_n"))).select("_tid", "_n").join(wild, "_n").select("_pid", "_tid")
+        pairs = pairs.unionByName(by_length)
+    return pairs.select(F.col("_pid").alias(pid), F.col("_tid").alias(tid))
 
 
 def substring_pairs(patterns: DataFrame, texts: DataFrame, method: str = "ngram", **kw) -> DataFrame:

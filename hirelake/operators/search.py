@@ -71,12 +71,12 @@ def keyword_tokens(queries: DataFrame) -> DataFrame:
 
 
 def term_hits(terms: DataFrame, postings: DataFrame, use_tags: bool, method: str = "ngram",
-              index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+              index: DataFrame | None = None) -> DataFrame:
     """(token, posting_id) for every distinct term contained in a title (or tag).
 
-    ``index``/``stats``: a stored gram index over titles and tags of at least these postings."""
+    ``index``: a stored gram index over titles and tags of at least these postings."""
     pats = terms.select(F.col("token").alias("pid"), F.col("token").alias("pattern")).distinct()
-    pairs = ngram.substring_pairs(pats, posting_texts(postings, use_tags), method=method, index=index, stats=stats)
+    pairs = ngram.substring_pairs(pats, posting_texts(postings, use_tags), method=method, index=index)
     return pairs.select(F.col("pid").alias("token"), F.col("tid").alias("posting_id")).distinct()
 
 
@@ -156,23 +156,23 @@ def _answered(results: DataFrame, same: DataFrame) -> DataFrame:
 
 def search(queries: DataFrame, fact: DataFrame, as_of: str, limit: int = 5, use_tags: bool = True,
            fallback: bool = True, method: str = "ngram", hits: DataFrame | None = None,
-           index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+           index: DataFrame | None = None) -> DataFrame:
     """F4 without expansion: AND of tokens, OR fallback (per query), top ``limit``.
 
     Returns (query_id, rank, posting_id, mode) with mode 'and' | 'or' | 'filter'.  Equal
     requests are searched once.
     """
     queries, same = _asked(queries)
-    out = _search(queries, fact, as_of, limit, use_tags, fallback, method, hits, index, stats)
+    out = _search(queries, fact, as_of, limit, use_tags, fallback, method, hits, index)
     return _answered(out, same).select("query_id", "rank", "posting_id", "mode")
 
 
 def _search(queries: DataFrame, fact: DataFrame, as_of: str, limit: int, use_tags: bool, fallback: bool, method: str,
-            hits: DataFrame | None, index: DataFrame | None, stats: DataFrame | None) -> DataFrame:
+            hits: DataFrame | None, index: DataFrame | None) -> DataFrame:
     postings = valid_postings(fact, as_of)
     tokens = keyword_tokens(queries)
     if hits is None:
-        hits = term_hits(tokens, postings, use_tags, method, index, stats)
+        hits = term_hits(tokens, postings, use_tags, method, index)
     counts = match_counts(tokens, hits)
     and_top = top_k(_filtered(counts.where(F.col("matched") == F.col("n_tokens")), queries, postings), limit)
     out = and_top.withColumn("mode", F.lit("and"))
@@ -192,13 +192,13 @@ def _search(queries: DataFrame, fact: DataFrame, as_of: str, limit: int, use_tag
 
 
 def search_expanded(queries: DataFrame, fact: DataFrame, as_of: str, limit: int, method: str = "ngram",
-                    index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+                    index: DataFrame | None = None) -> DataFrame:
     """F4 with expansion: OR over the ``expanded`` terms, always title + tags."""
     postings = valid_postings(fact, as_of)
     queries, same = _asked(queries, "expanded")
     terms = (queries.where(F.size("expanded") > 0)
              .select("query_id", F.explode(F.array_distinct("expanded")).alias("token")))
-    hits = term_hits(terms, postings, True, method, index, stats)
+    hits = term_hits(terms, postings, True, method, index)
     matched = salted_join(hits, terms, ["token"], salt_from="posting_id").select("query_id", "posting_id").distinct()
     out = top_k(_filtered(matched, queries, postings), limit).withColumn("mode", F.lit("expanded"))
     return _answered(out, same).select("query_id", "rank", "posting_id", "mode")
@@ -251,7 +251,7 @@ def rerank_results(results: DataFrame, scores: DataFrame) -> DataFrame:
 
 def search_adaptive(queries: DataFrame, fact: DataFrame, as_of: str, limit: int = 5,
                     expansions: DataFrame | None = None, scorer=None, method: str = "ngram",
-                    index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+                    index: DataFrame | None = None) -> DataFrame:
     """pool = max(5 x limit, 50) by F4 (with fallback); fewer than 3 rows and a
     keyword -> the expanded OR search replaces the pool; rerank when a keyword and
     more than one row; keep ``limit``.
@@ -264,7 +264,7 @@ def search_adaptive(queries: DataFrame, fact: DataFrame, as_of: str, limit: int
     pool = max(limit * V.ADAPTIVE_POOL_FACTOR, V.ADAPTIVE_POOL_MIN)
     # per-query pools are bounded (pool x queries rows); each is referenced by several
     # branches below, so it is checkpointed once instead of being recomputed per branch
-    first = search(queries, fact, as_of, pool, True, True, method, None, index, stats).checkpoint(eager=True)
+    first = search(queries, fact, as_of, pool, True, True, method, None, index).checkpoint(eager=True)
     n1 = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     need = (queries.where(F.col("keyword").isNotNull()).select("query_id")
             .join(n1, "query_id", "left").where(F.coalesce(F.col("_n"), F.lit(0)) < V.ADAPTIVE_THRESHOLD)
@@ -277,7 +277,7 @@ def search_adaptive(queries: DataFrame, fact: DataFrame, as_of: str, limit: int
     else:
         eq = eq.withColumn("expanded", F.lit(None).cast("array<string>"))
     eq = eq.withColumn("expanded", F.coalesce("expanded", F.array("keyword")))
-    out = out.unionByName(search_expanded(eq, fact, as_of, pool, method, index, stats)).checkpoint(eager=True)
+    out = out.unionByName(search_expanded(eq, fact, as_of, pool, method, index)).checkpoint(eager=True)
     scorer = scorer or lexical_scores
     with_kw = queries.where(F.col("keyword").isNotNull()).select("query_id")
     cnt = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("_c"))

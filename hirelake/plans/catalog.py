@@ -17,6 +17,7 @@ from ..operators import market as M
 from ..operators import normalize as N
 from ..operators import alerts as AL
 from ..operators import assist as A
+from ..operators import automaton
 from ..operators import display as D
 from ..operators import evaluate as E
 from ..operators import queryparse as QP
@@ -164,7 +165,7 @@ def q_quality_report(spark, sf_dir):
 def q_salary_by_keyword(spark, sf_dir):
     t = _tables(spark, sf_dir)
     w = _wh(t)
-    return M.salary_by_keyword(w.fact, t["keywords"], AS_OF, index=w.gram_index, stats=w.gram_stats)
+    return M.salary_by_keyword(w.fact, t["keywords"], AS_OF, index=w.gram_index)
 
 
 def q_regional_dist(spark, sf_dir):
@@ -209,7 +210,8 @@ def q_snapshot_upsert(spark, sf_dir):
 
 
 def q_insight_report(spark, sf_dir):
-    return M.insight_report(_wh(_tables(spark, sf_dir)).fact, AS_OF)
+    w = _wh(_tables(spark, sf_dir))
+    return M.insight_report(w.fact, AS_OF, index=w.gram_index)
 
 
 def q_expire_postings(spark, sf_dir):
@@ -357,11 +359,23 @@ def _search_queries(t: Tables) -> DataFrame:
 def _index(t: Tables) -> dict:
     """The stored gram index, as arguments of the searches."""
     w = _wh(t)
-    return {"index": w.gram_index, "stats": w.gram_stats}
+    return {"index": w.gram_index}
+
+
+_ONCE: dict = {}
+
+
+def _once(t: Tables, name: str, build) -> DataFrame:
+    """A table that a service would keep: built and stored once per session and scale factor."""
+    from ..session import materialize
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _ONCE:
+        _ONCE[key] = materialize(build(), name)
+    return _ONCE[key]
 
 
 def _thesaurus(t: Tables) -> DataFrame:
-    return A.cooccurrence_thesaurus(t["part"].select(F.col("p_name").alias("text")))
+    return _once(t, "thesaurus", lambda: A.cooccurrence_thesaurus(t["part"].select(F.col("p_name").alias("text"))))
 
 
 def _expansions(t: Tables, queries: DataFrame) -> DataFrame:
@@ -463,7 +477,22 @@ def q_ngram_search(spark, sf_dir):
     t = _tables(spark, sf_dir)
     w = _wh(t)
     return M.keyword_hits(w.fact, t["keywords"].withColumn("kid", F.col("keyword")), method="ngram",
-                          index=w.gram_index, stats=w.gram_stats) \
+                          index=w.gram_index) \
+        .select(F.col("kid").alias("keyword"), "posting_id")
+
+
+def q_text_match_selective(spark, sf_dir):
+    """The search protocol's selective half: the 50 rarest whole titles, by the scan."""
+    t = _tables(spark, sf_dir)
+    return M.keyword_hits(_wh(t).fact, t["selective_keywords"].withColumn("kid", F.col("keyword")), method="scan") \
+        .select(F.col("kid").alias("keyword"), "posting_id")
+
+
+def q_ngram_search_selective(spark, sf_dir):
+    """Same answer as text_match_selective, through the stored bitmap posting lists."""
+    t = _tables(spark, sf_dir)
+    w = _wh(t)
+    return M.keyword_hits(w.fact, t["selective_keywords"].withColumn("kid", F.col("keyword")), method="ngram", index=w.gram_index) \
         .select(F.col("kid").alias("keyword"), "posting_id")
 
 
@@ -483,8 +512,8 @@ PREVIOUS_RUN_TS = "1998-06-12 12:00:00"   # an earlier run that already notified
 
 def _alert_inputs(t: Tables):
     fact = _wh(t).fact
-    subs = _stored_subscriptions(t)
-    exp = A.thesaurus_expansions(subs.select("keyword"), _thesaurus(t))
+    subs = _once(t, "subscriptions", lambda: _stored_subscriptions(t))
+    exp = _once(t, "subscribed-terms", lambda: A.thesaurus_expansions(subs.select("keyword"), _thesaurus(t)))
     return fact, subs, t["profiles"], exp
 
 
@@ -499,7 +528,7 @@ def _expanded_matches(t: Tables, as_of_ts: str):
 
 def _previous_log(t: Tables) -> DataFrame:
     """The log left by a run at PREVIOUS_RUN_TS (it saw postings created before it)."""
-    return AL.user_matches(_expanded_matches(t, PREVIOUS_RUN_TS)).select("user_id", "posting_id")
+    return _once(t, "alert-log", lambda: AL.user_matches(_expanded_matches(t, PREVIOUS_RUN_TS)).select("user_id", "posting_id"))
 
 
 def _pending(t: Tables) -> DataFrame:
@@ -531,9 +560,8 @@ def q_alerts_pending(spark, sf_dir):
 
 
 def q_alert_log(spark, sf_dir):
-    from ..session import materialize
     t = _tables(spark, sf_dir)
-    log = materialize(_previous_log(t), "alert-log")   # what the earlier run stored
+    log = _previous_log(t)   # what the earlier run stored
     now = AL.user_matches(_expanded_matches(t, AS_OF_TS))
     return AL.alert_log(log, AL.alerts_pending(now, log))
 
@@ -862,9 +890,10 @@ def q_alert_stream(spark, sf_dir):
     base = _scratch(spark, "stream-alerts")
     posts = _new(fact)
     ST.write_in_order(posts, "created_at", F.to_date("created_at").cast("timestamp").cast("bigint"), f"{base}/staged")
-    _previous_log(t).write.parquet(f"{base}/log/batch_id=-1")
+    ST.write_log(_previous_log(t), f"{base}/log")
+    compiled = automaton.Terms(AL.subscription_terms(subs, exp))
     for _ in ST.arrivals(spark, f"{base}/staged", f"{base}/posts"):
-        ST.stream_alerts(spark, f"{base}/posts", posts.schema, subs, prof, exp, f"{base}/log", f"{base}/ckpt")
+        ST.stream_alerts(spark, f"{base}/posts", posts.schema, subs, prof, exp, f"{base}/log", f"{base}/ckpt", compiled)
     return spark.read.parquet(f"{base}/log").select("user_id", "posting_id")
 
 
@@ -948,6 +977,8 @@ QUERIES = {
     "lookup_ids": q_lookup_ids,
     "text_match": q_text_match,
     "ngram_search": q_ngram_search,
+    "text_match_selective": q_text_match_selective,
+    "ngram_search_selective": q_ngram_search_selective,
     "postings_denorm": q_postings_denorm,
     "region_names": q_region_names,
     "new_postings": q_new_postings,

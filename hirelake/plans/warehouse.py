@@ -26,8 +26,7 @@ class Warehouse:
     regions: DataFrame
     tags: DataFrame
     bridge: DataFrame      # (posting_id, tag)
-    gram_index: DataFrame | None = None   # (tid = posting_id, gram) over titles and tags
-    gram_stats: DataFrame | None = None   # (gram, df)
+    gram_index: DataFrame | None = None   # (bucket, gram, block, bits) over titles and tags
 
 
 def build(raw: DataFrame, today: str | None = None, existing: Warehouse | None = None,
@@ -81,10 +80,7 @@ def build_stored(raw: DataFrame, path: str, today: str | None = None, batch_id=N
     # title and tags of a posting as one array: their grams are distinct without a shuffle
     texts = stored.fact.select("posting_id", F.concat(F.array("announcement_name"), F.coalesce("tags", F.array().cast("array<string>"))).alias("texts"))
     texts = texts.withColumn("texts", F.filter("texts", lambda t: t.isNotNull()))
-    idx = ngram.store_index(ngram.gram_index(texts, "posting_id", "texts"), f"{path}/gram_index")
-    ngram.gram_stats(idx).write.mode("overwrite").parquet(f"{path}/gram_stats")
-    stored.gram_index = idx
-    stored.gram_stats = spark.read.parquet(f"{path}/gram_stats")
+    stored.gram_index = ngram.store_index(ngram.gram_index(texts, "posting_id", "texts"), f"{path}/gram_index")
     return stored
 
 

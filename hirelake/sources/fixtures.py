@@ -102,6 +102,11 @@ SELECT DISTINCT keyword FROM (
  UNION ALL SELECT split_part(p_name, ' ', 2) FROM {part}) k
 """
 
+# the selective half of a keyword benchmark: the 50 titles that fewest parts carry
+SELECTIVE_KEYWORDS = """
+SELECT p_name || ' ' || p_type AS keyword FROM {part} GROUP BY 1 ORDER BY count(*), 1 LIMIT 50
+"""
+
 # stand-in model responses: score lists with full-width commas, words, too few and too
 # many values and a second line; judgments as a digit in some text, blank or missing
 SCORE_RESPONSES = """
@@ -135,6 +140,7 @@ VIEWS = {
     "score_responses": SCORE_RESPONSES,
     "judge_responses": JUDGE_RESPONSES,
     "keywords": KEYWORDS,
+    "selective_keywords": SELECTIVE_KEYWORDS,
     "postings_raw": POSTINGS_RAW,
     "postings_recrawl": POSTINGS_RECRAWL,
     "query_log": QUERY_LOG,

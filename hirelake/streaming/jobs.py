@@ -3,7 +3,11 @@
 * T1 ``stream_ingest``: raw posting files -> normalise -> first-wins dedup.  Each
   micro-batch is deduplicated by the same aggregation as the batch job and then
   anti-joined against what the sink already holds, inside ``foreachBatch``; the
-  result equals the batch ingest when files arrive in crawl order.
+  result equals the batch ingest when files arrive in crawl order.  The sink is keyed:
+  a folder holds the postings of one month of deadlines (a part of the natural key),
+  open-ended ones by company hash, and a batch reads the key columns of the folders that
+  its own keys fall in and no others.  Deadlines lie after the crawl, so what a batch
+  reads does not grow with the closed months behind it.
 * T2 ``stream_daily_counts``: events -> event-time tumbling day windows per type with
   a watermark.  Update mode writes every changed window row with its batch id; the
   current value of a window is the row of its latest batch (``max_by``), so readers
@@ -16,30 +20,76 @@ session's checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import path_exists
+from ..session import materialize, path_exists
 from ..operators import normalize as N
 from ..operators import tables as S
 
 
+OPEN_PARTS = 64         # folders of open-ended postings
+LOG_BLOCK = 1 << 20     # posting ids of one folder of the alert log
+
+
 def _fact_cols(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in S.FACT_COLUMNS if c in df.columns])
 
 
+def fact_part() -> Column:
+    """The folder of a posting, a function of its natural key."""
+    openly = F.concat(F.lit("open-"), F.pmod(F.xxhash64("company_name"), F.lit(OPEN_PARTS)).cast("string"))
+    return (F.when(F.col("deadline").isNull(), "none").when(F.year("deadline") >= 9999, openly)
+            .otherwise(F.date_format("deadline", "yyyy-MM")))
+
+
+def log_part() -> Column:
+    """The folder of an alert: postings are numbered as they come, so a batch of new ones
+    falls in the last folders."""
+    return F.floor(F.col("posting_id") / LOG_BLOCK).cast("string")
+
+
+def parts_held(spark: SparkSession, sink: str) -> set[str]:
+    """The folders of a keyed sink, from one listing."""
+    if not path_exists(spark, sink):
+        return set()
+    p = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    names = [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    return {n.removeprefix("part=") for n in names if n.startswith("part=")}
+
+
+def held_before(new: DataFrame, sink: str, batch_id: int) -> DataFrame | None:
+    """What earlier batches wrote to the folders that ``new`` (with ``part``) falls in;
+    None if there is nothing.  The folders of a batch are a few dates or id blocks."""
+    spark = new.sparkSession
+    touched = {r.part for r in new.select("part").distinct().toLocalIterator()} & parts_held(spark, sink)
+    if not touched:
+        return None
+    schema = T.StructType([f for f in new.schema if f.name != "part"]).add("part", "string").add("batch_id", "integer")
+    # a replayed batch reads what earlier batches stored and overwrites its own folders
+    return (spark.read.schema(schema).option("basePath", sink).parquet(*(f"{sink}/part={p}" for p in sorted(touched)))
+            .where(F.col("batch_id") < batch_id))
+
+
+def write_parts(new: DataFrame, sink: str, batch_id: int) -> None:
+    """Write ``new`` (with ``part``) as the folders of its batch; a replay replaces them."""
+    (new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("part", "batch_id").parquet(sink))
+
+
 def stream_ingest(spark: SparkSession, raw_dir: str, schema, sink: str, checkpoint: str,
                   today: str | None = None):
     """Run until the available files are consumed, as one batch; returns the finished query."""
     src = spark.readStream.schema(schema).parquet(raw_dir)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
         ok = N.accepted(N.normalize_postings(batch, today))
-        # a replayed batch reads what earlier batches stored and overwrites its own folder
-        existing = s.read.parquet(sink).where(F.col("batch_id") < batch_id).drop("batch_id") if path_exists(s, sink) else None
-        new = _fact_cols(S.first_wins_dedup(ok, existing))
-        new.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        new = materialize(_fact_cols(S.first_wins_dedup(ok)).withColumn("part", fact_part()), "arrived")
+        held = held_before(new, sink, batch_id)
+        if held is not None:
+            new = new.join(held.select("part", *S.FACT_KEY), ["part", *S.FACT_KEY], "left_anti").select(*new.columns)
+        write_parts(new, sink, batch_id)
 
     q = (src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -102,20 +152,28 @@ def chunks(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.split("=")[1]) for n in names if n.startswith("chunk="))
 
 
+def write_log(log: DataFrame, path: str) -> None:
+    """The alert log of the time before a stream."""
+    write_parts(log.select("user_id", "posting_id").withColumn("part", log_part()), path, -1)
+
+
 def stream_alerts(spark: SparkSession, postings_dir: str, schema, subs: DataFrame, profiles: DataFrame | None,
-                  expansions: DataFrame | None, log_path: str, checkpoint: str):
+                  expansions: DataFrame | None, log_path: str, checkpoint: str, compiled=None):
     """New postings arrive as files; each micro-batch is matched against the static
-    subscriptions (stream-static join through the batch matcher), deduplicated per
-    user, anti-joined with what earlier batches logged, and written to the log as the
-    batch's own folder (``batch_id=<n>``, below 0 for what was there before)."""
+    subscriptions, whose terms are compiled once (``compiled``, or here), deduplicated per
+    user, anti-joined with what earlier batches logged of its posting ids (the log is
+    keyed by id block), and written to the log as the batch's own folders (batch ids below
+    0 for what ``write_log`` put there before)."""
     from ..operators import alerts as AL
+    from ..operators import automaton
     src = spark.readStream.schema(schema).parquet(postings_dir)
+    compiled = compiled or automaton.Terms(AL.subscription_terms(subs, expansions))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        log = s.read.parquet(log_path).where(F.col("batch_id") < batch_id).drop("batch_id")
-        pending = AL.alerts_pending(AL.user_matches(AL.match_subscriptions(batch, subs, profiles, expansions)), log)
-        pending.select("user_id", "posting_id").write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+        found = AL.user_matches(AL.match_subscriptions(batch, subs, profiles, expansions, compiled=compiled))
+        new = materialize(found.select("user_id", "posting_id").withColumn("part", log_part()), "matched")
+        held = held_before(new, log_path, batch_id)
+        write_parts(new if held is None else AL.alerts_pending(new, held), log_path, batch_id)
 
     q = (src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

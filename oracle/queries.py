@@ -361,6 +361,11 @@ SELECT DISTINCT k.keyword, f.posting_id FROM keywords k JOIN fact f ON {text_hit
 
 SQL["ngram_search"] = SQL["text_match"]
 
+SQL["text_match_selective"] = stream_with("selective_keywords") + f"""
+SELECT DISTINCT k.keyword, f.posting_id FROM selective_keywords k JOIN fact f ON {text_hit('k.keyword', 'f', True)}"""
+
+SQL["ngram_search_selective"] = SQL["text_match_selective"]
+
 SQL["postings_denorm"] = stream_with() + """
 SELECT posting_id, company_name, region_name, array_to_string(list_sort(list_distinct(tags)), '|') AS tags FROM fact"""
 

@@ -22,7 +22,11 @@ def test_searches_never_pair_patterns_with_texts(spark):
 
 
 def test_index_lookup_prunes_buckets(spark):
-    p = plan(QUERIES["ngram_search"](spark, "/root/testdata/sf0.001"))
+    from hirelake.operators import ngram
+    from hirelake.plans import catalog as C
+    index = C._wh(Tables(spark, "/root/testdata/sf0.001")).gram_index
+    asked = spark.createDataFrame([(1, "ring", ["ri", "in", "ng"])], "_pid int, _pat string, _grams array<string>")
+    p = plan(ngram.candidates(asked, index))
     assert "bucket" in p and "dynamicpruning" in p
 
 
