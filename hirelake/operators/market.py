@@ -132,6 +132,56 @@ def market_snapshot(fact: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def market_snapshots(fact: DataFrame, start: str, end: str, from_creation: bool = True) -> DataFrame:
+    """M6 for every day from ``start`` to ``end`` in one pass over the postings: the rows
+    that ``market_snapshot`` gives for each day, of the postings created up to that day
+    (``from_creation``) or of the whole table as it is.
+
+    A sweep over the intervals from creation to deadline: a posting adds 1 to its tags,
+    region, label and the total on the first day of the range that it is valid on, and
+    takes it away on the day after its deadline.  These events are pre-aggregated by name
+    and day, so at most one row for each name and day is shuffled, a running sum over a
+    name's days gives its counts, and each holds until the name's next event.
+    """
+    lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+    first = F.greatest(F.to_date("created_at"), lo) if from_creation else lo
+    if from_creation:
+        fact = fact.where(F.col("created_at").isNotNull())
+    live = fact.withColumn("_from", first).where((F.col("deadline") >= F.col("_from")) & (F.col("_from") <= hi))
+    none = F.lit(None).cast("string")
+    item = lambda section, name: F.struct(F.lit(section).alias("section"), name.alias("name"))
+    items = F.concat(F.array(item("head", none), item("exp", experience_label("experience"))),
+                     F.when(F.col("region_name").isNotNull(), F.array(item("region", F.col("region_name")))).otherwise(F.array().cast("array<struct<section:string,name:string>>")),
+                     F.transform(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))), lambda t: item("tag", t)))
+    event = lambda day, sign: F.struct(day.alias("day"), F.lit(sign).alias("sign"))
+    events = F.array(event(F.col("_from"), 1), event(F.date_add("deadline", 1), -1))
+    moves = (live.select(F.explode(items).alias("i"), events.alias("events"), "annual_salary")
+             .select("i.*", F.explode("events").alias("e"), "annual_salary").where(F.col("e.day") <= hi)
+             .groupBy("section", "name", F.col("e.day").alias("day"))
+             .agg(F.sum("e.sign").alias("n"),
+                  F.sum(F.col("e.sign") * F.col("annual_salary").isNotNull().cast("int")).alias("paid"),
+                  F.sum(F.col("e.sign") * F.coalesce(F.col("annual_salary"), F.lit(0)).cast("bigint")).alias("salary")))
+    by_name = Window.partitionBy("section", "name").orderBy("day")
+    until = by_name.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = moves.select("section", "name", "day", *[F.sum(c).over(until).alias(c) for c in ("n", "paid", "salary")],
+                        F.coalesce(F.date_sub(F.lead("day").over(by_name), 1), hi).alias("last"))
+    daily = (sums.where("n > 0").withColumn("date", F.explode(F.sequence("day", "last", F.expr("interval 1 day"))))
+             .select("date", "section", "name", F.col("n").alias("count"), "paid", "salary"))
+    rank = Window.partitionBy("date", "section").orderBy(F.col("count").desc(), F.col("name").asc())
+    top = daily.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= 10)
+    top = top.where((F.col("section") != "region") | (F.col("_r") <= 6)).drop("_r")
+    created = F.to_date("created_at")
+    new = (fact.where(created.between(lo, hi)).groupBy(created.alias("date")).agg(F.count(F.lit(1)).alias("count"))
+           .select("date", F.lit("new").alias("section"), none.alias("name"), "count", F.lit(0).alias("paid"), F.lit(0).alias("salary")))
+    days = fact.sparkSession.range(1).select(F.explode(F.sequence(lo, hi, F.expr("interval 1 day"))).alias("date"))
+    every = days.select("date", F.lit("day").alias("section"), none.alias("name"), F.lit(0).alias("count"), F.lit(0).alias("paid"), F.lit(0).alias("salary"))
+    only = lambda section, c: F.coalesce(F.max(F.when(F.col("section") == section, F.col(c))), F.lit(0)).cast("bigint")
+    head = F.max(F.when((F.col("section") == "head") & (F.col("paid") > 0), F.col("salary") / F.col("paid")))
+    return top.unionByName(new).unionByName(every).groupBy("date").agg(
+        only("head", "count").alias("total_valid_jobs"), only("new", "count").alias("new_jobs"), head.cast("bigint").alias("avg_salary"),
+        _packed("tag").alias("top_tags"), _packed("region").alias("region_dist"), _packed("exp").alias("experience_dist"))
+
+
 def snapshot_upsert(snapshots: DataFrame | None, new: DataFrame) -> DataFrame:
     """M7: key = date; a new row replaces the stored one."""
     if snapshots is None:

@@ -6,13 +6,15 @@ aggregation on the map side, one small final stage).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
 
 PERCENTILES = [0.25, 0.5, 0.75, 0.95]
+SAMPLES = 5            # newest events in the report
+SKETCH_K, MERGED_K = 800, 800  # sizes of a day's sketch and of a merged one (rank error about 0.35 %)
 
 
 def quality_clean(fact: DataFrame) -> DataFrame:
@@ -67,6 +69,30 @@ def salary_dist(fact: DataFrame) -> DataFrame:
                     *[F.col("_p")[i].alias(f"p{int(x * 100)}") for i, x in enumerate(PERCENTILES)]))
 
 
+def salary_sketches(fact: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """Q4, opt-in approximate form, to be stored: one mergeable quantile sketch of the
+    salaries of each creation day (``day``, ``cnt``, ``sketch``), NULL excluded.
+
+    A sketch keeps a few thousand values however many postings a day has, partial
+    sketches are built before the shuffle, and a new day's rows are appended."""
+    paid = fact.where(F.col("annual_salary").isNotNull())
+    return (paid.groupBy(F.to_date("created_at").alias("day"))
+            .agg(F.count(F.lit(1)).alias("cnt"), F.kll_sketch_agg_bigint(F.col("annual_salary").cast("bigint"), F.lit(k)).alias("sketch")))
+
+
+def sketched_salary_dist(sketches: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Count and percentiles of the days from ``start`` to ``end`` (all, if not given), by
+    merging stored sketches: no posting is read.  A percentile is a salary that occurs,
+    its rank off by less than 1 % at the default size of a sketch; no days give no
+    percentiles."""
+    days = sketches
+    for limit, op in ((start, F.Column.__ge__), (end, F.Column.__le__)):
+        if limit is not None:
+            days = days.where(op(F.col("day"), F.lit(limit).cast("date")))
+    merged = days.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"), F.kll_merge_agg_bigint("sketch", F.lit(MERGED_K)).alias("_s"))
+    return merged.select("cnt", *[F.when(F.col("cnt") > 0, F.kll_sketch_get_quantile_bigint("_s", F.lit(x))).alias(f"p{int(x * 100)}") for x in PERCENTILES])
+
+
 def experience_bands(fact: DataFrame) -> DataFrame:
     """Q5: 0 / 1-3 / 4-7 / >=8 over non-null experience; negatives form a NULL band."""
     e = F.col("experience")
@@ -104,7 +130,8 @@ def quality_recent(events: DataFrame, n: int = 5) -> DataFrame:
 
 
 def quality_report(fact: DataFrame, events: DataFrame, employment_types: DataFrame) -> DataFrame:
-    """Q9: sections 1-6 as ordered (section, ord, label, value) rows."""
+    """Q9: sections 1-6 as ordered (section, ord, label, value) rows; section 6 lists the
+    newest events (ties as in ``quality_recent``), their text in the label."""
     s1 = completeness(fact).select(F.lit(1).alias("section"), F.col("ord").cast("int").alias("ord"),
                                    F.col("label"), F.col("pct").cast("double").alias("value"))
     s1t = fact.agg(F.count(F.lit(1)).cast("double").alias("value")).select(
@@ -125,4 +152,11 @@ def quality_report(fact: DataFrame, events: DataFrame, employment_types: DataFra
         F.coalesce(F.concat_ws(" / ", "field", "rule"), F.lit("total")).alias("label"),
         F.col("cnt").cast("double").alias("value"))
     s5 = s5.withColumn("label", F.when(F.col("label") == "", F.lit("total")).otherwise(F.col("label")))
-    return s1t.unionByName(s1).unionByName(s2).unionByName(s3).unionByName(s4).unionByName(s5)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    newest = Window.orderBy(F.col("created_at").desc(), F.col("posting_id").desc(), F.col("field"))
+    sample = events.orderBy(F.col("created_at").desc(), F.col("posting_id").desc(), F.col("field")).limit(SAMPLES)
+    s6 = sample.select(F.lit(6).alias("section"), (F.row_number().over(newest) - 1).alias("ord"),
+                       F.concat(F.lit("["), "field", F.lit("/"), "rule", F.lit("] "), text("company_name"), F.lit(" | "), text("announcement_name"),
+                                F.lit(": "), text("original_value"), F.lit(" -> "), text("parsed_value")).alias("label"),
+                       F.lit(None).cast("double").alias("value"))
+    return s1t.unionByName(s1).unionByName(s2).unionByName(s3).unionByName(s4).unionByName(s5).unionByName(s6)

@@ -141,6 +141,13 @@ def q_salary_dist(spark, sf_dir):
     return Q.salary_dist(_wh(_tables(spark, sf_dir)).fact)
 
 
+def q_salary_sketch_dist(spark, sf_dir):
+    """Q4 by stored per-day sketches, merged over the year before AS_OF (approximate)."""
+    t = _tables(spark, sf_dir)
+    sketches = _once(t, "salary-sketches", lambda: Q.salary_sketches(_wh(t).fact))
+    return Q.sketched_salary_dist(sketches, "1997-06-16", AS_OF)
+
+
 def q_experience_bands(spark, sf_dir):
     return Q.experience_bands(_legacy_fact(_tables(spark, sf_dir)))
 
@@ -194,6 +201,14 @@ def q_market_snapshot(spark, sf_dir):
     return _snapshot_out(M.market_snapshot(_wh(_tables(spark, sf_dir)).fact, AS_OF))
 
 
+SNAPSHOT_FROM = "1998-03-18"   # 90 days up to AS_OF
+
+
+def q_market_snapshot_range(spark, sf_dir):
+    """M6 for 90 days, each of the postings known on that day, in one sweep."""
+    return _snapshot_out(M.market_snapshots(_wh(_tables(spark, sf_dir)).fact, SNAPSHOT_FROM, AS_OF))
+
+
 def q_snapshot_upsert(spark, sf_dir):
     """Snapshots of three days from the first batch, then the last day recomputed on
     the whole stream and upserted over the stored one."""
@@ -636,10 +651,9 @@ def q_judgment_checks(spark, sf_dir):
 
 
 def q_unmapped_judgments(spark, sf_dir):
-    """Judgments of documents that the supplier side does not know (any more)."""
+    """Judgments of documents that the document table does not hold (any more)."""
     t = _tables(spark, sf_dir)
-    known = t["part"].where(F.col("p_partkey") % 3 > 0).select(F.col("p_partkey").alias("doc_id"))
-    return E.unmapped_judgments(t["judgments"], known)
+    return E.unmapped_judgments(t["judgments"], t["documents"].select("doc_id"))
 
 
 def q_quality_gate(spark, sf_dir):
@@ -810,6 +824,20 @@ def q_ingest_csv(spark, sf_dir):
                        _tags_text())
 
 
+def q_csv_rejects(spark, sf_dir):
+    """What the CSV path refuses, with the reason: here the re-crawl's files, whose
+    names hold no date, beside a dated file of each year."""
+    from ..sources import csv as CSV
+    t = _tables(spark, sf_dir)
+    base = _scratch(spark, "csv-rejects")
+    for rows, name in ((t["postings_raw"].withColumn("crawl", F.concat(F.year("batch_date").cast("string"), F.lit("-01-01"))), "dated"),
+                       (t["postings_recrawl"].withColumn("crawl", F.lit("undated")), "other")):
+        (rows.select("crawl", *[F.col(n).alias(h) for h, n in zip(CSV.CSV_HEADER, CSV.RAW_NAMES)])
+         .write.option("header", True).partitionBy("crawl").csv(f"{base}/{name}"))
+    _, bad = CSV.read_csv_postings(spark, f"{base}/*/*")
+    return bad.select(F.col("_corrupt").alias("reason"), "company", "title", "link")
+
+
 def q_expansion_impact(spark, sf_dir):
     """Part-name keywords matched over the alert window before / after expansion."""
     t = _tables(spark, sf_dir)
@@ -933,6 +961,7 @@ QUERIES = {
     "quality_clean_log": q_quality_clean_log,
     "completeness": q_completeness,
     "salary_dist": q_salary_dist,
+    "salary_sketch_dist": q_salary_sketch_dist,
     "experience_bands": q_experience_bands,
     "form_dist": q_form_dist,
     "quality_event_summary": q_quality_event_summary,
@@ -943,6 +972,7 @@ QUERIES = {
     "experience_dist": q_experience_dist,
     "daily_new": q_daily_new,
     "market_snapshot": q_market_snapshot,
+    "market_snapshot_range": q_market_snapshot_range,
     "snapshot_upsert": q_snapshot_upsert,
     "insight_report": q_insight_report,
     "expire_postings": q_expire_postings,
@@ -1015,6 +1045,7 @@ QUERIES = {
     "judge_incremental": q_judge_incremental,
     "rerank": q_rerank,
     "ingest_csv": q_ingest_csv,
+    "csv_rejects": q_csv_rejects,
     "expansion_impact": q_expansion_impact,
     "judgments_explode": q_judgments_explode,
     "parse_expansion": q_parse_expansion,

@@ -23,7 +23,8 @@ PATH_DATE = r"(\d{4})-(\d{2})-(\d{2})"
 
 
 def read_csv_postings(spark: SparkSession, path: str, as_of: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(raw posting rows, malformed rows) of the CSV files below ``path``."""
+    """(raw posting rows, refused rows with the reason in ``_corrupt``: the malformed line,
+    or ``no date``) of the CSV files below ``path``."""
     schema = T.StructType([T.StructField(h, T.StringType()) for h in CSV_HEADER]
                           + [T.StructField("_corrupt", T.StringType())])
     df = (spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True)
@@ -37,7 +38,7 @@ def read_csv_postings(spark: SparkSession, path: str, as_of: str | None = None)
                    today.alias("batch_date"))
     df = materialize(df.withColumn("_corrupt", F.coalesce("_corrupt", F.when(F.col("batch_date").isNull(), F.lit("no date"))))
                      .withColumn("_mid", F.monotonically_increasing_id()), "csv-rows")
-    bad = df.where(F.col("_corrupt").isNotNull()).select("source_file", "_corrupt")
+    bad = df.where(F.col("_corrupt").isNotNull()).select("source_file", "_corrupt", *RAW_NAMES)
     ok = (df.where(F.col("_corrupt").isNull()).drop("_corrupt")
           .withColumn("position_raw", F.lit(None).cast("string"))
           .withColumn("created_at", F.col("batch_date").cast("timestamp")))

@@ -150,7 +150,10 @@ UNION ALL SELECT 3, min(experience), coalesce(CASE WHEN experience = 0 THEN '신
   FROM fact WHERE experience IS NOT NULL GROUP BY 3
 UNION ALL SELECT 4, et.id, et.name, count(*) FROM fact JOIN {ET} ON fact.form = et.id GROUP BY et.id, et.name
 UNION ALL SELECT 5, 0, field || ' / ' || rule, count(*) FROM qev GROUP BY field, rule
-UNION ALL SELECT 5, 0, 'total', count(*) FROM qev"""
+UNION ALL SELECT 5, 0, 'total', count(*) FROM qev
+UNION ALL SELECT 6, CAST(r AS INT), '[' || field || '/' || rule || '] ' || coalesce(company_name, '') || ' | ' || coalesce(announcement_name, '')
+  || ': ' || coalesce(original_value, '') || ' -> ' || coalesce(CAST(parsed_value AS VARCHAR), ''), NULL
+ FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, posting_id DESC, field) - 1 AS r FROM qev) q WHERE r < 5"""
 
 KW_HITS = f""",
 kw AS (SELECT * FROM keywords),
@@ -198,6 +201,24 @@ def snapshot_sql(src: str, day: str) -> str:
 
 SQL["market_snapshot"] = stream_with() + snapshot_sql("fact", ASOF)
 
+def _listed(name: str, source: str, n: int) -> str:
+    return f"""(SELECT d, string_agg(name || ':' || c, '|' ORDER BY c DESC, name) AS {name} FROM (
+  SELECT d, name, count(*) AS c, row_number() OVER (PARTITION BY d ORDER BY count(*) DESC, name) AS r FROM ({source}) u GROUP BY d, name) x
+  WHERE r <= {n} GROUP BY d)"""
+
+
+SQL["market_snapshot_range"] = stream_with() + f""",
+days AS (SELECT CAST(t AS DATE) AS d FROM range(DATE '1998-03-18', {ASOF} + 1, INTERVAL 1 DAY) r(t)),
+v AS (SELECT d, f.* FROM days JOIN fact f ON CAST(f.created_at AS DATE) <= d AND f.deadline >= d),
+h AS (SELECT d, count(*) AS n, CAST(trunc(avg(annual_salary)) AS BIGINT) AS s FROM v GROUP BY d),
+w AS (SELECT CAST(created_at AS DATE) AS d, count(*) AS n FROM fact GROUP BY 1)
+SELECT CAST(days.d AS VARCHAR) AS date, coalesce(h.n, 0) AS total_valid_jobs, coalesce(w.n, 0) AS new_jobs, h.s AS avg_salary,
+ coalesce(top_tags, '') AS top_tags, coalesce(region_dist, '') AS region_dist, coalesce(experience_dist, '') AS experience_dist
+FROM days LEFT JOIN h USING (d) LEFT JOIN w USING (d)
+LEFT JOIN {_listed("top_tags", "SELECT d, unnest(list_distinct(tags)) AS name FROM v", 10)} t USING (d)
+LEFT JOIN {_listed("region_dist", "SELECT d, region_name AS name FROM v WHERE region_name IS NOT NULL", 6)} g USING (d)
+LEFT JOIN {_listed("experience_dist", f"SELECT d, {EXP_LABEL} AS name FROM v", 10)} e USING (d)"""
+
 SQL["snapshot_upsert"] = stream_with() + f""",
 early AS (SELECT * FROM fact WHERE batch_date < {SPLIT}),
 stored AS ({snapshot_sql("early", ASOF + " - 2")} UNION ALL {snapshot_sql("early", ASOF + " - 1")}
@@ -624,6 +645,9 @@ cr AS (SELECT *, row_number() OVER (PARTITION BY company_name, announcement_name
 SELECT company_name, announcement_name, CAST(deadline AS VARCHAR) AS deadline, experience_parsed AS experience,
  salary_parsed AS annual_salary, link, array_to_string(list_sort(tags), '|') AS tags FROM cr WHERE k = 1"""
 
+SQL["csv_rejects"] = _dw("postings_recrawl") + """
+SELECT 'no date' AS reason, company, title, link FROM postings_recrawl"""
+
 SQL["expansion_impact"] = stream_with("keywords") + thesaurus_ctes("SELECT p_name AS text FROM part", "keywords") + f""",
 np AS (SELECT posting_id, lower(concat_ws(' ', coalesce(announcement_name, ''), array_to_string(tags, ' '))) AS txt FROM fact
   WHERE CAST(created_at AS TIMESTAMP) >= TIMESTAMP '1998-06-15 12:00:00' - INTERVAL 168 HOUR
@@ -734,7 +758,7 @@ pl AS (SELECT query_id, posting_id AS doc_id, min(mo * 1000 + rank) AS p FROM rr
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY p) AS pool_pos, CAST(floor(p / 1000) AS INT) AS first_mode FROM pl""")
 SQL["eval_summary_all"] = SQL["eval_summary"].replace("avg(", "1.0 / (SELECT count(*) FROM orders) * sum(")
 SQL["unmapped_judgments"] = EV + """
-SELECT query_id, doc_id FROM judgments WHERE doc_id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 > 0)"""
+SELECT query_id, doc_id FROM judgments WHERE doc_id NOT IN (SELECT doc_id FROM documents)"""
 SQL["expansion_totals"] = ("SELECT count(*) AS keywords, sum(matched_before) AS matched_before, sum(matched_after) AS matched_after, "
                            "sum(new_matches) AS new_matches, CASE WHEN sum(matched_before) > 0 THEN round(sum(matched_after) / sum(matched_before), 2) "
                            "END AS expansion_ratio FROM (" + SQL["expansion_impact"] + ")")
