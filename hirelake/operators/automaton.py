@@ -60,7 +60,7 @@ class Terms:
         shards = max(1, -(-size // shard_chars))
         # bounded: about shard_chars characters at a time
         parts = (distinct.where(F.pmod(F.xxhash64("term"), F.lit(shards)) == i) for i in range(shards)) if n else ()
-        self.shards = [(uuid.uuid4().hex, spark.sparkContext.broadcast([r.term for r in p.toLocalIterator()])) for p in parts]
+        self.shards = [(uuid.uuid4().hex, spark.sparkContext.broadcast([r.term for r in p.collect()])) for p in parts]
 
     def hits(self, texts: DataFrame, tid: str = "tid", text: str = "text", term: str = "term") -> DataFrame:
         """(``term``, ``tid``): each distinct term that a text contains, as written.  A null

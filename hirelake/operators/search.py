@@ -2,6 +2,7 @@
 
 Plan shape for keyword queries:
 
+  for each segment of the postings, newest ids first, and the queries still short of rows:
   query tokens --(distinct token = pattern)--> substring pairs (scan or n-gram)
       -> (token, posting) hits --salted join--> (query, posting, token idx)
       -> count distinct tokens per (query, posting): AND = all, OR = any
@@ -9,24 +10,29 @@ Plan shape for keyword queries:
       -> row_number() per query by posting id desc <= limit   (WindowGroupLimit:
          a partial top-k runs before the shuffle, so a query matching a third of
          all postings never ships them to one task)
+  a query with enough rows leaves before older postings are joined
 
 Queries without a keyword match on their structured filters only: their distinct
-filter tuples are broadcast against the postings (a checked-size side).  The
+filter tuples are joined to the postings on region and form keys.  The
 AND -> OR fallback is decided per query by a joined count, never by a driver-side
 ``if``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from ..session import materialize
 from . import ngram
 
 FILTER_COLS = ["min_deadline", "min_annual_salary", "company_name", "max_experience", "form_code", "region"]
 BROADCAST_MAX_ROWS = 100_000
+SEGMENT_SHARES = [0.2]   # postings of the newest segments, cumulative
 
 
 def blocks(side: DataFrame, rows: int = BROADCAST_MAX_ROWS) -> list[DataFrame]:
@@ -63,11 +69,11 @@ def posting_texts(postings: DataFrame, use_tags: bool) -> DataFrame:
     return t
 
 
-def keyword_tokens(queries: DataFrame) -> DataFrame:
-    """(query_id, tok_idx, token, n_tokens) of each query keyword (whitespace split)."""
+def keyword_tokens(queries: DataFrame, key: str = "query_id") -> DataFrame:
+    """(``key``, tok_idx, token, n_tokens) of each query keyword (whitespace split)."""
     toks = F.filter(F.split(T.strip("keyword"), T.WS_RUN), lambda t: t != "")
-    q = queries.where(F.col("keyword").isNotNull()).select("query_id", toks.alias("_t"))
-    return q.select("query_id", F.size("_t").alias("n_tokens"), F.posexplode("_t").alias("tok_idx", "token"))
+    q = queries.where(F.col("keyword").isNotNull()).select(key, toks.alias("_t")).distinct()
+    return q.select(key, F.size("_t").alias("n_tokens"), F.posexplode("_t").alias("tok_idx", "token"))
 
 
 def term_hits(terms: DataFrame, postings: DataFrame, use_tags: bool, method: str = "ngram",
@@ -87,15 +93,26 @@ def _predicates(fact_prefix: str = "") -> Column:
     ok = ok & (c("min_deadline").isNull() | (c("deadline") >= c("min_deadline")))
     sal = c("min_annual_salary")
     ok = ok & (sal.isNull() | (sal == 0) | (c("annual_salary").isNotNull() & (c("annual_salary") >= sal)))
-    ok = ok & (c("company_name").isNull() | F.coalesce(ngram.verify(c("p_company"), c("company_name")), F.lit(False)))
     mx = c("max_experience")
     ok = ok & (mx.isNull() | c("experience").isNull() | (c("experience") <= mx))
     ok = ok & (c("form_code").isNull() | (c("form") == c("form_code")))
-    ok = ok & (c("region").isNull() | (c("region_name").isNotNull()
-                                       & F.coalesce(ngram.verify(c("region_name"), c("region")), F.lit(False))))
+    ok = ok & (c("region").isNull() | F.coalesce(F.array_contains("_regions", c("region_name")), F.lit(False)))
+    ok = ok & (c("company_name").isNull() | F.coalesce(ngram.verify(c("p_company"), c("company_name")), F.lit(False)))
     return ok
 
 
+def with_regions(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """``queries`` with ``_regions``: the region names of postings that contain the asked
+    region, found once among the distinct names instead of for every posting."""
+    names = postings.select("region_name").where("region_name is not null").distinct()
+    asked = queries.select("region").where("region is not null").distinct()
+    found = [names.join(side, F.coalesce(ngram.verify(F.col("region_name"), F.col("region")), F.lit(False))) for side in blocks(asked)]
+    if not found:
+        return queries.withColumn("_regions", F.array().cast("array<string>"))
+    held = reduce(DataFrame.unionByName, found).groupBy("region").agg(F.collect_set("region_name").alias("_regions"))
+    return queries.join(held, "region", "left")
+
+
 POSTING_COLS = ["posting_id", "deadline", "annual_salary", "experience", "form", "region_name"]
 
 
@@ -109,34 +126,77 @@ def top_k(pairs: DataFrame, limit: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def _filtered(matches: DataFrame, queries: DataFrame, postings: DataFrame) -> DataFrame:
-    q = queries.select("query_id", *FILTER_COLS)
-    return (matches.join(q, "query_id").join(_postings_side(postings), "posting_id")
+def _filtered(matches: DataFrame, queries: DataFrame, postings: DataFrame, key: str) -> DataFrame:
+    """(query_id, posting_id) of matches by ``key`` (what queries ask for) that pass their filters."""
+    q = queries.select("query_id", key, *FILTER_COLS, "_regions")
+    return (matches.join(_postings_side(postings), "posting_id").join(q, key)
             .where(_predicates()).select("query_id", "posting_id"))
 
 
-def _no_keyword(queries: DataFrame, postings: DataFrame, limit: int) -> DataFrame:
-    """Queries without keyword: broadcast distinct filter tuples against postings."""
+def segments(postings: DataFrame) -> list[tuple[int | None, int | None]]:
+    """[from, to) ranges of posting ids, newest first: ``SEGMENT_SHARES`` of the postings,
+    then the rest.  None stands for no bound."""
+    cuts = postings.agg(F.percentile_approx("posting_id", F.array(*[F.lit(1 - s) for s in SEGMENT_SHARES]), 1000)).first()[0] or []
+    cuts = [None, *dict.fromkeys(int(c) for c in cuts), None]
+    return [(lo, hi) for hi, lo in zip(cuts, cuts[1:])]
+
+
+def _within(df: DataFrame, lo: int | None, hi: int | None, col: str = "posting_id") -> DataFrame:
+    if lo is not None:
+        df = df.where(F.col(col) >= lo)
+    return df if hi is None else df.where(F.col(col) < hi)
+
+
+def _rounds(asked: DataFrame, key: str, postings: DataFrame, ranges: list, limit: int, evaluate) -> DataFrame:
+    """(``key``, posting_id): the ``limit`` newest postings for every row of ``asked``, which
+    is cheap to read again.
+
+    The order is by id, so newer postings are searched first: each round evaluates one
+    segment for those who still lack rows, and who has ``limit`` leaves.  Requests with
+    many hits never meet the older postings; a request with few meets each posting once,
+    as it would in one pass.  ``evaluate(active, segment postings, lo, hi)`` gives
+    (``key``, posting_id)."""
+    if asked.isEmpty():
+        return asked.select(key, F.lit(None).cast("bigint").alias("posting_id")).limit(0)
+    active, found = asked, None
+    for lo, hi in ranges:
+        w = Window.partitionBy(key).orderBy(F.col("posting_id").desc())
+        best = evaluate(active, _within(postings, lo, hi), lo, hi)
+        best = materialize(best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).select(key, "posting_id"), "found")
+        found = best if found is None else found.unionByName(best)
+        if (lo, hi) == ranges[-1]:
+            break
+        done = found.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= limit)
+        active = active.join(done, key, "left_anti").select(*asked.columns)
+        if active.isEmpty():
+            break
+    return found
+
+
+def _no_keyword(queries: DataFrame, postings: DataFrame, ranges: list, limit: int) -> DataFrame:
+    """Queries without keyword: their distinct filter tuples meet the postings, a segment at
+    a time, on a region key and a form key (``*`` where a tuple asks for none; a posting
+    carries its own keys and ``*``, so it meets a tuple once at most), then all queries."""
     nk = queries.where(F.col("keyword").isNull())
     fid = F.to_json(F.struct(*FILTER_COLS))
-    sides = blocks(nk.select(*FILTER_COLS).distinct().withColumn("_fid", fid))
-    if not sides:
-        return None
-    # top-k per filter tuple first (partial top-k before the shuffle), then fan out
-    w = Window.partitionBy("_fid").orderBy(F.col("posting_id").desc())
-    best = None
-    for side in sides:
-        hits = _postings_side(postings).join(side, _predicates())
-        top = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).select("_fid", "posting_id")
-        best = top if best is None else best.unionByName(top)
-    ids = nk.select("query_id", fid.alias("_fid"))
-    return ids.join(best, "_fid").select("query_id", "posting_id")
-
-
-def match_counts(tokens: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, posting_id, matched, n_tokens) - distinct tokens of the query hit."""
+    asked = materialize(nk.select(*FILTER_COLS, "_regions", fid.alias("_fid")).dropDuplicates(["_fid"]), "filters")
+    star, name = F.array(F.lit("*")), F.concat(F.lit("="), "region_name")
+
+    def evaluate(active, part, lo, hi):
+        regions = F.when(F.col("region").isNull(), star).otherwise(F.transform("_regions", lambda r: F.concat(F.lit("="), r)))
+        keyed = (active.withColumn("_rk", F.explode(regions)).withColumn("_fk", F.coalesce(F.col("form_code").cast("string"), F.lit("*"))))
+        own = _postings_side(part).withColumn("_rk", F.explode(F.when(F.col("region_name").isNull(), star).otherwise(F.array(F.lit("*"), name))))
+        own = own.withColumn("_fk", F.explode(F.when(F.col("form").isNull(), star).otherwise(F.array(F.lit("*"), F.col("form").cast("bigint").cast("string")))))
+        return own.join(keyed, ["_rk", "_fk"]).where(_predicates()).select("_fid", "posting_id")
+
+    best = _rounds(asked, "_fid", postings, ranges, limit, evaluate)
+    return nk.select("query_id", fid.alias("_fid")).join(best, "_fid").select("query_id", "posting_id")
+
+
+def match_counts(tokens: DataFrame, hits: DataFrame, key: str = "query_id") -> DataFrame:
+    """(``key``, posting_id, matched, n_tokens) - distinct tokens of the query hit."""
     j = salted_join(hits, tokens, ["token"], salt_from="posting_id")
-    return j.groupBy("query_id", "posting_id").agg(F.count(F.lit(1)).alias("matched"),
+    return j.groupBy(key, "posting_id").agg(F.count(F.lit(1)).alias("matched"),
                                                    F.max("n_tokens").alias("n_tokens"))
 
 
@@ -170,24 +230,38 @@ def search(queries: DataFrame, fact: DataFrame, as_of: str, limit: int = 5, use_
 def _search(queries: DataFrame, fact: DataFrame, as_of: str, limit: int, use_tags: bool, fallback: bool, method: str,
             hits: DataFrame | None, index: DataFrame | None) -> DataFrame:
     postings = valid_postings(fact, as_of)
-    tokens = keyword_tokens(queries)
+    ranges = segments(postings)
+    queries = materialize(with_regions(queries, postings), "requests")
+    tokens = keyword_tokens(queries, "keyword")
     if hits is None:
         hits = term_hits(tokens, postings, use_tags, method, index)
-    counts = match_counts(tokens, hits)
-    and_top = top_k(_filtered(counts.where(F.col("matched") == F.col("n_tokens")), queries, postings), limit)
+    # requests share their keywords: tokens are counted once for each keyword and posting
+    counts = materialize(match_counts(tokens, hits, "keyword"), "matched")
+
+    def top(ids: DataFrame, every: bool) -> DataFrame:
+        """The newest postings that hold every token of a query, or any."""
+        held = counts.where(F.col("matched") == F.col("n_tokens")) if every else counts
+
+        def evaluate(active, part, lo, hi):
+            return _filtered(_within(held, lo, hi).select("keyword", "posting_id"), queries.join(active, "query_id", "left_semi"), part, "keyword")
+
+        return top_k(_rounds(ids, "query_id", postings, ranges, limit, evaluate), limit)
+
+    n_tokens = F.size(F.filter(F.split(T.strip("keyword"), T.WS_RUN), lambda t: t != ""))
+    with_and = queries.where(F.col("keyword").isNotNull() & (n_tokens > 0)).select("query_id")
+    multi = queries.where(F.col("keyword").isNotNull() & (n_tokens > 1)).select("query_id")
+    thr = V.FALLBACK_MIN_WITH_TAGS if use_tags else V.FALLBACK_MIN_NAME_ONLY
+    if fallback and limit < thr:  # whatever they find is below the threshold
+        with_and = with_and.join(multi, "query_id", "left_anti")
+    and_top = top(with_and, True)
     out = and_top.withColumn("mode", F.lit("and"))
     if fallback:
-        thr = V.FALLBACK_MIN_WITH_TAGS if use_tags else V.FALLBACK_MIN_NAME_ONLY
-        multi = tokens.where(F.col("n_tokens") > 1).select("query_id").distinct()
         n_and = and_top.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-        fb = (multi.join(n_and, "query_id", "left")
-              .where(F.coalesce(F.col("_n"), F.lit(0)) < thr).select("query_id"))
-        or_top = top_k(_filtered(counts.join(fb, "query_id", "left_semi"), queries, postings), limit)
+        fb = materialize(multi.join(n_and, "query_id", "left").where(F.coalesce(F.col("_n"), F.lit(0)) < thr).select("query_id"), "fallback")
         out = (out.join(fb, "query_id", "left_anti")
-               .unionByName(or_top.withColumn("mode", F.lit("or"))))
-    nk = _no_keyword(queries, postings, limit)
-    if nk is not None:
-        out = out.unionByName(top_k(nk, limit).withColumn("mode", F.lit("filter")))
+               .unionByName(top(fb, False).withColumn("mode", F.lit("or"))))
+    nk = _no_keyword(queries, postings, ranges, limit)
+    out = out.unionByName(top_k(nk, limit).withColumn("mode", F.lit("filter")))
     return out.select("query_id", "rank", "posting_id", "mode")
 
 
@@ -196,11 +270,16 @@ def search_expanded(queries: DataFrame, fact: DataFrame, as_of: str, limit: int,
     """F4 with expansion: OR over the ``expanded`` terms, always title + tags."""
     postings = valid_postings(fact, as_of)
     queries, same = _asked(queries, "expanded")
-    terms = (queries.where(F.size("expanded") > 0)
-             .select("query_id", F.explode(F.array_distinct("expanded")).alias("token")))
+    queries = materialize(with_regions(queries.where(F.size("expanded") > 0), postings), "requests")
+    terms = queries.select("expanded").distinct().select("expanded", F.explode(F.array_distinct("expanded")).alias("token"))
     hits = term_hits(terms, postings, True, method, index)
-    matched = salted_join(hits, terms, ["token"], salt_from="posting_id").select("query_id", "posting_id").distinct()
-    out = top_k(_filtered(matched, queries, postings), limit).withColumn("mode", F.lit("expanded"))
+    held = materialize(salted_join(hits, terms, ["token"], salt_from="posting_id").select("expanded", "posting_id").distinct(), "matched")
+
+    def evaluate(active, part, lo, hi):
+        return _filtered(_within(held, lo, hi), queries.join(active, "query_id", "left_semi"), part, "expanded")
+
+    found = _rounds(queries.select("query_id"), "query_id", postings, segments(postings), limit, evaluate)
+    out = top_k(found, limit).withColumn("mode", F.lit("expanded"))
     return _answered(out, same).select("query_id", "rank", "posting_id", "mode")
 
 
@@ -259,12 +338,10 @@ def search_adaptive(queries: DataFrame, fact: DataFrame, as_of: str, limit: int
     ``expansions`` is (query_id, expanded array); ``scorer(results, fact, queries)``
     returns (query_id, posting_id, score), the lexical scorer by default.
     """
-    from ..session import checkpoint_dir
-    checkpoint_dir(queries.sparkSession)
     pool = max(limit * V.ADAPTIVE_POOL_FACTOR, V.ADAPTIVE_POOL_MIN)
     # per-query pools are bounded (pool x queries rows); each is referenced by several
-    # branches below, so it is checkpointed once instead of being recomputed per branch
-    first = search(queries, fact, as_of, pool, True, True, method, None, index).checkpoint(eager=True)
+    # branches below, so it is stored once instead of being recomputed per branch
+    first = materialize(search(queries, fact, as_of, pool, True, True, method, None, index), "pools")
     n1 = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     need = (queries.where(F.col("keyword").isNotNull()).select("query_id")
             .join(n1, "query_id", "left").where(F.coalesce(F.col("_n"), F.lit(0)) < V.ADAPTIVE_THRESHOLD)
@@ -277,7 +354,7 @@ def search_adaptive(queries: DataFrame, fact: DataFrame, as_of: str, limit: int
     else:
         eq = eq.withColumn("expanded", F.lit(None).cast("array<string>"))
     eq = eq.withColumn("expanded", F.coalesce("expanded", F.array("keyword")))
-    out = out.unionByName(search_expanded(eq, fact, as_of, pool, method, index)).checkpoint(eager=True)
+    out = materialize(out.unionByName(search_expanded(eq, fact, as_of, pool, method, index)), "pools")
     scorer = scorer or lexical_scores
     with_kw = queries.where(F.col("keyword").isNotNull()).select("query_id")
     cnt = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("_c"))

@@ -29,7 +29,7 @@ from ..operators import normalize as N
 from ..operators import tables as S
 
 
-OPEN_PARTS = 64         # folders of open-ended postings
+OPEN_PARTS = 8          # folders of open-ended postings
 LOG_BLOCK = 1 << 20     # posting ids of one folder of the alert log
 
 
@@ -63,7 +63,7 @@ def held_before(new: DataFrame, sink: str, batch_id: int) -> DataFrame | None:
     """What earlier batches wrote to the folders that ``new`` (with ``part``) falls in;
     None if there is nothing.  The folders of a batch are a few dates or id blocks."""
     spark = new.sparkSession
-    touched = {r.part for r in new.select("part").distinct().toLocalIterator()} & parts_held(spark, sink)
+    touched = {r.part for r in new.select("part").distinct().collect()} & parts_held(spark, sink)
     if not touched:
         return None
     schema = T.StructType([f for f in new.schema if f.name != "part"]).add("part", "string").add("batch_id", "integer")
@@ -74,7 +74,8 @@ def held_before(new: DataFrame, sink: str, batch_id: int) -> DataFrame | None:
 
 def write_parts(new: DataFrame, sink: str, batch_id: int) -> None:
     """Write ``new`` (with ``part``) as the folders of its batch; a replay replaces them."""
-    (new.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # a folder's rows of a batch in one file; a folder is a month or an id block of one batch
+    (new.withColumn("batch_id", F.lit(batch_id)).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("part", "batch_id").parquet(sink))
 
 
