@@ -6,24 +6,31 @@ excess is shared again by weight (water-filling, computed as a level by windows
 table of sources).
 
 Taking: each source is a histogram of exact document lengths.  Whole rounds of the source
-come first; of what is left, every length gives its proportional count, and the budget that
-remains - below the sum of the distinct lengths, whatever the corpus - is filled from the
-rest of the histogram: the longest lengths until ``reserve`` words remain, then a bounded
-knapsack by dynamic programming for the largest sum that fits.  Each length's documents are
-then chosen by seeded hash.  Groups of one source and length are ranked in salted parts of
-about ``PART`` rows, so a hot length does not meet in one task.
+come first.  What is left is a share of the source, and every stretch of lengths gives that
+share of its documents: the running count over the lengths, times the share, plus a seeded
+offset, is rounded down, and a length takes the steps that fall in it (systematic rounding;
+a length that occurs once is taken with that chance).  This misses the target by less than
+about the longest document.  An excess is undone by the shortest taken document that covers
+it, and the budget that remains is filled by a bounded knapsack by dynamic programming, long
+lengths first, for the largest sum that fits, so that few documents are moved for it (up to
+a few taken ones may be exchanged for it).  Each
+length's documents are then chosen by seeded hash.  Groups of one source and length are
+ranked in salted parts of about ``PART`` rows, so a hot length does not meet in one task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hirelake.llm.common import small, stored, with_row_key, ROW_KEY
 
 WEIGHTS, SHARE, CAP, SEED, PART = (3.0, 1.0, 2.0), 1.5, 2, "mix", 20_000
+#: So many documents of a source may be exchanged by the knapsack, the fewest that fit.
+FREE = (0, 1, 2, 4, 8)
 
 
 def knapsack(sizes: list[int], counts: list[int], budget: int) -> list[int]:
@@ -55,25 +62,51 @@ def knapsack(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     return take
 
 
-def plan_source(sizes: list[int], counts: list[int], target: float, cap: int, reserve: int = 1 << 16) -> tuple[int, list[int]]:
-    """(rounds of the whole source, further documents of each size)."""
+def plan_source(sizes: list[int], counts: list[int], target: float, cap: int, offset: float = 0.5,
+                reserve: int = 1 << 16) -> tuple[int, list[int]]:
+    """(rounds of the whole source, further documents of each of the ascending sizes).
+
+    A rest above ``reserve`` words (texts longer than that) takes the longest that fit
+    before the knapsack, whose table it bounds."""
     total = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if not total:
         return 0, [0] * len(sizes)
     rounds = min(int(target // total), cap)
     rest = max(0, round(target - rounds * total)) if rounds < cap else 0
-    take = [min(c, c * rest // total) for c in counts]
+    worded = [c if s else 0 for s, c in zip(sizes, counts, strict=True)]
+    steps = np.floor(np.cumsum([0, *worded]) * (rest / total) + offset).astype(np.int64)
+    take = [min(n, c) for n, c in zip(np.diff(steps).tolist(), worded, strict=True)]
     budget = rest - sum(s * t for s, t in zip(sizes, take, strict=True))
-    order = sorted((i for i, s in enumerate(sizes) if s), key=lambda i: -sizes[i])
+    while budget < 0:
+        taken = [i for i, n in enumerate(take) if n]
+        i = next((i for i in taken if sizes[i] >= -budget), taken[-1])
+        take[i] -= 1
+        budget += sizes[i]
+    order = [i for i in range(len(sizes) - 1, -1, -1) if sizes[i]]
     for i in order:
         n = min(counts[i] - take[i], max(0, budget - reserve) // sizes[i])
         take[i] += n
         budget -= n * sizes[i]
-    order.reverse()
-    left = [counts[i] - take[i] for i in order]
-    for i, n in zip(order, knapsack([sizes[i] for i in order], left, min(budget, sum(sizes[i] * n for i, n in zip(order, left, strict=True)))), strict=True):
-        take[i] += n
-    return rounds, take
+    # Without an exact fit, one, two and more taken documents, spread over the lengths, may be exchanged.
+    best, short = take, budget
+    for free in FREE:
+        trial, room = list(take), budget
+        upto = np.cumsum(take)
+        for j in range(free if upto[-1] else 0):
+            i = int(np.searchsorted(upto, (2 * j + 1) * int(upto[-1]) // (2 * free), "right"))
+            if trial[i] and room + sizes[i] <= reserve:
+                trial[i] -= 1
+                room += sizes[i]
+        left = [counts[i] - trial[i] for i in order]
+        room_for = min(room, sum(sizes[i] * n for i, n in zip(order, left, strict=True)))
+        for i, n in zip(order, knapsack([sizes[i] for i in order], left, room_for), strict=True):
+            trial[i] += n
+            room -= n * sizes[i]
+        if room < short or not free:
+            best, short = trial, room
+        if not short:
+            break
+    return rounds, best
 
 
 def targets(histogram: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -110,7 +143,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
-        rounds, more = plan_source(pdf["size"].tolist(), pdf["n"].tolist(), float(pdf["target"].iloc[0]), cap)
+        offset = xxhash.xxh64_intdigest(f"{seed}{pdf['src'].iloc[0]}") / 2**64
+        rounds, more = plan_source(pdf["size"].tolist(), pdf["n"].tolist(), float(pdf["target"].iloc[0]), cap, offset)
         return pdf.assign(rounds=rounds, more=more)
 
     plan = (histogram.join(small(goal), "src").groupBy("src")

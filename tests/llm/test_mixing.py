@@ -88,5 +88,40 @@ def test_all_documents(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = M.query(spark, sf).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(
         F.sum("taken").alias("taken"), F.max("target").alias("target"), F.min("size").alias("least")).collect()
-    assert len(rows) == 20 and all(-r.least <= r.taken - r.target <= 1 for r in rows)
+    # few documents are exchanged for an exact fit, so a small source may end some words short
+    assert len(rows) == 20 and all(-max(r.least, 0.001 * r.target) <= r.taken - r.target <= 1 for r in rows)
     assert sum(abs(r.taken - r.target) for r in rows) < 20 * 5
+
+
+def bands(pairs, share, edges):
+    """How far each band of lengths is from ``share``, in standard errors of a plain draw."""
+    for lo, hi in zip(edges, edges[1:]):
+        band = [t for s, t in pairs if lo <= s < hi]
+        if len(band) >= 20:
+            yield abs(sum(band) / len(band) - share) / (share * (1 - share) / len(band)) ** 0.5
+
+
+@pytest.mark.parametrize("n", [200, 2000, 20_000])
+def test_lengths_are_taken_alike(n):
+    """Every length occurs once or a few times: each band of lengths gives its share."""
+    rnd = random.Random(n)
+    sizes = sorted({int(rnd.lognormvariate(5.5, 1.2)) + 1 for _ in range(n)})
+    counts = [rnd.choice([1, 1, 1, 2, 5]) for _ in sizes]
+    total = sum(s * c for s, c in zip(sizes, counts, strict=True))
+    for share in (0.2, 0.62, 0.9):
+        rounds, take = M.plan_source(sizes, counts, total * (1 + share), 2, rnd.random())
+        assert rounds == 1 and abs(sum(s * t for s, t in zip(sizes, take, strict=True)) - share * total) <= 1
+        pairs = [(s, k < t) for s, c, t in zip(sizes, counts, take, strict=True) for k in range(c)]
+        assert max(bands(pairs, share, [1, 50, 100, 200, 400, 800, 1600, 10**9])) < 3
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_given_documents_are_taken_alike(spark, sf):
+    """Over the partly taken sources, by band of lengths, against each source's own share."""
+    rows = M.mix(spark.read.parquet(f"{sf}/documents.parquet")).select("source", "size", "source_size", "target", "copies").collect()
+    part = [r for r in rows if r.size and 0 < r.target / r.source_size % 1 < 1]
+    assert len(part) > 100
+    for lo, hi in ((1, 100), (100, 500), (500, 1250), (1250, 10**9)):
+        band = [(r.copies - int(r.target // r.source_size), r.target / r.source_size % 1) for r in part if lo <= r.size < hi]
+        want, var = sum(p for _, p in band), sum(p * (1 - p) for _, p in band)
+        assert abs(sum(t for t, _ in band) - want) <= 3 * var ** 0.5 + 3, (lo, hi)
