@@ -4,8 +4,12 @@ Spark keeps the texts that hold a word of license language; in them, candidate b
 the stretches of up to ``REACH`` words around such words (overlapping ones merge).  Each
 block is compressed by zstandard with every template as a raw dictionary; templates are
 ranked by how much the block shrinks against its size without a dictionary.  Down this
-ranking they are confirmed by exact wording: words of the template that the block lacks,
-and words in between that it adds.  Every template whose words
+ranking they are confirmed by exact wording (an SPDX tag line names its license and needs no
+template): words of the template that the block lacks,
+and words in between that it adds.  Words that tell licenses apart (names of licenses and of
+their families, and all words with a digit: versions, clause counts) are its identity: the
+place must hold those of the template, in order, and no others, so a notice of a version or
+variant without a template is not named as its neighbour.  Every template whose words
 the block can hold (a lower bound on missing words) is compared, and the one with the most words explained less differences wins (so a short
 notice does not win over a longer one that begins with it).  A
 block may hold several notices; what a winner explains is taken out and the rest is ranked
@@ -44,9 +48,22 @@ TEMPLATES = [
     ("GPL-3.0", "copyleft", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "copyleft", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
      "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "copyleft", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+     "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-1.0", "copyleft", "This work is licensed under the GNU General Public License, version 1."),
+    ("LGPL-2.1", "copyleft", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "copyleft", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "copyleft", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "copyleft", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-1.1", "copyleft", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."),
+    ("BSD-2-Clause", "permissive", "Licensed under the BSD 2-Clause License."),
+    ("ISC", "permissive", "Licensed under the ISC License."),
+    ("ISC", "permissive", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+     "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSL-1.0", "permissive", "Distributed under the Boost Software License, Version 1.0."),
+    ("CC-BY-3.0", "permissive", "Licensed under CC BY 3.0."),
+    ("CC-BY-ND-4.0", "noderivatives", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "noncommercial", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-4.0", "permissive", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "copyleft", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "noncommercial", "Licensed under CC BY-NC 4.0."),
@@ -55,10 +72,23 @@ TEMPLATES = [
     ("proprietary", "restricted", "All rights reserved. No part of this work may be reproduced without permission."),
 ]
 CUE = r"(?i)licen[sc]e|sublicens|copyright|spdx|creative commons|\bcc[ -](by|0)|public domain|rights reserved|permission|redistribut|free software"
+#: Kind of each license with a template; a tag line names its license itself.
+KINDS = {name: kind for name, kind, _ in TEMPLATES}
+_SPDX = re.compile(r"SPDX-License-Identifier:[\x20\t]*([A-Za-z0-9.+-]+)")
 REACH, MISSING, ADDED, LEVEL = 60, 0.1, 0.2, 3
 _CUE, _WORD = re.compile(CUE), re.compile(r"[^\x20\x09-\x0D]+")
 
 
+#: Words that name a license or a variant of one; words with a digit count too.
+IDENTITY = frozenset("""mit apache bsd isc boost gnu general lesser library affero gpl lgpl agpl mpl mozilla eclipse cc cc0 by-sa by-nc by-nd
+by-nc-sa by-nc-nd zero noncommercial noderivatives noderivs sharealike artistic unlicense zlib""".split())
+
+
+def identity(words: list[str]) -> list[str]:
+    """The identity words of normalised words, in order."""
+    return [w for w in words if w in IDENTITY or any("0" <= c <= "9" for c in w)]
+
+
 def normal(word: str) -> str:
     return word.lower().strip(".,;:!?\"'()[]{}<>*#")
 
@@ -115,7 +145,7 @@ def blocks(text: str) -> list[list[re.Match]]:
 def scan_text(text: str, rank) -> list[tuple[int, int, str, str, float, int, int]]:
     """(start, end, license, kind, reduction, missing, added) of each confirmed notice, in
     code points; overlapping finds keep the first."""
-    found = []
+    found = [(m.start(), m.end(), m.group(1), KINDS.get(m.group(1), "declared"), 1.0, 0, 0) for m in _SPDX.finditer(text)]
     for block in blocks(text):
         stretches = [block]
         while stretches:
@@ -128,7 +158,8 @@ def scan_text(text: str, rank) -> list[tuple[int, int, str, str, float, int, int
                 if (Counter(template) - held).total() > MISSING * len(template):
                     continue
                 w = wording(template, norm)
-                if w and w[2] <= MISSING * len(template) and w[3] <= ADDED * len(template):
+                # a version may stand right after the place, which ends with a shared word
+                if w and w[2] <= MISSING * len(template) and w[3] <= ADDED * len(template) and identity(norm[w[0]:w[1]]) == identity(template):
                     fits.append((w, name, kind, reduction, len(template)))
             if fits:  # the most words explained less differences, then the larger reduction
                 (a, b, missing, added), name, kind, reduction, _ = max(fits, key=lambda x: x[4] - 2 * x[0][2] - x[0][3])

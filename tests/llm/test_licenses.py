@@ -88,3 +88,55 @@ def test_every_template_that_can_fit_is_compared():
 
     got = L.scan_text(f"{filler(20)} {text.format(159)}. {filler(20)}", Ranked())
     assert [(g[2], g[5], g[6]) for g in got] == [("v159", 0, 0)]
+
+
+NAMED = [
+    ("This work is licensed under the GNU General Public License, version 1.", "GPL-1.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("This work is licensed under the GNU General Public License, version 4.", None),
+    ("This work is licensed under the GNU General Public License.", None),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.", None),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 1.", None),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.0.", None),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "MPL-1.1"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+     "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "GPL-2.0"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+     "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+     "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", None),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Licensed under the Apache License, Version 1.1.", None),
+    ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+    ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("Licensed under the BSD 4-Clause License.", None),
+    ("Licensed under the MIT License.", "MIT"),
+    ("Licensed under the ISC License.", "ISC"),
+    ("Licensed under the XYZ License.", None),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("Distributed under the Boost Software License, Version 2.0.", None),
+    ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("Licensed under CC BY 2.0.", None),
+    ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+    ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+    ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("// SPDX-License-Identifier: MIT", "MIT"),
+    ("# SPDX-License-Identifier: EPL-2.0", "EPL-2.0"),
+    ("All rights reserved.", "proprietary"),
+    ("All rights are reserved for members of the club.", None),
+    ("Permission to speak was granted.", None),
+]
+
+
+def test_versions_and_variants_are_not_named_as_their_neighbours():
+    rank = L._ranker(L.TEMPLATES)
+    for text, want in NAMED:
+        for before, after in (("", ""), ("Some words 3 before it.\n", "\nAnd more words 2.0 after it, by someone.")):
+            assert [f[2] for f in L.scan_text(before + text + after, rank)] == ([want] if want else []), text
