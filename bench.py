@@ -25,9 +25,12 @@ HEADLINE = [
     "salary_dist",
     "quality_report",
     "market_snapshot",
+    "market_snapshot_range",
     "parse_queries",
     "text_match",
     "ngram_search",
+    "text_match_selective",
+    "ngram_search_selective",
     "search_baseline",
     "search_adaptive",
     "match_expanded",
