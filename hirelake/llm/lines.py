@@ -1,116 +1,184 @@
 """Line dedup by content-defined chunks (operator 7).
 
-Lines are hashed, a rolling hash over ``window`` line hashes chooses the boundaries (about
-one in ``divisor`` lines, never less than two lines in a chunk), so an insertion shifts no
-boundary beyond its own chunk.  Of a shared passage the chunks that lie whole in it are
-found; the lines at its ends that share a chunk with other lines stay.  Chunks of two or more lines found again anywhere are
-removed, all but the first (smallest id, then text hash, then place).  Chunks meet by a
-128-bit hash, counted with map-side combining; the bytes of all that meet are compared, and
-chunks of one hash whose bytes differ stay.
-
-Texts are shuffled once (one exchange by row key that all reads share).
+Lines are hashed, and a rolling hash runs over ``window`` line hashes.  A boundary stands
+where the rolling hash is no larger than that of a neighbouring position; so of any two
+neighbouring positions one is a boundary, the chunks of ``window`` lines that begin at the
+boundaries cover the text, and an insertion shifts no boundary beyond the lines beside it.
+Chunks found again anywhere are matches.  Two copies of a passage agree on every boundary
+inside it; at its ends they may differ by one position, so every match is grown by the line
+before and the line after it where those are repeated with it.  A passage of ``window`` + 1
+lines or more is thus found whole, wherever it stands; of ``window`` lines, if both copies
+have a boundary there.  Shorter ones (a repeated single line) are none of this operator's.
+
+Lines of more than ``long`` bytes are split at sentence ends, and each sentence is a line
+here (``units``), so that passages within long paragraphs are found too.
+
+Of all places of a chunk the first (smallest id, then text hash, then place) is kept, the
+others are removed.  The first place of a line is never removed: a chunk that would remove
+it has an earlier place, which holds the line too.  Chunks meet by the 64-bit hashes of
+their lines, aggregated with map-side combining; the bytes of all lines of all matches are
+compared, and chunks with a line whose bytes differ under one hash stay.
+
+The chunks, and the matches among them, are written once each.  Texts are shuffled once, by
+the exchange that the byte comparison and the removal share; it is a join's own, so Spark
+may split a hot row key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.llm.common import ROW_KEY, arrow_rows, bounded_batches, encoded, partitions, with_row_key
+from hirelake.llm.common import ROW_KEY, arrow_rows, bounded_batches, encoded, stored, with_row_key
 from hirelake.llm.quality import replaced
 
-#: A chunk counts only if both its boundaries fall alike, so they are as dense as two lines a chunk allow.
-WINDOW, DIVISOR = 1, 2
-_BASE, _MIX, _ALL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
+WINDOW, LONG = 2, 512
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: ASCII sentence ends before blanks, and the ideographic full stop with its full-width like.
+_SENTENCE_END = re.compile(rb"(?<=[.!?])[ \t]+|(?<=\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)[ \t]*")
 COUNTS = ["__hl_lines", "__hl_removed_lines", "__hl_removed_chunks"]
 
 
-def chunks(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR) -> list[tuple[int, int]]:
-    """[start, end) of the chunks that cover ``lines``; two lines or more each, but for a
-    text of one line."""
+def units(text: bytes, long: int = LONG) -> tuple[list[bytes], list[bytes]]:
+    """The lines of a text, long ones by sentence, and what stands after each of them."""
+    parts, gaps = [], []
+    for line in text.split(b"\n"):
+        if len(line) > long:
+            start = 0
+            for m in _SENTENCE_END.finditer(line):
+                if start < m.start() and m.end() < len(line):
+                    parts.append(line[start:m.start()])
+                    gaps.append(m[0])
+                    start = m.end()
+            line = line[start:]
+        parts.append(line)
+        gaps.append(b"\n")
+    return parts, gaps
+
+
+def without(parts: list[bytes], gaps: list[bytes], gone: set[int]) -> bytes:
+    """The text of what is left: a line feed where one stood between two neighbours, else
+    what followed the first."""
+    out, newline = [], False
+    for i, (p, g) in enumerate(zip(parts, gaps, strict=True)):
+        if i not in gone:
+            if out:
+                out.append(b"\n" if newline else gap)
+            out.append(p)
+            gap, newline = g, g == b"\n"
+        else:
+            newline = newline or g == b"\n"
+    return b"".join(out)
+
+
+def boundaries(hashes: np.ndarray, text: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Positions of the boundaries; ``text`` tells which text a line hash belongs to."""
+    n = len(hashes) - window + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    rolled = np.zeros(n, np.uint64)
+    for k in range(window):
+        rolled = rolled * _BASE + hashes[k:k + n]
+    mixed = (rolled ^ (rolled >> np.uint64(32))) * _MIX
+    own = text[:n] == text[window - 1:]
+    beside = own[:-1] & own[1:] & (text[:n - 1] == text[1:n])
+    low = np.zeros(n, bool)
+    low[:-1] |= beside & (mixed[:-1] <= mixed[1:])
+    low[1:] |= beside & (mixed[1:] <= mixed[:-1])
+    alone = own.copy()
+    alone[:-1] &= ~beside
+    alone[1:] &= ~beside
+    return np.flatnonzero(low | alone)
+
+
+def _hashed(texts: Iterable[bytes], long: int) -> tuple[np.ndarray, np.ndarray]:
     digest = xxhash.xxh3_64_intdigest
-    drop = pow(_BASE, window, 1 << 64)
-    hashes, h, start, out = [], 0, 0, []
-    n = len(lines)
-    for i, line in enumerate(lines):
-        hashes.append(x := digest(line))
-        h = (h * _BASE + x - (hashes[i - window] * drop if i >= window else 0)) & _ALL
-        mixed = h * _MIX & _ALL
-        if (mixed >> 32) % divisor == 0 and i + 1 - start >= 2 and n - i - 1 != 1:
-            out.append((start, i + 1))
-            start = i + 1
-    if start < n:
-        out.append((start, n))
-    return out
-
-
-def _chunked(text_col: str, window: int, divisor: int):
+    hashes, text = [], []
+    for i, t in enumerate(texts):
+        own = [digest(p) for p in units(t, long)[0]]
+        hashes += own
+        text.append((i, len(own)))
+    return (np.array(hashes, np.uint64),
+            np.repeat(np.array([i for i, _ in text], np.int64), np.array([n for _, n in text], np.int64)))
+
+
+def _chunked(text_col: str, window: int, long: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_intdigest
         for b in arrow_rows(batches):
-            row, at, size, c1, c2 = [], [], [], [], []
-            for i, t in enumerate(encoded(b[text_col])):
-                lines = t.split(b"\n")
-                for s, e in chunks(lines, window, divisor):
-                    if e - s > 1:
-                        x = digest(b"\n".join(lines[s:e]))
-                        row.append(i)
-                        at.append(s)
-                        size.append(e - s)
-                        c1.append((x >> 64) - (1 << 63))
-                        c2.append((x & _ALL) - (1 << 63))
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b[k].take(take) for k in ROW_KEY), pa.array(at, pa.int32()), pa.array(size, pa.int32()),
-                                              pa.array(c1, pa.int64()), pa.array(c2, pa.int64())], [*ROW_KEY, "at", "size", "c1", "c2"])
+            hashes, text = _hashed(encoded(b[text_col]), long)
+            p = boundaries(hashes, text, window)
+            own = text[p]
+            signed = np.concatenate([[0], hashes.view(np.int64), [0]])      # line i stands at i + 1
+            around = np.concatenate([[-1], text, [-1]])
+            after = p + window + 1
+            lines = signed[(p + 1)[:, None] + np.arange(window)].ravel()
+            k = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * window, pa.int32()), pa.array(lines, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*(b[c].take(pa.array(own, pa.int64())) for c in ROW_KEY),
+                 pa.array(p - np.searchsorted(text, own), pa.int32()), k,
+                 pa.array(signed[p], pa.int64(), mask=around[p] != own),
+                 pa.array(signed[after], pa.int64(), mask=around[after] != own)], [*ROW_KEY, "at", "k", "before", "after"])
 
     return run
 
 
-def _bytes(text_col: str):
+def _line_bytes(text_col: str, long: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_rows(batches):
-            c1, c2, content = [], [], []
+            lines = set()
             for t, marks in zip(encoded(b[text_col]), b["__hl_marks"].to_pylist(), strict=True):
-                lines = t.split(b"\n")
-                for m in marks:
-                    c1.append(m["c1"])
-                    c2.append(m["c2"])
-                    content.append(b"\n".join(lines[m["at"]:m["at"] + m["size"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(content, pa.binary())],
-                                             ["c1", "c2", "content"])
+                parts = units(t, long)[0]
+                lines |= {parts[i] for m in marks for i in range(m["at"], m["at"] + m["size"])}
+            content = list(lines)
+            h = np.array([xxhash.xxh3_64_intdigest(x) for x in content], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(content, pa.binary())], ["h", "content"])
 
     return run
 
 
 def remove_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars",
-                  window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """``docs`` without later copies of multi-line chunks, plus ``COUNTS``; where a text
-    changes, ``chars_col`` (if there is such a column) gets its new length.
+                  window: int = WINDOW, long: int = LONG) -> DataFrame:
+    """``docs`` without later copies of chunks, plus ``COUNTS`` (lines as in ``units``,
+    those removed, and the runs that they form); where a text changes, ``chars_col`` (if
+    there is such a column) gets its new length.
 
-    Null and empty texts stay as they are (no line, one empty line).  A text of one line
-    has no multi-line chunk.  Rows equal in id and text share every decision, so repeated
+    Null and empty texts stay as they are (one empty line).  A text of fewer lines than
+    ``window`` has no chunk.  Rows equal in id and text share every decision, so repeated
     rows do not remove each other's chunks.  Empty table: no rows."""
     bounded_batches(docs.sparkSession)
     columns = docs.columns
-    rows = with_row_key(docs, id_col, text_col).repartition(partitions(docs.sparkSession), *ROW_KEY)
+    rows = with_row_key(docs, id_col, text_col)
     key = f"{ROW_KEY[0]} bigint, {ROW_KEY[1]} bigint"
-    found = rows.mapInArrow(_chunked(text_col, window, divisor), f"{key}, at int, size int, c1 bigint, c2 bigint")
+    found = stored(rows.select(*ROW_KEY, text_col).mapInArrow(_chunked(text_col, window, long),
+                                                              f"{key}, at int, k array<bigint>, before bigint, after bigint"), "chunks")
     place = F.struct(*ROW_KEY, "at")
-    again = found.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    met = found.join(again, ["c1", "c2"]).withColumn("later", place != F.col("first")).drop("first")
+
+    def repeated(chunks: DataFrame) -> DataFrame:
+        return chunks.groupBy("k").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+
+    met = found.join(repeated(found).select("k"), "k", "left_semi")
+    grown = F.array(F.struct(F.col("at"), F.col("k")),
+                    F.when(F.col("before").isNotNull(), F.struct((F.col("at") - 1).alias("at"), F.concat(F.array("before"), "k").alias("k"))),
+                    F.when(F.col("after").isNotNull(), F.struct(F.col("at"), F.concat("k", F.array("after")).alias("k"))))
+    met = stored(met.select(*ROW_KEY, F.explode(F.filter(grown, lambda g: g.isNotNull())).alias("g")).select(*ROW_KEY, "g.*"), "matches")
+    firsts = repeated(met)
+    placed = met.join(firsts, "k").select(*ROW_KEY, "at", "k", F.size("k").alias("size"), (place != F.col("first")).alias("later"))
 
     def marked(chosen: DataFrame) -> DataFrame:
         # a set: rows equal in id and text give equal marks, of which each row needs one
-        return chosen.groupBy(*ROW_KEY).agg(F.collect_set(F.struct("at", "size", "c1", "c2", "later")).alias("__hl_marks"))
+        return chosen.groupBy(*ROW_KEY).agg(F.collect_set(F.struct("at", "size")).alias("__hl_marks"))
 
-    differ = (rows.join(marked(met), ROW_KEY).mapInArrow(_bytes(text_col), "c1 bigint, c2 bigint, content binary")
-              .groupBy("c1", "c2").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("c1", "c2"))
-    marks = marked(met.join(differ, ["c1", "c2"], "left_anti"))
+    differ = (rows.join(marked(placed), ROW_KEY).mapInArrow(_line_bytes(text_col, long), "h bigint, content binary")
+              .groupBy("h").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("h"))
+    unequal = firsts.select("k", F.explode("k").alias("h")).join(differ, "h").select("k").distinct()
+    marks = marked(placed.where("later").join(unequal, "k", "left_anti"))
     out = T.StructType(list(docs.schema.fields))
     for c in COUNTS:
         out = out.add(c, "long")
@@ -118,13 +186,11 @@ def remove_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_rows(batches):
             texts, counts = [], []
-            for t, found in zip(encoded(b[text_col]), b["__hl_marks"].to_pylist(), strict=True):
-                lines = t.split(b"\n")
-                gone = {m["at"]: m["size"] for m in found or () if m["later"]}
-                for at in sorted(gone, reverse=True):
-                    del lines[at:at + gone[at]]
-                counts.append((t.count(b"\n") + 1, sum(gone.values()), len(gone)))
-                texts.append(b"\n".join(lines) if gone else None)
+            for t, marks in zip(encoded(b[text_col]), b["__hl_marks"].to_pylist(), strict=True):
+                parts, gaps = units(t, long)
+                gone = {i for m in marks or () for i in range(m["at"], m["at"] + m["size"])}
+                counts.append((len(parts), len(gone), sum(i - 1 not in gone for i in gone)))
+                texts.append(without(parts, gaps, gone) if gone else None)
             new = replaced(b, columns, text_col, chars_col, texts)
             extra = [pa.array(x, pa.int64()) for x in (zip(*counts, strict=True) if counts else ((), (), ()))]
             yield pa.RecordBatch.from_arrays([*new.columns, *extra], [*columns, *COUNTS])
