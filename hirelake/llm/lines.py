@@ -1,14 +1,14 @@
 """Line dedup by content-defined chunks (operator 7).
 
-Lines are hashed, and a rolling hash runs over ``window`` line hashes.  A boundary stands
+Lines are hashed, and a rolling hash runs over two line hashes.  A boundary stands
 where the rolling hash is no larger than that of a neighbouring position; so of any two
-neighbouring positions one is a boundary, the chunks of ``window`` lines that begin at the
+neighbouring positions one is a boundary, the chunks of two lines that begin at the
 boundaries cover the text, and an insertion shifts no boundary beyond the lines beside it.
 Chunks found again anywhere are matches.  Two copies of a passage agree on every boundary
-inside it; at its ends they may differ by one position, so every match is grown by the line
-before and the line after it where those are repeated with it.  A passage of ``window`` + 1
-lines or more is thus found whole, wherever it stands; of ``window`` lines, if both copies
-have a boundary there.  Shorter ones (a repeated single line) are none of this operator's.
+inside it; at its ends they may differ by one position, so matches are grown by the line
+before and the line after where those are repeated with them.  A passage of three lines or
+more is thus found whole, wherever it stands; of two lines, if both copies have a boundary
+there.  Shorter ones (a repeated single line) are none of this operator's.
 
 Lines of more than ``long`` bytes are split at sentence ends, and each sentence is a line
 here (``units``), so that passages within long paragraphs are found too.
@@ -78,64 +78,71 @@ def without(parts: list[bytes], gaps: list[bytes], gone: set[int]) -> bytes:
     return b"".join(out)
 
 
-def boundaries(hashes: np.ndarray, text: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions of the boundaries; ``text`` tells which text a line hash belongs to."""
-    n = len(hashes) - window + 1
+def boundaries(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the boundaries, and whether the chunk at each of them is grown by the
+    line before and by the line after; ``text`` tells which text a line hash belongs to.
+
+    A neighbouring position whose rolling hash is no larger is a boundary in every copy of
+    the lines of both, so a chunk is grown only towards larger ones."""
+    n = len(hashes) - WINDOW + 1
     if n < 1:
-        return np.empty(0, np.int64)
-    rolled = np.zeros(n, np.uint64)
-    for k in range(window):
-        rolled = rolled * _BASE + hashes[k:k + n]
+        return np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)
+    rolled = hashes[:-1] * _BASE + hashes[1:]
     mixed = (rolled ^ (rolled >> np.uint64(32))) * _MIX
-    own = text[:n] == text[window - 1:]
-    beside = own[:-1] & own[1:] & (text[:n - 1] == text[1:n])
-    low = np.zeros(n, bool)
+    own = text[:-1] == text[1:]
+    beside = own[:-1] & own[1:]
+    low = own.copy()                     # no neighbour, or one that is not smaller
+    some = np.zeros(n, bool)
+    some[:-1] |= beside
+    some[1:] |= beside
+    low &= ~some
     low[:-1] |= beside & (mixed[:-1] <= mixed[1:])
     low[1:] |= beside & (mixed[1:] <= mixed[:-1])
-    alone = own.copy()
-    alone[:-1] &= ~beside
-    alone[1:] &= ~beside
-    return np.flatnonzero(low | alone)
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    after[:-1] = beside & (mixed[1:] > mixed[:-1])
+    before[1:] = beside & (mixed[:-1] > mixed[1:])
+    p = np.flatnonzero(low)
+    return p, before[p], after[p]
 
 
 def _hashed(texts: Iterable[bytes], long: int) -> tuple[np.ndarray, np.ndarray]:
     digest = xxhash.xxh3_64_intdigest
-    hashes, text = [], []
-    for i, t in enumerate(texts):
+    hashes, counts = [], []
+    for t in texts:
         own = [digest(p) for p in units(t, long)[0]]
         hashes += own
-        text.append((i, len(own)))
-    return (np.array(hashes, np.uint64),
-            np.repeat(np.array([i for i, _ in text], np.int64), np.array([n for _, n in text], np.int64)))
+        counts.append(len(own))
+    return np.array(hashes, np.uint64), np.repeat(np.arange(len(counts)), np.array(counts, np.int64))
 
 
-def _chunked(text_col: str, window: int, long: int):
+def _chunked(text_col: str, long: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_rows(batches):
             hashes, text = _hashed(encoded(b[text_col]), long)
-            p = boundaries(hashes, text, window)
+            p, before, after = boundaries(hashes, text)
             own = text[p]
             signed = np.concatenate([[0], hashes.view(np.int64), [0]])      # line i stands at i + 1
-            around = np.concatenate([[-1], text, [-1]])
-            after = p + window + 1
-            lines = signed[(p + 1)[:, None] + np.arange(window)].ravel()
-            k = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * window, pa.int32()), pa.array(lines, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*(b[c].take(pa.array(own, pa.int64())) for c in ROW_KEY),
-                 pa.array(p - np.searchsorted(text, own), pa.int32()), k,
-                 pa.array(signed[p], pa.int64(), mask=around[p] != own),
-                 pa.array(signed[after], pa.int64(), mask=around[after] != own)], [*ROW_KEY, "at", "k", "before", "after"])
+                [*(b[c].take(pa.array(own, pa.int64())) for c in ROW_KEY), pa.array(p - np.searchsorted(text, own), pa.int32()),
+                 pa.array(signed[p + 1], pa.int64()), pa.array(signed[p + 2], pa.int64()),
+                 pa.array(signed[p], pa.int64(), mask=~before), pa.array(signed[p + 3 - (p + 3 >= len(signed))], pa.int64(), mask=~after)],
+                [*ROW_KEY, "at", "c1", "c2", "before", "after"])
 
     return run
 
 
+def _marked(marks: list[int] | None) -> set[int]:
+    """The lines of marks, each of which is 4 x place + size."""
+    return {i for m in marks or () for i in range(m >> 2, (m >> 2) + (m & 3))}
+
+
 def _line_bytes(text_col: str, long: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_rows(batches):
             lines = set()
             for t, marks in zip(encoded(b[text_col]), b["__hl_marks"].to_pylist(), strict=True):
                 parts = units(t, long)[0]
-                lines |= {parts[i] for m in marks for i in range(m["at"], m["at"] + m["size"])}
+                lines.update(parts[i] for i in _marked(marks))
             content = list(lines)
             h = np.array([xxhash.xxh3_64_intdigest(x) for x in content], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(content, pa.binary())], ["h", "content"])
@@ -144,41 +151,45 @@ def _line_bytes(text_col: str, long: int):
 
 
 def remove_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars",
-                  window: int = WINDOW, long: int = LONG) -> DataFrame:
+                  long: int = LONG) -> DataFrame:
     """``docs`` without later copies of chunks, plus ``COUNTS`` (lines as in ``units``,
     those removed, and the runs that they form); where a text changes, ``chars_col`` (if
     there is such a column) gets its new length.
 
-    Null and empty texts stay as they are (one empty line).  A text of fewer lines than
-    ``window`` has no chunk.  Rows equal in id and text share every decision, so repeated
-    rows do not remove each other's chunks.  Empty table: no rows."""
+    Null and empty texts stay as they are (one empty line).  A text of one line has no
+    chunk.  Rows equal in id and text share every decision, so repeated rows do not remove
+    each other's chunks.  Empty table: no rows."""
     bounded_batches(docs.sparkSession)
     columns = docs.columns
     rows = with_row_key(docs, id_col, text_col)
-    key = f"{ROW_KEY[0]} bigint, {ROW_KEY[1]} bigint"
-    found = stored(rows.select(*ROW_KEY, text_col).mapInArrow(_chunked(text_col, window, long),
-                                                              f"{key}, at int, k array<bigint>, before bigint, after bigint"), "chunks")
+    found = stored(rows.select(*ROW_KEY, text_col).mapInArrow(
+        _chunked(text_col, long), f"{ROW_KEY[0]} bigint, {ROW_KEY[1]} bigint, at int, c1 bigint, c2 bigint, before bigint, after bigint"), "chunks")
+    # places differ if any part of them does
+    parts = [f(c).alias(f"{c}_{f.__name__}") for c in (*ROW_KEY, "at") for f in (F.min, F.max)]
+    again = (found.groupBy("c1", "c2").agg(*parts).where(" or ".join(f"{c}_min <> {c}_max" for c in (*ROW_KEY, "at"))).select("c1", "c2"))
+
+    def match(at, size: int, *lines: str):
+        return F.struct(F.expr(at).alias("at"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(lines)),
+                        *([F.lit(0).cast("bigint").alias("k2")] if size == 2 else []), F.lit(size).alias("size"))
+
+    grown = F.array(match("at", 2, "c1", "c2"), F.when(F.col("before").isNotNull(), match("at - 1", 3, "before", "c1", "c2")),
+                    F.when(F.col("after").isNotNull(), match("at", 3, "c1", "c2", "after")))
+    met = (found.join(again, ["c1", "c2"], "left_semi").select(*ROW_KEY, F.explode(grown).alias("g")).where("g is not null").select(*ROW_KEY, "g.*"))
+    met = stored(met, "matches")
+    key = ["k0", "k1", "k2", "size"]
     place = F.struct(*ROW_KEY, "at")
-
-    def repeated(chunks: DataFrame) -> DataFrame:
-        return chunks.groupBy("k").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-
-    met = found.join(repeated(found).select("k"), "k", "left_semi")
-    grown = F.array(F.struct(F.col("at"), F.col("k")),
-                    F.when(F.col("before").isNotNull(), F.struct((F.col("at") - 1).alias("at"), F.concat(F.array("before"), "k").alias("k"))),
-                    F.when(F.col("after").isNotNull(), F.struct(F.col("at"), F.concat("k", F.array("after")).alias("k"))))
-    met = stored(met.select(*ROW_KEY, F.explode(F.filter(grown, lambda g: g.isNotNull())).alias("g")).select(*ROW_KEY, "g.*"), "matches")
-    firsts = repeated(met)
-    placed = met.join(firsts, "k").select(*ROW_KEY, "at", "k", F.size("k").alias("size"), (place != F.col("first")).alias("later"))
+    firsts = met.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    placed = met.join(firsts, key).select(*ROW_KEY, *key, (F.col("at").cast("bigint") * 4 + F.col("size")).alias("mark"),
+                                          (place != F.col("first")).alias("later"))
 
     def marked(chosen: DataFrame) -> DataFrame:
         # a set: rows equal in id and text give equal marks, of which each row needs one
-        return chosen.groupBy(*ROW_KEY).agg(F.collect_set(F.struct("at", "size")).alias("__hl_marks"))
+        return chosen.groupBy(*ROW_KEY).agg(F.collect_set("mark").alias("__hl_marks"))
 
     differ = (rows.join(marked(placed), ROW_KEY).mapInArrow(_line_bytes(text_col, long), "h bigint, content binary")
               .groupBy("h").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("h"))
-    unequal = firsts.select("k", F.explode("k").alias("h")).join(differ, "h").select("k").distinct()
-    marks = marked(placed.where("later").join(unequal, "k", "left_anti"))
+    unequal = firsts.select(*key, F.explode(F.array("k0", "k1", "k2")).alias("h")).join(differ, "h").select(*key).distinct()
+    marks = marked(placed.where("later").join(unequal, key, "left_anti"))
     out = T.StructType(list(docs.schema.fields))
     for c in COUNTS:
         out = out.add(c, "long")
@@ -186,9 +197,9 @@ def remove_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_rows(batches):
             texts, counts = [], []
-            for t, marks in zip(encoded(b[text_col]), b["__hl_marks"].to_pylist(), strict=True):
+            for t, found in zip(encoded(b[text_col]), b["__hl_marks"].to_pylist(), strict=True):
                 parts, gaps = units(t, long)
-                gone = {i for m in marks or () for i in range(m["at"], m["at"] + m["size"])}
+                gone = _marked(found)
                 counts.append((len(parts), len(gone), sum(i - 1 not in gone for i in gone)))
                 texts.append(without(parts, gaps, gone) if gone else None)
             new = replaced(b, columns, text_col, chars_col, texts)
