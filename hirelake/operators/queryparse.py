@@ -10,6 +10,8 @@ the splice removes exactly the regex match.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,28 @@ def _first_contained(rem: Column, words) -> Column:
     return out
 
 
+def first_contained(texts: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
+    """(text, word): for each distinct text that contains a word of ``words(word, ord)``, the
+    contained word with the least ``ord``.
+
+    A dictionary join: the substrings of a text that have the length of some word, once
+    each, meet the words by equality, so a vocabulary of any size is one hash join and
+    never a literal in the plan.  Only the distinct word lengths come to the driver.
+    Null and empty words are void."""
+    words = words.where(F.length("word") > 0).groupBy("word").agg(F.min("ord").alias("ord"))
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
+    text = F.col("text")
+
+    def cut(n: int) -> Column:
+        last = F.length(text) - n + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+    none = F.array().cast("array<string>")
+    pieces = F.array_distinct(F.concat(none, *(F.coalesce(cut(n), none) for n in lengths)))
+    grams = texts.select(F.col(text_col).alias("text")).distinct().select("text", F.explode(pieces).alias("word"))
+    return grams.join(words, "word").groupBy("text").agg(F.min_by("word", "ord").alias("word"))
+
+
 def _hit(rem: Column, pattern: str, group: int = 1) -> Column:
     return T.blank_to_null(F.regexp_extract(rem, pattern, group))
 
@@ -69,7 +93,15 @@ def parse_queries(queries: DataFrame, as_of: str, regions=None, form_keywords=No
     pushed through every stage and inline them all.  With ``materialize`` (default)
     the parsed batch is checkpointed to the session's checkpoint folder, which cuts
     the lineage (a query batch is small next to the postings it searches).
+
+    ``regions`` is a list, or a table (word, ord) whose least ``ord`` wins;
+    ``job_keywords`` is a list, or a table (word) that adds to the fixed job words.  Tables
+    are joined, so they may be of any size; the batch is checkpointed once more for that.
     """
+    tables = [x.select("word") for x in (regions, job_keywords) if isinstance(x, DataFrame)]
+    region_table = regions if isinstance(regions, DataFrame) else None
+    regions = [] if region_table is not None else regions
+    job_keywords = None if isinstance(job_keywords, DataFrame) else job_keywords
     regions = V.REGIONS if regions is None else regions
     form_keywords = V.FORM_KEYWORDS if form_keywords is None else form_keywords
     stopwords = V.STOPWORDS if stopwords is None else stopwords
@@ -80,7 +112,11 @@ def parse_queries(queries: DataFrame, as_of: str, regions=None, form_keywords=No
 
     df = queries.withColumn("_rem", normalize_query(F.col(text_col)))
     # (1) region, (2) employment type: first vocabulary word contained, replaced by a space
-    df = df.withColumn("region", _first_contained(rem, regions))
+    if region_table is None:
+        df = df.withColumn("region", _first_contained(rem, regions))
+    else:
+        found = first_contained(df, "_rem", region_table).select(F.col("text").alias("_rem"), F.col("word").alias("region"))
+        df = df.join(found, "_rem", "left")
     df = df.withColumn("_rem", _splice(rem, F.col("region"), " "))
     df = df.withColumn("form", _first_contained(rem, form_keywords))
     df = df.withColumn("_rem", _splice(rem, F.col("form"), " "))
@@ -129,6 +165,13 @@ def parse_queries(queries: DataFrame, as_of: str, regions=None, form_keywords=No
                                  + list(job_keywords) + list(stopwords)))
     cand = _hit(T.strip(rem), COMPANY)
     is_company = cand.isNotNull() & ~F.array_contains(F.array(*[F.lit(w) for w in blocked]), cand)
+    if tables:
+        words = reduce(DataFrame.unionByName, tables).distinct().select(F.col("word").alias("_word"), F.lit(True).alias("_blocked"))
+        # most texts name no company: they join by their own text, not on one null key; the
+        # key is checkpointed, else the join's null check would inline all stages again
+        df = _cut(df.withColumn("_key", F.coalesce(cand, F.concat(F.lit("\u0000"), rem))))
+        df = df.join(words, F.col("_key") == F.col("_word"), "left")
+        is_company = is_company & F.col("_blocked").isNull()
     df = df.withColumn("company_name", F.when(is_company, cand))
     df = df.withColumn("_rem", _splice(rem, F.col("company_name"), " "))
     # (7) keyword: remaining tokens minus stopwords
@@ -138,8 +181,10 @@ def parse_queries(queries: DataFrame, as_of: str, regions=None, form_keywords=No
     df = df.withColumn("form_code", T.parse_form(F.coalesce(F.col("form"), F.lit(""))))
     out = df.select(*cols, "keyword", "region", "form", "form_code", "max_experience",
                     "min_annual_salary", "min_deadline", "company_name", "error")
-    if materialize:
-        from ..session import checkpoint_dir
-        checkpoint_dir(out.sparkSession)
-        out = out.checkpoint(eager=True)
-    return out
+    return _cut(out) if materialize else out
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

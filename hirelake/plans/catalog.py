@@ -332,18 +332,14 @@ def q_subscription_delete(spark, sf_dir):
     return U.subscription_delete(subs, deletes).select("user_id", "seq", "keyword")
 
 
-def _vocab(df: DataFrame, col: str) -> list[str]:
-    """A vocabulary parameter read from a (small, dimension-sized) table, name order."""
-    return sorted(r[0] for r in df.select(col).distinct().collect() if r[0] is not None)
+def _vocab(df: DataFrame, col: str) -> DataFrame:
+    """A vocabulary table (word, ord), in name order."""
+    return df.select(F.col(col).alias("word"), F.col(col).alias("ord")).where(F.col(col).isNotNull()).distinct()
 
 
 def _parsed(t: Tables, job_words: bool = False) -> DataFrame:
-    regions = _vocab(t["region_vocab"], "name")
-    jobs = None
-    if job_words:
-        from ..functions import vocab as V
-        jobs = V.JOB_KEYWORDS + _vocab(t["keywords"], "keyword")
-    return QP.parse_queries(t["query_log"], AS_OF, regions=regions, job_keywords=jobs)
+    jobs = _vocab(t["keywords"], "keyword") if job_words else None
+    return QP.parse_queries(t["query_log"], AS_OF, regions=_vocab(t["region_vocab"], "name"), job_keywords=jobs)
 
 
 PARSE_OUT = ["query_id", "keyword", "region", "form", "form_code", "max_experience", "min_annual_salary",

@@ -1,8 +1,10 @@
 """Query parsing: hand-written cases, and Spark vs the DuckDB statement of F2."""
 
+import random
+
 import duckdb
 
-from hirelake.operators.queryparse import parse_queries
+from hirelake.operators.queryparse import first_contained, parse_queries
 from oracle.parse import parse_ctes
 
 CASES = [
@@ -45,3 +47,33 @@ def test_matches_duckdb(spark):
     rows = con.execute("WITH " + parse_ctes("qs", AS_OF, "rv") + " SELECT * FROM pq").fetchall()
     d = {r[0]: (r[2], r[3], r[4], r[5], r[6], r[7], str(r[8]) if r[8] else None, r[9], r[10]) for r in rows}
     assert s == d
+
+
+def test_vocabulary_tables_equal_lists(spark):
+    """The same vocabularies as tables and as lists; nulls, empty and repeated words."""
+    df = spark.createDataFrame([*enumerate(CASES), (90, None), (91, "쿠팡 공고"), (92, "배달 채용 부산 서울")], "query_id int, text string")
+    regions, jobs = ["서울", "경기", "인천", "부산", "대전"], ["삼성", "배달"]
+    words = spark.createDataFrame([(w, i) for i, w in enumerate(regions)] + [("부산", 9), ("", -1), (None, -2)], "word string, ord int")
+    from hirelake.functions import vocab as V
+    as_list = parse_queries(df, AS_OF, regions=regions, job_keywords=V.JOB_KEYWORDS + jobs)
+    as_table = parse_queries(df, AS_OF, regions=words, job_keywords=spark.createDataFrame([(w,) for w in [*jobs, *jobs, None]], "word string"))
+    assert as_table.columns == as_list.columns
+    assert sorted(map(str, as_table.collect())) == sorted(map(str, as_list.collect()))
+    assert {r.query_id: r.company_name for r in as_table.collect()}[91] == "쿠팡"
+
+
+def test_first_contained_by_brute_force(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("가나ab ") for _ in range(n))
+    words = [(word(rnd.randint(1, 5)), rnd.randint(0, 10**6)) for _ in range(300)]
+    texts = [word(rnd.randint(0, 12)) for _ in range(400)]
+    got = {r.text: r.word for r in first_contained(spark.createDataFrame([(t,) for t in texts + texts], "t string"), "t",
+                                                   spark.createDataFrame(words, "word string, ord int")).collect()}
+    want = {}
+    for t in texts:
+        hits = [(o, w) for w, o in words if w in t]
+        if hits:
+            want[t] = min(hits)[1]
+    assert got == want
+    none = spark.createDataFrame([], "word string, ord int")
+    assert first_contained(spark.createDataFrame([("a",)], "t string"), "t", none).count() == 0
