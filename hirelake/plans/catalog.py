@@ -643,7 +643,7 @@ def q_judgment_dist(spark, sf_dir):
 
 
 def q_judgment_checks(spark, sf_dir):
-    return E.judgment_checks(_tables(spark, sf_dir)["judgments"])
+    return E.judgment_checks(_tables(spark, sf_dir).dealt("lineitem", "l_orderkey")["judgments"])
 
 
 def q_unmapped_judgments(spark, sf_dir):

@@ -199,6 +199,13 @@ class Tables:
                 self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._cache[name]
 
+    def dealt(self, name: str, key: str, rows: int = 500_000) -> "Tables":
+        """These tables with ``name`` dealt out by ``key``, about ``rows`` rows to a task: views
+        grouped by ``key`` and more columns are made where the rows are, however many."""
+        out = Tables(self.spark, self.sf_dir)
+        out._cache[name] = self[name].repartition(max(1, -(-self[name].count() // rows)), key)
+        return out
+
     def postings_stream(self) -> DataFrame:
         """Base crawl plus the later re-crawl (same natural keys, later ordinals)."""
         return self["postings_raw"].unionByName(self["postings_recrawl"])
