@@ -63,8 +63,8 @@ class Terms:
         self.shards = [(uuid.uuid4().hex, spark.sparkContext.broadcast([r.term for r in p.collect()])) for p in parts]
 
     def hits(self, texts: DataFrame, tid: str = "tid", text: str = "text", term: str = "term") -> DataFrame:
-        """(``term``, ``tid``): each distinct term that a text contains, as written.  A null
-        text holds no term."""
+        """(``term``, ``tid``): each distinct term that a text contains, as written; a text may be
+        an array of texts, whose terms count once.  A null text holds no term."""
         read = texts.select(F.col(tid).alias("tid"), F.col(text).alias("text")).where("text is not null")
         out = T.StructType().add(term, "string").add(tid, read.schema["tid"].dataType)
 
@@ -77,7 +77,9 @@ class Terms:
                 for b in batches:
                     rows, terms = [], []
                     for i, t in enumerate(b["text"].to_pylist()):
-                        held = {w for _, w in found.iter(t)}.union(always) if found else always
+                        each = [t] if isinstance(t, str) else [x for x in t if x is not None]
+                        some = always if each else []
+                        held = {w for x in each for _, w in found.iter(x)}.union(some) if found else some
                         terms.extend(held)
                         rows.extend([i] * len(held))
                     yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), b["tid"].take(pa.array(rows, pa.int64()))], out.names)

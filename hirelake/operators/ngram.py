@@ -18,8 +18,8 @@ Two physical strategies, same answer for every pattern:
   grows by appending: bitmaps that several batches wrote for one gram and block are united
   when they are read.  A gram of very many texts is many blocks, each of 4 KB at most.
   Patterns without a literal character match by length alone.
-* ``scan``: the pattern table is broadcast and every text is tested against every
-  pattern.  O(texts x patterns) comparisons, for a pattern table known to be small.
+* ``scan``: every text is read once by an automaton of the patterns (``automaton``); those with
+  wildcards are broadcast and tested one by one, which is for a few of them.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import automaton
 
 WILDCARDS = r"[%_]"
 # a wildcard after an even number of backslashes
@@ -174,13 +175,22 @@ def verify(text: Column, pattern: Column, literal: bool = False) -> Column:
 
 def scan_pairs(patterns: DataFrame, texts: DataFrame, pid: str = "pid", pattern: str = "pattern",
                tid: str = "tid", text: str = "text", literal: bool = False) -> DataFrame:
-    """Broadcast nested-loop strategy; the caller guarantees the pattern table is small."""
-    p = F.broadcast(patterns.select(F.col(pid).alias("_pid"), F.col(pattern).alias("_pat")))
+    """Every text is read once, where it is: the patterns without wildcards are compiled into an
+    automaton, the others tested one by one (the caller guarantees that they are few)."""
+    p = patterns.select(F.col(pid).alias("_pid"), F.col(pattern).alias("_pat"), F.lower(F.col(pattern)).alias("_low"))
     t = texts.select(F.col(tid).alias("_tid"), F.col(text).alias("_txt"))
     several = texts.schema[text].dataType.typeName() == "array"
-    test = lambda x: verify(x, F.col("_pat"), literal)
-    return (t.join(p, F.exists("_txt", test) if several else test(F.col("_txt")), "inner")
-            .select(F.col("_pid").alias(pid), F.col("_tid").alias(tid)))
+    p = materialize(p, "patterns")
+    wild = F.lit(False) if literal else F.col("_low").rlike(WILDCARDS + r"|\\")
+    plain = p.where(~wild)
+    lowered = t.withColumn("_txt", F.transform("_txt", F.lower) if several else F.lower("_txt"))
+    few = F.broadcast if plain.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS else (lambda df: df)
+    pairs = automaton.Terms(plain, "_low").hits(lowered, "_tid", "_txt", "_low").join(few(plain), "_low").select("_pid", "_tid")
+    if not p.where(wild).isEmpty():
+        test = lambda x: verify(x, F.col("_pat"), literal)
+        odd = t.join(F.broadcast(p.where(wild)), F.exists("_txt", test) if several else test(F.col("_txt")), "inner")
+        pairs = pairs.unionByName(odd.select("_pid", "_tid"))
+    return pairs.select(F.col("_pid").alias(pid), F.col("_tid").alias(tid))
 
 
 def candidates(asked: DataFrame, index: DataFrame) -> DataFrame:
