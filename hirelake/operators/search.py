@@ -129,8 +129,10 @@ def top_k(pairs: DataFrame, limit: int) -> DataFrame:
 def _filtered(matches: DataFrame, queries: DataFrame, postings: DataFrame, key: str) -> DataFrame:
     """(query_id, posting_id) of matches by ``key`` (what queries ask for) that pass their filters."""
     q = queries.select("query_id", key, *FILTER_COLS, "_regions")
-    return (matches.join(_postings_side(postings), "posting_id").join(q, key)
-            .where(_predicates()).select("query_id", "posting_id"))
+    offered = matches.join(_postings_side(postings), "posting_id")
+    # many requests share a key: they are broadcast block by block, and pairs stay where they are made
+    found = [offered.join(side, key).where(_predicates()).select("query_id", "posting_id") for side in blocks(q)]
+    return reduce(DataFrame.unionByName, found) if found else offered.join(q, key).select("query_id", "posting_id")
 
 
 def segments(postings: DataFrame) -> list[tuple[int | None, int | None]]:
