@@ -74,8 +74,8 @@ def held_before(new: DataFrame, sink: str, batch_id: int) -> DataFrame | None:
 
 def write_parts(new: DataFrame, sink: str, batch_id: int) -> None:
     """Write ``new`` (with ``part``) as the folders of its batch; a replay replaces them."""
-    # a folder's rows of a batch in one file; a folder is a month or an id block of one batch
-    (new.withColumn("batch_id", F.lit(batch_id)).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # few files for a folder; a folder of many rows is written by many tasks
+    (new.withColumn("batch_id", F.lit(batch_id)).hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("part", "batch_id").parquet(sink))
 
 
@@ -159,19 +159,18 @@ def write_log(log: DataFrame, path: str) -> None:
 
 
 def stream_alerts(spark: SparkSession, postings_dir: str, schema, subs: DataFrame, profiles: DataFrame | None,
-                  expansions: DataFrame | None, log_path: str, checkpoint: str, compiled=None):
+                  expansions: DataFrame | None, log_path: str, checkpoint: str, requests=None):
     """New postings arrive as files; each micro-batch is matched against the static
-    subscriptions, whose terms are compiled once (``compiled``, or here), deduplicated per
+    subscriptions, which are made ready once (``requests``, or here), deduplicated per
     user, anti-joined with what earlier batches logged of its posting ids (the log is
     keyed by id block), and written to the log as the batch's own folders (batch ids below
     0 for what ``write_log`` put there before)."""
     from ..operators import alerts as AL
-    from ..operators import automaton
     src = spark.readStream.schema(schema).parquet(postings_dir)
-    compiled = compiled or automaton.Terms(AL.subscription_terms(subs, expansions))
+    requests = requests or AL.Requests(subs, profiles, expansions, first=True)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        found = AL.user_matches(AL.match_subscriptions(batch, subs, profiles, expansions, compiled=compiled))
+        found = AL.user_matches(AL.match_subscriptions(batch, subs, requests=requests))
         new = materialize(found.select("user_id", "posting_id").withColumn("part", log_part()), "matched")
         held = held_before(new, log_path, batch_id)
         write_parts(new if held is None else AL.alerts_pending(new, held), log_path, batch_id)
