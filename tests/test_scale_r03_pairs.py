@@ -121,7 +121,7 @@ def test_requests_are_broadcast_to_the_matches(spark):
     fact = C._wh(C._tables(spark, SMALL)).fact
     cols = "query_id bigint, keyword string, min_deadline date, min_annual_salary bigint, company_name string, max_experience bigint, form_code bigint, region string, _regions array<string>"
     q = spark.createDataFrame([(i, "red", None, None, None, None, None, None, None) for i in range(5)], cols)
-    m = fact.select(F.lit("red").alias("keyword"), "posting_id")
+    m = fact.select(F.when(F.col("posting_id") >= 0, "red").alias("keyword"), "posting_id")
     got = SR._filtered(m, q, fact, "keyword")
     assert "BroadcastHashJoin [keyword" in _plan(got)
     assert got.count() == 5 * fact.count()
