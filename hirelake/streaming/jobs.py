@@ -20,11 +20,14 @@ session's checkpoint folder.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize, path_exists
+from ..operators import board
 from ..operators import normalize as N
 from ..operators import tables as S
 
@@ -154,26 +157,75 @@ def chunks(spark: SparkSession, path: str) -> list[int]:
 
 
 def write_log(log: DataFrame, path: str) -> None:
-    """The alert log of the time before a stream."""
-    write_parts(log.select("user_id", "posting_id").withColumn("part", log_part()), path, -1)
+    """The alert log of the time before a stream; one that is known as bits stays bits."""
+    made = board.made_of(log)
+    if made is not None:
+        write_bits(made.bits(), path, -1)
+    else:
+        write_parts(log.select("user_id", "posting_id").withColumn("part", log_part()), path, -1)
+
+
+def write_bits(lists: board.Lists, path: str, batch_id: int) -> None:
+    """The alerts of a batch as bits, and the postings that they are over; a replay replaces
+    them.  The folders begin with ``_``: what reads the log's pairs passes them over."""
+    for b in lists.boards:
+        b.store(f"{path}/_boards/batch_id={batch_id}/book={b.book}")
+    lists.df.write.mode("overwrite").parquet(f"{path}/_bits/batch_id={batch_id}")
+
+
+def bits_before(spark: SparkSession, path: str, ids: DataFrame | None, batch_id: int | None, id_type) -> DataFrame | None:
+    """The alerts that batches before ``batch_id`` wrote as bits, of those batches only whose
+    postings share an id with ``ids``; None asks for all.  None if there is nothing."""
+    found = []
+    if path_exists(spark, f"{path}/_boards"):
+        known = [b for b in held_batches(spark, f"{path}/_boards") if batch_id is None or b < batch_id]
+        boards = {b: spark.read.parquet(f"{path}/_boards/batch_id={b}/book=*") for b in known}
+        if ids is not None and known:
+            own = F.broadcast(ids.select(F.col("posting_id").cast("bigint").alias("posting_id")).distinct())
+            share = reduce(DataFrame.unionByName, (r.select("posting_id").withColumn("b", F.lit(b)) for b, r in boards.items()))
+            share = {r.b for r in share.join(own, "posting_id", "left_semi").select("b").distinct().collect()}
+            boards = {b: r for b, r in boards.items() if b in share}
+        for b, rows in boards.items():
+            made = board.Board.read(rows, id_type)
+            df = spark.read.parquet(f"{path}/_bits/batch_id={b}")
+            found.append(board.Lists(df, {x.book: x.shared for x in made}, id_type, int(spark.conf.get("spark.sql.shuffle.partitions")), None, made))
+    return reduce(board.Lists.union, found).pairs() if found else None
+
+
+def held_batches(spark: SparkSession, path: str) -> list[int]:
+    """The batches below ``path``, in order, from its folder names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch_id="))
+
+
+def read_log(spark: SparkSession, path: str, id_type="bigint") -> DataFrame:
+    """(user_id, posting_id) of a log: its pairs and its bits."""
+    bits = bits_before(spark, path, None, None, id_type)
+    if bits is not None and not parts_held(spark, path):
+        return bits
+    pairs = spark.read.parquet(path).select("user_id", "posting_id")
+    return pairs if bits is None else pairs.unionByName(bits)
 
 
 def stream_alerts(spark: SparkSession, postings_dir: str, schema, subs: DataFrame, profiles: DataFrame | None,
                   expansions: DataFrame | None, log_path: str, checkpoint: str, requests=None):
     """New postings arrive as files; each micro-batch is matched against the static
     subscriptions, which are made ready once (``requests``, or here), deduplicated per
-    user, anti-joined with what earlier batches logged of its posting ids (the log is
-    keyed by id block), and written to the log as the batch's own folders (batch ids below
-    0 for what ``write_log`` put there before)."""
+    user, without what earlier batches logged of its posting ids, and written to the log as
+    the batch's own folder of bits over its postings (batch ids below 0 for what ``write_log``
+    put there before).  A batch reads the pairs of its id blocks and the bits of batches that
+    share an id with it; ``read_log`` gives all as pairs."""
     from ..operators import alerts as AL
     src = spark.readStream.schema(schema).parquet(postings_dir)
     requests = requests or AL.Requests(subs, profiles, expansions, first=True)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        found = AL.user_matches(AL.match_subscriptions(batch, subs, requests=requests))
-        new = materialize(found.select("user_id", "posting_id").withColumn("part", log_part()), "matched")
-        held = held_before(new, log_path, batch_id)
-        write_parts(new if held is None else AL.alerts_pending(new, held), log_path, batch_id)
+        new = AL.user_matches(AL.match_subscriptions(batch, subs, requests=requests))
+        ids = batch.select(F.lit(None).cast(new.schema["user_id"].dataType).alias("user_id"), "posting_id").withColumn("part", log_part())
+        for held in (held_before(ids, log_path, batch_id), bits_before(spark, log_path, ids, batch_id, batch.schema["posting_id"].dataType)):
+            new = new if held is None else AL.alerts_pending(new, held)
+        write_bits(board.made_of(new).bits(), log_path, batch_id)
 
     q = (src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
