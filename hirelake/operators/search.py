@@ -43,6 +43,14 @@ def blocks(side: DataFrame, rows: int = BROADCAST_MAX_ROWS) -> list[DataFrame]:
     return [F.broadcast(side if n == 1 else side.where(h == i)) for i in range(n)]
 
 
+def log_sized(queries: DataFrame):
+    """What marks the tables that have a row (or some) for each of ``queries``: if a count finds
+    many, joins must merge them.  The planner would go by file sizes, and the stored copy of
+    millions of alike rows is a small file: it would broadcast them through the driver."""
+    many = queries.limit(BROADCAST_MAX_ROWS + 1).count() > BROADCAST_MAX_ROWS
+    return (lambda df: df.hint("merge")) if many else (lambda df: df)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], buckets: int | None = None,
                 salt_from: str | None = None) -> DataFrame:
     """Inner equi-join whose big side may hold a hot key.  Spark's skew join splits the
@@ -160,16 +168,17 @@ def _rounds(asked: DataFrame, key: str, postings: DataFrame, ranges: list, limit
     (``key``, posting_id)."""
     if asked.isEmpty():
         return asked.select(key, F.lit(None).cast("bigint").alias("posting_id")).limit(0)
+    mark = log_sized(asked)
     active, found = asked, None
     for lo, hi in ranges:
         w = Window.partitionBy(key).orderBy(F.col("posting_id").desc())
-        best = evaluate(active, _within(postings, lo, hi), lo, hi)
+        best = evaluate(mark(active), _within(postings, lo, hi), lo, hi)
         best = materialize(best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).select(key, "posting_id"), "found")
         found = best if found is None else found.unionByName(best)
         if (lo, hi) == ranges[-1]:
             break
         done = found.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= limit)
-        active = active.join(done, key, "left_anti").select(*asked.columns)
+        active = active.join(mark(done), key, "left_anti").select(*asked.columns)
         if active.isEmpty():
             break
     return found
@@ -192,7 +201,7 @@ def _no_keyword(queries: DataFrame, postings: DataFrame, ranges: list, limit: in
         return own.join(keyed, ["_rk", "_fk"]).where(_predicates()).select("_fid", "posting_id")
 
     best = _rounds(asked, "_fid", postings, ranges, limit, evaluate)
-    return nk.select("query_id", fid.alias("_fid")).join(best, "_fid").select("query_id", "posting_id")
+    return log_sized(nk)(nk.select("query_id", fid.alias("_fid"))).join(best, "_fid").select("query_id", "posting_id")
 
 
 def match_counts(tokens: DataFrame, hits: DataFrame, key: str = "query_id") -> DataFrame:
@@ -208,8 +217,9 @@ def _asked(queries: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
     key = F.to_json(F.struct(F.col("keyword"), *FILTER_COLS, *more), {"ignoreNullFields": "false"})
     ids = queries.select("query_id", key.alias("_k"))
     first = ids.groupBy("_k").agg(F.min("query_id").alias("_first"))
-    same = ids.join(first, "_k").select("query_id", "_first")
-    return queries.join(first.select(F.col("_first").alias("query_id")), "query_id", "left_semi"), same
+    mark = log_sized(queries)
+    same = mark(ids).join(first, "_k").select("query_id", "_first")
+    return queries.join(mark(first.select(F.col("_first").alias("query_id"))), "query_id", "left_semi"), mark(same)
 
 
 def _answered(results: DataFrame, same: DataFrame) -> DataFrame:
@@ -234,6 +244,7 @@ def _search(queries: DataFrame, fact: DataFrame, as_of: str, limit: int, use_tag
     postings = valid_postings(fact, as_of)
     ranges = segments(postings)
     queries = materialize(with_regions(queries, postings), "requests")
+    mark = log_sized(queries)
     tokens = keyword_tokens(queries, "keyword")
     if hits is None:
         hits = term_hits(tokens, postings, use_tags, method, index)
@@ -254,13 +265,13 @@ def _search(queries: DataFrame, fact: DataFrame, as_of: str, limit: int, use_tag
     multi = queries.where(F.col("keyword").isNotNull() & (n_tokens > 1)).select("query_id")
     thr = V.FALLBACK_MIN_WITH_TAGS if use_tags else V.FALLBACK_MIN_NAME_ONLY
     if fallback and limit < thr:  # whatever they find is below the threshold
-        with_and = with_and.join(multi, "query_id", "left_anti")
+        with_and = with_and.join(mark(multi), "query_id", "left_anti")
     and_top = top(with_and, True)
     out = and_top.withColumn("mode", F.lit("and"))
     if fallback:
         n_and = and_top.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-        fb = materialize(multi.join(n_and, "query_id", "left").where(F.coalesce(F.col("_n"), F.lit(0)) < thr).select("query_id"), "fallback")
-        out = (out.join(fb, "query_id", "left_anti")
+        fb = materialize(multi.join(mark(n_and), "query_id", "left").where(F.coalesce(F.col("_n"), F.lit(0)) < thr).select("query_id"), "fallback")
+        out = (out.join(mark(fb), "query_id", "left_anti")
                .unionByName(top(fb, False).withColumn("mode", F.lit("or"))))
     nk = _no_keyword(queries, postings, ranges, limit)
     out = out.unionByName(top_k(nk, limit).withColumn("mode", F.lit("filter")))
@@ -314,7 +325,7 @@ def region_names(fact: DataFrame) -> DataFrame:
 def lexical_scores(results: DataFrame, fact: DataFrame, queries: DataFrame) -> DataFrame:
     """Default relevance scorer: 10 x share of keyword tokens found in title + tags."""
     toks = F.filter(F.split(F.lower(T.strip("keyword")), T.WS_RUN), lambda t: t != "")
-    q = queries.select("query_id", toks.alias("_toks"))
+    q = log_sized(queries)(queries.select("query_id", toks.alias("_toks")))
     p = fact.select("posting_id", F.lower(F.concat_ws(" ", F.col("announcement_name"),
                                                      F.array_join("tags", " "))).alias("_txt"))
     j = results.join(q, "query_id").join(p, "posting_id")
@@ -323,10 +334,10 @@ def lexical_scores(results: DataFrame, fact: DataFrame, queries: DataFrame) -> D
         .drop("_toks", "_txt")
 
 
-def rerank_results(results: DataFrame, scores: DataFrame) -> DataFrame:
-    """Stable sort per query: score desc, then the input rank."""
+def rerank_results(results: DataFrame, scores: DataFrame, mark=lambda df: df) -> DataFrame:
+    """Stable sort per query: score desc, then the input rank.  ``mark``: as of ``log_sized``."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("rank").asc())
-    return (results.join(scores.select("query_id", "posting_id", "score"), ["query_id", "posting_id"])
+    return (results.join(mark(scores.select("query_id", "posting_id", "score")), ["query_id", "posting_id"])
             .withColumn("rank", F.row_number().over(w)))
 
 
@@ -343,16 +354,18 @@ def search_adaptive(queries: DataFrame, fact: DataFrame, as_of: str, limit: int
     pool = max(limit * V.ADAPTIVE_POOL_FACTOR, V.ADAPTIVE_POOL_MIN)
     # per-query pools are bounded (pool x queries rows); each is referenced by several
     # branches below, so it is stored once instead of being recomputed per branch
+    mark = log_sized(queries)
     first = materialize(search(queries, fact, as_of, pool, True, True, method, None, index), "pools")
     n1 = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     need = (queries.where(F.col("keyword").isNotNull()).select("query_id")
-            .join(n1, "query_id", "left").where(F.coalesce(F.col("_n"), F.lit(0)) < V.ADAPTIVE_THRESHOLD)
+            .join(mark(n1), "query_id", "left").where(F.coalesce(F.col("_n"), F.lit(0)) < V.ADAPTIVE_THRESHOLD)
             .select("query_id"))
+    need = mark(materialize(need, "short"))
     out = first.join(need, "query_id", "left_anti")
     # a missing expansion falls back to the keyword alone (the expander's failure contract)
     eq = queries.join(need, "query_id", "left_semi")
     if expansions is not None:
-        eq = eq.join(expansions.select("query_id", "expanded"), "query_id", "left")
+        eq = eq.join(mark(expansions.select("query_id", "expanded")), "query_id", "left")
     else:
         eq = eq.withColumn("expanded", F.lit(None).cast("array<string>"))
     eq = eq.withColumn("expanded", F.coalesce("expanded", F.array("keyword")))
@@ -360,8 +373,8 @@ def search_adaptive(queries: DataFrame, fact: DataFrame, as_of: str, limit: int
     scorer = scorer or lexical_scores
     with_kw = queries.where(F.col("keyword").isNotNull()).select("query_id")
     cnt = out.groupBy("query_id").agg(F.count(F.lit(1)).alias("_c"))
-    rr_ids = with_kw.join(cnt.where(F.col("_c") > 1), "query_id", "left_semi")
+    rr_ids = mark(with_kw.join(mark(cnt.where(F.col("_c") > 1)), "query_id", "left_semi"))
     to_rr = out.join(rr_ids, "query_id", "left_semi")
-    reranked = rerank_results(to_rr, scorer(to_rr, fact, queries)).drop("score")
+    reranked = rerank_results(to_rr, scorer(to_rr, fact, queries), mark).drop("score")
     final = out.join(rr_ids, "query_id", "left_anti").unionByName(reranked.select(*out.columns))
     return final.where(F.col("rank") <= limit)

@@ -391,7 +391,7 @@ def _thesaurus(t: Tables) -> DataFrame:
 
 def _expansions(t: Tables, queries: DataFrame) -> DataFrame:
     exp = A.thesaurus_expansions(queries.select("keyword"), _thesaurus(t))
-    return queries.select("query_id", "keyword").join(exp, "keyword").select("query_id", "expanded")
+    return SR.log_sized(queries)(queries.select("query_id", "keyword")).join(exp, "keyword").select("query_id", "expanded")
 
 
 def q_search_and(spark, sf_dir):
